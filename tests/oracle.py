@@ -63,7 +63,6 @@ def main() -> None:
 
     sf, wanted = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
-    spark.conf.set("spark.ui.showConsoleProgress", "false")
     con = connect(f"{TESTDATA}/{sf}")
     sqls = entry.oracle_sql()
     bad = 0
