@@ -23,30 +23,30 @@ TILE_STEP = 1460
 
 # Fixed sample messages, one per error rule; the job view assigns them round robin.
 SAMPLE_ERRORS = [
-    "[download] 404",
-    "[ai] quota exceeded for today",
-    "[ai] Rate limit hit, try later",
+    "API returned no overlay data",
+    "[download] no image data",
+    "AI api_key is required",
+    "401 unauthorized, bad key",
+    "[ai] 403 forbidden",
+    "[download] HTTP 404",
+    "[download] Not an image: text/html",
+    "cannot identify image file",
+    "[ocr] unsupported image mode",
+    "[render] model m1 does not exist",
     "[ai] HTTP 429 too many requests",
-    "[ocr] decode failed",
-    "[render] unexpected",
-    "Codex CLI usage limit reached",
-    "Gemini CLI not found, please install it",
-    "invalid API key",
-    "401 unauthorized",
-    "403 forbidden",
-    "HTTP 404 not found",
-    "model not found: m1",
-    "429 Too Many Requests",
-    "HTTP 500 internal server error",
-    "503 service unavailable, overloaded",
-    "request timed out",
+    "[ai] service overloaded",
+    "rest poll timed out",
+    "[render] request timed out",
     "Failed to fetch",
-    "network error",
-    "connection refused",
-    "cannot identify image file",
-    "job_not_found",
-    "insufficient balance, billing",
+    "[ai] blocked by policy",
+    "[ocr] HTTP 500 internal",
+    "insufficient balance",
+    "Codex CLI usage limit reached. Try again at 5 PM.",
+    "tool requires authentication in the browser",
+    "Expecting value: line 1",
+    "REST submit failed",
     "Something nobody has seen before went wrong in the middle of it",
+    "[render] odd",
 ]
 
 # Fixed request values, assigned by event number.
