@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pagelayout.plans.registry import Query, all_queries
-from pagelayout.plans import layout_queries, text_queries
+from pagelayout.plans import job_queries, layout_queries, text_queries
 from pagelayout.plans.layout_queries import page_summary
 
 __all__ = ["page_summary", "registered"]
