@@ -78,7 +78,7 @@ def main() -> None:
                 msg = f"" if (n := len(df.collect())) else "no rows"
                 print(f"     rows only: {n}")
         except Exception as e:  # noqa: BLE001 - report and go on with the next query
-            msg = f"{type(e).__name__}: {str(e)[:1200]}"
+            msg = f"{type(e).__name__}: {str(e)[:400]}"
         bad += bool(msg)
         print(f"{'FAIL' if msg else 'ok  '} {name} {time.time() - t0:.1f}s {msg}", flush=True)
     print("failed:", bad)
