@@ -84,7 +84,7 @@ TEXTS_SQL = """SELECT image_id, para_index, CASE WHEN para_index % 5 = 4 THEN ''
         """SELECT image_id, para_index, CAST(i - 1 AS INTEGER) AS item_index, array_to_string(words[cuts[i]+1:cuts[i+1]], ' ') AS text FROM (
   SELECT *, unnest(range(1, len(lens)+1)) AS i FROM (SELECT *, list_concat([0], list_transform(range(1, len(lens)), lambda m: CAST(list_max(list_transform(range(1, m+1), lambda k: least(len(words), CAST(round_even(list_reduce(shares[1:k], lambda a, b: a + b), 0) AS BIGINT)))) AS BIGINT)), [CAST(len(words) AS BIGINT)]) AS cuts FROM (
     SELECT *, list_transform(lens, lambda x: CAST(x AS DOUBLE) / greatest(1, list_sum(lens)) * len(words)) AS shares FROM (
-      SELECT t.image_id, t.para_index, l.lens, CASE WHEN trim(t.text) = '' THEN CAST([] AS VARCHAR[]) ELSE string_split_regex(t.text, '[ \\n]+') END AS words FROM texts t
+      SELECT t.image_id, t.para_index, l.lens, list_filter(string_split_regex(t.text, '[ \\n]+'), lambda x: x <> '') AS words FROM texts t
       JOIN (SELECT image_id, para_index, list(length(text) ORDER BY item_index) AS lens FROM items GROUP BY ALL) l USING (image_id, para_index)))))""",
         texts=TEXTS_SQL,
     ),
