@@ -50,7 +50,8 @@ def decode_data_uris(df: DataFrame, uri: str) -> DataFrame:
 
 
 def encode_data_uris(data: Column | str, mime: Column | str) -> Column:
-    return F.concat(F.lit("data:"), col(mime), F.lit(";base64,"), F.base64(col(data)))
+    # Base64 comes in lines of 76 characters; a URI has none.
+    return F.concat(F.lit("data:"), col(mime), F.lit(";base64,"), F.translate(F.base64(col(data)), "\r\n", ""))
 
 
 def unwrap_data_uris(c: Column | str) -> Column:
