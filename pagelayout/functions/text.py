@@ -48,10 +48,10 @@ def needs_retry(s: Column | str, expected: Column | str) -> Column:
 
 def markers_complete(s: Column | str, expected: Column | str) -> Column:
     """Markers 0..n-1 all occur and their first occurrences come in order."""
-    ids, n = _ids(F.coalesce(col(s), F.lit(""))), col(expected)
-    at = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.array_position(ids, i.cast("string")))
-    rising = F.forall(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (F.get(at, i) > 0) & (F.coalesce(F.get(at, i - 1), F.lit(0)) < F.get(at, i)))
-    return (n <= 0) | rising
+    n = col(expected)
+    first_seen = F.array_distinct(_ids(F.coalesce(col(s), F.lit(""))))
+    wanted = F.filter(first_seen, lambda x: x.rlike(CANONICAL) & (x.cast("decimal(38,0)") < n))
+    return (n <= 0) | (wanted == F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i.cast("string")))
 
 
 def norm_dedupe_text(s: Column | str) -> Column:
@@ -61,9 +61,9 @@ def norm_dedupe_text(s: Column | str) -> Column:
 def _segments(df: DataFrame, text: str, expected: str, keys: list[str]) -> DataFrame:
     """One row per marker occurrence: its number, order and raw segment."""
     parts = F.split(F.col(text), MARKER)
-    pairs = F.transform(_ids(F.col(text)), lambda x, i: F.struct(x.alias("id"), i.alias("occ"), F.get(parts, i + 1).alias("seg")))
-    d = df.select(*keys, expected, F.explode(pairs).alias("p"))
-    d = d.select(*keys, expected, F.col("p.id").alias("id"), F.col("p.occ").alias("occ"), F.col("p.seg").alias("seg"))
+    pairs = F.arrays_zip(_ids(F.col(text)).alias("id"), F.slice(parts, F.lit(2), F.size(parts)).alias("seg"))
+    d = df.select(*keys, expected, F.posexplode(pairs).alias("occ", "p"))
+    d = d.select(*keys, expected, F.col("p.id").alias("id"), "occ", F.col("p.seg").alias("seg"))
     return d.filter(F.length("id") <= 9)
 
 
@@ -90,9 +90,12 @@ def marker_segments_for_layout(df: DataFrame, keys: list[str], text: str = "mark
     return slots.join(marked.unionByName(plain), [*keys, "para_index"], "left").withColumn("segment", F.coalesce("segment", F.lit("")))
 
 
-def sanitize_marked_text(s: Column | str) -> Column:
-    """Repair a marked answer: one marker per line, broken markers removed, segments collapsed and sorted."""
-    t = F.regexp_replace(F.coalesce(col(s), F.lit("")), r"\r\n?", "\n")
+def sanitize_marked_text(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Repair a marked answer: one marker per line, broken markers removed, segments collapsed and sorted.
+
+    Each step is a column of its own, so that no step is worked out again for every element of the next.
+    """
+    t = F.regexp_replace(F.coalesce(col(text), F.lit("")), r"\r\n?", "\n")
     t = F.regexp_replace(t, r"<<TP_P(?!\d+>>)[^\s>]*>?", "")
     t = F.regexp_replace(t, r"(?m)^\s*(<<TP_P\d+>>)\s*(\S)", "$1\n$2")
 
@@ -105,36 +108,40 @@ def sanitize_marked_text(s: Column | str) -> Column:
             .otherwise(F.regexp_replace(x, MARKER, ""))
         )
 
-    t = F.array_join(F.transform(F.split(t, "\n"), line), "\n")
-    ids, parts = _ids(t), F.split(t, MARKER)
-    body = F.transform(
-        marker_numbers(t),
-        lambda n: F.concat(
-            marker(n), F.lit("\n"),
-            F.when(
-                F.array_position(ids, n.cast("string")) > 0,
-                collapse_ws(F.coalesce(F.get(parts, F.array_position(ids, n.cast("string")).cast("int")), F.lit(""))),
-            ).otherwise(""),
-        ),
-    )
-    joined = F.regexp_replace(F.array_join(body, "\n\n"), r"^\n+|\n+$", "")
-    return F.when(F.size(ids) == 0, collapse_ws(t)).otherwise(joined)
+    d = df.withColumn("__t", F.array_join(F.transform(F.split(t, "\n"), line), "\n"))
+    parts = F.split("__t", MARKER)
+    pairs = F.arrays_zip(_ids(F.col("__t")).alias("id"), F.slice(parts, F.lit(2), F.size(parts)).alias("seg"))
+
+    def numbered(x: Column, i: Column) -> Column:
+        odd = ~x["id"].rlike(CANONICAL)
+        return F.struct(x["id"].cast("decimal(38,0)").alias("n"), odd.alias("odd"), i.alias("occ"), F.when(odd, "").otherwise(collapse_ws(x["seg"])).alias("seg"))
+
+    d = d.withColumn("__s", F.array_sort(F.transform(pairs, numbered)))
+    first = F.filter("__s", lambda x, i: (i == 0) | (F.get("__s", i - 1)["n"] != x["n"]))
+    body = F.array_join(F.transform(first, lambda x: F.concat(marker(x["n"]), F.lit("\n"), x["seg"])), "\n\n")
+    fixed = F.when(F.size("__s") == 0, collapse_ws("__t")).otherwise(F.regexp_replace(body, r"^\n+|\n+$", ""))
+    return d.withColumn(out, fixed).drop("__t", "__s")
 
 
-def merge_overlap_text(a: Column | str, b: Column | str) -> Column:
+def merge_overlap_text(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     """Join two texts over their longest common seam, by words first, else by characters."""
-    a, b = trim_ws(F.coalesce(col(a), F.lit(""))), trim_ws(F.coalesce(col(b), F.lit("")))
-    wa, wb = F.split(a, r"(?U)\s+"), F.split(b, r"(?U)\s+")
-    na, nb = F.size(wa), F.size(wb)
-    least = F.least(na, nb)
-    kw = F.array_max(F.filter(F.sequence(F.lit(1), least), lambda k: (F.get(wa, na - k) == F.get(wb, F.lit(0))) & (F.slice(wa, na - k + 1, k) == F.slice(wb, F.lit(1), k))))
-    ca, cb = F.length(a), F.length(b)
-    kc = F.array_max(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(ca, cb))), lambda k: F.substring(a, ca - k + 1, k) == F.substring(b, F.lit(1), k)))
-    by_words = F.array_join(F.concat(wa, F.slice(wb, kw + 1, F.greatest(nb, F.lit(1)))), " ")
-    by_chars = F.concat(a, F.substring(b, kc + 1, F.greatest(cb, F.lit(1))))
-    return (
-        F.when(a == "", b).when(b == "", a).when(kw.isNotNull(), by_words).when(kc.isNotNull(), by_chars).otherwise(F.concat_ws(" ", a, b))
+    d = df.withColumns({"__a": trim_ws(F.coalesce(a, F.lit(""))), "__b": trim_ws(F.coalesce(b, F.lit("")))})
+    d = d.withColumns({"__wa": F.split("__a", r"(?U)\s+"), "__wb": F.split("__b", r"(?U)\s+"), "__ca": F.length("__a"), "__cb": F.length("__b")})
+    d = d.withColumns({"__na": F.size("__wa"), "__nb": F.size("__wb")})
+    na, nb, ca, cb = (F.col(c) for c in ("__na", "__nb", "__ca", "__cb"))
+    words = F.sequence(F.lit(1), F.least(na, nb))
+    same_words = lambda k: (F.get("__wa", na - k) == F.get("__wb", F.lit(0))) & (F.slice("__wa", na - k + 1, k) == F.slice("__wb", F.lit(1), k))
+    d = d.withColumn("__kw", F.array_max(F.filter(words, same_words)))
+    chars = F.when(F.col("__kw").isNull(), F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(ca, cb))))
+    same_chars = lambda k: F.substring("__a", ca - k + 1, k) == F.substring("__b", F.lit(1), k)
+    d = d.withColumn("__kc", F.array_max(F.filter(chars, same_chars)))
+    by_words = F.array_join(F.concat("__wa", F.slice("__wb", F.col("__kw") + 1, F.greatest(nb, F.lit(1)))), " ")
+    by_chars = F.concat("__a", F.substring("__b", F.col("__kc") + 1, F.greatest(cb, F.lit(1))))
+    joined = (
+        F.when(F.col("__a") == "", F.col("__b")).when(F.col("__b") == "", F.col("__a"))
+        .when(F.col("__kw").isNotNull(), by_words).when(F.col("__kc").isNotNull(), by_chars).otherwise(F.concat_ws(" ", "__a", "__b"))
     )
+    return d.withColumn(out, joined).drop("__a", "__b", "__wa", "__wb", "__ca", "__cb", "__na", "__nb", "__kw", "__kc")
 
 
 # ---------------------------------------------------------------- model answers
@@ -206,7 +213,7 @@ def migrate_prompt_map(m: Column | str) -> Column:
         return F.struct(key.alias("key"), value.alias("value"), (~F.contains(e["key"], F.lit("::")) | (value != e["value"])).alias("changed"))
 
     all_e = F.transform(given, entry)
-    keys = F.transform(all_e, lambda e: e["key"])
+    keys = F.transform(given, lambda e: F.when(F.contains(e["key"], F.lit("::")), e["key"]).otherwise(F.concat(F.when(trim_ws(e["key"]) == "", "en").otherwise(trim_ws(e["key"])), F.lit("::auto"))))
     last = F.filter(all_e, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
     return F.struct(
         F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"]))).alias("entries"),

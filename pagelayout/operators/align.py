@@ -70,27 +70,29 @@ def repaired_text(filled: DataFrame) -> DataFrame:
     return filled.groupBy("image_id").agg(F.regexp_replace(lines, r"^\n+|\n+$", "").alias("marked_text"))
 
 
-def allocate_words(text: Column, lengths: Column) -> Column:
+def allocate_words(df: DataFrame, text: str, lengths: str, out: str) -> DataFrame:
     """Words of ``text`` dealt to slots in proportion to ``lengths``; shares add up, rounding is half-even.
 
     The last slot takes the rest, so nothing is lost.
     """
     clean = trim_ws(F.coalesce(text, F.lit("")))
     words = F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, r"(?U)\s+"))
-    n, slots = F.size(words), F.size(lengths)
     total = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
-    whole = F.greatest(F.lit(1).cast("long"), total).cast("double")
-    start = F.struct(F.lit(0.0).alias("acc"), F.array(F.lit(0)).alias("cuts"))
+    d = df.withColumns({"__words": words, "__whole": F.greatest(F.lit(1).cast("long"), total).cast("double"), "__slots": F.size(lengths)})
+    d = d.withColumn("__n", F.size("__words"))
+    n, whole, slots = F.col("__n"), F.col("__whole"), F.col("__slots")
+    start = F.struct(F.lit(0.0).alias("acc"), F.lit(0).alias("last"), F.array(F.lit(0)).alias("cuts"))
 
     def step(s: Column, length: Column) -> Column:
         acc = s["acc"] + length.cast("double") / whole * n
-        cut = F.greatest(F.element_at(s["cuts"], -1), F.least(n, F.rint(acc).cast("int")))
-        return F.struct(acc.alias("acc"), F.concat(s["cuts"], F.array(cut)).alias("cuts"))
+        at = F.greatest(s["last"], F.least(n, F.rint(acc).cast("int")))
+        return F.struct(acc.alias("acc"), at.alias("last"), F.concat(s["cuts"], F.array(at)).alias("cuts"))
 
     inner = F.aggregate(F.slice(lengths, F.lit(1), F.greatest(F.lit(0), slots - 1)), start, step)["cuts"]
-    cuts = F.concat(inner, F.array(n))
-    dealt = F.transform(lengths, lambda _, i: F.array_join(F.slice(words, F.get(cuts, i) + 1, F.get(cuts, i + 1) - F.get(cuts, i)), " "))
-    return F.when(slots > 0, dealt).otherwise(F.array().cast("array<string>"))
+    d = d.withColumn("__cuts", F.concat(inner, F.array(n)))
+    dealt = F.transform(lengths, lambda _, i: F.array_join(F.slice("__words", F.get("__cuts", i) + 1, F.get("__cuts", i + 1) - F.get("__cuts", i)), " "))
+    filled = F.when((slots > 0) & (F.size("__words") >= 0), dealt).otherwise(F.array().cast("array<string>"))
+    return d.withColumn(out, filled).drop("__words", "__whole", "__slots", "__n", "__cuts")
 
 
 def translate_lines(paras: DataFrame, items: DataFrame) -> DataFrame:
@@ -99,8 +101,9 @@ def translate_lines(paras: DataFrame, items: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("item_index", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))))
     lines = items.groupBy(*keys).agg(ordered.alias("__l"))
     j = paras.select(*keys, F.col("text").alias("__t")).join(lines, keys)
-    dealt = allocate_words(F.col("__t"), F.transform("__l", lambda x: x["n"]))
-    out = j.select(*keys, F.explode(F.arrays_zip(F.transform("__l", lambda x: x["item_index"]).alias("item_index"), dealt.alias("text"))).alias("z"))
+    j = j.withColumns({"__len": F.transform("__l", lambda x: x["n"]), "__ix": F.transform("__l", lambda x: x["item_index"])})
+    j = allocate_words(j, "__t", "__len", "__dealt")
+    out = j.select(*keys, F.explode(F.arrays_zip(F.col("__ix").alias("item_index"), F.col("__dealt").alias("text"))).alias("z"))
     return out.select(*keys, F.col("z.item_index").alias("item_index"), F.col("z.text").alias("text"))
 
 

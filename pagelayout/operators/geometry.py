@@ -48,60 +48,71 @@ def resolve_rect(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- quads
 
 
-def box_quad(pad: float = 0.0) -> Column:
-    """Corners of a box (left/top/width/height fractions, rotation_deg) turned about its centre."""
+def _box_corners(d: DataFrame, pad: float) -> DataFrame:
+    """Adds ``__box``: corners of the box turned about its centre; shared terms are columns of their own."""
     w, h = F.col("width") * F.col("w"), F.col("height") * F.col("h")
-    cx, cy = F.col("left") * F.col("w") + w / 2.0, F.col("top") * F.col("h") + h / 2.0
-    hw, hh = w / 2.0 + pad, h / 2.0 + pad
     rad = F.radians(F.coalesce("rotation_deg", F.lit(0.0)))
-    c, s = F.cos(rad), F.sin(rad)
+    d = d.withColumns({
+        "__cx": F.col("left") * F.col("w") + w / 2.0, "__cy": F.col("top") * F.col("h") + h / 2.0,
+        "__hw": w / 2.0 + pad, "__hh": h / 2.0 + pad, "__cos": F.cos(rad), "__sin": F.sin(rad), "__has": (w > 0) & (h > 0),
+    })
+    cx, cy, hw, hh, c, s = (F.col(n) for n in ("__cx", "__cy", "__hw", "__hh", "__cos", "__sin"))
 
     def corner(x: Column, y: Column) -> Column:
         return point(cx + (x * c - y * s), cy + (x * s + y * c))
 
     quad = F.array(corner(-hw, -hh), corner(hw, -hh), corner(hw, hh), corner(-hw, hh))
-    return F.when((w > 0) & (h > 0), quad)
+    return d.withColumn("__box", F.when(F.col("__has"), quad)).drop("__cx", "__cy", "__hw", "__hh", "__cos", "__sin", "__has")
 
 
-def baseline_quad(pad: float = 0.0, shift: bool = True) -> Column:
-    """Corners around a piece t0..t1 of the baseline p1-p2; null without text or length."""
-    x1, y1 = F.col("p1.x") * F.col("w"), F.col("p1.y") * F.col("h")
-    x2, y2 = F.col("p2.x") * F.col("w"), F.col("p2.y") * F.col("h")
-    flip = (x2 - x1 < 0) | ((F.abs(x2 - x1) < 1e-12) & (y2 - y1 < 0))
-    ax, ay = F.when(flip, x2).otherwise(x1), F.when(flip, y2).otherwise(y1)
-    dx, dy = F.when(flip, x1 - x2).otherwise(x2 - x1), F.when(flip, y1 - y2).otherwise(y2 - y1)
-    length = F.hypot(dx, dy)
-    ux, uy = dx / length, dy / length
+def _line_corners(d: DataFrame, pad: float) -> DataFrame:
+    """Adds ``__line``: corners around the piece t0..t1 of the baseline; null without text or length."""
+    d = d.withColumns({"__x1": F.col("p1.x") * F.col("w"), "__y1": F.col("p1.y") * F.col("h"), "__x2": F.col("p2.x") * F.col("w"), "__y2": F.col("p2.y") * F.col("h")})
+    x1, y1, x2, y2 = (F.col(n) for n in ("__x1", "__y1", "__x2", "__y2"))
+    d = d.withColumn("__flip", (x2 - x1 < 0) | ((F.abs(x2 - x1) < 1e-12) & (y2 - y1 < 0)))
+    flip = F.col("__flip")
+    d = d.withColumns({
+        "__ax": F.when(flip, x2).otherwise(x1), "__ay": F.when(flip, y2).otherwise(y1),
+        "__dx": F.when(flip, x1 - x2).otherwise(x2 - x1), "__dy": F.when(flip, y1 - y2).otherwise(y2 - y1), "__len": F.hypot(x2 - x1, y2 - y1),
+    })
+    length = F.col("__len")
+    d = d.withColumns({"__ux": F.try_divide("__dx", length), "__uy": F.try_divide("__dy", length), "__th": F.greatest(F.lit(1.0), F.coalesce("height_raw", F.lit(0.0)) * F.col("h"))})
+    ux, uy, h = F.col("__ux"), F.col("__uy"), F.col("__th")
     # The normal always points down the page.
     sign = F.when(ux < 0, -1.0).otherwise(1.0)
-    nx, ny = -uy * sign, ux * sign
-    t0, t1 = F.coalesce("t0", F.lit(0.0)), F.coalesce("t1", F.lit(1.0))
-    h = F.greatest(F.lit(1.0), F.coalesce("height_raw", F.lit(0.0)) * F.col("h"))
-    drop = h * BASELINE_SHIFT if shift else F.lit(0.0)
-    sx, sy = ax + ux * (t0 * length) + nx * drop - ux * pad, ay + uy * (t0 * length) + ny * drop - uy * pad
-    ex, ey = ax + ux * (t1 * length) + nx * drop + ux * pad, ay + uy * (t1 * length) + ny * drop + uy * pad
-    ox, oy = nx * (h / 2.0 + pad), ny * (h / 2.0 + pad)
+    d = d.withColumns({"__nx": -uy * sign, "__ny": ux * sign})
+    nx, ny, drop = F.col("__nx"), F.col("__ny"), h * BASELINE_SHIFT
+    t0, t1 = F.coalesce("t0", F.lit(0.0)) * length, F.coalesce("t1", F.lit(1.0)) * length
+    d = d.withColumns({
+        "__sx": F.col("__ax") + ux * t0 + nx * drop - ux * pad, "__sy": F.col("__ay") + uy * t0 + ny * drop - uy * pad,
+        "__ex": F.col("__ax") + ux * t1 + nx * drop + ux * pad, "__ey": F.col("__ay") + uy * t1 + ny * drop + uy * pad,
+        "__ox": nx * (h / 2.0 + pad), "__oy": ny * (h / 2.0 + pad),
+    })
+    sx, sy, ex, ey, ox, oy = (F.col(n) for n in ("__sx", "__sy", "__ex", "__ey", "__ox", "__oy"))
     quad = F.array(point(sx - ox, sy - oy), point(ex - ox, ey - oy), point(ex + ox, ey + oy), point(sx + ox, sy + oy))
-    return F.when(F.coalesce("valid_text", F.lit(False)) & (length > 1e-9), quad)
+    d = d.withColumn("__line", F.when(F.coalesce("valid_text", F.lit(False)) & (length > 1e-9), quad))
+    return d.drop("__x1", "__y1", "__x2", "__y2", "__flip", "__ax", "__ay", "__dx", "__dy", "__len", "__ux", "__uy", "__th", "__nx", "__ny", "__sx", "__sy", "__ex", "__ey", "__ox", "__oy")
 
 
-def rect_quad(pad: float = 0.0) -> Column:
-    """Axis-aligned box in whole pixels, inside the page."""
+def _plain_corners(d: DataFrame, pad: float) -> DataFrame:
+    """Adds ``__plain``: the axis-aligned box in whole pixels, inside the page."""
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
 
     def inside(v: Column, hi: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(hi, v))
 
-    l = inside(F.rint(F.col("left") * w) - pad, w)
-    t = inside(F.rint(F.col("top") * h) - pad, h)
-    r = inside(F.rint((F.col("left") + F.col("width")) * w) + pad, w)
-    b = inside(F.rint((F.col("top") + F.col("height")) * h) + pad, h)
-    return F.when((r > l) & (b > t), F.array(point(l, t), point(r, t), point(r, b), point(l, b)))
+    d = d.withColumns({
+        "__pl": inside(F.rint(F.col("left") * w) - pad, w), "__pt": inside(F.rint(F.col("top") * h) - pad, h),
+        "__pr": inside(F.rint((F.col("left") + F.col("width")) * w) + pad, w), "__pb": inside(F.rint((F.col("top") + F.col("height")) * h) + pad, h),
+    })
+    l, t, r, b = (F.col(n) for n in ("__pl", "__pt", "__pr", "__pb"))
+    return d.withColumn("__plain", F.when((r > l) & (b > t), F.array(point(l, t), point(r, t), point(r, b), point(l, b)))).drop("__pl", "__pt", "__pr", "__pb")
 
 
 def token_quads(spans: DataFrame, pad: float = 0.0) -> DataFrame:
     """Add ``quad``: the turned box, else the piece of baseline, else the plain box."""
-    return spans.withColumn("quad", F.coalesce(box_quad(pad), baseline_quad(max(0.0, pad)), rect_quad(pad)))
+    d = _plain_corners(_line_corners(_box_corners(spans, pad), max(0.0, pad)), pad)
+    return d.withColumn("quad", F.coalesce("__box", "__line", "__plain")).drop("__box", "__line", "__plain")
 
 
 def clip_quads(df: DataFrame, quad: str = "quad") -> DataFrame:
@@ -239,7 +250,7 @@ def curve_offsets(items: DataFrame, spread: bool | None = None) -> DataFrame:
     ax, ay, bx, by = F.col("__a.x"), F.col("__a.y"), F.col("__z.x"), F.col("__z.y")
     vx, vy = bx - ax, by - ay
     chord = F.hypot(vx, vy)
-    signed = (vx * (y - ay) - vy * (x - ax)) / chord
+    signed = F.try_divide(vx * (y - ay) - vy * (x - ax), chord)
     bend = _turn(F.degrees(F.atan2(by - y, bx - x)) - F.degrees(F.atan2(y - ay, x - ax)))
     side = F.when((signed != 0) & (bend != 0) & (_sign(signed) != _sign(bend)), -signed).otherwise(signed)
     bonus = F.least(h * 0.32, F.greatest(w, chord * 0.5) * 0.1, F.abs(bend) * 0.18)
@@ -263,7 +274,7 @@ def project_to_display(df: DataFrame) -> DataFrame:
     cw, ch = F.col("cw").cast("double"), F.col("ch").cast("double")
     nw, nh = F.col("nw").cast("double"), F.col("nh").cast("double")
     fit = F.coalesce("fit", F.lit("fill"))
-    fx, fy = cw / nw, ch / nh
+    fx, fy = F.try_divide(cw, nw), F.try_divide(ch, nh)
     scale = (
         F.when(fit == "contain", F.least(fx, fy)).when(fit == "cover", F.greatest(fx, fy))
         .when(fit == "scale-down", F.least(F.lit(1.0), fx, fy)).otherwise(1.0)
@@ -294,7 +305,7 @@ def uniform_span_font(spans: DataFrame, spread: bool = False) -> DataFrame:
     Reads base_px, tw, th (text size at the base), width, height, w, h, text.
     """
     aw, ah = F.col("width") * F.col("w"), F.col("height") * F.col("h")
-    s = F.least(aw * 0.995 / F.col("tw"), ah * 0.995 / F.col("th"))
+    s = F.least(F.try_divide(aw * 0.995, F.col("tw")), F.try_divide(ah * 0.995, F.col("th")))
     usable = (F.trim("text") != "") & (aw > 0) & (ah > 0) & (F.col("tw") > 0) & (F.col("th") > 0) & (s < 1.0)
     need = F.when(usable, F.greatest(F.lit(10), F.floor(F.col("base_px") * s).cast("int")))
     d = with_group_stats(spans, ["image_id", "para_index", "item_index"], spread, {"__least": F.min(need)})

@@ -71,7 +71,7 @@ def batch_progress(items: DataFrame, batches: DataFrame) -> DataFrame:
     b = batches.join(counts.withColumnRenamed("attempt", "pass"), ["batch_id", "pass"], "left").na.fill(0, states)
     total = F.when(F.col("pass") == 2, F.col("total2")).otherwise(F.col("total1"))
     finished = F.col("done") + F.col("error") + F.col("aborted")
-    pct = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(100.0 * finished / total + 0.5)))
+    pct = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.try_divide(100.0 * finished, total.cast("double")) + 0.5)))
     return b.select("batch_id", "pass", total.alias("total"), *states, finished.alias("finished"), F.when(total > 0, pct).otherwise(0).cast("int").alias("pct"))
 
 

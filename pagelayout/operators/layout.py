@@ -35,7 +35,7 @@ def filter_boxes(boxes: DataFrame, min_conf: float = MIN_CONFIDENCE) -> DataFram
 def resize_plan(images: DataFrame, max_side: int) -> DataFrame:
     """Recognition size and the factors back to the original size."""
     longest = F.greatest("w", "h")
-    ratio = F.lit(float(max_side)) / longest.cast("double")
+    ratio = F.try_divide(F.lit(float(max_side)), longest.cast("double"))
     shrink = (F.lit(max_side) > 0) & (longest > max_side)
 
     def dim(c: str) -> Column:
@@ -336,7 +336,7 @@ def ocr_quality(tile_metas: DataFrame) -> DataFrame:
         F.sum("raw_boxes").alias("raw_boxes"),
         n.alias("boxes"),
         F.sum("paragraphs").alias("paragraphs"),
-        F.when(n > 0, fixed(F.sum(F.col("avg_confidence") * F.col("boxes")) / n)).otherwise(0.0).alias("avg_confidence"),
+        F.when(n > 0, fixed(F.try_divide(F.sum(F.col("avg_confidence") * F.col("boxes")), n.cast("double")))).otherwise(0.0).alias("avg_confidence"),
         F.coalesce(F.min_by("lang", F.when(F.coalesce(F.col("lang"), F.lit("")) != "", F.col("tile_no"))), F.lit("")).alias("lang"),
         F.count_if("resized").alias("resized_tiles"),
     )

@@ -24,7 +24,7 @@ def fit_font_size(items: DataFrame) -> DataFrame:
     tw, th = F.col("tw96"), F.col("th96")
     aw, ah = F.greatest(F.lit(1.0), F.col("avail_w")), F.greatest(F.lit(1.0), F.col("avail_h"))
     k = F.when(F.col("is_thai"), 0.90).otherwise(0.94)
-    scale = F.least(aw * 0.98 / tw, ah * k / th)
+    scale = F.least(F.try_divide(aw * 0.98, tw), F.try_divide(ah * k, th))
     ok = ~is_blank("text") & (tw > 1e-6) & (th > 1e-6) & (scale > 0)
     size = F.greatest(F.lit(10), F.floor(BASE_PX * scale).cast("int"))
     d = items.withColumns({"__ok": ok, "__size": size, "__aw": aw, "__ah": ah})
@@ -74,8 +74,8 @@ def word_boxes(words: DataFrame, spread: bool | None = None) -> DataFrame:
     d = with_group_stats(d, keys, bool(spread), {"__total": F.sum("width_px")})
     line = F.col("width") * F.col("w")
     margin = F.when(F.col("__total") < line, (line - F.col("__total")) / 2.0).otherwise(0.0)
-    t0 = (margin + F.col("__x")) / line
-    t1 = (margin + F.col("__x") + F.col("width_px")) / line
+    t0 = F.try_divide(margin + F.col("__x"), line)
+    t1 = F.try_divide(margin + F.col("__x") + F.col("width_px"), line)
     return d.filter(F.col("kind") == "word").select(
         *keys, "word_no", "text", t0.alias("t0"), t1.alias("t1"),
         (F.col("left") + F.col("width") * t0).alias("left"), "top", (F.col("width") * (t1 - t0)).alias("width"), "height",
@@ -169,7 +169,8 @@ def mapped_texts(para_text: Column, raw: Column) -> Column:
 
     p = F.coalesce(para_text, F.lit(""))
     chosen = F.when(F.contains(p, F.lit("\n")) & ((full <= 1) | nl), lines(p)).when(F.contains(first, F.lit("\n")) & ((full <= 1) | rest_blank), lines(first))
-    return F.when(F.size(chosen) > 0, F.transform(raw, lambda t, i: F.coalesce(F.get(chosen, i), t))).otherwise(raw)
+    picked = F.slice(F.zip_with(raw, chosen, lambda t, c: F.coalesce(c, t)), F.lit(1), F.size(raw))
+    return F.when(F.size(chosen) > 0, picked).otherwise(raw)
 
 
 def render_overlay_html(paras: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:

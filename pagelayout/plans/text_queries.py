@@ -189,7 +189,7 @@ _T6_LINE = (
     ),
 )
 def q_sanitize_marked_text(spark: SparkSession, sf: str) -> DataFrame:
-    return answers(spark, sf).select("image_id", tx.sanitize_marked_text("marked_text").alias("clean"))
+    return tx.sanitize_marked_text(answers(spark, sf), "marked_text", "clean").select("image_id", "clean")
 
 
 @query(
@@ -241,14 +241,14 @@ def q_expected_minus_found(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def q_merge_overlap_text(spark: SparkSession, sf: str) -> DataFrame:
-    ws = F.split("text", "[ \n]+")
+    ws = F.col("ws")
     n = F.size(ws)
     a = F.array_join(F.slice(ws, 1, F.floor(2 * n / 3).cast("int") + 1), " ")
     rest = F.array_join(F.slice(ws, F.floor(n / 3).cast("int") + 1, n), " ")
     k = F.col("para_index") % 3
     b = F.when(k == 0, rest).when(k == 1, F.concat(F.right(a, F.lit(2)), F.lit("Q "), rest)).otherwise(F.concat(F.lit("Q1 "), F.get(ws, F.lit(0))))
-    d = views.paras(spark, sf).select("image_id", "para_index", a.alias("a"), b.alias("b"))
-    return d.select("image_id", "para_index", F.md5(tx.merge_overlap_text("a", "b")).alias("digest"))
+    d = views.paras(spark, sf).withColumn("ws", F.split("text", "[ \n]+")).select("image_id", "para_index", a.alias("a"), b.alias("b"))
+    return tx.merge_overlap_text(d, "a", "b", "joined").select("image_id", "para_index", F.md5("joined").alias("digest"))
 
 
 _CONV = "SELECT conv_id, turn, text FROM conversations"
