@@ -110,9 +110,15 @@ def _plain_corners(d: DataFrame, pad: float) -> DataFrame:
 
 
 def token_quads(spans: DataFrame, pad: float = 0.0) -> DataFrame:
-    """Add ``quad``: the turned box, else the piece of baseline, else the plain box."""
-    d = _plain_corners(_line_corners(_box_corners(spans, pad), max(0.0, pad)), pad)
-    return d.withColumn("quad", F.coalesce("__box", "__line", "__plain")).drop("__box", "__line", "__plain")
+    """Add ``quad``: the turned box, else the piece of baseline, else the plain box.
+
+    Nearly all spans have a box; the others take their own, longer way.
+    """
+    boxed = F.coalesce((F.col("width") * F.col("w") > 0) & (F.col("height") * F.col("h") > 0), F.lit(False))
+    turned = _box_corners(spans.filter(boxed), pad).withColumnRenamed("__box", "quad")
+    rest = _plain_corners(_line_corners(spans.filter(~boxed), max(0.0, pad)), pad)
+    rest = rest.withColumn("quad", F.coalesce("__line", "__plain")).drop("__line", "__plain")
+    return turned.unionByName(rest)
 
 
 def clip_quads(df: DataFrame, quad: str = "quad") -> DataFrame:
