@@ -62,7 +62,7 @@ def _segments(df: DataFrame, text: str, expected: str, keys: list[str]) -> DataF
     """One row per marker occurrence: its number, order and raw segment."""
     parts = F.split(F.col(text), MARKER)
     pairs = F.arrays_zip(_ids(F.col(text)).alias("id"), F.slice(parts, F.lit(2), F.size(parts)).alias("seg"))
-    d = df.select(*keys, expected, F.posexplode(pairs).alias("occ", "p"))
+    d = df.select(*keys, expected, F.posexplode_outer(pairs).alias("occ", "p"))
     d = d.select(*keys, expected, F.col("p.id").alias("id"), "occ", F.col("p.seg").alias("seg"))
     return d.filter(F.length("id") <= 9)
 
@@ -232,7 +232,7 @@ def target_language(s: Column | str) -> Column:
 def script_runs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Runs of Thai and other characters; blanks stay with the run they follow, newlines stand alone."""
     pattern = "\\n|[\\u0E00-\\u0E7F](?:[\\u0E00-\\u0E7F]|(?U:[\\s&&[^\\n]]))*|[^\\u0E00-\\u0E7F\\n]+"
-    d = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("run_no", "run"))
+    d = df.select(*keys, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("run_no", "run")).filter(F.col("run").isNotNull())
     is_thai = F.when(F.col("run") != "\n", F.col("run").rlike("^[\\u0E00-\\u0E7F]"))
     return d.withColumn("is_thai", is_thai)
 

@@ -103,7 +103,7 @@ def translate_lines(paras: DataFrame, items: DataFrame) -> DataFrame:
     j = paras.select(*keys, F.col("text").alias("__t")).join(lines, keys)
     j = j.withColumns({"__len": F.transform("__l", lambda x: x["n"]), "__ix": F.transform("__l", lambda x: x["item_index"])})
     j = allocate_words(j, "__t", "__len", "__dealt")
-    out = j.select(*keys, F.explode(F.arrays_zip(F.col("__ix").alias("item_index"), F.col("__dealt").alias("text"))).alias("z"))
+    out = j.select(*keys, F.explode_outer(F.arrays_zip(F.col("__ix").alias("item_index"), F.col("__dealt").alias("text"))).alias("z"))
     return out.select(*keys, F.col("z.item_index").alias("item_index"), F.col("z.text").alias("text"))
 
 

@@ -109,7 +109,7 @@ def _plain_corners(d: DataFrame, pad: float) -> DataFrame:
     return d.withColumn("__plain", F.when((r > l) & (b > t), F.array(point(l, t), point(r, t), point(r, b), point(l, b)))).drop("__pl", "__pt", "__pr", "__pb")
 
 
-def token_quads(spans: DataFrame, pad: float = 0.0) -> DataFrame:
+def token_quads(spans: DataFrame, pad: float = 0.0, drop_empty: bool = False) -> DataFrame:
     """Add ``quad``: the turned box, else the piece of baseline, else the plain box.
 
     Nearly all spans have a box; the others take their own, longer way.
@@ -117,6 +117,8 @@ def token_quads(spans: DataFrame, pad: float = 0.0) -> DataFrame:
     boxed = F.coalesce((F.col("width") * F.col("w") > 0) & (F.col("height") * F.col("h") > 0), F.lit(False))
     turned = _box_corners(spans.filter(boxed), pad).withColumnRenamed("__box", "quad")
     rest = _plain_corners(_line_corners(spans.filter(~boxed), max(0.0, pad)), pad)
+    if drop_empty:
+        rest = rest.filter(F.col("__line").isNotNull() | F.col("__plain").isNotNull())
     rest = rest.withColumn("quad", F.coalesce("__line", "__plain")).drop("__line", "__plain")
     return turned.unionByName(rest)
 
@@ -138,7 +140,7 @@ def clip_quads(df: DataFrame, quad: str = "quad") -> DataFrame:
 def erase_regions(original: DataFrame, translated: DataFrame, pad: float = ERASE_PAD) -> DataFrame:
     """Areas to paint over: padded quad and clipped rectangle of every span of both sides."""
     both = original.withColumn("source_order", F.lit(0)).unionByName(translated.withColumn("source_order", F.lit(1)))
-    return clip_quads(token_quads(both, pad)).filter(F.col("quad").isNotNull())
+    return clip_quads(token_quads(both, pad, drop_empty=True))
 
 
 # ---------------------------------------------------------------- spans on baselines

@@ -23,7 +23,7 @@ def attribute(tag: Column, name: str) -> Column:
 def extract_page_images(pages: DataFrame, tag: str = "img", attrs: Sequence[str] = tuple(SOURCE_ATTRS)) -> DataFrame:
     """Candidates of each page in page order, the first of every address (page_id, pos, raw, url)."""
     tags = F.regexp_extract_all("html", F.lit(f"(?is)<{tag}\\s[^>]*>"), 0)
-    d = pages.select("page_id", F.col("url").alias("__base"), F.posexplode(tags).alias("pos", "__tag"))
+    d = pages.select("page_id", F.col("url").alias("__base"), F.posexplode_outer(tags).alias("pos", "__tag")).filter(F.col("pos").isNotNull())
     stored = attribute(F.col("__tag"), STORED_ORIGINAL)
     first = [F.when(stored.rlike("(?i)^https?:"), stored)] + [F.when(attribute(F.col("__tag"), a) != "", attribute(F.col("__tag"), a)) for a in attrs]
     d = d.withColumn("raw", F.coalesce(*first, F.lit(""))).withColumn("url", page_url("raw", "__base")).filter("url <> ''")

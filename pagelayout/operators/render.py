@@ -184,7 +184,7 @@ def render_overlay_html(paras: DataFrame, items: DataFrame, pages: DataFrame) ->
     listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("item_index", F.coalesce("text", F.lit("")).alias("text")))).alias("v"))
     texts = paras.select(*keys, F.col("text").alias("ptext")).join(listed, keys)
     texts = texts.select(*keys, F.transform("v", lambda x: x["item_index"]).alias("ix"), mapped_texts(F.col("ptext"), F.transform("v", lambda x: x["text"])).alias("tx"))
-    texts = texts.select(*keys, F.explode(F.arrays_zip("ix", "tx")).alias("z")).select(*keys, F.col("z.ix").alias("item_index"), F.col("z.tx").alias("shown"))
+    texts = texts.select(*keys, F.explode_outer(F.arrays_zip("ix", "tx")).alias("z")).select(*keys, F.col("z.ix").alias("item_index"), F.col("z.tx").alias("shown"))
     r = rects.select(*keys, *[F.col(c).alias("p" + c) for c in "ltrb"], F.col("deg").alias("pdeg"))
     d = items.filter(F.col("rect").isNotNull()).join(texts, [*keys, "item_index"]).join(r, keys)
     l, t, rr, b = (F.col("rect")[c] for c in "ltrb")

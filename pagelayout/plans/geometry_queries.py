@@ -74,7 +74,8 @@ QUADS = {"geom": GEOM_SQL, "boxq": _BOXQ, "lineq": _LINEQ, "rectq": _RECTQ, "qua
 @query("F9_token_quads", with_views("spans", f"SELECT image_id, para_index, item_index, span_index, CAST(k AS INTEGER) AS k, {sql_fixed('x', 3)} AS x, {sql_fixed('y', 3)} AS y FROM quads", **QUADS))
 def q_token_quads(spark: SparkSession, sf: str) -> DataFrame:
     q = geo.token_quads(geom_spans(spark, sf), 2.0)
-    d = q.select("image_id", "para_index", "item_index", "span_index", F.posexplode("quad").alias("k", "p"))
+    # The inner form would work out every quad a second time in the filter it implies.
+    d = q.select("image_id", "para_index", "item_index", "span_index", F.posexplode_outer("quad").alias("k", "p"))
     return d.select("image_id", "para_index", "item_index", "span_index", "k", fixed("p.x", 3).alias("x"), fixed("p.y", 3).alias("y"))
 
 
@@ -99,7 +100,7 @@ def q_clip_quads(spark: SparkSession, sf: str) -> DataFrame:
 @query("F17_erase_regions", with_views("spans", "SELECT image_id, CAST(so AS INTEGER) AS source_order, count(*) AS n, CAST(floor(sum(x)+sum(y)+0.5) AS BIGINT) AS total FROM quads, range(2) z(so) GROUP BY ALL", **_SNAPPED))
 def q_erase_regions(spark: SparkSession, sf: str) -> DataFrame:
     s = geom_spans(spark, sf)
-    r = _snap(geo.erase_regions(s, s)).select("image_id", "source_order", F.explode("quad").alias("p"))
+    r = _snap(geo.erase_regions(s, s)).select("image_id", "source_order", F.explode_outer("quad").alias("p"))
     total = F.floor(F.sum("p.x") + F.sum("p.y") + 0.5).cast("long")
     return r.groupBy("image_id", "source_order").agg(F.count(F.lit(1)).alias("n"), total.alias("total"))
 

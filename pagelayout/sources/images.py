@@ -130,7 +130,7 @@ def _parse_boxes(raw: pd.Series) -> pd.Series:
 
 def ingest_ocr_boxes(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Recogniser results (image_id, JSON text) to box rows."""
-    d = df.select("image_id", F.posexplode(_parse_boxes(raw)).alias("box_id", "x"))
+    d = df.select("image_id", F.posexplode_outer(_parse_boxes(raw)).alias("box_id", "x")).filter(F.col("box_id").isNotNull())
     d = d.select("image_id", F.col("box_id").cast("long").alias("box_id"), "x.text", "x.confidence", "x.poly")
     xs, ys = F.transform("poly", lambda p: p["x"]), F.transform("poly", lambda p: p["y"])
     return d.withColumns({"l": F.array_min(xs), "t": F.array_min(ys), "r": F.array_max(xs), "b": F.array_max(ys), "angle_deg": poly_angle(F.col("poly"))})

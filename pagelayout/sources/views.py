@@ -74,7 +74,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     ws = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    return docs.select(F.col("doc_id").alias("image_id"), F.posexplode(ws).alias("wi", "word"))
+    # The inner form would split every text a second time in the filter it implies.
+    return docs.select(F.col("doc_id").alias("image_id"), F.posexplode_outer(ws).alias("wi", "word")).filter(F.col("word").isNotNull())
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +114,7 @@ def paras(spark: SparkSession, sf: str) -> DataFrame:
     docs = docs.select(F.col("doc_id").alias("image_id"), F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("ws"))
     per = WORDS_PER_LINE * LINES_PER_PARA
     docs = docs.filter(F.size("ws") > 0).withColumn("np", F.floor((F.size("ws") + per - 1) / per).cast("int"))
-    ex = docs.select("image_id", "np", F.explode(F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda k: F.struct(k.alias("k"), F.slice("ws", k * per + 1, F.lit(per)).alias("ws")))).alias("p"))
+    ex = docs.select("image_id", "np", F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda k: F.struct(k.alias("k"), F.slice("ws", k * per + 1, F.lit(per)).alias("ws")))).alias("p"))
     rows = F.transform(
         F.sequence(F.lit(0), F.floor((F.size("p.ws") - 1) / WORDS_PER_LINE).cast("int")),
         lambda i: F.array_join(F.slice(F.col("p.ws"), i * WORDS_PER_LINE + 1, F.lit(WORDS_PER_LINE)), " "),
@@ -136,7 +137,7 @@ def paras(spark: SparkSession, sf: str) -> DataFrame:
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the paragraphs, each with a slightly turned box in page fractions."""
-    p = paras(spark, sf).select("image_id", "para_index", "w", "h", F.col("t").alias("pt"), F.posexplode(F.split("text", "\n")).alias("item_index", "text"))
+    p = paras(spark, sf).select("image_id", "para_index", "w", "h", F.col("t").alias("pt"), F.posexplode_outer(F.split("text", "\n")).alias("item_index", "text"))
     i, k = F.col("item_index"), F.col("para_index")
     wpx = F.least(8 * F.length("text"), F.lit(1160)).cast("double")
     tpx = F.col("pt") + 26.0 * i
@@ -159,7 +160,7 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the lines as spans."""
     it = items(spark, sf)
     words = F.split("text", " ")
-    s = it.select("image_id", "para_index", "item_index", "w", "h", "top", "height", "rotation_deg", F.posexplode(words).alias("span_index", "text"))
+    s = it.select("image_id", "para_index", "item_index", "w", "h", "top", "height", "rotation_deg", F.posexplode_outer(words).alias("span_index", "text"))
     j = F.col("span_index")
     return s.select(
         "image_id",
@@ -309,7 +310,7 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", "url", "html")
     hrefs = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), 1)
-    return p.select("page_id", "url", F.posexplode(hrefs).alias("pos", "href"))
+    return p.select("page_id", "url", F.posexplode_outer(hrefs).alias("pos", "href")).filter(F.col("href").isNotNull())
 
 
 VIEW_SQL: dict[str, tuple[str, tuple[str, ...]]] = {
