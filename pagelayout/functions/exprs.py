@@ -16,6 +16,11 @@ def fixed(x: Column | str, digits: int = 4) -> Column:
     return F.floor(col(x) * scale + 0.5).cast("double") / F.lit(scale)
 
 
+def steady(x: Column | str, digits: int = 4) -> Column:
+    """``fixed`` for sums and means: differences from the order of addition are rounded away first."""
+    return fixed(fixed(x, 9), digits)
+
+
 def trim_ws(x: Column | str) -> Column:
     """Strip Unicode white space at both ends."""
     return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")

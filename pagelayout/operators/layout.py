@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from pagelayout.functions.exprs import fixed, is_blank, trim_ws
+from pagelayout.functions.exprs import is_blank, steady, trim_ws
 from pagelayout.operators.folds import ordered_label
 from pagelayout.operators.scans import cut, has_hot_key, ordered_scan, with_group_stats
 
@@ -336,7 +336,7 @@ def ocr_quality(tile_metas: DataFrame) -> DataFrame:
         F.sum("raw_boxes").alias("raw_boxes"),
         n.alias("boxes"),
         F.sum("paragraphs").alias("paragraphs"),
-        F.when(n > 0, fixed(F.try_divide(F.sum(F.col("avg_confidence") * F.col("boxes")), n.cast("double")))).otherwise(0.0).alias("avg_confidence"),
+        F.when(n > 0, steady(F.try_divide(F.sum(F.col("avg_confidence") * F.col("boxes")), n.cast("double")))).otherwise(0.0).alias("avg_confidence"),
         F.coalesce(F.min_by("lang", F.when(F.coalesce(F.col("lang"), F.lit("")) != "", F.col("tile_no"))), F.lit("")).alias("lang"),
         F.count_if("resized").alias("resized_tiles"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.functions.exprs import fixed
+from pagelayout.functions.exprs import fixed, steady
 from pagelayout.operators import layout
 from pagelayout.operators.scans import has_hot_key
 from pagelayout.plans.registry import query
@@ -108,7 +108,7 @@ def page_summary(spark: SparkSession, sf: str) -> DataFrame:
         (F.max("para_index") + 1).cast("long").alias("n_paragraphs"),
         F.sum(F.length("text")).alias("n_chars"),
     )
-    conf = kept.groupBy("image_id").agg(fixed(F.avg("confidence")).alias("avg_confidence"), F.count(F.lit(1)).alias("n_boxes"))
+    conf = kept.groupBy("image_id").agg(steady(F.avg("confidence")).alias("avg_confidence"), F.count(F.lit(1)).alias("n_boxes"))
     return per_page.join(conf, "image_id")
 
 
@@ -118,7 +118,7 @@ query(
         "indexed",
         """SELECT l.image_id, n_lines, n_paragraphs, n_chars, avg_confidence, n_boxes FROM
   (SELECT image_id, count(*) AS n_lines, CAST(max(para_index)+1 AS BIGINT) AS n_paragraphs, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM indexed GROUP BY 1) l
-  JOIN (SELECT image_id, floor(avg(confidence)*10000+0.5)/10000 AS avg_confidence, count(*) AS n_boxes FROM filtered GROUP BY 1) c USING (image_id)""",
+  JOIN (SELECT image_id, floor(floor((avg(confidence))*1000000000.0::DOUBLE+0.5)/1000000000.0::DOUBLE*10000+0.5)/10000 AS avg_confidence, count(*) AS n_boxes FROM filtered GROUP BY 1) c USING (image_id)""",
     ),
 )(page_summary)
 
@@ -246,10 +246,10 @@ def q_paragraph_bounds(spark: SparkSession, sf: str) -> DataFrame:
     with_views(
         "boxes",
         """SELECT image_id, count(*) AS tiles, CAST(sum(raw_boxes) AS BIGINT) AS raw_boxes, CAST(sum(boxes) AS BIGINT) AS boxes, CAST(sum(paragraphs) AS BIGINT) AS paragraphs,
-  CASE WHEN sum(boxes) > 0 THEN floor(sum(avg_confidence*boxes)/sum(boxes)*10000+0.5)/10000 ELSE 0.0::DOUBLE END AS avg_confidence, coalesce(first(lang ORDER BY tile_no) FILTER (WHERE lang IS NOT NULL), '') AS lang,
+  CASE WHEN sum(boxes) > 0 THEN floor(floor((sum(avg_confidence*boxes)/sum(boxes))*1000000000.0::DOUBLE+0.5)/1000000000.0::DOUBLE*10000+0.5)/10000 ELSE 0.0::DOUBLE END AS avg_confidence, coalesce(first(lang ORDER BY tile_no) FILTER (WHERE lang IS NOT NULL), '') AS lang,
   CAST(count(*) FILTER (WHERE tile_no % 2 = 1) AS BIGINT) AS resized_tiles FROM (SELECT m.*, CASE WHEN tile_no % 3 <> 0 THEN d.lang END AS lang FROM
   (SELECT image_id, CAST(floor(t/1460) AS INTEGER) AS tile_no, count(*) AS raw_boxes, count(*) FILTER (WHERE confidence >= 0.35::DOUBLE) AS boxes, count(DISTINCT vr//4) AS paragraphs,
-  coalesce(floor(avg(confidence) FILTER (WHERE confidence >= 0.35::DOUBLE)*10000+0.5)/10000, 0) AS avg_confidence FROM boxes GROUP BY 1,2) m JOIN documents d ON d.doc_id = m.image_id) GROUP BY image_id""",
+  coalesce(floor(floor((avg(confidence) FILTER (WHERE confidence >= 0.35::DOUBLE))*1000000000.0::DOUBLE+0.5)/1000000000.0::DOUBLE*10000+0.5)/10000, 0) AS avg_confidence FROM boxes GROUP BY 1,2) m JOIN documents d ON d.doc_id = m.image_id) GROUP BY image_id""",
     ),
 )
 def q_ocr_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -259,7 +259,7 @@ def q_ocr_quality(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("raw_boxes"),
         F.count_if(keep).alias("boxes"),
         F.count_distinct(F.floor(F.col("box_id") / 48)).alias("paragraphs"),
-        F.coalesce(fixed(F.avg(F.when(keep, F.col("confidence")))), F.lit(0.0)).alias("avg_confidence"),
+        F.coalesce(steady(F.avg(F.when(keep, F.col("confidence")))), F.lit(0.0)).alias("avg_confidence"),
     )
     docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), "lang")
     metas = metas.join(docs, "image_id").withColumns({
