@@ -149,6 +149,9 @@ def group_lines(boxes: DataFrame, spread: bool | None = None) -> DataFrame:
     easy = d.filter(flat).withColumn("__sub", F.lit(0).cast("long"))
     hard = ordered_label(d.filter(~flat), ["image_id", "__island"], order, ["__cy", "__h", "__tallest"], _line_labels, "__sub")
     placed = easy.unionByName(hard).drop("__low", "__high", "__least", "__tallest", "__cy", "__h")
+    if not spread:
+        # One shuffle by page serves the two windows below; the union has lost the partitioning.
+        placed = placed.repartition("image_id")
     placed = with_group_stats(placed, ["image_id", "__island", "__sub"], spread, {"__top": F.min("t")})
     line = ["__top", "__island", "__sub"]
     if not spread:
