@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.llm import mixing, sharding
+from pagelayout.llm import fingerprints, html, mixing, neardup, quality, sharding, warc
 from pagelayout.llm.common import column, load
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint against those of its edited text and of the next document."""
+    docs = fingerprints.neighbour_fingerprints(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = F.length("text")
+    replaced = F.floor(n / 2).cast("int")
+    docs = docs.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - replaced), F.substring("next_text", F.lit(1), replaced)))
+    docs = docs.withColumn("edited_fp", fingerprints.fingerprint(F.col("edited")))
+    return docs.select(
+        "row.doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its source's target and the words that the mix takes from it."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -22,6 +40,32 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("row.doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score and decision."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    scored = quality.quality_scores(docs, load(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", "row.source", "evidence", "host_posterior", "site_posterior", "score", "keep")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates."""
+    found = neardup.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "class_id")
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", html.extract_text(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    folder = warc.write_warc(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = warc.read_warc(spark, folder, payloads=False)
+    return records.select(warc.page_of(F.col("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"))
+
+
 def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 16 contiguous shards of equal bytes."""
     docs = load(spark, sf_dir, "documents")
@@ -32,7 +76,7 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op2_mix_sources, op10_balanced_shards]
+    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op7_warc, op10_balanced_shards]
     return {q.__name__: q for q in named}
 
 
