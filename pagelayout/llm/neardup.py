@@ -56,7 +56,7 @@ def dart_signature(units: np.ndarray, k: int = COORDINATES) -> np.ndarray:
         values, times = [], []
         while len(live):
             turn += 1
-            dart = mix64(live + U64(turn) * _GOLD)
+            dart = mix64(live + U64(turn * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
             time = time - np.log(((dart >> U64(11)).astype(np.float64) + 0.5) / 2.0**53)
             kept = time <= until
             live, time, dart = live[kept], time[kept], dart[kept]

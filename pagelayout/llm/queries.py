@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.llm import fingerprints, html, mixing, neardup, quality, sharding, warc
+from pagelayout.llm import decontamination, fingerprints, html, mixing, neardup, quality, sharding, warc
 from pagelayout.llm.common import column, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,13 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it repeats."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.contaminated_documents(docs, load(spark, sf_dir, "benchmark"))
+    return found.select("row.doc_id", F.col("item").alias("item_id"), "windows", "start", "similarity")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive and read back."""
     folder = warc.write_warc(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -76,7 +83,7 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op7_warc, op10_balanced_shards]
+    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op10_balanced_shards]
     return {q.__name__: q for q in named}
 
 
