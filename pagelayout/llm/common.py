@@ -6,6 +6,7 @@ clash with a result column, whatever it is called.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from pagelayout.operators.scans import cut, shared_dir
 
-__all__ = ["column", "cut", "load", "ordered_chunk", "partitions", "quantile_bounds", "row_hash", "shared_dir", "small", "wrap"]
+__all__ = ["column", "cut", "load", "ordered_chunk", "partitions", "quantile_bounds", "row_hash", "shared_dir", "small", "table", "wrap"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,3 +92,10 @@ def ordered_chunk(key: Column, tie: Column, bounds: Sequence) -> Column:
     low, high = _rank(key, bounds, strict=True), _rank(key, bounds, strict=False)
     share = (F.shiftrightunsigned(tie, 1) / F.lit(2.0**63)).cast("double")  # follows the unsigned order of tie
     return F.when(key.isNull(), F.lit(len(bounds) + 1)).otherwise(low + F.floor(share * (high - low + 1))).cast("int")
+
+
+def table(df: DataFrame) -> DataFrame:
+    """A wide intermediate, written as compressed Parquet to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.llm import decontamination, fingerprints, html, lm, mixing, neardup, quality, sharding, warc
+from pagelayout.llm import decontamination, fingerprints, html, lm, mixing, neardup, quality, sharding, substrings, warc
 from pagelayout.llm.common import column, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(warc.page_of(F.col("record_id")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).cast("long").alias("refers_to"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated strings of 400 bytes."""
+    left = substrings.without_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return left.select("row.doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's stupid-backoff score."""
     scored = lm.lm_scores(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -89,7 +96,7 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op9_lm_scores, op10_balanced_shards]
+    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op8_suffix_array_dedup, op9_lm_scores, op10_balanced_shards]
     return {q.__name__: q for q in named}
 
 
