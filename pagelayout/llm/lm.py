@@ -49,11 +49,12 @@ def _scores(found: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_docs:
     sizes = np.bincount(doc, minlength=n_docs)
     others = []
     for grams in found:
-        at = np.searchsorted(keys, grams)
-        at[grams == 0] = 0
-        pair = at * n_docs + doc
-        own_pair, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-        others.append(np.where(grams == 0, 0, totals[at] - own[back]) if len(at) else np.zeros(0, np.int64))
+        there = np.flatnonzero(grams)
+        at = np.searchsorted(keys, grams[there])
+        _, back, own = np.unique(at * n_docs + doc[there], return_inverse=True, return_counts=True)
+        rest_of = np.zeros(len(grams), np.int64)
+        rest_of[there] = totals[at] - own[back]
+        others.append(rest_of)
     rest = (tokens - sizes)[doc]
     steps = np.minimum(place, len(found) - 1)  # words of context that there are
     log = np.where(others[0] > 0, np.log10(np.maximum(others[0], 1) / np.maximum(rest, 1)), np.log10(factor / (rest + 1.0))) + steps * np.log10(factor)
