@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from pagelayout.operators.scans import cut, shared_dir
 
-__all__ = ["column", "cut", "load", "ordered_chunk", "partitions", "quantile_bounds", "row_hash", "shared_dir", "small", "table", "wrap"]
+__all__ = ["column", "cut", "drop_table", "load", "ordered_chunk", "partitions", "quantile_bounds", "row_hash", "shared_dir", "small", "table", "wrap"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,3 +99,11 @@ def table(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a ``table`` that nothing reads any more."""
+    spark = df.sparkSession
+    for file in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelayout.llm import hashing
-from pagelayout.llm.common import column, cut, table, wrap
+from pagelayout.llm.common import column, cut, drop_table, table, wrap
 from pagelayout.llm.hashing import U64, mix64, rolling
 from pagelayout.llm.suffixes import suffix_array
 
@@ -162,8 +162,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, group: int = GROUP) ->
 
     long_rows = rows.where(F.octet_length("text") >= length)
     found = table(long_rows.mapInPandas(find, f"anchor long, context long, id {kind}, node long, at int, first int, last int"))
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor")
-    found = table(found.join(often, "anchor"))
+    # written first, so that the join has two plain exchanges and adaptive execution can split a frequent anchor
+    often = cut(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
+    every, found = found, table(found.join(often, "anchor"))
+    drop_table(every)
     contexts = cut(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "node", "at")).alias("one")))
     whole = found.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]).select("node", F.col("first").alias("start"), (F.col("last") + length).alias("end")).distinct()
 
