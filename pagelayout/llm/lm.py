@@ -12,6 +12,7 @@ from pagelayout.llm.hashing import U64, mix64, word_hashes
 
 ORDER, FACTOR = 3, 0.4
 GROUP_BYTES = 16 << 20  # text of a group of documents
+HASH_BITS = 56  # sorted hashes are sent as gaps, so a shorter hash is a smaller shuffle; a trillion n-grams collide once in 70,000
 
 
 def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -21,10 +22,11 @@ def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray,
     flat = np.concatenate(words) if words else np.zeros(0, U64)
     doc = np.repeat(np.arange(len(words)), sizes)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    found = [mix64(flat + U64(1)) | U64(1)]
+    short = U64(64 - HASH_BITS)
+    found = [(mix64(flat + U64(1)) >> short) | U64(1)]
     for n in range(2, order + 1):
         longer = np.zeros(len(flat), U64)
-        longer[1:] = mix64(found[-1][:-1] * U64(0x9E3779B97F4A7C15) + flat[1:] + U64(n)) | U64(1)
+        longer[1:] = (mix64(found[-1][:-1] * U64(0x9E3779B97F4A7C15) + flat[1:] + U64(n)) >> short) | U64(1)
         longer[place < n - 1] = 0
         found.append(longer)
     return found, doc, place
@@ -41,28 +43,43 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of a hash; it never falls along sorted hashes."""
-    return ((keys >> U64(32)) * U64(buckets)) >> U64(32)
+    return ((keys >> U64(HASH_BITS - 32)) * U64(buckets)) >> U64(32)
 
 
-def _scores(found: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_docs: int, keys: np.ndarray, totals: np.ndarray, tokens: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+def _sorted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all n-grams in the order of their hashes, where each hash begins there, and the hashes."""
+    order = np.argsort(grams, kind="stable")[int((grams == 0).sum()) :]
+    held = grams[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+    return order, first, held[first]
+
+
+def _others(grams: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """For each place how often the other documents have its n-gram; totals come in the order of the hashes."""
+    order, first, _ = _sorted(grams)
+    out = np.zeros(len(grams), np.int64)
+    if len(order):
+        # places of one hash are in document order, so those of one document stand together
+        key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        own_doc = doc[order]
+        run = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own_doc[1:] != own_doc[:-1])]))
+        size = np.diff(np.append(run, len(order)))
+        out[order] = totals[key] - np.repeat(size, size)
+    return out
+
+
+def _scores(found: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_docs: int, totals: list[np.ndarray], tokens: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
     """Words and summed log10 scores per document, with the counts of the other documents."""
     sizes = np.bincount(doc, minlength=n_docs)
-    others = []
-    for grams in found:
-        there = np.flatnonzero(grams)
-        at = np.searchsorted(keys, grams[there])
-        _, back, own = np.unique(at * n_docs + doc[there], return_inverse=True, return_counts=True)
-        rest_of = np.zeros(len(grams), np.int64)
-        rest_of[there] = totals[at] - own[back]
-        others.append(rest_of)
+    others = _others(found[0], doc, totals[0])
     rest = (tokens - sizes)[doc]
     steps = np.minimum(place, len(found) - 1)  # words of context that there are
-    log = np.where(others[0] > 0, np.log10(np.maximum(others[0], 1) / np.maximum(rest, 1)), np.log10(factor / (rest + 1.0))) + steps * np.log10(factor)
+    log = np.where(others > 0, np.log10(np.maximum(others, 1) / np.maximum(rest, 1)), np.log10(factor / (rest + 1.0))) + steps * np.log10(factor)
     for n in range(2, len(found) + 1):
-        seen = others[n - 1] > 0
-        context = np.concatenate([[0], others[n - 2][:-1]]) if len(seen) else seen
-        own = np.log10(np.maximum(others[n - 1], 1) / np.maximum(context, 1)) + (steps - (n - 1)) * np.log10(factor)
-        log = np.where(seen, own, log)
+        context = np.concatenate([[0], others[:-1]]) if len(others) else others
+        others = _others(found[n - 1], doc, totals[n - 1])
+        own = np.log10(np.maximum(others, 1) / np.maximum(context, 1)) + (steps - (n - 1)) * np.log10(factor)
+        log = np.where(others > 0, own, log)
     return sizes, np.bincount(doc, weights=log, minlength=n_docs)
 
 
@@ -87,30 +104,38 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     rows = rows.withColumn("group", group).repartition(min(groups, buckets), "group")
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
-        found, _, _ = ngrams(list(part["text"]), order)
-        keys = np.concatenate([g[g != 0] for g in found])
-        keys, counts = np.unique(keys, return_counts=True)
-        ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=U64))
-        spans = [(b, ends[b], ends[b + 1]) for b in range(buckets) if ends[b] < ends[b + 1]]
-        gaps = [_pack(np.diff(np.concatenate([[U64(0)], keys[a:z]]))) for _, a, z in spans]
-        return pd.DataFrame({"bucket": [b for b, _, _ in spans], "group": part["group"].iloc[0] if len(part) else 0, "keys": gaps, "counts": [_pack(counts[a:z]) for _, a, z in spans]})
+        asked = []
+        for n, grams in enumerate(ngrams(list(part["text"]), order)[0]):
+            held = np.sort(grams[grams != 0])
+            first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
+            keys, counts = held[first], np.diff(np.append(first, len(held)))
+            ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=U64))
+            asked += [(b, part["group"].iloc[0], n, _pack(np.diff(keys[a:z], prepend=U64(0))), _pack(counts[a:z])) for b, (a, z) in enumerate(zip(ends, ends[1:])) if a < z]
+        return pd.DataFrame(asked, columns=["bucket", "group", "n", "keys", "counts"])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        asked = [np.cumsum(_unpack(k).view(U64), dtype=U64) for k in part["keys"]]
-        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
-        totals = np.bincount(back, weights=np.concatenate([_unpack(c) for c in part["counts"]]), minlength=len(keys)).astype(np.int64)
-        ends = np.cumsum([0, *map(len, asked)])
-        return pd.DataFrame({"group": part["group"], "bucket": part["bucket"], "totals": [_pack(totals[back[a:z]]) for a, z in zip(ends, ends[1:])]})
+        answered = []
+        for n, own in part.groupby("n"):
+            asked = [np.cumsum(_unpack(k).view(U64), dtype=U64) for k in own["keys"]]
+            ends = np.cumsum([0, *map(len, asked)])
+            keys = np.concatenate(asked)
+            by_key = np.argsort(keys)
+            keys = keys[by_key]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            sums = np.add.reduceat(np.concatenate([_unpack(c) for c in own["counts"]])[by_key], first)
+            totals = np.empty(len(keys), np.int64)
+            totals[by_key] = np.repeat(sums, np.diff(np.append(first, len(keys))))
+            answered += [(g, b, n, _pack(totals[a:z])) for g, b, a, z in zip(own["group"], own["bucket"], ends, ends[1:])]
+        return pd.DataFrame(answered, columns=["group", "bucket", "n", "totals"])
 
     def score(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         found, doc, place = ngrams(list(part["text"]), order)
-        keys = np.unique(np.concatenate([g[g != 0] for g in found]))
-        parts = [_unpack(t) for t in answers.sort_values("bucket")["totals"]]
-        totals = np.concatenate(parts) if parts else np.zeros(1, np.int64)
-        sizes, scores = _scores(found, doc, place, len(part), keys, totals, tokens, factor)
+        answers = answers.sort_values("bucket")
+        totals = [np.concatenate([np.zeros(0, np.int64), *map(_unpack, answers["totals"][answers["n"] == n])]) for n in range(order)]
+        sizes, scores = _scores(found, doc, place, len(part), totals, tokens, factor)
         return pd.DataFrame({"id": part["id"], "words": sizes, "score": scores})
 
-    asked = rows.groupBy("group").applyInPandas(ask, "bucket int, group int, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInPandas(answer, "group int, bucket int, totals binary")
+    asked = rows.groupBy("group").applyInPandas(ask, "bucket int, group int, n int, keys binary, counts binary")
+    answered = asked.groupBy("bucket").applyInPandas(answer, "group int, bucket int, n int, totals binary")
     kind = rows.schema["id"].dataType.simpleString()
     return rows.groupBy("group").cogroup(answered.groupBy("group")).applyInPandas(score, f"id {kind}, words long, score double")
