@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
 AGREE = 32  # of 64 coordinates; a pair at 0.8 agrees on fewer with a probability below 1e-7
 SALTS = 8
+WORK = 2  # open pairs per bucket entry up to which pairs across components are compared outright
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -137,9 +139,10 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, text) rows to (node, first, n) per distinct text and (node, root) for texts with a near duplicate.
 
     Signatures of distinct texts meet in buckets, one per band. First every member of a bucket is held against its smallest
-    member, which makes stars, not pairs, of a group of copies. Members of a bucket that are then still in different
-    components are held against each other, those outside the bucket's largest component against all, so no link between components is
-    missed that the bands have found. Every accepted link is verified on the whole texts.
+    member, which makes stars, not pairs, of a group of copies. While many pairs across components are open, each turn holds the
+    members outside a bucket's largest component against one that is inside. Members that are then still in different
+    components are held against each other, those outside the largest one against all, so no link between components is missed
+    that the bands have found. Every accepted link is verified on the whole texts.
     """
     rows = rows.select("id", "text", F.unhex(F.md5(F.col("text"))).alias("node"))
     signed = cut(rows.withColumn("s", signature(F.col("text"))).select("id", "node", "s.*"))
@@ -165,19 +168,37 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = rows.join(wanted.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")))
         return found.select("node", "text").dropDuplicates(["node"])
 
+    def sides(pairs: DataFrame) -> DataFrame:
+        return pairs.join(a, "a").join(b, "b")
+
     links = cut(_verified(stars, texts_of(stars)))
-    roots = components(links)
+    roots, tried, size = components(links), stars, entries.count()
+    for turn in itertools.count():
+        rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = cut(rooted.select("band", "bucket", "salt", "node", "root"))
+        per_root = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+        mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots"))
+        mixed = cut(mixed.where("roots > 1").select("band", "bucket", "main", "largest", "all"))
+        inside = rooted.join(mixed.select("band", "bucket", "main"), ["band", "bucket"])
+        open_pairs = mixed.agg(F.sum((F.col("all") - F.col("largest")) * F.col("all"))).first()[0] or 0
+        if open_pairs <= WORK * size:
+            break
+        # a member of the largest component, another one each turn, against all that are outside
+        chosen = inside.where("root = main").groupBy("band", "bucket").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("leader"))
+        chosen = cut(chosen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = inside.where("root <> main").join(chosen, ["band", "bucket", "salt"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+        near = cut(sides(near).where(_plausible()).select("a", "b"))
+        found = cut(_verified(near, texts_of(near)))
+        if found.isEmpty():
+            break
+        tried, links = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), cut(links.union(found))
+        roots = components(links)
 
-    rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted.select("band", "bucket", "salt", "node", "root"))
-    per_root = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "bucket", "main")
-    inside = rooted.join(mixed, ["band", "bucket"])
     minor = inside.where("root <> main").join(b.withColumnRenamed("b", "node"), "node").select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "b_weight", "b_bytes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "salt")
     rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _plausible())
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
+    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, texts_of(rest)))
     if not more.isEmpty():
         roots = components(links.union(more))
