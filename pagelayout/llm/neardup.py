@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from pagelayout.llm.common import column, cut, wrap
+from pagelayout.llm.common import column, cut, table, wrap
 from pagelayout.llm.components import components
 from pagelayout.llm.hashing import U64, mix64, shingles
 
@@ -19,7 +19,7 @@ BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
 AGREE = 32  # of 64 coordinates; a pair at 0.8 agrees on fewer with a probability below 1e-7
 SALTS = 8
-WORK = 2  # open pairs per bucket entry up to which pairs across components are compared outright
+WORK = 20  # open pairs per bucket entry up to which pairs across components are compared outright
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -120,12 +120,11 @@ def _plausible() -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose weighted shingle sets are similar enough, from texts (node, salt, text)."""
-    pairs = pairs.withColumn("salt_a", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_a"))
-    left = left.join(pairs.select("a", "salt_a").distinct(), ["a", "salt_a"], "left_semi")
+    """The pairs (a, b) whose weighted shingle sets are similar enough, from a table of texts (node, text)."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    left = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").withColumnRenamed("text", "text_a")
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, ["a", "salt_a"]).select("a", "b", "text_a", "text_b")
+    joined = pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -160,18 +159,15 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     stars = entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut(stars.join(a, "a").join(b, "b").where(_plausible()).select("a", "b"))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        first = nodes.select("node", F.col("first").alias("id"))
-        wanted = wanted.join(first, "node")
-        # one row of each wanted text, found by its id, so that a frequent text does not meet in one task
-        found = rows.join(wanted.withColumnsRenamed({"node": "n", "id": "i"}), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")))
-        return found.select("node", "text").dropDuplicates(["node"])
+    # the texts that a comparison may ask for: one row each, found by its id, so that a frequent text does not meet in one task
+    wanted = entries.select("node").distinct().join(nodes.select("node", "first"), "node").withColumnsRenamed({"node": "n", "first": "i"})
+    texts = rows.join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")))
+    texts = table(texts.select("node", "text").dropDuplicates(["node"]))
 
     def sides(pairs: DataFrame) -> DataFrame:
         return pairs.join(a, "a").join(b, "b")
 
-    links = cut(_verified(stars, texts_of(stars)))
+    links = cut(_verified(stars, texts))
     roots, tried, size = components(links), stars, entries.count()
     for turn in itertools.count():
         rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -188,7 +184,7 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         chosen = cut(chosen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         near = inside.where("root <> main").join(chosen, ["band", "bucket", "salt"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         near = cut(sides(near).where(_plausible()).select("a", "b"))
-        found = cut(_verified(near, texts_of(near)))
+        found = cut(_verified(near, texts))
         if found.isEmpty():
             break
         tried, links = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), cut(links.union(found))
@@ -199,7 +195,7 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _plausible())
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, texts_of(rest)))
+    more = cut(_verified(rest, texts))
     if not more.isEmpty():
         roots = components(links.union(more))
     return nodes.select("node", "first", "n"), roots
