@@ -17,8 +17,9 @@ from pagelayout.llm.hashing import U64, mix64, shingles
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 COORDINATES = BANDS * ROWS
-AGREE = 32  # of 64 coordinates; a pair at 0.8 agrees on fewer with a probability below 1e-7
+AGREE = 36  # of 64 coordinates; a pair at 0.8 agrees on fewer with a probability below 1e-5
 SALTS = 8
+LEAST_YIELD = 0.25  # links per comparison below which such turns end
 WORK = 20  # open pairs per bucket entry up to which pairs across components are compared outright
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -119,6 +120,14 @@ def _plausible() -> Column:
     return ratio & (_agreement("a_bytes", "b_bytes") >= AGREE)
 
 
+def _first_band() -> Column:
+    """The bucket's band is the first that the pair shares, so that a pair comes once and not once per band."""
+    first = F.lit(BANDS)
+    for i in reversed(range(BANDS)):
+        first = F.when(F.get("a_bands", F.lit(i)) == F.get("b_bands", F.lit(i)), i).otherwise(first)
+    return F.col("band") == first
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose weighted shingle sets are similar enough, from a table of texts (node, text)."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
@@ -153,9 +162,9 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     entries = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
     entries = cut(entries.join(salted, ["band", "bucket", "salt"]).select("band", "bucket", "salt", "node", "leader"))
 
-    profile = nodes.select("node", "weight", "bytes")
-    a = profile.select(F.col("node").alias("a"), F.col("weight").alias("a_weight"), F.col("bytes").alias("a_bytes"))
-    b = profile.select(F.col("node").alias("b"), F.col("weight").alias("b_weight"), F.col("bytes").alias("b_bytes"))
+    profile = nodes.select("node", "weight", "bytes", "bands")
+    a = profile.select(F.col("node").alias("a"), F.col("weight").alias("a_weight"), F.col("bytes").alias("a_bytes"), F.col("bands").alias("a_bands"))
+    b = profile.select(F.col("node").alias("b"), F.col("weight").alias("b_weight"), F.col("bytes").alias("b_bytes"), F.col("bands").alias("b_bands"))
     stars = entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut(stars.join(a, "a").join(b, "b").where(_plausible()).select("a", "b"))
 
@@ -185,14 +194,17 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = inside.where("root <> main").join(chosen, ["band", "bucket", "salt"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         near = cut(sides(near).where(_plausible()).select("a", "b"))
         found = cut(_verified(near, texts))
-        if found.isEmpty():
+        if found.count() < LEAST_YIELD * near.count():
+            links, roots = (links, roots) if found.isEmpty() else (links.union(found), components(links.union(found)))
+            inside = inside.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            tried = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
             break
         tried, links = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), cut(links.union(found))
         roots = components(links)
 
-    minor = inside.where("root <> main").join(b.withColumnRenamed("b", "node"), "node").select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "b_weight", "b_bytes", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "salt")
-    rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _plausible())
+    minor = inside.where("root <> main").join(b.withColumnRenamed("b", "node"), "node").select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "b_weight", "b_bytes", "b_bands", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "a_bands", "salt")
+    rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _first_band() & _plausible())
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
     more = cut(_verified(rest, texts))
