@@ -94,14 +94,15 @@ def as_text(fp: Column) -> Column:
 def neighbour_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """Every document with its fingerprint, the next document's text and fingerprint in the order of ``key``.
 
-    ``row``, text, fingerprint, next_text, next_fingerprint. After the last comes the first; a lone document follows itself.
+    ``row`` (the input row without its text), text, fingerprint, next_text, next_fingerprint. After the last comes the first; a lone document follows itself.
 
     Keys ascend, null keys come last, rows of one key go by a hash of the row. The order is cut into chunks by quantiles of the
     key; each chunk also gets the first row of the chunk after it, so every text moves once and no task holds more than
     its chunk. Null texts are empty; no rows give no rows.
     """
     rows = wrap(docs)
-    rows = rows.select("row", column(key).alias("k"), row_hash(rows).alias("tie"), F.coalesce(column(text), F.lit("")).alias("text"))
+    others = F.struct(*[column(c).alias(c) for c in docs.columns if c != text])
+    rows = rows.select(others.alias("row"), column(key).alias("k"), row_hash(rows).alias("tie"), F.coalesce(column(text), F.lit("")).alias("text"))
     chunks = CHUNKS_PER_TASK * partitions(docs.sparkSession)
     bounds = quantile_bounds(rows, F.col("k"), chunks)
     rows = rows.withColumn("chunk", ordered_chunk(F.col("k"), F.col("tie"), bounds))
