@@ -119,7 +119,7 @@ def queue_position(jobs: DataFrame, spread: bool | None = None) -> DataFrame:
     placed = ordered_scan(waiting, ["queue_kind"], day_block("queued_us"), ["queued_us", "job_id"], spread=spread, number="n")
     depth = waiting.groupBy("queue_kind").agg(F.count(F.lit(1)).alias("lane_depth"))
     out = j.join(placed.select("job_id", (F.col("n") + 1).alias("queue_position")), "job_id", "left")
-    out = out.join(F.broadcast(depth), "queue_kind", "left").withColumn("lane_depth", F.coalesce("lane_depth", F.lit(0)))
+    out = out.join(depth, "queue_kind", "left").withColumn("lane_depth", F.coalesce("lane_depth", F.lit(0)))
     return out.withColumn("poll_after_ms", poll_after_ms(F.col("status"), F.col("lane_depth")))
 
 

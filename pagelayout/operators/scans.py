@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that is unset (tests, a laptop) a temporary folder is chosen.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not named:
         named = _LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="pagelayout-")
         _LOCAL_DIRS[spark.sparkContext.applicationId] = named
