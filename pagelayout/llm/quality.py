@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,23 +15,64 @@ from pagelayout.llm.common import column, cut, small, wrap
 
 SAMPLE = 20_000  # labelled rows that the document classifier is fitted on, at most
 MOST_SITES = 100_000  # rows of the site table that are broadcast, at most
-# Patterns whose matches per word are the features of a text.
-PATTERNS = {
-    "shouted": r"\p{Lu}{2,}",
-    "marks": r"[*#$%&!|~^=_<>\[\]{}\\/@+]+",
-    "digits": r"\d+",
-    "stops": r"[.,;:?]",
-    "lines": r"\n",
-    "capitals": r"\b\p{Lu}\p{Ll}",
-}
-NAMES = [*PATTERNS, "length", "words"]
+NAMES = ["shouted", "marks", "digits", "stops", "lines", "capitals", "length", "words"]
+# Classes of characters, one bit each.
+UPPER, LOWER, MARK, DIGIT, STOP, LINE, WHITE, WORD = (1 << i for i in range(8))
+MARKS, STOPS, SPACES = "*#$%&!|~^=_<>[]{}\\/@+", ".,;:?", " \t\n\x0b\f\r"
+TOP = 0x20000  # no cased letters, digits or marks from here on
+_CLASSES: list[np.ndarray] = []
+
+
+def _classes() -> np.ndarray:
+    """The classes of every code point below ``TOP``, and of all others in the last place."""
+    if not _CLASSES:
+        table = np.zeros(TOP + 1, dtype=np.uint8)
+        for i in range(TOP):
+            c = chr(i)
+            kind = unicodedata.category(c)
+            table[i] = UPPER * (kind == "Lu") | LOWER * (kind == "Ll") | WORD * (c.isalnum() or c == "_")
+        table[TOP] = WORD
+        for bit, chars in ((MARK, MARKS), (STOP, STOPS), (LINE, "\n"), (WHITE, SPACES), (DIGIT, "0123456789")):
+            table[[ord(c) for c in chars]] |= bit
+        _CLASSES.append(table)
+    return _CLASSES[0]
+
+
+def text_features(text: str | None) -> list[float] | None:
+    """``NAMES`` of a text; none without words.
+
+    Per word (cut at ASCII white space): runs of two or more capitals, of marks and of digits, stops, line ends, and words
+    that begin with one capital; then characters per word and words. All as log(1 + x).
+    """
+    if not text:
+        return None
+    code = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), TOP)
+    kind = np.zeros(len(code) + 2, dtype=np.uint8)  # nothing on both sides
+    kind[0] = kind[-1] = WHITE
+    kind[1:-1] = _classes()[code]
+    before, here, after = kind[:-2], kind[1:-1], kind[2:]
+
+    def runs(bit: int) -> int:
+        return np.count_nonzero(here & ~before & bit)
+
+    words = np.count_nonzero(~here & before & WHITE)
+    if not words:
+        return None
+    shouted = np.count_nonzero(here & after & ~before & UPPER)
+    capitals = np.count_nonzero((here & UPPER).astype(bool) & (after & LOWER).astype(bool) & ~(before & WORD).astype(bool))
+    counts = np.array([shouted, runs(MARK), runs(DIGIT), np.count_nonzero(here & STOP), np.count_nonzero(here & LINE), capitals, len(code)])
+    return [*np.log1p(counts / words), np.log1p(words)]
 
 
 def features(text: Column) -> Column:
-    """array<double> of ``NAMES``; null for a text without words."""
-    words = F.regexp_count(text, F.lit(r"\S+")).cast("double")
-    rates = [F.regexp_count(text, F.lit(p)).cast("double") / words for p in PATTERNS.values()]
-    return F.when(words > 0, F.array(*[F.log1p(r) for r in rates], F.log1p(F.length(text) / words), F.log1p(words)))
+    """array<double> of ``NAMES``; null for a text without words. One text at a time is taken apart, so memory follows the longest text."""
+
+    @F.pandas_udf("array<double>")
+    def taken(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([text_features(t) for t in texts], dtype=object)
+
+    return taken(text)
 
 
 @dataclass(frozen=True)
@@ -68,8 +112,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> E
 def fit_evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Evidence:
     """Fit the classifier on at most ``sample`` labelled rows, chosen by a hash of their id; no usable label, no evidence."""
     chosen = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").select(features(F.col("t")).alias("x"), "y")
-    rows = found.where("x is not null").limit(2 * sample).collect()  # bounded by the sample; repeated ids may double it
+    found = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id").where(F.col("t").rlike(r"\S")).limit(2 * sample)
+    rows = found.select(features(F.col("t")).alias("x"), "y").collect()  # bounded by the sample; repeated ids may double it
     return fit(np.array([r["x"] for r in rows]).reshape(-1, len(NAMES)), np.array([r["y"] for r in rows], dtype=float))
 
 

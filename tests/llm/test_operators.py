@@ -127,6 +127,19 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     assert quality.quality_scores(docs.limit(0), known).count() == 0
 
 
+def test_text_features_follow_patterns():
+    patterns = [r"[A-ZÄÖÜÉ]{2,}", r"[*#$%&!|~^=_<>\[\]{}\\/@+]+", r"[0-9]+", r"[.,;:?]", r"\n", r"(?<![\w])[A-ZÄÖÜÉ][a-zäöüéß]"]
+    texts = ["Ein ÄÖ Text.\n\nNEW!! a1 22 Bb cC_d <<x>> É é\u00a0Zz", "one", " \t", "", None, "A" * 70_000 + " z", "\U0001f600 Go\x0bGo", "漢字 𠀀 Ab"]
+    for text in texts:
+        words = re.findall(r"[^ \t\n\x0b\f\r]+", text or "")
+        got = quality.text_features(text)
+        if not words:
+            assert got is None
+            continue
+        counts = [len(re.findall(p, text)) for p in patterns] + [len(text)]
+        assert np.allclose(got, [*np.log1p(np.array(counts) / len(words)), np.log1p(len(words))]), text
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "a", 0.2)] * 200 + [("other", "a", 0.9)] * 200 + [("tiny", "a", 0.0)]
     got = {r["host"]: r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
