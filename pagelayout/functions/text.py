@@ -21,9 +21,14 @@ def _ids(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(MARKER_ID), 1)
 
 
+def _number(digits: Column) -> Column:
+    """A marker's number as int, leading zeros aside; null for numbers that no paragraph can have."""
+    return F.regexp_replace(digits, r"^0+(?=\d)", "").try_cast("int")
+
+
 def marker_numbers(s: Column | str) -> Column:
     """Distinct marker numbers, ascending."""
-    return F.array_sort(F.array_distinct(F.transform(_ids(col(s)), lambda x: x.cast("decimal(38,0)"))))
+    return F.array_sort(F.array_distinct(F.transform(_ids(col(s)), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "").try_cast("decimal(38,0)"))))
 
 
 def clamp_repeats(s: Column | str, n: int = 12) -> Column:
@@ -50,7 +55,7 @@ def markers_complete(s: Column | str, expected: Column | str) -> Column:
     """Markers 0..n-1 all occur and their first occurrences come in order."""
     n = col(expected)
     first_seen = F.array_distinct(_ids(F.coalesce(col(s), F.lit(""))))
-    wanted = F.filter(first_seen, lambda x: x.rlike(CANONICAL) & (x.cast("decimal(38,0)") < n))
+    wanted = F.filter(first_seen, lambda x: x.rlike(CANONICAL) & F.coalesce(_number(x) < n, F.lit(False)))
     return (n <= 0) | (wanted == F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: i.cast("string")))
 
 
@@ -63,14 +68,13 @@ def _segments(df: DataFrame, text: str, expected: str, keys: list[str]) -> DataF
     parts = F.split(F.col(text), MARKER)
     pairs = F.arrays_zip(_ids(F.col(text)).alias("id"), F.slice(parts, F.lit(2), F.size(parts)).alias("seg"))
     d = df.select(*keys, expected, F.posexplode_outer(pairs).alias("occ", "p"))
-    d = d.select(*keys, expected, F.col("p.id").alias("id"), "occ", F.col("p.seg").alias("seg"))
-    return d.filter(F.length("id") <= 9)
+    return d.select(*keys, expected, F.col("p.id").alias("id"), "occ", F.col("p.seg").alias("seg"))
 
 
 def marker_segments(df: DataFrame, keys: list[str], text: str = "marked_text", expected: str = "expected") -> DataFrame:
     """Non-empty segment of each marker's first occurrence, white space collapsed."""
     d = _segments(df, text, expected, keys).filter(F.col("id").rlike(CANONICAL))
-    d = d.withColumn("para_index", F.col("id").cast("int")).filter(F.col("para_index") < F.col(expected))
+    d = d.withColumn("para_index", _number(F.col("id"))).filter(F.col("para_index") < F.col(expected))
     first = d.groupBy(*keys, "para_index").agg(F.min_by("seg", "occ").alias("seg"))
     return first.select(*keys, "para_index", collapse_ws("seg").alias("segment")).filter("segment <> ''")
 
@@ -82,7 +86,7 @@ def marker_segments_for_layout(df: DataFrame, keys: list[str], text: str = "mark
     """
     has = F.size(_ids(F.col(text))) > 0
     d = _segments(df.filter(has), text, expected, keys)
-    d = d.withColumns({"para_index": F.col("id").cast("int"), "seg": trim_ws("seg")}).filter((F.col("para_index") < F.col(expected)) & (F.col("seg") != ""))
+    d = d.withColumns({"para_index": _number(F.col("id")), "seg": trim_ws("seg")}).filter((F.col("para_index") < F.col(expected)) & (F.col("seg") != ""))
     marked = d.groupBy(*keys, "para_index").agg(F.min_by("seg", "occ").alias("segment"))
     plain = df.filter(~has & (F.col(text) != "")).select(*keys, expected, F.posexplode(F.split(F.col(text), "\n\n")).alias("para_index", "segment"))
     plain = plain.filter(F.col("para_index") < F.col(expected)).select(*keys, "para_index", "segment")

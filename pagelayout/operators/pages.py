@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import trim_ws
 from pagelayout.functions.keys import page_url
+from pagelayout.operators.jobs import asof
 from pagelayout.operators.scans import first_by
 
 # Attributes that may hold a picture's address, best first; the stored original counts only as a URL.
@@ -87,11 +88,15 @@ def map_pages_to_urls(pages: DataFrame, chapters: DataFrame, key: str) -> DataFr
     return pages.join(urls, [key, "page_index"])
 
 
+CLICK_MICROS = 8_000_000  # a click stands for the next results this long
+
+
 def match_targets(results: DataFrame, images: DataFrame, recent: DataFrame, clicks: DataFrame) -> DataFrame:
     """Picture on the page that a result belongs to, by the first rule that finds one.
 
     results: page_id, result_id, key, url, us; images: page_id, img_no, key, original, current, src;
-    recent: page_id, url, img_no; clicks: page_id, img_no, us, urls.
+    recent: page_id, url, img_no; clicks: page_id, img_no, us, urls.  Of the clicks the last one before the result counts,
+    if it is less than eight seconds old.
     """
     r = results.select("page_id", "result_id", "key", "url", "us")
 
@@ -106,8 +111,9 @@ def match_targets(results: DataFrame, images: DataFrame, recent: DataFrame, clic
     by_key = hits(named("key"), F.col("key") == F.col("__v"), 1)
     by_original = hits(named("original"), F.col("url") == F.col("__v"), 2)
     by_recent = hits(recent.select("page_id", "img_no", F.col("url").alias("__v")), F.col("url") == F.col("__v"), 3)
-    latest = clicks.groupBy("page_id").agg(F.max_by(F.struct("img_no", "urls", F.col("us").alias("at")), "us").alias("c")).select("page_id", "c.img_no", "c.urls", "c.at")
-    by_click = hits(latest, F.lit(True), 4, (F.col("us") - F.col("at") < 8_000_000) & ((F.col("url") == "") | F.array_contains("urls", F.col("url"))))
+    clicked = asof(r, clicks, ["page_id"], "us", F.struct("img_no", "urls", F.col("us").alias("at")), "__c", "result_id")
+    clicked = clicked.filter((F.col("us") - F.col("__c.at") < CLICK_MICROS) & ((F.col("url") == "") | F.array_contains("__c.urls", F.col("url"))))
+    by_click = clicked.select("page_id", "result_id", F.lit(4).alias("prio"), F.col("__c.img_no").alias("img_no"))
     shown = named("current").unionByName(named("src"))
     by_shown = hits(shown, (F.col("url") == F.col("__v")) & (F.col("url") != ""), 5)
     found = by_key.unionByName(by_original).unionByName(by_recent).unionByName(by_click).unionByName(by_shown)
@@ -122,12 +128,12 @@ def distinct_images(requests: DataFrame, content: str, order: str) -> DataFrame:
 
 
 def natural_key(c: Column) -> Column:
-    """Sort key in which digit runs compare as numbers: each is written with its length in front."""
+    """Sort key in which digit runs compare as numbers: each is written with its length, as long as any length can be, in front."""
     runs = F.regexp_extract_all(trim_ws(F.coalesce(c, F.lit(""))), F.lit(r"\d+|\D+"), 0)
 
     def part(x: Column) -> Column:
         digits = F.regexp_replace(x, "^0+(?=.)", "")
-        return F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)).otherwise(x)
+        return F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(x)
 
     return F.array_join(F.transform(runs, part), "")
 

@@ -97,12 +97,24 @@ def q_clip_quads(spark: SparkSession, sf: str) -> DataFrame:
     return q.select("image_id", "para_index", "item_index", "span_index", "clip.l", "clip.t", "clip.r", "clip.b")
 
 
-@query("F17_erase_regions", with_views("spans", "SELECT image_id, CAST(so AS INTEGER) AS source_order, count(*) AS n, CAST(floor(sum(x)+sum(y)+0.5) AS BIGINT) AS total FROM quads, range(2) z(so) GROUP BY ALL", **_SNAPPED))
+_CORNERS_SQL = f"""SELECT image_id, para_index, item_index, span_index, {", ".join(f"max(CASE WHEN k = {k} THEN {sql_fixed(c, 3)} END) AS {c}{k}" for k in range(4) for c in "xy")}
+  FROM (SELECT * FROM boxq UNION ALL SELECT * FROM lineq UNION ALL SELECT * FROM rectq) GROUP BY image_id, para_index, item_index, span_index"""
+
+
+@query(
+    "F17_erase_regions",
+    with_views(
+        "spans",
+        f"""SELECT c.*, CAST(so AS INTEGER) AS source_order, {", ".join(f"CASE WHEN r > l AND b > t THEN {c} END AS {c}" for c in "ltrb")}
+  FROM corners c JOIN ({_CLIP}) USING (image_id, para_index, item_index, span_index), range(2) z(so)""",
+        **_SNAPPED, corners=_CORNERS_SQL,
+    ),
+)
 def q_erase_regions(spark: SparkSession, sf: str) -> DataFrame:
     s = geom_spans(spark, sf)
-    r = _snap(geo.erase_regions(s, s)).select("image_id", "source_order", F.explode_outer("quad").alias("p"))
-    total = F.floor(F.sum("p.x") + F.sum("p.y") + 0.5).cast("long")
-    return r.groupBy("image_id", "source_order").agg(F.count(F.lit(1)).alias("n"), total.alias("total"))
+    r = geo.clip_quads(_snap(geo.erase_regions(s, s).drop("clip")))
+    corners = [F.get("quad", F.lit(k))[c].alias(f"{c}{k}") for k in range(4) for c in "xy"]
+    return r.select("image_id", "para_index", "item_index", "span_index", "source_order", *corners, *[F.col("clip")[c].alias(c) for c in "ltrb"])
 
 
 _BASE_SQL = """SELECT image_id, para_index, item_index, span_index, w, h, CASE WHEN span_index % 5 = 0 THEN NULL ELSE 0.125::DOUBLE*(span_index % 3) END AS t0, CASE WHEN span_index % 7 = 0 THEN NULL ELSE 0.9::DOUBLE END AS t1,

@@ -130,11 +130,12 @@ def q_validate_images(spark: SparkSession, sf: str) -> DataFrame:
     return pg.validate_images(d).select("doc_id", "reject")
 
 
-@query("J12_map_pages_to_urls", with_views("page_links", "SELECT q.page_id, page_index, href AS chapter_url FROM (SELECT p.page_id, CAST(k AS INTEGER) AS page_index FROM pages p, range(12) r(k)) q JOIN page_links l ON l.page_id = q.page_id AND l.pos = q.page_index WHERE href <> ''"))
+@query("J12_map_pages_to_urls", with_views("page_links", "SELECT page_id, CAST(pos AS INTEGER) AS page_index, href AS chapter_url FROM page_links WHERE href <> ''"))
 def q_map_pages(spark: SparkSession, sf: str) -> DataFrame:
     links = views.page_links(spark, sf)
     chapters = links.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "href"))), lambda x: x["href"]).alias("urls"))
-    want = views.table(spark, sf, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("page_index"))
+    # every place of the page's own list, and the one behind it
+    want = links.select("page_id", F.explode(F.array(F.col("pos").cast("int"), (F.col("pos") + 1).cast("int"))).alias("page_index")).distinct()
     return pg.map_pages_to_urls(want, chapters, "page_id")
 
 
@@ -157,6 +158,8 @@ def q_match_targets(spark: SparkSession, sf: str) -> DataFrame:
     images = d.select("page_id", k.alias("img_no"), F.when(k % 4 == 0, name).alias("key"), F.when(k % 4 == 1, F.col("url")).alias("original"), F.when(k % 4 == 3, F.col("url")).alias("current"), F.lit(None).cast("string").alias("src"))
     recent = d.filter(k % 4 == 2).select("page_id", "url", k.alias("img_no"))
     clicks = d.filter(k == 3).select("page_id", k.alias("img_no"), F.lit(0).cast("long").alias("us"), F.array("url").alias("urls"))
+    # clicks on every picture long after all results; they change nothing
+    clicks = clicks.unionByName(d.select("page_id", k.alias("img_no"), (900_000_000 + k).cast("long").alias("us"), F.array("url").alias("urls")))
     return pg.match_targets(results, images, recent, clicks)
 
 
@@ -167,7 +170,7 @@ def q_distinct_images(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "O2_natural_sort",
-    """SELECT page_id, array_to_string(list_transform(regexp_extract_all(trim(url), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(CAST(length(regexp_replace(x, '^0+(.)', '\\1')) AS VARCHAR), 4, '0') || regexp_replace(x, '^0+(.)', '\\1') ELSE x END), '') AS sort_key FROM pages""",
+    """SELECT page_id, array_to_string(list_transform(regexp_extract_all(trim(url), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(CAST(length(regexp_replace(x, '^0+(.)', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(x, '^0+(.)', '\\1') ELSE x END), '') AS sort_key FROM pages""",
 )
 def q_natural_sort(spark: SparkSession, sf: str) -> DataFrame:
     p = views.table(spark, sf, "pages").select("page_id", F.col("page_id").cast("string").alias("id"), F.lit("").alias("relative_path"), F.col("url").alias("name"))

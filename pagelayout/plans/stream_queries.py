@@ -53,7 +53,7 @@ def q_first_submissions(spark: SparkSession, sf: str) -> DataFrame:
     "R2_job_state_stream",
     with_views(
         "job_events",
-        """SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS stage, max(CASE WHEN pg IS NULL OR pg <> stage THEN epoch_us(ts) END) AS stage_us, max(epoch_us(ts)) AS last_us, (SELECT max(epoch_us(ts)) // 1000 FROM job_events) >= max(epoch_us(ts)) // 1000 + 864000000 AS expired FROM changes GROUP BY job_id""",
+        """SELECT job_id, arg_max(status, (ts, event_id)) AS status, arg_max(stage, (ts, event_id)) AS stage, max(CASE WHEN pg IS NULL OR pg <> stage THEN epoch_us(ts) END) AS stage_us, max(epoch_us(ts)) AS last_us, (SELECT max(epoch_us(ts)) // 1000 - 3600000 FROM job_events) >= max(epoch_us(ts)) // 1000 + 864000000 AS expired FROM changes GROUP BY job_id""",
         changes=CHANGES_SQL,
     ),
 )

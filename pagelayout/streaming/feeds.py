@@ -143,23 +143,25 @@ class _JobState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "status string, stage string, stage_us long, us long")
+        self.job = handle.getValueState("job", "status string, stage string, stage_us long, us long, event_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "event_id"])
-        status, stage, stage_us, last = self.job.get() if self.job.exists() else (None, None, None, None)
-        for us, new_status, new_stage in zip(batch["us"].tolist(), batch["status"].tolist(), batch["stage"].tolist()):
+        status, stage, stage_us, last, last_id = self.job.get() if self.job.exists() else (None, None, None, None, None)
+        for us, event_id, new_status, new_stage in zip(batch["us"].tolist(), batch["event_id"].tolist(), batch["status"].tolist(), batch["stage"].tolist()):
+            if last is not None and (us, event_id) <= (last, last_id):
+                continue  # came after a newer event
             if new_stage != stage:
                 stage_us = us
-            status, stage, last = new_status, new_stage, us
+            status, stage, last, last_id = new_status, new_stage, us, event_id
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last // 1000 + self.ttl_ms)
-        self.job.update((status, stage, int(stage_us), int(last)))
+        self.job.update((status, stage, int(stage_us), int(last), int(last_id)))
         yield self._row(key, status, stage, stage_us, last, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, stage, stage_us, last = self.job.get()
+        status, stage, stage_us, last, _ = self.job.get()
         self.job.clear()
         yield self._row(key, status, stage, stage_us, last, True)
 
@@ -172,9 +174,9 @@ class _JobState(StatefulProcessor):
 
 
 def job_state_stream(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """Changes of job state; ``expired`` once a job was silent for its time to live (by event time)."""
+    """Changes of job state; ``expired`` once a job was silent for its time to live (by event time, an hour being left for late events)."""
     # State timers compare with the watermark, which needs a zoned time stamp.
-    s = _timed(stream).withColumn("at", F.timestamp_micros("us")).withWatermark("at", "0 seconds").select("job_id", "at", "us", "event_id", "status", "stage")
+    s = _timed(stream).withColumn("at", F.timestamp_micros("us")).withWatermark("at", WATERMARK).select("job_id", "at", "us", "event_id", "status", "stage")
     return s.groupBy("job_id").transformWithStateInPandas(
         _JobState(ttl_ms), outputStructType="job_id string, status string, stage string, stage_us long, last_us long, expired boolean", outputMode="Update", timeMode="EventTime",
     )
@@ -196,20 +198,20 @@ class _LastSession(StatefulProcessor):
     """Last session of a tab; results are compared with it as they arrive."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.session = handle.getValueState("session", "id string")
+        self.session = handle.getValueState("session", "id string, us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["us", "side", "result_id"])
-        now = self.session.get()[0] if self.session.exists() else None
+        now, since = self.session.get() if self.session.exists() else (None, None)
         out = []
         for us, side, result_id, session in zip(batch["us"].tolist(), batch["side"].tolist(), batch["result_id"].tolist(), batch["session_id"].tolist()):
             if side == 0:
-                now = session
+                now, since = (session, us) if since is None or us >= since else (now, since)
             else:
                 moved = bool(session and now and session != now)
                 out.append((*key, int(result_id), us, now, moved))
         if now is not None:
-            self.session.update((now,))
+            self.session.update((now, int(since)))
         yield pd.DataFrame(out, columns=["tab_id", "result_id", "us", "session_now", "moved"])
 
     def close(self) -> None:

@@ -80,6 +80,23 @@ def test_markers(spark):
     assert (row.c, row.r) == (False, False)
 
 
+def test_long_marker_numbers(spark):
+    text = "<<TP_P0000000001>>\nhello\n\n<<TP_P99999999999999999999999999999999999999999>>\nfar\n\n<<TP_P0>> x"
+    d = spark.createDataFrame([(1, text, 2)], "image_id long, marked_text string, expected int")
+    assert {r.para_index: r.segment for r in tx.marker_segments_for_layout(d, ["image_id"]).collect()} == {0: "x", 1: "hello"}
+    assert [(r.para_index, r.segment) for r in tx.marker_segments(d, ["image_id"]).collect()] == [(0, "x")]
+    assert not d.select(tx.markers_complete("marked_text", "expected").alias("c")).first().c
+    assert d.select(F.size(tx.marker_numbers("marked_text")).alias("n")).first().n == 3
+
+
+def test_last_click_before_a_result(spark):
+    results = spark.createDataFrame([(1, 10, None, "u", 20_000_000), (1, 11, None, "u", 40_000_000), (1, 12, None, "u", 1_000_000)], "page_id long, result_id long, key string, url string, us long")
+    images = spark.createDataFrame([], "page_id long, img_no long, key string, original string, current string, src string")
+    recent = spark.createDataFrame([], "page_id long, url string, img_no long")
+    clicks = spark.createDataFrame([(1, 1, 19_500_000, ["u"]), (1, 2, 25_000_000, ["u"]), (1, 3, 900_000_000, ["u"])], "page_id long, img_no long, us long, urls array<string>")
+    assert [(r.result_id, r.rule, r.img_no) for r in pages.match_targets(results, images, recent, clicks).collect()] == [(10, 4, 1)]
+
+
 def test_merge_overlap(spark):
     d = spark.createDataFrame([("a b c", "b c d"), ("abcd", "cdef"), ("x", "y"), ("", "z ")], "a string, b string")
     got = [r.j for r in tx.merge_overlap_text(d, "a", "b", "j").collect()]
@@ -117,6 +134,8 @@ def test_natural_sort(spark):
     rows = [("3", "page 10.png"), ("1", "Page 2.png"), ("2", "páge 1.png")]
     d = spark.createDataFrame(rows, "id string, name string").withColumn("relative_path", F.lit(""))
     assert [r.id for r in pages.natural_sort(d).collect()] == ["2", "1", "3"]
+    long = d.limit(0).union(spark.createDataFrame([("a", "9" * 12_000, ""), ("b", "1" + "0" * 12_000, "")], "id string, name string, relative_path string"))
+    assert [r.id for r in pages.natural_sort(long).collect()] == ["a", "b"]
 
 
 def png(path, rows):

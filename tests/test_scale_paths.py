@@ -1,11 +1,13 @@
 """The plans for hot keys give what the plain plans give; folds equal brute force."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from pagelayout.operators import jobs, layout, tiles
 from pagelayout.operators.scans import exact_percentiles, ordered_scan, top_n
+from pagelayout.streaming import feeds
 
 
 def test_blocked_scan_equals_window(spark):
@@ -72,6 +74,21 @@ def test_throttle_equals_walk(spark):
     assert got == want
 
 
+def test_job_state_over_several_batches(spark, tmp_path):
+    files = [[("a", 2, "2024-01-01 12:00:00", "running", "ocr")], [("a", 1, "2024-01-01 11:00:00", "error", "download"), ("b", 3, "2024-01-01 11:30:00", "queued", "queue")], [("a", 4, "2024-01-01 12:05:00", "done", "ocr")]]
+    schema = "job_id string, event_id long, ts timestamp_ntz, status string, stage string"
+    for i, rows in enumerate(files):
+        d = spark.createDataFrame(rows, "job_id string, event_id long, ts string, status string, stage string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        d.coalesce(1).write.parquet(f"{tmp_path}/feed/no={i}")
+        for f in (tmp_path / "feed" / f"no={i}").glob("part-*"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = feeds.read_feed(spark, f"{tmp_path}/feed/*/", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    out = feeds.replay(feeds.job_state_stream(stream), "update")
+    assert out.select("epoch").distinct().count() >= 3
+    got = {r.job_id: (r.status, r.stage, r.last_us - r.stage_us) for r in feeds.newest(out, ["job_id"]).collect()}
+    assert got == {"a": ("done", "ocr", 300_000_000), "b": ("queued", "queue", 0)}
+
+
 def brute_cuts(scores, max_h):
     import numpy as np
 
