@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagelayout.functions.exprs import is_blank
 from pagelayout.functions.keys import export_name
@@ -82,63 +80,81 @@ def word_boxes(words: DataFrame, spread: bool | None = None) -> DataFrame:
     )
 
 
-TOKEN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("width", T.DoubleType())])
-
-
-def _bare(line: list) -> list:
-    while line and line[0][0] == "space":
-        line = line[1:]
-    while line and line[-1][0] == "space":
-        line = line[:-1]
-    return line
-
-
-def fill_lines(tokens: list[tuple], caps: list[float], min_lines: int) -> list[str]:
-    """Greedy line filling: a soft cap spreads text over the wanted lines, the last line takes what is left."""
-    n = len(caps)
-    if n == 0:
-        return []
-    wanted = max(1, min(int(min_lines), n))
-    soft = 0.90 if wanted > 1 else 1.0
-    lines: list[list] = [[]]
-    used, blank, blank_w = 0.0, "", 0.0
-    for kind, text, width in tokens:
-        if kind == "space":
-            if lines[-1]:
-                blank, blank_w = blank + text, blank_w + width
-            continue
-        if not text:
-            continue
-        at = len(lines) - 1
-        cap = caps[min(at, n - 1)]
-        limit = min(cap, cap * soft) if at < wanted else cap
-        if lines[-1] and at < n - 1 and limit > 0 and used + blank_w + width > limit:
-            lines.append([])
-            used, blank, blank_w = 0.0, "", 0.0
-        if blank and lines[-1]:
-            lines[-1].append(("space", blank, blank_w))
-            used += blank_w
-        blank, blank_w = "", 0.0
-        lines[-1].append(("word", text, width))
-        used += width
-    lines = [_bare(x) for x in lines]
-    while len(lines) < wanted:
-        counts = [sum(k == "word" for k, _, _ in x) for x in lines]
-        most = max(counts, default=0)
-        if most < 2:
-            break
-        i = counts.index(most)
-        places = [p for p, (k, _, _) in enumerate(lines[i]) if k == "word"]
-        cut = places[most // 2]
-        lines[i : i + 1] = [_bare(lines[i][:cut]), _bare(lines[i][cut:])]
-    texts = ["".join(t for _, t, _ in x) for x in lines]
-    return texts + [""] * (n - len(texts))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def wrap_words(tokens: pd.Series, caps: pd.Series, min_lines: pd.Series) -> pd.Series:
-    """Texts of the lines of a paragraph; as many as there are caps."""
-    return pd.Series([fill_lines([(t["kind"], t["text"], t["width"]) for t in ts], list(cs), m) for ts, cs, m in zip(tokens, caps, min_lines)])
+SOFT_FILL = 0.90  # share of a line that is filled while text is to be spread over several
+ZERO_WIDTH_SPACE = "\u200b"  # a break opportunity: no word when words are counted
+WORD = "struct<text:string,width:double,gap:string,gap_width:double>"
+
+
+def _words(tokens: Column) -> Column:
+    """Words with the white space in front of each, from tokens (kind, text, width)."""
+    start = F.struct(F.lit("").alias("gap"), F.lit(0.0).alias("gap_width"), F.array().cast(f"array<{WORD}>").alias("words"))
+
+    def step(s: Column, t: Column) -> Column:
+        space, some = t["kind"] == "space", t["text"] != ""
+        word = F.struct(t["text"].alias("text"), t["width"].alias("width"), s["gap"].alias("gap"), s["gap_width"].alias("gap_width"))
+        return F.struct(
+            F.when(space, F.concat(s["gap"], t["text"])).when(some, "").otherwise(s["gap"]).alias("gap"),
+            F.when(space, s["gap_width"] + t["width"]).when(some, 0.0).otherwise(s["gap_width"]).alias("gap_width"),
+            F.when(~space & some, F.concat(s["words"], F.array(word))).otherwise(s["words"]).alias("words"),
+        )
+
+    return F.aggregate(tokens, start, step, lambda s: s["words"])
+
+
+def _filled(words: Column, caps: Column, wanted: Column) -> Column:
+    """Line number of every word: a word that does not fit opens the next line, while there is one."""
+    last = F.size(caps) - 1
+    start = F.struct(F.lit(0).alias("line"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, w: Column) -> Column:
+        cap = F.get(caps, s["line"])
+        limit = F.when((wanted > 1) & (s["line"] < wanted), F.least(cap, cap * SOFT_FILL)).otherwise(cap)
+        begun = F.size(s["out"]) > 0
+        longer = s["used"] + w["width"] + F.when(begun, w["gap_width"]).otherwise(0.0)
+        opens = begun & (s["line"] < last) & (limit > 0) & (longer > limit)
+        line = F.when(opens, s["line"] + 1).otherwise(s["line"])
+        return F.struct(line.alias("line"), F.when(opens, w["width"]).otherwise(longer).alias("used"), F.concat(s["out"], F.array(line)).alias("out"))
+
+    return F.aggregate(words, start, step, lambda s: s["out"])
+
+
+def _halved(lines: Column) -> Column:
+    """The first of the lines with most words, cut before its middle word; lines of one word stay."""
+
+    def places(line: Column) -> Column:
+        at = F.transform(line, lambda w, i: F.when(w["text"] != ZERO_WIDTH_SPACE, i))
+        return F.filter(at, lambda i: i.isNotNull())
+
+    counts = F.transform(lines, lambda x: F.size(places(x)))
+    most = F.array_max(counts)
+    i = F.array_position(counts, most).cast("int")
+    line = F.get(lines, i - 1)
+    cut_at = F.get(places(line), F.floor(most / 2).cast("int"))
+    halves = F.array(F.slice(line, F.lit(1), cut_at), F.slice(line, cut_at + 1, F.size(line) - cut_at))
+    return F.when(most > 1, F.concat(F.slice(lines, F.lit(1), i - 1), halves, F.slice(lines, i + 1, F.size(lines)))).otherwise(lines)
+
+
+def wrap_words(tokens: Column, caps: Column, min_lines: Column) -> Column:
+    """Texts of the lines of a paragraph, as many as there are ``caps`` (widths); no caps, no lines.
+
+    ``tokens``: array of (kind, text, width), kind ``word`` or ``space``. Text fills at least ``min_lines`` lines if it has the words.
+    White space at the ends of a line goes.
+    """
+
+    def texts(words: Column, caps: Column) -> Column:
+        n = F.size(caps)
+        wanted = F.greatest(F.lit(1), F.least(min_lines.cast("int"), n))
+        numbers = _filled(words, caps, wanted)
+        both = F.arrays_zip(words.alias("word"), numbers.alias("line"))
+        lines = F.transform(F.array_distinct(numbers), lambda k: F.transform(F.filter(both, lambda b: b["line"] == k), lambda b: b["word"]))
+        spread = F.aggregate(F.sequence(F.lit(1), wanted), lines, lambda x, _: F.when(F.size(x) < wanted, _halved(x)).otherwise(x))
+        joined = F.transform(spread, lambda line: F.array_join(F.transform(line, lambda w, i: F.when(i > 0, F.concat(w["gap"], w["text"])).otherwise(w["text"])), ""))
+        filled = F.concat(joined, F.array_repeat(F.lit(""), F.greatest(n - F.size(joined), F.lit(0))))
+        return F.when(n > 0, filled).otherwise(F.array().cast("array<string>"))
+
+    # words and widths are worked out once
+    held = F.array(F.struct(_words(tokens).alias("words"), caps.alias("caps")))
+    return F.get(F.transform(held, lambda h: texts(h["words"], h["caps"])), F.lit(0))
 
 
 # ---------------------------------------------------------------- HTML

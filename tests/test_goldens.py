@@ -111,10 +111,24 @@ def test_allocation_keeps_all_words(spark):
     assert [r.o for r in allocate_words(d, "t", "n", "o").collect()] == [["one", "two three four five"], ["", ""], ["", "w x"]]
 
 
-def test_wrap():
+def test_wrap(spark):
     words = [("word", "aaaa", 40.0), ("space", " ", 10.0), ("word", "bbbb", 40.0), ("space", " ", 10.0), ("word", "cccc", 40.0)]
-    assert render.fill_lines(words, [100.0, 100.0, 100.0], 1) == ["aaaa bbbb", "cccc", ""]
-    assert render.fill_lines(words, [1000.0, 1000.0], 2) == ["aaaa", "bbbb cccc"]
+    marked = [("space", " ", 10.0), ("word", "a", 10.0), ("word", "\u200b", 0.0), ("word", "b", 10.0), ("space", " ", 5.0), ("space", " ", 5.0), ("word", "", 0.0), ("word", "c", 10.0), ("space", " ", 10.0)]
+    cases = [
+        (words, [100.0, 100.0, 100.0], 1, ["aaaa bbbb", "cccc", ""]),
+        (words, [1000.0, 1000.0], 2, ["aaaa", "bbbb cccc"]),
+        (words, [95.0, 95.0, 95.0], 2, ["aaaa", "bbbb", "cccc"]),  # two words do not fit in nine tenths of a line that is to be spread
+        (words, [10.0], 1, ["aaaa bbbb cccc"]),
+        (words, [], 1, []),
+        ([], [50.0, 50.0], 2, ["", ""]),
+        (words, [1000.0] * 5, 5, ["aaaa", "bbbb", "cccc", "", ""]),
+        (marked, [1000.0], 1, ["a\u200bb  c"]),
+        (marked, [1000.0, 1000.0], 2, ["a\u200b", "b  c"]),
+        (marked, [1000.0, 1000.0, 1000.0], 3, ["a\u200b", "b", "c"]),
+    ]
+    d = spark.createDataFrame([(i, t, c, m) for i, (t, c, m, _) in enumerate(cases)], "i int, t array<struct<kind:string,text:string,width:double>>, c array<double>, m int")
+    got = {r.i: r.x for r in d.select("i", render.wrap_words(F.col("t"), F.col("c"), F.col("m")).alias("x")).collect()}
+    assert got == {i: want for i, (*_, want) in enumerate(cases)}
 
 
 def test_overlay_html(spark):
