@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from pagelayout.llm.common import column, cut, table, wrap
+from pagelayout.llm.common import column, table, wrap
 from pagelayout.llm.components import components
 from pagelayout.llm.hashing import U64, mix64, shingles
 
@@ -20,6 +20,7 @@ COORDINATES = BANDS * ROWS
 AGREE = 32  # of 64 coordinates; a pair at 0.8 agrees on fewer with a probability below 1e-7
 SALTS = 8
 LEAST_YIELD = 0.25  # links per comparison below which such turns end
+BITS = 2048  # of the map of a text's units, from which pairs are ruled out
 WORK = 20  # open pairs per bucket entry up to which pairs across components are compared outright
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -120,6 +121,50 @@ def _plausible() -> Column:
     return ratio & (_agreement("a_bytes", "b_bytes") >= AGREE)
 
 
+def _share_enough() -> Column:
+    """Two upper bounds of the units that a and b share leave it open that they reach the threshold.
+
+    What no other text has cannot be shared, and every bit that is set in only one map stands for a unit that is not shared.
+    """
+
+    def within(both: Column) -> Column:
+        return both / (F.col("a_weight") + F.col("b_weight") - both) >= THRESHOLD
+
+    def without(x: str, y: str) -> Column:
+        bits = F.zip_with(f"{x}_map", f"{y}_map", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.col(f"{x}_weight") - F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+    shareable = F.least(F.col("a_weight") - F.col("a_private"), F.col("b_weight") - F.col("b_private"))
+    return within(shareable) & within(F.least(without("a", "b"), without("b", "a")))
+
+
+def _private_units(texts: DataFrame) -> DataFrame:
+    """(node, private, map) of a table of texts (node, text): how many units no other of its texts has, and a bit for each unit's hash."""
+
+    @F.pandas_udf("array<long>")
+    def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            yield pd.Series([weighted_units(x).view(np.int64) for x in xs])
+
+    @F.pandas_udf("array<long>")
+    def unit_map(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            maps = []
+            for x in xs:
+                bits = np.zeros(BITS, dtype=np.uint8)
+                bits[(weighted_units(x) % U64(BITS)).astype(np.int64)] = 1
+                maps.append(np.packbits(bits).view(np.int64))
+            yield pd.Series(maps)
+
+    # two 64-bit hashes stand for the node, since the minimum of a number, unlike that of bytes, is kept in a hash aggregate
+    hashes = [F.xxhash64("node").alias("h"), F.xxhash64(F.lit(1), "node").alias("k")]
+    spread = texts.select(*hashes, F.explode(units("text")).alias("unit"))
+    alone = spread.groupBy("unit").agg(F.count(F.lit(1)).alias("c"), F.min("h").alias("h"), F.min("k").alias("k")).where("c = 1")
+    counts = alone.groupBy("h", "k").agg(F.count(F.lit(1)).alias("private"))
+    mapped = texts.select("node", *hashes, unit_map("text").alias("map"))
+    return mapped.join(counts, ["h", "k"], "left").select("node", F.coalesce("private", F.lit(0)).alias("private"), "map")
+
+
 def _first_band() -> Column:
     """The bucket's band is the first that the pair shares, so that a pair comes once and not once per band."""
     first = F.lit(BANDS)
@@ -147,26 +192,28 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, text) rows to (node, first, n) per distinct text and (node, root) for texts with a near duplicate.
 
     Signatures of distinct texts meet in buckets, one per band. First every member of a bucket is held against its smallest
-    member, which makes stars, not pairs, of a group of copies. While many pairs across components are open, each turn holds the
-    members outside a bucket's largest component against one that is inside. Members that are then still in different
-    components are held against each other, those outside the largest one against all, so no link between components is missed
-    that the bands have found. Every accepted link is verified on the whole texts.
+    member, which makes stars, not pairs, of a group of copies. In buckets with several components the units are counted that a text
+    shares with no other of these texts: they bound the similarity of its pairs, as do bit maps of the units, which rules out most
+    copies that have been changed too much. While many pairs across components are open, each turn holds the members outside a bucket's largest component
+    against one that is inside, first the one with the smallest share of such units. Members that are then still in
+    different components are held against each other, those outside the largest one against all, so no link between components is
+    missed that the bands have found. Every accepted link is verified on the whole texts.
     """
     rows = rows.select("id", "text", F.unhex(F.md5(F.col("text"))).alias("node"))
-    signed = cut(rows.withColumn("s", signature(F.col("text"))).select("id", "node", "s.*"))
-    nodes = cut(signed.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("weight").alias("weight"), F.max("bands").alias("bands"), F.max("bytes").alias("bytes")))
+    signed = table(rows.withColumn("s", signature(F.col("text"))).select("id", "node", "s.*"))
+    nodes = table(signed.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("weight").alias("weight"), F.max("bands").alias("bands"), F.max("bytes").alias("bytes")))
 
     entries = nodes.where("weight > 0").select("node", "weight", "bytes", F.posexplode("bands").alias("band", "bucket"))
     crowded = entries.groupBy("band", "bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     salted = crowded.select("band", "bucket", "leader", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     entries = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    entries = cut(entries.join(salted, ["band", "bucket", "salt"]).select("band", "bucket", "salt", "node", "leader"))
+    entries = table(entries.join(salted, ["band", "bucket", "salt"]).select("band", "bucket", "salt", "node", "leader"))
 
     profile = nodes.select("node", "weight", "bytes", "bands")
     a = profile.select(F.col("node").alias("a"), F.col("weight").alias("a_weight"), F.col("bytes").alias("a_bytes"), F.col("bands").alias("a_bands"))
     b = profile.select(F.col("node").alias("b"), F.col("weight").alias("b_weight"), F.col("bytes").alias("b_bytes"), F.col("bands").alias("b_bands"))
     stars = entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = cut(stars.join(a, "a").join(b, "b").where(_plausible()).select("a", "b"))
+    stars = table(stars.join(a, "a").join(b, "b").where(_plausible()).select("a", "b"))
 
     # the texts that a comparison may ask for: one row each, found by its id, so that a frequent text does not meet in one task
     wanted = entries.select("node").distinct().join(nodes.select("node", "first"), "node").withColumnsRenamed({"node": "n", "first": "i"})
@@ -176,38 +223,44 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     def sides(pairs: DataFrame) -> DataFrame:
         return pairs.join(a, "a").join(b, "b")
 
-    links = cut(_verified(stars, texts))
-    roots, tried, size = components(links), stars, entries.count()
+    links = table(_verified(stars, texts))
+    roots, tried, size, last = components(links), stars, entries.count(), False
     for turn in itertools.count():
         rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = cut(rooted.select("band", "bucket", "salt", "node", "root"))
+        rooted = table(rooted.select("band", "bucket", "salt", "node", "root", *(["lonely"] if turn else [])))
         per_root = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
         mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots"))
-        mixed = cut(mixed.where("roots > 1").select("band", "bucket", "main", "largest", "all"))
+        mixed = table(mixed.where("roots > 1").select("band", "bucket", "main", "largest", "all"))
         inside = rooted.join(mixed.select("band", "bucket", "main"), ["band", "bucket"])
+        if turn == 0:
+            private = _private_units(texts.join(inside.select("node").distinct(), "node")).join(nodes.select("node", "weight", "bytes", "bands"), "node")
+            able = table(private.where((F.col("weight") - F.col("private")) / F.col("weight") >= THRESHOLD))
+            a, b = (able.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in able.columns]) for side in "ab")
+            lonely = able.select("node", (F.col("private") / F.col("weight")).alias("lonely"))
+            entries = table(entries.join(lonely, "node"))
+            continue
         open_pairs = mixed.agg(F.sum((F.col("all") - F.col("largest")) * F.col("all"))).first()[0] or 0
-        if open_pairs <= WORK * size:
+        if last or open_pairs <= WORK * size:
             break
         # a member of the largest component, another one each turn, against all that are outside
-        chosen = inside.where("root = main").groupBy("band", "bucket").agg(F.min_by("node", F.xxhash64(F.lit(turn), "node")).alias("leader"))
-        chosen = cut(chosen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        chance = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1000)) / 1000 * (turn - 1)
+        chosen = inside.where("root = main").groupBy("band", "bucket").agg(F.min_by("node", F.struct(F.col("lonely") + chance, "node")).alias("leader"))
+        chosen = table(chosen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         near = inside.where("root <> main").join(chosen, ["band", "bucket", "salt"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        near = cut(sides(near).where(_plausible()).select("a", "b"))
-        found = cut(_verified(near, texts))
-        if found.count() < LEAST_YIELD * near.count():
-            links, roots = (links, roots) if found.isEmpty() else (links.union(found), components(links.union(found)))
-            inside = inside.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            tried = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-            break
-        tried, links = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), cut(links.union(found))
-        roots = components(links)
-
-    minor = inside.where("root <> main").join(b.withColumnRenamed("b", "node"), "node").select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "b_weight", "b_bytes", "b_bands", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "a_bands", "salt")
-    rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _first_band() & _plausible())
+        near = table(sides(near).where(_plausible() & _share_enough()).select("a", "b"))
+        found = table(_verified(near, texts))
+        last = found.count() < LEAST_YIELD * near.count()
+        tried = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if not found.isEmpty():
+            links = table(links.union(found))
+            roots = components(links)
+
+    minor = inside.where("root <> main").join(b.withColumnRenamed("b", "node"), "node").select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "b_weight", "b_bytes", "b_bands", "b_private", "b_map", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "a_bands", "a_private", "a_map", "salt")
+    rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _first_band() & _plausible() & _share_enough())
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest.join(tried, ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, texts))
+    rest = table(rest.join(tried, ["a", "b"], "left_anti"))
+    more = table(_verified(rest, texts))
     if not more.isEmpty():
         roots = components(links.union(more))
     return nodes.select("node", "first", "n"), roots
@@ -228,7 +281,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = joined.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "node")).alias("head"), F.sum("n").alias("size"))
     # only texts that share a class with other rows need a partner; salted, as one text may be a large share of the rows
-    shared = cut(joined.join(classes, "root").where("size > 1").select("node", F.col("first"), F.col("head.first").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head")))
+    shared = table(joined.join(classes, "root").where("size > 1").select("node", F.col("first"), F.col("head.first").alias("class_id"), (F.col("head.node") == F.col("node")).alias("is_head")))
     shared = shared.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     rows = rows.select("row", "id", F.unhex(F.md5(F.col("text"))).alias("node"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = rows.join(shared, ["node", "salt"], "left")
