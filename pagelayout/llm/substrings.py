@@ -31,10 +31,11 @@ def anchors(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
 
     Every string of ``length`` bytes has an anchor: of the grams of three quarters of its length inside it, the first with the smallest
     hash. Equal strings have equal anchors at equal distances. An anchor stands for a run of string starts, first to last; its
-    context is a hash of all bytes that a string with this anchor can cover.
+    context is a hash of all bytes that a string with this anchor can cover. A run that goes on over a stretch's border is one row.
     """
     gram, n = _gram(length), len(raw)
     reach = length - gram
+    held = None  # the last row of the stretches so far, whose run may go on
     for a in range(0, n - length + 1, _STRETCH):
         part = raw[a : min(n, a + _STRETCH + length - 1)]
         grams = mix64(rolling(part.astype(U64) + U64(1), gram))
@@ -54,7 +55,16 @@ def anchors(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
         at = at + a
         lo, hi = np.maximum(at - reach, 0), np.minimum(at + length, n)
         context = mix64((sums[hi - base] - sums[lo - base]) * hashing._powers(hashing._INVERSE, len(around))[lo - base] + ((at - lo) * 65536 + (hi - at)).astype(U64))
-        yield grams[at - a], context, at, first + a, last + a
+        rows = [grams[at - a], context, at, first + a, last + a]
+        if held is not None:
+            if held[2][0] == at[0]:
+                rows[3][0] = held[3][0]
+            else:
+                rows = [np.append(h, r) for h, r in zip(held, rows)]
+        held = [r[-1:] for r in rows]
+        yield tuple(r[:-1] for r in rows)
+    if held is not None:
+        yield tuple(held)
 
 
 def _runs(at: int, starts: np.ndarray, length: int) -> list[tuple[int, int]]:

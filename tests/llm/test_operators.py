@@ -324,6 +324,22 @@ def test_repeated_strings_match_brute_force(spark, group):
     assert substrings.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_anchors_over_stretch_borders_are_one_place(monkeypatch):
+    raw = np.frombuffer(random.Random(12).randbytes(20_000).hex().encode(), np.uint8)
+    for stretch, part in ((1, raw[:1500]), (7, raw[:3000]), (100, raw), (401, raw), (4096, raw)):
+        want = [np.concatenate(x) for x in zip(*substrings.anchors(part, 400))]
+        with monkeypatch.context() as m:
+            m.setattr(substrings, "_STRETCH", stretch)
+            got = [np.concatenate(x) for x in zip(*substrings.anchors(part, 400))]
+        assert all(g.tolist() == w.tolist() for g, w in zip(got, want))
+
+
+def test_long_unique_text_stays_whole(spark):
+    text = random.Random(13).randbytes((substrings._STRETCH + 6000) // 2).hex()
+    left = substrings.without_repeats(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"))
+    assert left.where("row.doc_id = 1").select("n_bytes", F.octet_length("kept"), F.size("starts")).collect() == [(len(text), len(text), 0)]
+
+
 def test_lm_scores_match_brute_force(spark, docs, corpus):
     got = lm.lm_scores(docs, group_bytes=2000).collect()
     own = [(r[0], re.findall(mixing.WORD, r[1] or "")) for r in corpus]  # one text has a no-break space inside a word
