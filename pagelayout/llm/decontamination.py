@@ -1,4 +1,7 @@
-"""Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification; DataFrame functions only."""
+"""Benchmark decontamination: item-sized windows by an exact bound on shared shingles, exact verification; DataFrame functions only.
+
+SimHash and its Hamming blocks are column functions here, but choose no windows: no radius keeps every pair above the threshold.
+"""
 
 from __future__ import annotations
 
@@ -75,13 +78,28 @@ def benchmark_items(benchmark: DataFrame, item_id: str = "item_id", text: str =
     return rows.select("item", F.xxhash64("words").alias("key"), "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("size"))
 
 
+def candidate_starts(places: Column, shingles: Column) -> Column:
+    """Starts of all windows that hold enough of ``places``, where a text has a shingle of an item; windows and item have so many ``shingles``.
+
+    The shared weight cannot exceed the places in a window, and their union is no smaller than the item. A window that begins at a
+    place or after the one before it holds enough if it reaches ``need`` - 1 places on; these ranges of starts are disjoint.
+    """
+    need = F.ceil(shingles * THRESHOLD - 1e-9).cast("int")
+
+    def starts(i: Column) -> Column:
+        low = F.greatest(F.get(places, i + need - 1) - shingles + 1, F.get(places, i - 1) + 1)  # no place before: null, passed over
+        return F.when(low <= F.get(places, i), F.sequence(low, F.get(places, i))).otherwise(none)
+
+    none = F.array().cast("array<int>")
+    return F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), starts))).otherwise(none)
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Windows of document texts that repeat a benchmark item: node (digest of the text), item, start (word), n, similarity.
 
-    Candidate windows have an item's number of words (less at the ends of a text) and stand where the text shares a shingle with the
-    item, on the same offset: a window with a similarity of 0.8 shares most of its shingles, so none is left out. Windows and
-    items get a SimHash of their words; blocks of it are the join key, and ``RADIUS`` + 1 blocks guarantee that every
-    pair within the radius meets. What is within the radius is verified by the exact similarity of weighted shingle sets.
+    Windows have an item's number of words (less at the ends of a text) and stand at any start, whatever the order of what they share. A
+    window with a similarity of 0.8 holds at 0.8 of the item's shingle places or more a shingle of the item: those that do are verified by
+    the exact similarity of weighted shingle sets, so none is left out. Equal windows of one item are one.
 
     Words are lower case and cut at ASCII white space. Items of fewer than five words have one shingle; items and texts without words match
     nothing. Equal texts are handled once, equal items go by their smallest id. Null ids are ids.
@@ -103,28 +121,23 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "d
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         hits = rows.select("id", F.md5("text").alias("node"), F.lit(0).alias("pos")).join(index, F.lit(False))
-    windows = hits.groupBy("node", "key", (F.col("pos") - F.col("at")).alias("start"), "n").agg(F.min("id").alias("id"))
-    windows = cut(windows)
+    windows = hits.groupBy("node", "key", "n").agg(F.min("id").alias("id"), F.sort_array(F.collect_set("pos")).alias("places"))
+    windows = windows.join(small(cut(items.select("key", "item", F.col("words").alias("item_words"), "size")), MOST_ITEMS), "key")
+    windows = windows.withColumn("starts", candidate_starts(F.col("places"), F.col("n") - F.col("size") + 1)).where(F.size("starts") > 0)
+    windows = cut(windows.drop("places"))
 
     texts = windows.groupBy("node").agg(F.min("id").alias("i"))
     own = rows.withColumn("t", F.md5("text")).join(texts.withColumnRenamed("node", "t"), "t").where(F.col("id").eqNullSafe(F.col("i")))
     own = own.groupBy("t").agg(F.first("text").alias("text")).select(F.col("t").alias("node"), words_of(F.col("text")).alias("all_words"))
-    windows = windows.join(own, "node")
-    first = F.greatest(F.col("start"), F.lit(0))
-    window = F.slice("all_words", first + 1, F.least(F.col("start") + F.col("n"), F.size("all_words")) - first)
-    windows = windows.select("node", "key", first.alias("start"), window.alias("words"))
-    windows = cut(windows.withColumn("fingerprint", simhash(F.col("words"))))
-
-    sign = items.select("key", "item", F.col("words").alias("item_words"), "size", simhash(F.col("words")).alias("item_fingerprint"))
-    sign = cut(sign)
-    blocks = small(sign.select("key", "item_fingerprint", F.explode(hamming_blocks(F.col("item_fingerprint"))).alias("block")), MOST_ITEMS * BLOCKS)
-    met = windows.withColumn("block", F.explode(hamming_blocks(F.col("fingerprint")))).drop("words").join(blocks, ["key", "block"])
-    near = met.where(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("item_fingerprint"))) <= RADIUS).select("node", "key", "start", "fingerprint").distinct()
-    pairs = windows.join(near, ["node", "key", "start", "fingerprint"]).join(small(sign.select("key", "item", "item_words", "size"), MOST_ITEMS), "key")
-    pairs = pairs.withColumn("ours", _shingles(F.col("words"), F.col("size"))).withColumn("theirs", _shingles(F.col("item_words"), F.col("size")))
+    windows = windows.join(own, "node").withColumn("theirs", _shingles(F.col("item_words"), F.col("size")))
+    # starts before the text's begin and a text shorter than the item give equal windows
+    spans = F.array_distinct(F.transform("starts", lambda s: F.struct(F.greatest(s, F.lit(0)).alias("a"), F.least(s + F.col("n"), F.size("all_words")).alias("z"))))
+    spans = F.transform(spans, lambda s: F.struct(s["a"].alias("start"), F.slice("all_words", s["a"] + 1, s["z"] - s["a"]).alias("words")))
+    pairs = windows.select("node", "item", "theirs", "size", F.explode(spans).alias("s")).select("node", "item", "theirs", "size", "s.*")
+    pairs = pairs.select("node", "item", "theirs", "start", F.size("words").alias("n"), _shingles(F.col("words"), F.col("size")).alias("ours"))
     both = F.size(F.array_intersect("ours", "theirs"))
     pairs = pairs.withColumn("similarity", both / (F.size("ours") + F.size("theirs") - both))
-    return pairs.where(F.col("similarity") >= THRESHOLD).select("node", "item", "start", F.size("words").alias("n"), "similarity")
+    return pairs.where(F.col("similarity") >= THRESHOLD).select("node", "item", "start", "n", "similarity")
 
 
 def _salted(found: DataFrame) -> DataFrame:

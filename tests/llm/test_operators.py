@@ -231,6 +231,30 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contaminated_documents(frame.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_finds_reordered_and_repeating_items(spark):
+    rng = random.Random(21)
+    a, b = [f"a{k}" for k in range(29)], [f"b{k}" for k in range(30)]
+    items = [(0, " ".join(a + b)), (1, words(rng, 50, 90)), (2, " ".join(["x", "y"] * 20)), (3, " ".join(["x"] * 9 + [f"c{k}" for k in range(12)]))]
+    docs = [(0, " ".join(b + a)), (1, f"{words(rng, 40)} {' '.join(b + a)} {words(rng, 40)}"), (2, " ".join(a)), (3, " ".join((a + b)[9:] + ["q"] * 30))]
+    docs += [(4, " ".join((items[1][1].split() * 3)[20:130])), (5, " ".join(["y", "x"] * 21)), (6, " ".join(["x", "y"] * 19)), (7, items[3][1][4:] + " tail"), (8, None), (9, "x " * 30)]
+    got = decontamination.contaminated_windows(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    node = {hashlib.md5(t.encode()).hexdigest(): i for i, t in docs if t}
+    assert {(node[r["node"]], r["item"]) for r in got} == brute_leaks(docs, items) >= {(0, 0), (1, 0)}
+    assert len({(r["node"], r["item"], r["start"], r["n"]) for r in got}) == len(got)
+    want = set()
+    for i, t in docs:
+        for item, text in items:
+            w, v = (t or "").split(), text.split()
+            for s in range(-len(v), len(w)):
+                x = w[max(0, s) : s + len(v)]
+                if brute_leaks([(i, " ".join(x))], [(item, text)]) and len(x) == len(v):
+                    own, c = (collections.Counter(tuple(y[k : k + 5]) for k in range(len(y) - 4)) for y in (v, x))
+                    both = sum((own & c).values())
+                    if both / (sum(own.values()) + sum(c.values()) - both) >= 0.8:
+                        want.add((i, item, s))
+    assert {(node[r["node"]], r["item"], r["start"]) for r in got if r["n"] == len(dict(items)[r["item"]].split())} == want
+
+
 def test_hamming_blocks_meet_within_the_radius(spark):
     rng = random.Random(4)
     pairs = []
