@@ -115,18 +115,17 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of one page.
 
     Every line opens a block of ``window`` lines. Text is kept from a surge, where the characters of a block rise
-    above a threshold, to the next dive, where a block is empty. If the page marks an article, lines outside count as empty and
-    any character is a surge; else the threshold is ``surge``, or half the fullest block where that is less, and links don't count.
+    above a threshold, to the next dive, where a block is empty. The threshold is ``surge``, or half the fullest block where that is less;
+    links don't count. A line that an article holds weighs ``surge`` + 1 more, so it is a surge by itself; other lines are judged as on any page.
     """
     lines = page_lines(page)
-    marked = any(inside for _, _, inside in lines)
-    sizes = [(len(text) if inside else 0) if marked else plain for text, plain, inside in lines]
+    sizes = [plain + (surge + 1 if inside and text else 0) for text, plain, inside in lines]
     blocks = [sum(sizes[i : i + window]) for i in range(len(sizes))]
-    limit = 0 if marked else min(surge, max(blocks, default=0) / 2)
+    limit = min(surge, max(blocks, default=0) / 2)
     kept, keeping = [], False
-    for (text, _, inside), block in zip(lines, blocks, strict=True):
+    for (text, _, _), block in zip(lines, blocks, strict=True):
         keeping = block > 0 if keeping else block > limit
-        if keeping and text and (inside or not marked):
+        if keeping and text:
             kept.append(text)
     return "\n".join(kept)
 

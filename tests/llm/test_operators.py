@@ -286,6 +286,15 @@ def test_html_main_text(spark):
     assert [r["t"] for r in rows][1] == ""
 
 
+def test_html_text_outside_an_article_is_judged_too():
+    para = "<p>" + "Plain words of a story without links, " * 4 + "</p>"
+    teaser, links = "<article><a href=1>Teaser</a></article>", "<div><a href=2>More</a> of it</div>"
+    page = f"<body>{links}<div>{para}{para}</div>{links}<div></div><div></div>{teaser}{links}</body>"
+    lines = html.main_text(page).split("\n")
+    assert sum(line.startswith("Plain words") for line in lines) == 2 and lines[-1] == "Teaser"
+    assert html.main_text(f"<div>Short note</div><main><p>a</main><div>{links}</div>") == "a"
+
+
 def test_warc_round_trip_over_small_ranges(spark):
     rng = random.Random(3)
     rows = [(i, f"http://x/{i}?q=a b%20", words(rng, rng.choice([1, 50, 3000]))) for i in range(30)]
