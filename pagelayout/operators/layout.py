@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import is_blank, steady, trim_ws
 from pagelayout.operators.folds import ordered_label
-from pagelayout.operators.scans import cut, has_hot_key, ordered_scan, with_group_stats
+from pagelayout.operators.scans import cut, has_hot_key, join_same, ordered_scan, with_group_stats
 
 MIN_CONFIDENCE = 0.35
 LINE_REACH = 0.55
@@ -160,7 +160,7 @@ def group_lines(boxes: DataFrame, spread: bool | None = None) -> DataFrame:
     placed = cut(placed)
     tops = placed.select("image_id", *line).distinct()
     numbered = ordered_scan(tops, ["image_id"], F.floor(F.col("__top") / BAND_PX), line, spread=True, number="line_no")
-    return placed.join(numbered, ["image_id", *line]).drop(*line)
+    return join_same(placed, numbered, ["image_id", *line]).drop(*line)
 
 
 def reading_order(boxes_with_lines: DataFrame, spread: bool | None = None) -> DataFrame:

@@ -50,6 +50,13 @@ def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None)
     return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right``, where all ``keys`` are the same; null is the same as null."""
+    other = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"__same_{k}" for k in keys])
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,8 +74,8 @@ def ordered_scan(
 ) -> DataFrame:
     """Add ordered columns to ``df``.
 
-    ``block`` must not decrease along ``order`` within a key; ``order`` must be total within a key; keys are
-    not null.  ``spread`` says whether keys must be cut in blocks; by default that is found out by counting.
+    ``block`` must not decrease along ``order`` within a key; ``order`` must be total within a key; null keys
+    are one key.  ``spread`` says whether keys must be cut in blocks; by default that is found out by counting.
 
     sums         sum over the earlier rows (0 for the first)
     maxs         maximum over the earlier rows (null for the first)
@@ -118,7 +125,6 @@ def _blocked(df, keys, block, order, *, sums, maxs, suffix_mins, lags, leads, la
     bk = [*keys, "__block"]
     asc = [F.col(o).asc() for o in order]
     desc = [F.col(o).desc() for o in order]
-    key_eq = [*keys, "__block"]
 
     d = df.withColumn("__block", block)
     pos = F.struct(*order)
@@ -167,7 +173,7 @@ def _blocked(df, keys, block, order, *, sums, maxs, suffix_mins, lags, leads, la
         final[name] = F.coalesce(F.col(f"__s_{name}"), F.col(f"__c_{name}"))
 
     totals = d.groupBy(*bk).agg(*aggs).select(*bk, *carry)
-    out = d.select("*", *[c.alias(n) for n, c in local_cols.items()]).join(totals, on=key_eq, how="left")
+    out = join_same(d.select("*", *[c.alias(n) for n, c in local_cols.items()]), totals, bk, "left")
     names = [c for c in df.columns if c not in final]
     return out.select(*names, *[c.alias(n) for n, c in final.items()])
 
@@ -231,4 +237,4 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], spread: bool, stats: Ma
         w = W.partitionBy(*keys)
         return df.select("*", *[c.over(w).alias(n) for n, c in stats.items()])
     df = cut(df)
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), list(keys))
+    return join_same(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)

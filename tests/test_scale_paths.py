@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagelayout.operators import jobs, layout, tiles
-from pagelayout.operators.scans import exact_percentiles, ordered_scan, top_n
+from pagelayout.operators.scans import exact_percentiles, ordered_scan, top_n, with_group_stats
 from pagelayout.streaming import feeds
 
 
@@ -19,6 +19,28 @@ def test_blocked_scan_equals_window(spark):
     assert both[0] == both[1]
 
 
+def test_both_plans_agree_on_null_keys(spark):
+    rng = random.Random(8)
+    rows = [(k, i, rng.randint(-9, 9), rng.choice([None, i])) for k in (None, 1) for i in range(100)]
+    d = spark.createDataFrame(rows, "k int, i int, v int, n int")
+    args = dict(sums={"s": F.col("v")}, maxs={"m": F.col("v")}, suffix_mins={"u": F.col("v")}, lags={"g": F.col("n")}, leads={"e": F.col("n")}, lasts={"z": F.col("n")}, number="no")
+    both = [sorted(map(tuple, ordered_scan(d, ["k"], F.floor(F.col("i") / 7), ["i"], spread=s, **args).select("k", "i", "s", "m", "u", "g", "e", "z", "no").collect()), key=str) for s in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 200
+    both = [sorted(map(tuple, with_group_stats(d, ["k", "n"], s, {"low": F.min("v")}).select("k", "i", "n", "low").collect()), key=str) for s in (False, True)]
+    assert both[0] == both[1] and len(both[0]) == 200
+    schema = "image_id long, box_id long, text string, confidence double, l double, t double, r double, b double, angle_deg double"
+    boxes = random_boxes(60, 3)
+    frame = spark.createDataFrame([(None, *b[1:]) for b in boxes] + boxes[:5], schema)
+    want, few = brute_lines(boxes), brute_lines(boxes[:5])
+    for spread in (False, True):
+        got = layout.group_lines(frame, spread=spread).collect()
+        assert len(got) == 65 and all(r.line_no == (want if r.image_id is None else few)[r.box_id] for r in got)
+    work = spark.createDataFrame([(i, None if i % 2 else 4, i * jobs.DAY_MICROS, None) for i in range(6)], "job_id long, tab_id long, opened_us long, closed_us long")
+    moves = spark.createDataFrame([(None, 40 * jobs.DAY_MICROS), (4, 3 * jobs.DAY_MICROS)], "tab_id long, us long")
+    both = [sorted(map(tuple, jobs.cancel_tab_work(work, moves, spread=s).collect())) for s in (False, True)]
+    assert both[0] == both[1] and [r[0] for r in both[0]] == [0, 1, 2, 3, 5]
+
+
 def random_boxes(n, seed):
     rng = random.Random(seed)
     out = []
