@@ -231,13 +231,14 @@ def stale_results_stream(results: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def cancelled_jobs_stream(opened: DataFrame, navigations: DataFrame, horizon: str = "30 days") -> DataFrame:
-    """Jobs joined with every navigation of their tab while they were open (stream-stream join).
+    """Jobs joined with every navigation of their tab while they were open, however long (stream-stream join).
 
+    Jobs stay in the state; navigations leave it with the watermark. ``horizon``: how late a job's row may come.
     ``opened``: job_id, tab_id, opened_at, closed_at; ``navigations``: tab_id, nav_at.
     """
     o = opened.withWatermark("opened_at", horizon).alias("o")
     n = navigations.withWatermark("nav_at", WATERMARK).alias("n")
-    inside = (F.col("n.nav_at") >= F.col("o.opened_at")) & (F.col("n.nav_at") <= F.col("o.opened_at") + F.expr(f"interval {horizon}"))
+    inside = F.col("n.nav_at") >= F.col("o.opened_at")
     open_still = F.col("o.closed_at").isNull() | (F.col("n.nav_at") < F.col("o.closed_at"))
     j = o.join(n, (F.col("o.tab_id") == F.col("n.tab_id")) & inside & open_still)
     return j.select("o.job_id", "o.tab_id", "nav_at")

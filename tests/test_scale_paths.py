@@ -166,3 +166,21 @@ def test_dedupe_is_idempotent_and_spread_alike(spark):
     two = tiles.dedupe_paragraphs(p, spread=True)
     key = lambda d: sorted((r.rid, r.para_index) for r in d.collect())
     assert key(one) == key(two) and 0 < one.count() <= 80
+
+
+def test_cancelled_jobs_stay_open_over_a_month(spark, tmp_path):
+    def files(name, batches, columns, schema):
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).selectExpr(*columns).coalesce(1).write.parquet(f"{tmp_path}/{name}/no={i}")
+            for f in (tmp_path / name / f"no={i}").glob("part-*"):
+                os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+        plain = spark.createDataFrame(batches[0], schema).selectExpr(*columns)
+        return feeds.read_feed(spark, f"{tmp_path}/{name}/*/", plain.schema, files_per_batch=1)
+
+    day = "timestamp_seconds(({0} + 19000) * 86400) AS {0}"
+    jobs_, moves = [[(1, 7, 0, None), (2, 7, 0, 20)], [(3, 7, 80, None)], [(4, 8, 120, 125)]], [[(7, 1), (8, 1)], [(7, 45)], [(7, 100), (8, 124)]]
+    opened = files("opened", jobs_, ["job_id", "tab_id", day.format("opened_at"), day.format("closed_at")], "job_id long, tab_id long, opened_at long, closed_at long")
+    navs = files("navs", moves, ["tab_id", day.format("nav_at")], "tab_id long, nav_at long")
+    got = feeds.replay(feeds.cancelled_jobs_stream(opened, navs)).selectExpr("job_id", "unix_seconds(nav_at) div 86400 - 19000 AS d").collect()
+    flat_jobs, flat_moves = sum(jobs_, []), sum(moves, [])
+    assert sorted(map(tuple, got)) == sorted((j, d) for j, tab, a, z in flat_jobs for t, d in flat_moves if t == tab and d >= a and (z is None or d < z))
