@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.llm import conversations, decontamination, fingerprints, html, lm, mixing, neardup, quality, sharding, substrings, warc
+from pagelayout.llm import conversations, decontamination, fingerprints, html, lm, mixing, neardup, quality, sharding, substrings, vectorcodes, warc
 from pagelayout.llm.common import column, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,12 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("row.doc_id", "size", "row.text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code and error, with the digest of the codebooks."""
+    codes = vectorcodes.vector_codes(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codes.vectors.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
+
+
 def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a hash, with the cheapest edits that mend it."""
     turns = conversations.damaged(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
@@ -102,7 +108,7 @@ def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op8_suffix_array_dedup, op9_lm_scores, op10_balanced_shards, op13_repair_conversations]
+    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op8_suffix_array_dedup, op9_lm_scores, op10_balanced_shards, op11_vector_codes, op13_repair_conversations]
     return {q.__name__: q for q in named}
 
 
