@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.llm import conversations, decontamination, fingerprints, html, lm, mixing, neardup, quality, sharding, substrings, vectorcodes, warc
+from pagelayout.llm import conversations, decontamination, fingerprints, html, lm, mixing, neardup, quality, recompression, sharding, substrings, vectorcodes, warc
 from pagelayout.llm.common import column, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,6 +101,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.vectors.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.sha256()).alias("codebooks_sha256"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows of 35 words."""
+    left = recompression.without_repeated_words(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate(F.zip_with("starts", "ends", lambda a, z: (z - a).cast("long")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return left.select("row.doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged by a hash, with the cheapest edits that mend it."""
     turns = conversations.damaged(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
@@ -108,7 +115,7 @@ def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op8_suffix_array_dedup, op9_lm_scores, op10_balanced_shards, op11_vector_codes, op13_repair_conversations]
+    named = [op1_order_minhash, op2_mix_sources, op3_quality_classifier, op4_near_duplicates, op5_html_extraction, op6_decontamination, op7_warc, op8_suffix_array_dedup, op9_lm_scores, op10_balanced_shards, op11_vector_codes, op12_substring_dedup, op13_repair_conversations]
     return {q.__name__: q for q in named}
 
 
