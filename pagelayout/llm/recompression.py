@@ -155,41 +155,43 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     which those that occur once settle all their windows; whole contexts, of which those that occur again settle theirs; and single
     windows of what is left, one copy of each context, by anchor, distance and hash.
     """
-    kind = rows.schema["id"].dataType.simpleString()
-    limits = caps(window)
-    margin, largest = sum(limits), max([1, *limits])
-    found_kind = f"anchor long, context long, id {kind}, node binary, at int, first int, last int"
+    found_kind = "anchor long, context long, node binary, at int, first int, last int"
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, words, ends in _pieces(list(batch["text"])):
                 anchor, context, doc, at, first, last = anchors(words, ends, window)
                 if len(at):
-                    yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": context.view(np.int64), "id": batch["id"].to_numpy()[a + doc], "node": batch["node"].to_numpy()[a + doc], "at": at, "first": first, "last": last})
+                    yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": context.view(np.int64), "node": batch["node"].to_numpy()[a + doc], "at": at, "first": first, "last": last})
 
     long_rows = rows.where(F.octet_length("text") >= 2 * window - 1)
-    every = table(long_rows.mapInPandas(find, found_kind))
+    every = table(long_rows.select("node", "text").mapInPandas(find, found_kind))
     often = cut(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("anchor"))
     found = table(every.join(often, "anchor"))
     drop_table(every)
-    contexts = cut(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("id", "node", "at", "first", "last")).alias("one")))
+    contexts = cut(found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("node", "at", "first", "last")).alias("one")))
     whole = found.join(contexts.where("times > 1").select("anchor", "context"), ["anchor", "context"]).select("node", F.col("first").alias("start"), (F.col("last") + window).alias("end")).distinct()
 
     groups = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    wanted = contexts.join(groups, "anchor").select("one.id", "one.node", F.struct("anchor", "times", "one.at", "one.first", "one.last").alias("w"))
-    wanted = wanted.groupBy(F.col("id").alias("i"), F.col("node").alias("n")).agg(F.collect_list("w").alias("w"))  # anchors of one text
-    wanted = wanted.select("i", "n", *[F.col(f"w.{c}").alias(c) for c in ("anchor", "times", "at", "first", "last")])
+    wanted = contexts.join(groups, "anchor").select("one.node", F.struct("anchor", "times", "one.at", "one.first", "one.last").alias("w"))
+    wanted = wanted.groupBy(F.col("node").alias("n")).agg(F.collect_list("w").alias("w"))  # anchors of one text
+    # one row of each text holds it, found by its id too, so that a frequent text does not meet in one task
+    ids = long_rows.groupBy("node").agg(F.min("id").alias("i"))
+    wanted = wanted.join(ids, F.col("n") == F.col("node")).select("i", "n", *[F.col(f"w.{c}").alias(c) for c in ("anchor", "times", "at", "first", "last")])
     holders = long_rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("node") == F.col("n"))).dropDuplicates(["i", "n"])
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                words = _words(r.text.encode("utf-8"))
+            for a, words, ends in _pieces(list(batch["text"])):
                 digest = mix64(rolling(mix64(words ^ U64(_SEED)), window))
-                size = r.last - r.first + 1
+                some = batch.iloc[a : a + len(ends)]
+                base = np.repeat(np.concatenate([[0], ends[:-1]]), some["anchor"].str.len())
+                anchor, times, at, first, last = (np.concatenate(list(some[c])) for c in ("anchor", "times", "at", "first", "last"))
+                size = last - first + 1
                 which = np.repeat(np.arange(len(size)), size)
-                start = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + r.first[which]
-                yield pd.DataFrame({"anchor": r.anchor[which], "away": (r.at[which] - start).astype(np.int32), "digest": digest[start].view(np.int64), "times": r.times[which], "node": [r.node] * len(which), "start": start.astype(np.int32)})
+                start = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
+                node = np.repeat(some["node"].to_numpy(), some["anchor"].str.len())
+                yield pd.DataFrame({"anchor": anchor[which], "away": at[which] - start, "digest": digest[base[which] + start].view(np.int64), "times": times[which], "node": node[which], "start": start})
 
     each = table(holders.select("node", "text", "anchor", "times", "at", "first", "last").mapInPandas(show, "anchor long, away int, digest long, times long, node binary, start int"))
     same = ["anchor", "away", "digest"]
