@@ -107,10 +107,9 @@ def translate_lines(paras: DataFrame, items: DataFrame) -> DataFrame:
     return out.select(*keys, F.col("z.item_index").alias("item_index"), F.col("z.text").alias("text"))
 
 
-def reindex_paragraphs(paras: DataFrame, order: Sequence[str], keys: Sequence[str] = ("image_id", "side"), spread: bool | None = None) -> DataFrame:
-    """Contiguous ``para_index`` along ``order``; the first order column is a whole number."""
-    block = F.floor(F.col(order[0]) / 1024)
-    d = ordered_scan(paras, list(keys), block, list(order), spread=spread, number="__n")
+def reindex_paragraphs(paras: DataFrame, order: Sequence[str], keys: Sequence[str] = ("image_id", "side")) -> DataFrame:
+    """Contiguous ``para_index`` along ``order``."""
+    d = ordered_scan(paras, list(keys), list(order), number="__n")
     return d.withColumn("para_index", F.col("__n").cast("int")).drop("__n")
 
 

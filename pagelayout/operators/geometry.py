@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelayout.operators.layout import fold_angle
-from pagelayout.operators.scans import ordered_scan, with_group_stats
+from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
 
 BASELINE_SHIFT = 0.40
 ERASE_PAD = 2.0
@@ -170,11 +170,11 @@ def span_geometry(df: DataFrame) -> DataFrame:
     )
 
 
-def span_offsets(spans: DataFrame, spread: bool | None = None) -> DataFrame:
+def span_offsets(spans: DataFrame) -> DataFrame:
     """Fill a missing ``start_raw`` with the furthest offset seen before on the page; spans without an end go."""
     seen = F.greatest(F.coalesce("start_raw", F.lit(0)), F.coalesce("end_raw", F.lit(0)))
     order = ["para_index", "item_index", "span_index"]
-    d = ordered_scan(spans, ["image_id"], F.floor(F.col("para_index") / 256), order, spread=spread, maxs={"__cursor": seen})
+    d = ordered_scan(spans, ["image_id"], order, maxs={"__cursor": seen})
     return d.withColumn("start_raw", F.coalesce("start_raw", "__cursor", F.lit(0))).drop("__cursor").filter(F.col("end_raw").isNotNull())
 
 
@@ -242,7 +242,7 @@ def _sign(c: Column) -> Column:
     return F.when(c >= 0, 1.0).otherwise(-1.0)
 
 
-def curve_offsets(items: DataFrame, spread: bool | None = None) -> DataFrame:
+def curve_offsets(items: DataFrame) -> DataFrame:
     """Add ``curve_px``: how far the middle of a line bends away from its neighbours in the paragraph.
 
     Reads centre cx/cy, width, height (fractions), rotation_deg, w, h.
@@ -253,7 +253,7 @@ def curve_offsets(items: DataFrame, spread: bool | None = None) -> DataFrame:
         "__w": F.greatest(F.lit(1.0), F.col("width") * F.col("w")), "__h": F.greatest(F.lit(1.0), F.col("height") * F.col("h")),
     })
     here = F.struct(F.col("__x").alias("x"), F.col("__y").alias("y"))
-    d = ordered_scan(px, keys, F.floor(F.col("item_index") / 4096), ["item_index"], spread=spread, lags={"__a": here}, leads={"__z": here})
+    d = ordered_scan(px, keys, ["item_index"], lags={"__a": here}, leads={"__z": here})
     x, y, w, h = (F.col(c) for c in ("__x", "__y", "__w", "__h"))
     ax, ay, bx, by = F.col("__a.x"), F.col("__a.y"), F.col("__z.x"), F.col("__z.y")
     vx, vy = bx - ax, by - ay
@@ -307,7 +307,7 @@ def project_to_display(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- fonts
 
 
-def uniform_span_font(spans: DataFrame, spread: bool = False) -> DataFrame:
+def uniform_span_font(spans: DataFrame) -> DataFrame:
     """Add ``font_px``: per line, the smallest size at which every span's text fits its box, never above the base.
 
     Reads base_px, tw, th (text size at the base), width, height, w, h, text.
@@ -316,5 +316,7 @@ def uniform_span_font(spans: DataFrame, spread: bool = False) -> DataFrame:
     s = F.least(F.try_divide(aw * 0.995, F.col("tw")), F.try_divide(ah * 0.995, F.col("th")))
     usable = (F.trim("text") != "") & (aw > 0) & (ah > 0) & (F.col("tw") > 0) & (F.col("th") > 0) & (s < 1.0)
     need = F.when(usable, F.greatest(F.lit(10), F.floor(F.col("base_px") * s).cast("int")))
-    d = with_group_stats(spans, ["image_id", "para_index", "item_index"], spread, {"__least": F.min(need)})
+    keys = ["image_id", "para_index", "item_index"]
+    large = large_keys(spans, keys, ["text", "width", "height", "base_px"])
+    d = unranged(group_stats(ranged(spans, keys, ["text", "width", "height", "base_px"], large), keys, [], {"__least": ("min", need)}, large))
     return d.withColumn("font_px", F.least("base_px", "__least").cast("int")).drop("__least")

@@ -1,6 +1,6 @@
 """Job telemetry: state, queues, stages, batches, retention, staleness.
 
-Per-job and per-lane orderings use ordered scans cut by day, so a lane or job that holds a large share of
+Per-job and per-lane orderings use ordered scans over ranges, so a lane or job that holds a large share of
 all events is spread over time.  Everything else is a combinable aggregate.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelayout.functions.errors import classify_error
 from pagelayout.functions.exprs import fixed, trim_ws
 from pagelayout.functions.keys import normalize_engine
-from pagelayout.operators.scans import exact_percentiles, first_by, has_hot_key, ordered_scan, top_n
+from pagelayout.operators.scans import exact_percentiles, first_by, large_keys, ordered_scan, ranged, top_n, unranged
 
 DAY_MICROS = 86_400_000_000
 OPEN_STATES = ["done", "error"]
@@ -29,11 +29,6 @@ def micros(ts: Column | str) -> Column:
     return whole * 1_000_000 + (part("SECOND") * 1_000_000).cast("long")
 
 
-def day_block(us: Column | str) -> Column:
-    c = F.col(us) if isinstance(us, str) else us
-    return F.floor(c / DAY_MICROS)
-
-
 # ---------------------------------------------------------------- state
 
 
@@ -111,12 +106,12 @@ def poll_after_ms(status: Column, depth: Column) -> Column:
     return F.when(status.isin("done", "error"), 0).when(depth > 20, 1500).when(depth > 5, 800).when(status == "running", 500).otherwise(400)
 
 
-def queue_position(jobs: DataFrame, spread: bool | None = None) -> DataFrame:
+def queue_position(jobs: DataFrame) -> DataFrame:
     """Position among the queued jobs of the same lane, lane depth and the delay before the next poll."""
     kind = F.coalesce(F.when(trim_ws("queue_kind") != "", trim_ws("queue_kind")), F.lit("direct"))
     j = jobs.withColumn("queue_kind", kind)
     waiting = j.filter(F.col("status") == "queued").select("job_id", "queue_kind", "queued_us")
-    placed = ordered_scan(waiting, ["queue_kind"], day_block("queued_us"), ["queued_us", "job_id"], spread=spread, number="n")
+    placed = ordered_scan(waiting, ["queue_kind"], ["queued_us", "job_id"], number="n")
     depth = waiting.groupBy("queue_kind").agg(F.count(F.lit(1)).alias("lane_depth"))
     out = j.join(placed.select("job_id", (F.col("n") + 1).alias("queue_position")), "job_id", "left")
     out = out.join(depth, "queue_kind", "left").withColumn("lane_depth", F.coalesce("lane_depth", F.lit(0)))
@@ -163,25 +158,32 @@ def stage_of(tag: Column, provider: Column, stage: Column) -> Column:
     return chain.when(tag.isin("image.single.stage", "image.merge.stage"), trim_ws(F.coalesce(stage, F.lit("")))).otherwise("")
 
 
-def status_changes(events: DataFrame, spread: bool | None = None) -> DataFrame:
+def status_changes(events: DataFrame) -> DataFrame:
     """Events whose status or stage differs from the job's event before (its first event counts)."""
     e = events.withColumn("us", micros("ts"))
-    d = ordered_scan(e, ["job_id"], day_block("us"), ["us", "event_id"], spread=spread, lags={"__p": F.struct("status", "stage")})
+    d = ordered_scan(e, ["job_id"], ["us", "event_id"], lags={"__p": F.struct("status", "stage")})
     p = F.col("__p")
     changed = p.isNull() | (p["status"] != F.col("status")) | (p["stage"] != F.col("stage"))
     return d.filter(changed).drop("__p")
 
 
-def stage_durations(events: DataFrame, spread: bool | None = None) -> DataFrame:
+def stage_durations(events: DataFrame) -> DataFrame:
     """Elapsed time of the job and of its current stage at every event; the stage clock restarts only on change."""
-    if spread is None:
-        spread = has_hot_key(events, ["job_id"])
+    return unranged(_durations(*_timed(events)))
+
+
+def _timed(events: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     e = events.withColumn("us", micros("ts"))
-    order, block = ["us", "event_id"], day_block("us")
-    d = ordered_scan(e, ["job_id"], block, order, spread=spread, lags={"__p": F.col("stage")})
+    large = large_keys(e, ["job_id"], ["us", "event_id"])
+    return ranged(e, ["job_id"], ["us", "event_id"], large), large
+
+
+def _durations(e: DataFrame, large: DataFrame | None) -> DataFrame:
+    keys, order = ["job_id"], ["us", "event_id"]
+    d = ordered_scan(e, keys, order, large=large, lags={"__p": F.col("stage")})
     fresh = F.col("__p").isNull() | (F.col("__p") != F.col("stage"))
     d = d.withColumn("__start", F.when(fresh, F.col("us"))).withColumn("__run", F.when(F.col("status") == "running", -F.col("us"))).drop("__p")
-    d = ordered_scan(d, ["job_id"], block, order, spread=spread, lasts={"stage_us": F.col("__start")}, maxs={"__ran": F.col("__run")})
+    d = ordered_scan(d, keys, order, large=large, lasts={"stage_us": F.col("__start")}, maxs={"__ran": F.col("__run")})
     started = F.coalesce(-F.greatest("__ran", "__run"), F.col("us"))
     return d.withColumns({
         "is_start": F.col("__start").isNotNull(),
@@ -190,12 +192,11 @@ def stage_durations(events: DataFrame, spread: bool | None = None) -> DataFrame:
     }).drop("__start", "__run", "__ran")
 
 
-def stage_spans(events: DataFrame, spread: bool | None = None) -> DataFrame:
+def stage_spans(events: DataFrame) -> DataFrame:
     """One row per stage a job went through, with its length in whole milliseconds (null while it lasts)."""
-    if spread is None:
-        spread = has_hot_key(events, ["job_id"])
-    d = stage_durations(events, spread).filter("is_start").select("job_id", "stage", "us", "event_id")
-    d = ordered_scan(d, ["job_id"], day_block("us"), ["us", "event_id"], spread=spread, leads={"__next": F.col("us")})
+    e, large = _timed(events)
+    d = _durations(e, large).filter("is_start")
+    d = ordered_scan(d, ["job_id"], ["us", "event_id"], large=large, leads={"__next": F.col("us")})
     return d.select("job_id", "stage", "us", F.floor((F.col("__next") - F.col("us")) / 1000).cast("long").alias("ms"))
 
 
@@ -206,7 +207,7 @@ def stage_latency(spans: DataFrame) -> DataFrame:
     """
     s = spans.filter(F.col("ms").isNotNull()).select("stage", "ms")
     basic = s.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("sum_ms"), F.max("ms").alias("max_ms"))
-    pct = exact_percentiles(s, ["stage"], "ms", F.floor(F.col("ms") / 1_000_000), {"p50_ms": 0.5, "p95_ms": 0.95})
+    pct = exact_percentiles(s, ["stage"], "ms", {"p50_ms": 0.5, "p95_ms": 0.95})
     return basic.join(pct, "stage")
 
 
@@ -240,7 +241,7 @@ def cache_lookup(requests: DataFrame, results: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- as-of rules
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], us: str, value: Column, name: str, tie: str, spread: bool | None = None) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], us: str, value: Column, name: str, tie: str) -> DataFrame:
     """Add to ``left`` the value of the last ``right`` row of the same key not later than it.
 
     Both sides become one ordered stream; at equal times the right side comes first.
@@ -250,7 +251,7 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], us: str, value:
     empty = F.lit(None).cast(ls.schema["__row"].dataType)
     rs = right.select(*keys, us, F.lit(0).alias("__side"), F.lit("").alias("__tie"), empty.alias("__row"), value.alias("__v"))
     both = ls.unionByName(rs)
-    d = ordered_scan(both, list(keys), day_block(us), [us, "__side", "__tie"], spread=spread, lasts={name: F.col("__v")})
+    d = ordered_scan(both, list(keys), [us, "__side", "__tie"], lasts={name: F.col("__v")})
     return d.filter(F.col("__side") == 1).select(*keys, us, *[F.col("__row")[c].alias(c) for c in cols], name)
 
 
@@ -278,14 +279,14 @@ def suppress_errors(errors: DataFrame, replaces: DataFrame, grace_ms: int = 12_0
     return j.withColumn("shown", ~F.coalesce(hidden, F.lit(False))).drop("last")
 
 
-def cancel_tab_work(jobs: DataFrame, navigations: DataFrame, spread: bool | None = None) -> DataFrame:
+def cancel_tab_work(jobs: DataFrame, navigations: DataFrame) -> DataFrame:
     """Jobs aborted because their tab moved on while they were open.
 
     ``jobs``: job_id, tab_id, opened_us, closed_us (null while open); ``navigations``: tab_id, us.
     """
     j = jobs.select("tab_id", F.col("opened_us").alias("us"), F.lit(1).alias("__side"), F.col("job_id").cast("string").alias("__tie"), "job_id", "closed_us", F.lit(None).cast("long").alias("__nav"))
     n = navigations.select("tab_id", "us", F.lit(2).alias("__side"), F.lit("").alias("__tie"), F.lit(None).cast(j.schema["job_id"].dataType).alias("job_id"), F.lit(None).cast("long").alias("closed_us"), F.col("us").alias("__nav"))
-    d = ordered_scan(j.unionByName(n), ["tab_id"], day_block("us"), ["us", "__side", "__tie"], spread=spread, suffix_mins={"aborted_us": F.col("__nav")})
+    d = ordered_scan(j.unionByName(n), ["tab_id"], ["us", "__side", "__tie"], suffix_mins={"aborted_us": F.col("__nav")})
     hit = (F.col("__side") == 1) & F.col("aborted_us").isNotNull() & (F.col("closed_us").isNull() | (F.col("aborted_us") < F.col("closed_us")))
     return d.filter(hit).select("job_id", "tab_id", "aborted_us")
 
@@ -298,14 +299,14 @@ def throttle(events: DataFrame, keys: Sequence[str], us: str, tie: str, every_us
     """
     from pagelayout.operators.folds import ordered_label
 
-    spread = has_hot_key(events, list(keys))
     force = F.lit(False) if forced is None else forced
     e = events.withColumn("__force", F.coalesce(force, F.lit(False)))
-    order, block = [us, tie], day_block(us)
-    d = ordered_scan(e, list(keys), block, order, spread=spread, lags={"__p": F.col(us)})
+    order = [us, tie]
+    large = large_keys(e, list(keys), order)
+    d = ordered_scan(ranged(e, list(keys), order, large), list(keys), order, large=large, lags={"__p": F.col(us)})
     fresh = F.col("__p").isNull() | (F.col(us) - F.col("__p") >= every_us)
     d = d.withColumn("__new", F.when(fresh, 1).otherwise(0)).drop("__p")
-    d = ordered_scan(d, list(keys), block, order, spread=spread, sums={"__run": F.col("__new")})
+    d = unranged(ordered_scan(d, list(keys), order, large=large, sums={"__run": F.col("__new")}))
     d = d.withColumn("__run", F.col("__run") + F.col("__new")).drop("__new")
 
     def make():

@@ -1,21 +1,22 @@
 """Boxes to lines, lines to paragraphs, paragraphs to page text.
 
-Everything is keyed by ``image_id``.  Ordered steps use blocked scans, so a page holding a large share of
+Everything is keyed by ``image_id``.  Ordered steps use scans over ranges, so a page holding a large share of
 all boxes is spread over its height instead of landing in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import is_blank, steady, trim_ws
 from pagelayout.operators.folds import ordered_label
-from pagelayout.operators.scans import cut, has_hot_key, join_same, ordered_scan, with_group_stats
+from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
 
 MIN_CONFIDENCE = 0.35
 LINE_REACH = 0.55
-BAND_PX = 4096
 
 
 # ---------------------------------------------------------------- boxes
@@ -117,64 +118,72 @@ def _line_labels():
     return step
 
 
-def group_lines(boxes: DataFrame, spread: bool | None = None) -> DataFrame:
-    """Add ``line_no`` (reading order, 0-based) to filtered boxes.
+LINE = ["__top", "__island", "__sub"]
+
+
+def _centred(boxes: DataFrame) -> DataFrame:
+    return boxes.withColumns({"__cy": (F.col("t") + F.col("b")) / 2.0, "__h": F.greatest(F.lit(1.0), F.col("b") - F.col("t"))})
+
+
+def large_pages(boxes: DataFrame) -> DataFrame | None:
+    """Pages that are cut in ranges of their height, for all steps from boxes to lines."""
+    return large_keys(_centred(boxes), ["image_id"], ["__cy", "l", "box_id"])
+
+
+def box_lines(boxes: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Boxes with the line they are in: its top edge, island and place in the island.
 
     The rule is sequential (first match against running means), but a page falls apart exactly where no box
     below can reach any line above: those *islands* are found with ordered scans.  An island flatter than the
     reach of its smallest box is one line by itself; only the others are folded in Python.
     """
-    if spread is None:
-        spread = has_hot_key(boxes, ["image_id"])
     slack = 1e-6
     cy, h = F.col("__cy"), F.col("__h")
-    b = boxes.withColumns({"__cy": (F.col("t") + F.col("b")) / 2.0, "__h": F.greatest(F.lit(1.0), F.col("b") - F.col("t"))})
-    order = ["__cy", "l", "box_id"]
-    band = F.floor(cy / BAND_PX)
+    keys, order = ["image_id"], ["__cy", "l", "box_id"]
+    d = ranged(_centred(boxes), keys, order, large)
     d = ordered_scan(
-        b, ["image_id"], band, order, spread=spread,
+        d, keys, order, large=large,
         maxs={"__down": cy + h * LINE_REACH + slack},
         suffix_mins={"__up": cy - h * LINE_REACH - slack},
         lags={"__prev": cy},
     )
     first = F.col("__prev").isNull() | ((cy > F.col("__down")) & (F.col("__up") > F.col("__prev")))
     d = d.withColumn("__start", F.when(first, 1).otherwise(0)).drop("__down", "__up", "__prev")
-    d = ordered_scan(d, ["image_id"], band, order, spread=spread, sums={"__island": F.col("__start")})
+    d = ordered_scan(d, keys, order, large=large, sums={"__island": F.col("__start")})
     d = d.withColumn("__island", F.col("__island") + F.col("__start")).drop("__start")
-
-    d = with_group_stats(d, ["image_id", "__island"], spread, {
-        "__low": F.min("__cy"), "__high": F.max("__cy"), "__least": F.min("__h"), "__tallest": F.max("__h"),
-    })
+    d = group_stats(d, keys, ["__island"], {"__low": ("min", cy), "__high": ("max", cy), "__least": ("min", h), "__tallest": ("max", h), "__top": ("min", F.col("t"))}, large)
+    d = unranged(d)
     flat = F.col("__high") - F.col("__low") <= F.col("__least") * LINE_REACH - slack
     easy = d.filter(flat).withColumn("__sub", F.lit(0).cast("long"))
     hard = ordered_label(d.filter(~flat), ["image_id", "__island"], order, ["__cy", "__h", "__tallest"], _line_labels, "__sub")
-    placed = easy.unionByName(hard).drop("__low", "__high", "__least", "__tallest", "__cy", "__h")
-    if not spread:
-        # One shuffle by page serves the two windows below; the union has lost the partitioning.
-        placed = placed.repartition("image_id")
-    placed = with_group_stats(placed, ["image_id", "__island", "__sub"], spread, {"__top": F.min("t")})
-    line = ["__top", "__island", "__sub"]
-    if not spread:
-        rank = F.dense_rank().over(W.partitionBy("image_id").orderBy(*line))
-        return placed.withColumn("line_no", rank.cast("long") - 1).drop(*line)
-    placed = cut(placed)
-    tops = placed.select("image_id", *line).distinct()
-    numbered = ordered_scan(tops, ["image_id"], F.floor(F.col("__top") / BAND_PX), line, spread=True, number="line_no")
-    return join_same(placed, numbered, ["image_id", *line]).drop(*line)
-
-
-def reading_order(boxes_with_lines: DataFrame, spread: bool | None = None) -> DataFrame:
+    hard = hard.withColumn("__top", F.min("t").over(W.partitionBy("image_id", "__island", "__sub")))
+    return easy.unionByName(hard).drop("__low", "__high", "__least", "__tallest", "__h")
+
+
+def group_lines(boxes: DataFrame) -> DataFrame:
+    """Add ``line_no`` (reading order, 0-based) to filtered boxes."""
+    large = large_pages(boxes)
+    order = [*LINE, "__cy", "l", "box_id"]
+    d = ranged(box_lines(boxes, large), ["image_id"], order, large, at=F.col("__top"))
+    d = ordered_scan(d, ["image_id"], order, large=large, lags={"__before": F.struct(*LINE)})
+    d = d.withColumn("__new", F.when(F.col("__before").eqNullSafe(F.struct(*LINE)), 0).otherwise(1)).drop("__before")
+    d = ordered_scan(d, ["image_id"], order, large=large, sums={"line_no": F.col("__new")})
+    d = d.withColumn("line_no", (F.col("line_no") + F.col("__new") - 1).cast("long"))
+    return unranged(d).drop(*LINE, "__cy", "__new")
+
+
+def reading_order(boxes_with_lines: DataFrame) -> DataFrame:
     """Position of each box on its page: line by line, left to right."""
     cy = (F.col("t") + F.col("b")) / 2.0
     d = boxes_with_lines.withColumn("__cy", cy)
-    return ordered_scan(d, ["image_id"], F.floor(F.col("line_no") / 256), ["line_no", "l", "__cy", "box_id"], spread=spread, number="position").drop("__cy")
+    return ordered_scan(d, ["image_id"], ["line_no", "l", "__cy", "box_id"], number="position").drop("__cy")
 
 
-def line_table(boxes_with_lines: DataFrame) -> DataFrame:
-    """One row per line: bounds, joined text, mean box angle."""
+def line_table(boxes_with_lines: DataFrame, line: Sequence[str] = ("line_no",), more: Sequence[Column] = ()) -> DataFrame:
+    """One row per line: bounds, joined text, mean box angle, and aggregates asked for in ``more``."""
     cy = (F.col("t") + F.col("b")) / 2.0
     words = F.array_sort(F.collect_list(F.struct("l", cy.alias("cy"), "box_id", trim_ws(F.coalesce("text", F.lit(""))).alias("s"))))
-    return boxes_with_lines.groupBy("image_id", "line_no").agg(
+    return boxes_with_lines.groupBy("image_id", *line).agg(
         F.min("l").alias("l"),
         F.min("t").alias("t"),
         F.max("r").alias("r"),
@@ -182,6 +191,7 @@ def line_table(boxes_with_lines: DataFrame) -> DataFrame:
         F.avg(F.coalesce("angle_deg", F.lit(0.0))).alias("angle_deg"),
         F.array_join(F.transform(F.filter(words, lambda x: x["s"] != ""), lambda x: x["s"]), " ").alias("text"),
         F.count(F.lit(1)).alias("n_boxes"),
+        *more,
     )
 
 
@@ -192,13 +202,10 @@ def line_angle(boxes_with_lines: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- paragraphs
 
 
-def group_paragraphs(lines: DataFrame, spread: bool | None = None) -> DataFrame:
-    """Add ``para_index`` and ``item_index``: a line joins the paragraph of the line before it if near and overlapping."""
-    if spread is None:
-        spread = has_hot_key(lines, ["image_id"])
-    block = F.floor(F.col("line_no") / 1024)
+def _paragraphs(lines: DataFrame, large: DataFrame | None) -> DataFrame:
+    """``group_paragraphs`` on ranged lines."""
     keep = lines.columns
-    d = ordered_scan(lines, ["image_id"], block, ["line_no"], spread=spread, lags={"__p": F.struct("l", "r", "b")})
+    d = ordered_scan(lines, ["image_id"], ["line_no"], large=large, lags={"__p": F.struct("l", "r", "b")})
     p = F.col("__p")
     height = F.greatest(F.lit(1.0), F.col("b") - F.col("t"))
     overlap = F.greatest(F.lit(0.0), F.least("r", p["r"]) - F.greatest("l", p["l"]))
@@ -206,7 +213,7 @@ def group_paragraphs(lines: DataFrame, spread: bool | None = None) -> DataFrame:
     same = (F.col("t") - p["b"] <= height * 0.95) & (overlap / narrow >= 0.20)
     d = d.withColumn("__new", F.when(p.isNull() | ~same, 1).otherwise(0)).select(*keep, "__new")
     start_no = F.when(F.col("__new") == 1, F.col("line_no"))
-    d = ordered_scan(d, ["image_id"], block, ["line_no"], spread=spread, sums={"__n": F.col("__new")}, lasts={"__start": start_no})
+    d = ordered_scan(d, ["image_id"], ["line_no"], large=large, sums={"__n": F.col("__new")}, lasts={"__start": start_no})
     return d.select(
         *keep,
         (F.col("__n") + F.col("__new") - 1).cast("int").alias("para_index"),
@@ -214,16 +221,31 @@ def group_paragraphs(lines: DataFrame, spread: bool | None = None) -> DataFrame:
     )
 
 
-def text_offsets(lines: DataFrame, spread: bool | None = None) -> DataFrame:
-    """Add ``start_raw``/``end_raw`` over the page text; blank lines take no room."""
+def _offsets(lines: DataFrame, large: DataFrame | None) -> DataFrame:
+    """``text_offsets`` on ranged lines."""
     room = F.when(is_blank("text"), 0).otherwise(F.length("text") + 2)
-    d = ordered_scan(lines, ["image_id"], F.floor(F.col("line_no") / 1024), ["line_no"], spread=spread, sums={"start_raw": room})
+    d = ordered_scan(lines, ["image_id"], ["line_no"], large=large, sums={"start_raw": room})
     return d.withColumns({
         "start_raw": F.col("start_raw").cast("int"),
         "end_raw": (F.col("start_raw") + F.when(is_blank("text"), 0).otherwise(F.length("text"))).cast("int"),
     })
 
 
+def _by_line(lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    large = large_keys(lines, ["image_id"], ["line_no"])
+    return ranged(lines, ["image_id"], ["line_no"], large), large
+
+
+def group_paragraphs(lines: DataFrame) -> DataFrame:
+    """Add ``para_index`` and ``item_index``: a line joins the paragraph of the line before it if near and overlapping."""
+    return unranged(_paragraphs(*_by_line(lines)))
+
+
+def text_offsets(lines: DataFrame) -> DataFrame:
+    """Add ``start_raw``/``end_raw`` over the page text; blank lines take no room."""
+    return unranged(_offsets(*_by_line(lines)))
+
+
 def paragraph_table(lines: DataFrame) -> DataFrame:
     """One row per paragraph from lines that carry paragraph and offset columns."""
     full = ~is_blank("text")
@@ -379,12 +401,15 @@ def assemble_layout(paras: DataFrame, items: DataFrame, spans: DataFrame) -> Dat
     )
 
 
-def layout_from_boxes(boxes: DataFrame, spread: bool | None = None) -> DataFrame:
+def layout_from_boxes(boxes: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
     """Filtered boxes to lines that carry paragraph, item and text-offset columns.
 
-    A page has no more lines than boxes, so one count decides for all steps.
+    Lines are made before they are numbered, so only lines, not boxes, are put in the order of the page; one exchange
+    serves the numbering, the paragraphs and the offsets. ``more``: further aggregates of a line's boxes.
     """
-    if spread is None:
-        spread = has_hot_key(boxes, ["image_id"])
-    lines = line_table(group_lines(boxes, spread))
-    return text_offsets(group_paragraphs(lines, spread), spread)
+    large = large_pages(boxes)
+    lines = line_table(box_lines(boxes, large), LINE, more)
+    lines = ranged(lines, ["image_id"], LINE, large, at=F.col("__top"))
+    lines = ordered_scan(lines, ["image_id"], LINE, large=large, number="line_no").drop(*LINE)
+    lines = lines.select("image_id", "line_no", *[c for c in lines.columns if c not in ("image_id", "line_no")])
+    return unranged(_offsets(_paragraphs(lines, large), large))

@@ -9,7 +9,7 @@ from pagelayout.functions.exprs import is_blank
 from pagelayout.functions.keys import export_name
 from pagelayout.functions.text import html_escape
 from pagelayout.operators.geometry import SMALL_ANGLE, oriented_bounds
-from pagelayout.operators.scans import ordered_scan, with_group_stats
+from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
 
 BASE_PX = 96
 
@@ -61,15 +61,16 @@ def median_font_size(items: DataFrame) -> DataFrame:
     return listed.select("image_id", "para_index", walk["hit"].alias("font_px"))
 
 
-def word_boxes(words: DataFrame, spread: bool | None = None) -> DataFrame:
+def word_boxes(words: DataFrame) -> DataFrame:
     """Boxes of the words of a line: shares t0..t1 of the line from summed widths, centred where the line is wider.
 
     Reads image_id, para_index, item_index, word_no, kind (word or space), text, width_px (scaled), and the line's
     left/top/width/height fractions and w.
     """
     keys = ["image_id", "para_index", "item_index"]
-    d = ordered_scan(words, keys, F.floor(F.col("word_no") / 4096), ["word_no"], spread=spread, sums={"__x": F.col("width_px")})
-    d = with_group_stats(d, keys, bool(spread), {"__total": F.sum("width_px")})
+    large = large_keys(words, keys, ["word_no"])
+    d = ordered_scan(ranged(words, keys, ["word_no"], large), keys, ["word_no"], large=large, sums={"__x": F.col("width_px")})
+    d = unranged(group_stats(d, keys, [], {"__total": ("sum", F.col("width_px"))}, large))
     line = F.col("width") * F.col("w")
     margin = F.when(F.col("__total") < line, (line - F.col("__total")) / 2.0).otherwise(0.0)
     t0 = F.try_divide(margin + F.col("__x"), line)

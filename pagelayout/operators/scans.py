@@ -1,9 +1,14 @@
-"""Ordered scans that stay parallel when one key holds a large share of the rows.
+"""Ordered scans for keys of every size.
 
-A plain window sorts all rows of a key in one task.  That is the cheapest plan while keys are small, and it
-is used when a count shows that no key exceeds ``HOT_ROWS``.  Otherwise a key's rows are cut in *blocks*
-along the order: a local window runs per (key, block), one summary row per block is scanned per key, and
-the summary is joined back, so only the summaries of a key ever meet in one task.
+A plain window sorts all rows of a key in one task.  Here a key that holds more than a task's fair share of the rows is
+cut in *ranges* of its order at splitters from a sample, so that a range never holds much more than a fair share,
+whatever the order's values are; all other keys are one range.  A local window runs per range, and one summary row per range
+is scanned per key and joined back, so only the summaries of a key ever meet in one task.
+
+The sample (the rows with the smallest hashes, a number fixed by the number of tasks) is taken before the plan is made: each scan
+refers to its rows twice, for the rows and for their summaries, which would double a lazy plan with every further scan. So a
+frame with large keys is written between scans, and one without is left with plain windows. What is large follows the share of
+a key, never its number of rows.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-# Rows of one key that a single sorting task handles well (it spills, but does not stall the stage).
-HOT_ROWS = 2_000_000
+SAMPLES_PER_TASK = 64  # rows of the sample per task of a shuffle
+RANGE_SAMPLES = 16  # of them to a range; a key is cut if it has those of a whole task
+MOST_SAMPLES = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,12 +50,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def has_hot_key(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
-    """Does any key hold more rows than one task should sort? Counts are combined before the shuffle."""
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    return not df.groupBy(*keys).count().filter(F.col("count") > limit).isEmpty()
-
-
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``left`` with the other columns of ``right``, where all ``keys`` are the same; null is the same as null."""
     other = right.withColumnsRenamed({k: f"__same_{k}" for k in keys})
@@ -57,13 +57,80 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(other, on, how).drop(*[f"__same_{k}" for k in keys])
 
 
+# ---------------------------------------------------------------- ranges of large keys
+
+
+def _key(keys: Sequence[str]) -> Column:
+    """All keys in one struct, which is never null itself, so null keys meet like any others."""
+    return F.struct(*keys)
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame | None:
+    """(__key, __cuts): keys that hold more than a task's fair share of the rows, with places along ``order`` that cut them; None if there are none.
+
+    At most as many rows as the sample has.
+    """
+    spark = df.sparkSession
+    size = min(SAMPLES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")), MOST_SAMPLES)
+    place = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    rows = df.select(_key(keys).alias("__key"), place.alias("__place"), F.xxhash64(*keys, *order).alias("__hash"))
+    sample = rows.orderBy("__hash", "__key", "__place").limit(size)
+    cuts = sample.groupBy("__key").agg(F.array_sort(F.collect_list("__place")).alias("__cuts"))
+    picked = F.filter("__cuts", lambda c, i: i % RANGE_SAMPLES == RANGE_SAMPLES - 1)
+    cuts = cuts.filter(F.size("__cuts") >= SAMPLES_PER_TASK).select("__key", picked.alias("__cuts"))
+    found = cuts.collect()
+    return spark.createDataFrame(found, cuts.schema) if found else None
+
+
+def _rank(cuts: str, place: Column, first_only: bool) -> Column:
+    """How many cuts lie at or below ``place``: a binary search."""
+
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        at = F.get(F.col(cuts), middle)
+        below = F.coalesce((at["o0"] if first_only else at) <= place, F.lit(True))
+        more = s["lo"] < s["hi"]
+        return F.struct(F.when(more & below, middle + 1).otherwise(s["lo"]).alias("lo"), F.when(more & ~below, middle).otherwise(s["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_SAMPLES.bit_length())), start, step, lambda s: s["lo"])
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], large: DataFrame | None, at: Column | None = None) -> DataFrame:
+    """Add ``__key`` and ``__block``, the range of a row, if there are large keys; scans of the result keep both columns.
+
+    ``at``: a value to be compared with the first order column of the cuts, never falling along the order of the scans that follow.
+    """
+    if large is None:
+        return df
+    if at is None:
+        place, first_only = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)]), False
+    else:
+        place, first_only = at, True
+    d = df.withColumn("__key", _key(keys)).join(F.broadcast(large), "__key", "left")
+    block = F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(_rank("__cuts", place, first_only))
+    return d.withColumn("__block", block).drop("__cuts")
+
+
+def unranged(df: DataFrame) -> DataFrame:
+    return df.drop("__key", "__block")
+
+
+def _of_large(d: DataFrame, large: DataFrame) -> DataFrame:
+    return d.join(F.broadcast(large.select("__key")), "__key", "left_semi")
+
+
+# ---------------------------------------------------------------- scans
+
+SAMPLE = "sample"  # large keys are yet to be found
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
-    block: Column,
     order: Sequence[str],
     *,
-    spread: bool | None = None,
+    large: DataFrame | str | None = SAMPLE,
     sums: Mapping[str, Column] | None = None,
     maxs: Mapping[str, Column] | None = None,
     suffix_mins: Mapping[str, Column] | None = None,
@@ -72,10 +139,9 @@ def ordered_scan(
     lasts: Mapping[str, Column] | None = None,
     number: str | None = None,
 ) -> DataFrame:
-    """Add ordered columns to ``df``.
+    """Add ordered columns to ``df``; if it is the result of ``ranged``, with the same ``large``.
 
-    ``block`` must not decrease along ``order`` within a key; ``order`` must be total within a key; null keys
-    are one key.  ``spread`` says whether keys must be cut in blocks; by default that is found out by counting.
+    ``order`` must be total within a key; null keys are one key.
 
     sums         sum over the earlier rows (0 for the first)
     maxs         maximum over the earlier rows (null for the first)
@@ -84,98 +150,74 @@ def ordered_scan(
     lasts        last non-null value over the earlier rows and this one
     number       0-based position
     """
-    if spread is None:
-        spread = has_hot_key(df, keys)
-    given = dict(sums=sums, maxs=maxs, suffix_mins=suffix_mins, lags=lags, leads=leads, lasts=lasts, number=number)
-    if spread:
-        return _blocked(cut(df), keys, block, order, **given)
-    return _windowed(df, keys, order, **given)
-
-
-def _windowed(df, keys, order, *, sums, maxs, suffix_mins, lags, leads, lasts, number) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*[F.col(o).asc() for o in order])
-    back = W.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(W.unboundedPreceding, 0)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    new: dict[str, Column] = {}
-    for name, c in (sums or {}).items():
-        new[name] = F.coalesce(F.sum(c).over(before), F.lit(0))
-    for name, c in (maxs or {}).items():
-        new[name] = F.max(c).over(before)
-    for name, c in (suffix_mins or {}).items():
-        new[name] = F.min(c).over(back)
-    for name, c in (lags or {}).items():
-        new[name] = F.lag(c).over(w)
-    for name, c in (leads or {}).items():
-        new[name] = F.lead(c).over(w)
-    for name, c in (lasts or {}).items():
-        new[name] = F.last(c, ignorenulls=True).over(upto)
-    if number:
-        new[number] = F.row_number().over(w).cast("long") - 1
-    kept = [c for c in df.columns if c not in new]
-    return df.select(*kept, *[c.alias(n) for n, c in new.items()])
-
+    if isinstance(large, str):
+        large = large_keys(df, keys, order)
+    own = "__block" not in df.columns
+    bk = list(keys) if large is None else ["__key", "__block"]
+    d = df if large is None else cut(ranged(df, keys, order, large) if own else df)
 
-def _blocked(df, keys, block, order, *, sums, maxs, suffix_mins, lags, leads, lasts, number) -> DataFrame:
     sums = dict(sums or {})
-    maxs, mins = dict(maxs or {}), dict(suffix_mins or {})
-    lags, leads, lasts = dict(lags or {}), dict(leads or {}), dict(lasts or {})
     if number:
         sums[number] = F.lit(1).cast("long")
-    bk = [*keys, "__block"]
-    asc = [F.col(o).asc() for o in order]
-    desc = [F.col(o).desc() for o in order]
-
-    d = df.withColumn("__block", block)
     pos = F.struct(*order)
-    local = W.partitionBy(*bk).orderBy(*asc)
-    back = W.partitionBy(*bk).orderBy(*desc).rowsBetween(W.unboundedPreceding, 0)
+    local = W.partitionBy(*bk).orderBy(*[F.col(o).asc() for o in order])
+    back = W.partitionBy(*bk).orderBy(*[F.col(o).desc() for o in order]).rowsBetween(W.unboundedPreceding, 0)
     before = local.rowsBetween(W.unboundedPreceding, -1)
     upto = local.rowsBetween(W.unboundedPreceding, 0)
-    kw = W.partitionBy(*keys).orderBy("__block")
+    kw = W.partitionBy("__key").orderBy("__block")
     kbefore = kw.rowsBetween(W.unboundedPreceding, -1)
-    kback = W.partitionBy(*keys).orderBy(F.col("__block").desc()).rowsBetween(W.unboundedPreceding, -1)
-
-    aggs: list[Column] = []
-    carry: list[Column] = []
-    local_cols: dict[str, Column] = {}
-    final: dict[str, Column] = {}
-    for name, col in sums.items():
-        local_cols[f"__s_{name}"] = F.sum(col).over(before)
-        aggs.append(F.sum(col).alias(f"__a_{name}"))
-        carry.append(F.sum(f"__a_{name}").over(kbefore).alias(f"__c_{name}"))
-        zero = F.lit(0)
-        final[name] = F.coalesce(F.col(f"__c_{name}"), zero) + F.coalesce(F.col(f"__s_{name}"), zero)
-    for name, col in maxs.items():
-        local_cols[f"__s_{name}"] = F.max(col).over(before)
-        aggs.append(F.max(col).alias(f"__a_{name}"))
-        carry.append(F.max(f"__a_{name}").over(kbefore).alias(f"__c_{name}"))
-        final[name] = F.greatest(F.col(f"__c_{name}"), F.col(f"__s_{name}"))
-    for name, col in mins.items():
-        local_cols[f"__s_{name}"] = F.min(col).over(back)
-        aggs.append(F.min(col).alias(f"__a_{name}"))
-        carry.append(F.min(f"__a_{name}").over(kback).alias(f"__c_{name}"))
-        final[name] = F.least(F.col(f"__c_{name}"), F.col(f"__s_{name}"))
-    for name, col in lags.items():
-        local_cols[f"__s_{name}"] = F.lag(F.struct(col.alias("v"))).over(local)
-        aggs.append(F.max_by(F.struct(col.alias("v")), pos).alias(f"__a_{name}"))
-        carry.append(F.lag(f"__a_{name}").over(kw).alias(f"__c_{name}"))
-        final[name] = F.coalesce(F.col(f"__s_{name}"), F.col(f"__c_{name}"))["v"]
-    for name, col in leads.items():
-        local_cols[f"__s_{name}"] = F.lead(F.struct(col.alias("v"))).over(local)
-        aggs.append(F.min_by(F.struct(col.alias("v")), pos).alias(f"__a_{name}"))
-        carry.append(F.lead(f"__a_{name}").over(kw).alias(f"__c_{name}"))
-        final[name] = F.coalesce(F.col(f"__s_{name}"), F.col(f"__c_{name}"))["v"]
-    for name, col in lasts.items():
-        local_cols[f"__s_{name}"] = F.last(col, ignorenulls=True).over(upto)
-        aggs.append(F.max_by(col, F.when(col.isNotNull(), pos)).alias(f"__a_{name}"))
-        carry.append(F.last(f"__a_{name}", ignorenulls=True).over(kbefore).alias(f"__c_{name}"))
-        final[name] = F.coalesce(F.col(f"__s_{name}"), F.col(f"__c_{name}"))
-
-    totals = d.groupBy(*bk).agg(*aggs).select(*bk, *carry)
-    out = join_same(d.select("*", *[c.alias(n) for n, c in local_cols.items()]), totals, bk, "left")
-    names = [c for c in df.columns if c not in final]
-    return out.select(*names, *[c.alias(n) for n, c in final.items()])
+    kafter = kw.rowsBetween(1, W.unboundedFollowing)
+
+    # per column: value within the range, summary of a range, what the other ranges add, both together
+    parts: dict[str, tuple[Column, Column, object, object]] = {}
+    for name, c in sums.items():
+        parts[name] = (F.sum(c).over(before), F.sum(c), lambda a: F.sum(a).over(kbefore), lambda own_, other: F.coalesce(other, F.lit(0)) + F.coalesce(own_, F.lit(0)))
+    for name, c in (maxs or {}).items():
+        parts[name] = (F.max(c).over(before), F.max(c), lambda a: F.max(a).over(kbefore), lambda own_, other: F.greatest(other, own_))
+    for name, c in (suffix_mins or {}).items():
+        parts[name] = (F.min(c).over(back), F.min(c), lambda a: F.min(a).over(kafter), lambda own_, other: F.least(other, own_))
+    for name, c in (lags or {}).items():
+        held = F.struct(c.alias("v"))
+        parts[name] = (F.lag(held).over(local), F.max_by(held, pos), lambda a: F.lag(a).over(kw), lambda own_, other: F.coalesce(own_, other)["v"])
+    for name, c in (leads or {}).items():
+        held = F.struct(c.alias("v"))
+        parts[name] = (F.lead(held).over(local), F.min_by(held, pos), lambda a: F.lead(a).over(kw), lambda own_, other: F.coalesce(own_, other)["v"])
+    for name, c in (lasts or {}).items():
+        parts[name] = (F.last(c, ignorenulls=True).over(upto), F.max_by(c, F.when(c.isNotNull(), pos)), lambda a: F.last(a, ignorenulls=True).over(kbefore), lambda own_, other: F.coalesce(own_, other))
+
+    names = [c for c in (df.columns if own else d.columns) if c not in parts]
+    scanned = d.select("*", *[p[0].alias(f"__s_{n}") for n, p in parts.items()])
+    if large is None:
+        return scanned.select(*names, *[p[3](F.col(f"__s_{n}"), F.lit(None)).alias(n) for n, p in parts.items()])
+    totals = _of_large(d, large).groupBy(*bk).agg(*[p[1].alias(f"__a_{n}") for n, p in parts.items()])
+    totals = totals.select(*bk, *[p[2](F.col(f"__a_{n}")).alias(f"__c_{n}") for n, p in parts.items()])
+    out = scanned.join(totals, bk, "left")
+    return out.select(*names, *[p[3](F.col(f"__s_{n}"), F.col(f"__c_{n}")).alias(n) for n, p in parts.items()])
+
+
+_MERGE = {"min": F.min, "max": F.max, "sum": F.sum, "or": F.bit_or}
+
+
+def group_stats(d: DataFrame, keys: Sequence[str], group: Sequence[str], stats: Mapping[str, tuple[str, Column]], large: DataFrame | None) -> DataFrame:
+    """Add aggregates (``min``, ``max``, ``sum`` or bitwise ``or`` of a column) of a row's group to the result of ``ranged``.
+
+    Groups lie within a key and are contiguous in its order; without group columns the key is the group. Only groups that go over a range's
+    border meet again, as one row per range.
+    """
+    if large is None:
+        w = W.partitionBy(*keys, *group)
+        return d.select("*", *[_MERGE[k](c).over(w).alias(n) for n, (k, c) in stats.items()])
+    d = cut(d)
+    bk = ["__key", "__block"]
+    w = W.partitionBy(*bk, *group)
+    name = F.struct(*group) if group else F.lit(0)
+    partial = _of_large(d, large).groupBy(*bk, *group).agg(*[_MERGE[k](c).alias(n) for n, (k, c) in stats.items()])
+    wide = partial.groupBy("__key", *group).agg(*[_MERGE[k](n).alias(n) for n, (k, _) in stats.items()], F.collect_list("__block").alias("__blocks"))
+    wide = wide.filter(F.size("__blocks") > 1).select("__key", F.explode("__blocks").alias("__block"), F.struct(name.alias("k"), F.struct(*stats).alias("v")).alias("__e"))
+    wide = wide.groupBy(*bk).agg(F.map_from_entries(F.collect_list("__e")).alias("__wide"))
+    out = d.select("*", *[_MERGE[k](c).over(w).alias(f"__l_{n}") for n, (k, c) in stats.items()]).join(wide, bk, "left")
+    found = F.try_element_at("__wide", name)
+    return out.select(*d.columns, *[F.when(found.isNull(), F.col(f"__l_{n}")).otherwise(found[n]).alias(n) for n in stats])
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, tie: Sequence[str], salts: int = 64) -> DataFrame:
@@ -202,18 +244,18 @@ def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str], descendin
     return one.select(*[F.col(k) if k in keys else F.col("__row")[k].alias(k) for k in df.columns])
 
 
-def distribution(df: DataFrame, keys: Sequence[str], value: str, block: Column) -> DataFrame:
+def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Value counts per key with the rank range of each value: ``lo`` (0-based) .. ``hi`` (exclusive)."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    scanned = ordered_scan(counts, keys, block, [value], sums={"lo": F.col("n")})
+    scanned = ordered_scan(counts, keys, [value], sums={"lo": F.col("n")})
     return scanned.withColumn("hi", F.col("lo") + F.col("n"))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, block: Column, points: Mapping[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, points: Mapping[str, float]) -> DataFrame:
     """Interpolated percentiles per key without gathering a key's values."""
-    dist = distribution(df, keys, value, block)
+    dist = distribution(df, keys, value)
     total = dist.groupBy(*keys).agg(F.max("hi").alias("__n"))
-    d = dist.join(total, on=list(keys))
+    d = join_same(dist, total, list(keys))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col(value)))
@@ -229,12 +271,3 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, block: Col
         frac = rank - F.floor(rank)
         cols.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * frac).alias(name))
     return out.select(*keys, *cols)
-
-
-def with_group_stats(df: DataFrame, keys: Sequence[str], spread: bool, stats: Mapping[str, Column]) -> DataFrame:
-    """Add aggregates of a row's group: by window while groups are small, else pre-aggregated and joined back."""
-    if not spread:
-        w = W.partitionBy(*keys)
-        return df.select("*", *[c.over(w).alias(n) for n, c in stats.items()])
-    df = cut(df)
-    return join_same(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)

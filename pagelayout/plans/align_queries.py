@@ -20,7 +20,7 @@ def trans_list(spark: SparkSession, sf: str) -> DataFrame:
     from pagelayout.operators.scans import ordered_scan
 
     s = views.segments(spark, sf).filter(F.col("target").isNotNull())
-    s = ordered_scan(s, ["image_id"], F.floor(F.col("para_index") / 1024), ["para_index"], number="pos")
+    s = ordered_scan(s, ["image_id"], ["para_index"], number="pos")
     known = (F.col("image_id") + F.col("para_index")) % 3 != 0
     return s.select("image_id", "pos", F.when(known, F.col("para_index")).alias("para_index"), F.col("target").alias("text"))
 

@@ -297,7 +297,7 @@ def q_word_boxes(spark: SparkSession, sf: str) -> DataFrame:
     i = views.items(spark, sf)
     toks = i.select("image_id", "para_index", "item_index", "w", "left", "top", "width", "height", F.posexplode(F.regexp_extract_all("text", F.lit(" +|[^ ]+"), 0)).alias("word_no", "text"))
     toks = toks.withColumns({"kind": F.when(F.trim("text") == "", "space").otherwise("word"), "width_px": 6.0 * F.length("text")})
-    d = render.word_boxes(toks, spread=False)
+    d = render.word_boxes(toks)
     return d.select("image_id", "para_index", "item_index", "word_no", "text", *[fixed(c, 6).alias(c) for c in ("t0", "t1", "left", "width")])
 
 

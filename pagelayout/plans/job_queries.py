@@ -9,7 +9,6 @@ from pagelayout.functions import errors as er
 from pagelayout.functions import keys as ky
 from pagelayout.functions.exprs import fixed
 from pagelayout.operators import jobs
-from pagelayout.operators.scans import has_hot_key
 from pagelayout.plans.registry import query
 from pagelayout.sources import views
 from pagelayout.sources.views import with_views

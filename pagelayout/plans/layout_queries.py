@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import fixed, steady
 from pagelayout.operators import layout
-from pagelayout.operators.scans import has_hot_key
 from pagelayout.plans.registry import query
 from pagelayout.sources import views
 from pagelayout.sources.views import with_views
@@ -46,17 +45,12 @@ def filtered(spark: SparkSession, sf: str) -> DataFrame:
     return layout.filter_boxes(boxes_with_size(spark, sf))
 
 
-def hot_pages(spark: SparkSession, sf: str) -> bool:
-    """One cheap count on the narrow box keys decides the plan of every layout step."""
-    return has_hot_key(views.boxes(spark, sf), ["image_id"])
-
-
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.group_lines(filtered(spark, sf), hot_pages(spark, sf))
+    return layout.group_lines(filtered(spark, sf))
 
 
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.layout_from_boxes(filtered(spark, sf), hot_pages(spark, sf))
+    return layout.layout_from_boxes(filtered(spark, sf))
 
 
 @query("F1_filter_boxes", sql_upto("filtered", "SELECT image_id, box_id, l, t, r, b FROM filtered"))
@@ -71,7 +65,7 @@ def q_group_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("O1_reading_order", sql_upto("numbered", "SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY line_no, l, box_id) - 1 AS position FROM numbered"))
 def q_reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.reading_order(numbered(spark, sf), hot_pages(spark, sf)).select("image_id", "box_id", "position")
+    return layout.reading_order(numbered(spark, sf)).select("image_id", "box_id", "position")
 
 
 @query("A4_line_angle", sql_upto("lines", "SELECT image_id, line_no, floor(angle_deg*10000+0.5)/10000 AS angle_deg FROM lines"))
@@ -81,14 +75,12 @@ def q_line_angle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W2_group_paragraphs", sql_upto("indexed", "SELECT image_id, line_no, para_index, item_index FROM indexed"))
 def q_group_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    lines = layout.line_table(numbered(spark, sf))
-    return layout.group_paragraphs(lines, hot_pages(spark, sf)).select("image_id", "line_no", "para_index", "item_index")
+    return page_lines(spark, sf).select("image_id", "line_no", "para_index", "item_index")
 
 
 @query("W3_text_offsets", sql_upto("indexed", "SELECT image_id, line_no, start_raw, CAST(start_raw + length(text) AS INTEGER) AS end_raw FROM indexed"))
 def q_text_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    lines = layout.line_table(numbered(spark, sf))
-    return layout.text_offsets(lines, hot_pages(spark, sf)).select("image_id", "line_no", "start_raw", "end_raw")
+    return page_lines(spark, sf).select("image_id", "line_no", "start_raw", "end_raw")
 
 
 @query(
@@ -101,15 +93,14 @@ def q_page_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: one row per page with its lines, paragraphs, characters and average confidence."""
-    kept = filtered(spark, sf)
-    lines = page_lines(spark, sf)
-    per_page = lines.groupBy("image_id").agg(
+    lines = layout.layout_from_boxes(filtered(spark, sf), [F.sum("confidence").alias("conf")])
+    return lines.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         (F.max("para_index") + 1).cast("long").alias("n_paragraphs"),
         F.sum(F.length("text")).alias("n_chars"),
+        steady(F.sum("conf") / F.sum("n_boxes")).alias("avg_confidence"),
+        F.sum("n_boxes").alias("n_boxes"),
     )
-    conf = kept.groupBy("image_id").agg(steady(F.avg("confidence")).alias("avg_confidence"), F.count(F.lit(1)).alias("n_boxes"))
-    return per_page.join(conf, "image_id")
 
 
 query(

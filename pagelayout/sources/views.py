@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelayout.operators.scans import has_hot_key, ordered_scan
+from pagelayout.operators.scans import ordered_scan
 
 PAGE_W = 1200
 WORDS_PER_LINE = 12
@@ -222,9 +222,7 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
 def row_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Row statistics of page pictures: the supplier is the picture, its line items in order its rows."""
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
-    block = F.floor(F.col("l_orderkey") / 65536)
-    spread = has_hot_key(li, ["l_suppkey"])
-    d = ordered_scan(li, ["l_suppkey"], block, ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], spread=spread, number="y")
+    d = ordered_scan(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], number="y")
     return d.select(
         F.col("l_suppkey").alias("image_id"),
         F.col("y").cast("long").alias("y"),
@@ -240,7 +238,7 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     users = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("source"))
     nxt = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target"))
-    numbered = ordered_scan(users, ["conv_id"], F.floor(F.col("turn") / 1024), ["turn"], number="para_index")
+    numbered = ordered_scan(users, ["conv_id"], ["turn"], number="para_index")
     j = numbered.join(nxt, ["conv_id", "turn"], "left")
     gone = (F.col("conv_id") + F.col("para_index")) % 5 == 0
     return j.select(

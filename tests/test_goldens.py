@@ -65,10 +65,10 @@ def seam_case(spark):
     return spark.createDataFrame(rows, PARA), spark.createDataFrame([(1, 0, 0, 1100, 3000), (1, 1, 920, 1500, 3000)], TILE)
 
 
-def test_seam_merge_both_ways(spark):
+def test_seam_merge(spark):
     p, t = seam_case(spark)
-    for hot_rows in (None, 0):
-        got = tiles.merge_seam_paragraphs(p, t, hot_rows=hot_rows).collect()
+    for near in (1, 24):
+        got = tiles.merge_seam_paragraphs(p, t, near=near).collect()
         assert [(r.text, r.merged, r.t, r.b) for r in got] == [("WHY ARE YOU TELLING THIS LIKE IT'S SOME KIND OF HORROR STORY?", 1, 1000.0, 1200.0)]
 
 
