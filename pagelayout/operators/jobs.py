@@ -279,16 +279,30 @@ def suppress_errors(errors: DataFrame, replaces: DataFrame, grace_ms: int = 12_0
     return j.withColumn("shown", ~F.coalesce(hidden, F.lit(False))).drop("last")
 
 
-def cancel_tab_work(jobs: DataFrame, navigations: DataFrame) -> DataFrame:
-    """Jobs aborted because their tab moved on while they were open.
+def cancel_tab_work(jobs: DataFrame, navigations: DataFrame, cancels: DataFrame | None = None) -> DataFrame:
+    """Jobs aborted because their tab moved on, or their batch was cancelled, while they were open.
 
-    ``jobs``: job_id, tab_id, opened_us, closed_us (null while open); ``navigations``: tab_id, us.
+    ``jobs``: job_id, tab_id, opened_us, closed_us (null while open), and batch_id with ``cancels``; ``navigations``: tab_id, us;
+    ``cancels``: tab_id, batch_id, us.
     """
-    j = jobs.select("tab_id", F.col("opened_us").alias("us"), F.lit(1).alias("__side"), F.col("job_id").cast("string").alias("__tie"), "job_id", "closed_us", F.lit(None).cast("long").alias("__nav"))
-    n = navigations.select("tab_id", "us", F.lit(2).alias("__side"), F.lit("").alias("__tie"), F.lit(None).cast(j.schema["job_id"].dataType).alias("job_id"), F.lit(None).cast("long").alias("closed_us"), F.col("us").alias("__nav"))
-    d = ordered_scan(j.unionByName(n), ["tab_id"], ["us", "__side", "__tie"], suffix_mins={"aborted_us": F.col("__nav")})
-    hit = (F.col("__side") == 1) & F.col("aborted_us").isNotNull() & (F.col("closed_us").isNull() | (F.col("aborted_us") < F.col("closed_us")))
-    return d.filter(hit).select("job_id", "tab_id", "aborted_us")
+    cols = ["job_id", "tab_id", "opened_us", "closed_us", *(["batch_id"] if cancels is not None else [])]
+    held = F.struct(*cols)
+
+    def next_of(rows: DataFrame, keys: list[str], events: DataFrame, name: str) -> DataFrame:
+        """Add to each job the time of the next event of its keys, at or after its opening."""
+        more = [c for c in rows.columns if c not in cols]
+        j = rows.select(*keys, F.col("opened_us").alias("us"), F.lit(1).alias("__side"), F.col("job_id").cast("string").alias("__tie"), held.alias("__job"), F.lit(None).cast("long").alias("__event"), *more)
+        e = events.select(*keys, "us", F.lit(2).alias("__side"), F.lit("").alias("__tie"), F.lit(None).cast(j.schema["__job"].dataType).alias("__job"), F.col("us").alias("__event"), *[F.lit(None).cast(j.schema[c].dataType).alias(c) for c in more])
+        d = ordered_scan(j.unionByName(e), keys, ["us", "__side", "__tie"], suffix_mins={name: F.col("__event")})
+        return d.filter("__side = 1").select("__job.*", *more, name)
+
+    d = next_of(jobs.select(*cols), ["tab_id"], navigations, "__moved")
+    at = F.col("__moved")
+    if cancels is not None:
+        d = next_of(d, ["tab_id", "batch_id"], cancels, "__cancelled")
+        at = F.least("__moved", "__cancelled")
+    d = d.withColumn("aborted_us", at)
+    return d.filter(F.col("aborted_us").isNotNull() & (F.col("closed_us").isNull() | (F.col("aborted_us") < F.col("closed_us")))).select("job_id", "tab_id", "aborted_us")
 
 
 def throttle(events: DataFrame, keys: Sequence[str], us: str, tie: str, every_us: int, forced: Column | None = None) -> DataFrame:

@@ -69,49 +69,149 @@ def _timed(stream: DataFrame) -> DataFrame:
     return stream.withColumn("us", jobs.micros("ts"))
 
 
-# ---------------------------------------------------------------- anchored keys
+# ---------------------------------------------------------------- rows in the order of time
 
 
-class _Anchor(StatefulProcessor):
-    """Per key, the time of the last row that started anew; rows within the span of it belong to it."""
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them, and are then applied in the order of ``us`` and the columns after it.
 
-    def __init__(self, span_us: int, closed: bool, id_col: str) -> None:
-        self.span, self.closed, self.id_col = span_us, closed, id_col
+    So late rows (within the watermark's delay) take their right place, and nothing depends on how the feed was cut in micro-batches. A key
+    holds the rows of the delay, what ``apply`` keeps, and one timer; when both are gone, so is the key.
+    """
+
+    row: str  # schema of the waiting rows, us first
+    out: str  # schema of the result
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "us long, owner long")
+        self.handle = handle
+        fields = [part.split() for part in self.row.split(", ")]
+        self.names = [f[0] for f in fields]
+        self.whole = [f[1] in ("int", "long") for f in fields]  # columns with nulls come as floats
+        self.waiting = handle.getListState("waiting", self.row)
+        self.timer = handle.getValueState("timer", "ms long")
+        self.open(handle)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
+        """Result rows of ``rows``, all in order; afterwards, forget what no row at ``until_us`` or later can need."""
+        raise NotImplementedError
+
+    def forget_at(self) -> int | None:
+        """The time (us) from which the state that is left can be forgotten; None if there is none."""
+        raise NotImplementedError
+
+    def _wake(self, us: int | None) -> None:
+        now = self.timer.get()[0] if self.timer.exists() else None
+        ms = None if us is None else us // 1000 + 1
+        if ms == now:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+            self.timer.clear()
+        if ms is not None:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", self.id_col])
+        first = None
+        for part in rows:
+            columns = [[None if v is None or v != v else int(v) if whole else v for v in part[n].tolist()] for n, whole in zip(self.names, self.whole)]
+            held = list(zip(*columns))
+            if held:
+                self.waiting.appendList(held)
+                first = min(r[0] for r in held) if first is None else min(first, min(r[0] for r in held))
+        wake = self.timer.get()[0] * 1000 - 1000 if self.timer.exists() else None
+        self._wake(first if wake is None else min(first, wake) if first is not None else wake)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        ready = sorted(r for r in rows if r[0] < until)
+        later = [r for r in rows if r[0] >= until]
+        if ready and later:
+            self.waiting.put(later)
+        elif ready:
+            self.waiting.clear()
+        out = self.apply(tuple(key), ready, until)
+        at = [r[0] for r in later]
+        gone = self.forget_at()
+        if gone is not None:
+            at.append(max(gone, until))
+        self._wake(min(at) if at else None)
+        if out:
+            yield pd.DataFrame(out, columns=[part.split()[0] for part in self.out.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, keys: list[str], processor: _InOrder, wait: str) -> DataFrame:
+    """``stream`` has ``keys``, us and the processor's columns."""
+    s = stream.withColumn("at", F.timestamp_micros("us")).withWatermark("at", wait).select(*keys, "at", *[part.split()[0] for part in processor.row.split(", ")])
+    return s.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=processor.out, outputMode="Append", timeMode="EventTime")
+
+
+class _Anchor(_InOrder):
+    """Per key, the row that last started anew; rows within the span of the anchor belong to it. Renewing rows move a living anchor's time."""
+
+    row = "us long, id long, force boolean, renews boolean"
+
+    def __init__(self, span_us: int, closed: bool, id_col: str) -> None:
+        self.span, self.closed = span_us, closed
+        self.out = f"key string, {id_col} long, us long, fresh boolean, owner long"
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.anchor = handle.getValueState("anchor", "us long, owner long")
+
+    def _over(self, age: int) -> bool:
+        return age > self.span or (self.closed and age == self.span)
+
+    def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
         last, owner = self.anchor.get() if self.anchor.exists() else (None, None)
         out = []
-        for us, row_id, force in zip(batch["us"].tolist(), batch[self.id_col].tolist(), batch["force"].tolist()):
-            age = None if last is None else us - last
-            fresh = force or age is None or age > self.span or (self.closed and age == self.span)
-            if fresh:
+        for us, row_id, force, renews in rows:
+            living = last is not None and not self._over(us - last)
+            if renews:
+                last = us if living else last
+                continue
+            if force or not living:
                 last, owner = us, row_id
-            out.append((*key, row_id, us, bool(fresh), owner))
-        self.anchor.update((int(last), int(owner)))
-        yield pd.DataFrame(out, columns=["key", self.id_col, "us", "fresh", "owner"])
+            out.append((*key, row_id, us, bool(force or not living), owner))
+        if last is not None and self._over(until_us - last):
+            last = None
+        if last is None:
+            self.anchor.clear()
+        else:
+            self.anchor.update((int(last), int(owner)))
+        return out
 
-    def close(self) -> None:
-        pass
+    def forget_at(self) -> int | None:
+        return self.anchor.get()[0] + self.span + 1 if self.anchor.exists() else None
 
 
-def anchored(stream: DataFrame, key: Column, row_id: str, span_us: int, closed: bool, force: Column | None = None) -> DataFrame:
-    """Rows with ``fresh`` and the ``owner`` they belong to.
+def anchored(stream: DataFrame, key: Column, row_id: str, span_us: int, closed: bool, force: Column | None = None, renewals: DataFrame | None = None, wait: str = WATERMARK) -> DataFrame:
+    """Rows with ``fresh`` and the ``owner`` they belong to, once the watermark (``wait`` behind the newest row) has passed them.
 
-    ``stream`` has ts and ``row_id``.  With ``closed`` a row exactly at the end of the span is fresh.
+    ``stream`` has ts and ``row_id``; ``renewals`` has key and us. With ``closed`` a row exactly at the end of the span is fresh.
+    Anchors are forgotten when their span is over.
     """
-    s = _timed(stream).select(key.cast("string").alias("key"), "us", F.col(row_id).cast("long").alias(row_id), (F.lit(False) if force is None else F.coalesce(force, F.lit(False))).alias("force"))
-    return s.groupBy("key").transformWithStateInPandas(
-        _Anchor(span_us, closed, row_id), outputStructType=f"key string, {row_id} long, us long, fresh boolean, owner long", outputMode="Append", timeMode="None",
-    )
+    forced = F.lit(False) if force is None else F.coalesce(force, F.lit(False))
+    s = _timed(stream).select(key.cast("string").alias("key"), "us", F.col(row_id).cast("long").alias("id"), forced.alias("force"), F.lit(False).alias("renews"))
+    if renewals is not None:
+        s = s.unionByName(renewals.select(F.col("key").cast("string").alias("key"), "us", F.lit(-1).cast("long").alias("id"), F.lit(False).alias("force"), F.lit(True).alias("renews")))
+    return _in_order(s, ["key"], _Anchor(span_us, closed, row_id), wait)
+
 
+def idempotent_submissions(stream: DataFrame, ttl_us: int = 3_600_000_000, updates: DataFrame | None = None, wait: str = WATERMARK) -> DataFrame:
+    """Submissions with the job they get: within a job's life the same key gets the same job again.
 
-def idempotent_submissions(stream: DataFrame, ttl_us: int = 3_600_000_000) -> DataFrame:
-    """Submissions with the job they get: within a job's life the same key gets the same job again."""
-    a = anchored(stream, F.col("idempotency_key"), "event_id", ttl_us, closed=False)
+    A job lives for ``ttl_us`` after it was made or last updated; ``updates`` (key, us) are updates of the job that holds the key. With the job its key is forgotten.
+    """
+    a = anchored(stream, F.col("idempotency_key"), "event_id", ttl_us, closed=False, renewals=updates, wait=wait)
     return a.select(F.col("key").alias("idempotency_key"), "event_id", "us", F.col("owner").alias("job_event"), (~F.col("fresh")).alias("idempotent"))
 
 
@@ -132,6 +232,49 @@ def ttl_cache_stream(stream: DataFrame, ttl_us: int) -> DataFrame:
     return a.select(F.col("key").alias("cache_key"), "request_id", "us", (~F.col("fresh")).alias("hit"))
 
 
+class _BoundedCache(_InOrder):
+    """The entries of one cache, at most ``most`` of them, least recently used first."""
+
+    row = "us long, request_id long, cache_key string"
+    out = "cache string, request_id long, us long, cache_key string, hit boolean"
+
+    def __init__(self, most: int, ttl_us: int) -> None:
+        self.most, self.ttl = most, ttl_us
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getListState("entries", "cache_key string, stored_us long")
+
+    def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
+        held = dict(tuple(e) for e in self.entries.get()) if self.entries.exists() else {}
+        out = []
+        for us, request, name in rows:
+            stored = held.pop(name, None)
+            hit = stored is not None and us - stored <= self.ttl
+            held[name] = stored if hit else us  # to the end: used last
+            if len(held) > self.most:
+                del held[next(iter(held))]
+            out.append((*key, request, us, name, hit))
+        held = {k: v for k, v in held.items() if until_us - v <= self.ttl}
+        self.newest = max(held.values(), default=None)
+        if held:
+            self.entries.put(list(held.items()))
+        else:
+            self.entries.clear()
+        return out
+
+    def forget_at(self) -> int | None:
+        return None if self.newest is None else self.newest + self.ttl + 1
+
+
+def bounded_cache_stream(stream: DataFrame, most: int, ttl_us: int, wait: str = WATERMARK) -> DataFrame:
+    """Lookups with ``hit`` in caches of the ``most`` entries used last, none older than ``ttl_us``; a miss stores its key.
+
+    ``stream``: cache, cache_key, request_id, ts.
+    """
+    s = _timed(stream).select(F.col("cache").cast("string").alias("cache"), "us", F.col("request_id").cast("long").alias("request_id"), F.col("cache_key").cast("string").alias("cache_key"))
+    return _in_order(s, ["cache"], _BoundedCache(most, ttl_us), wait)
+
+
 # ---------------------------------------------------------------- job state
 
 
@@ -182,66 +325,143 @@ def job_state_stream(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
     )
 
 
-def batch_items_stream(stream: DataFrame) -> DataFrame:
-    """Newest state of every image of every batch, as an updating aggregate."""
-    s = _timed(stream)
-    last = F.max_by(F.struct("status", "attempt", "message"), F.struct("us", "event_id"))
-    g = s.groupBy("batch_id", "image_key").agg(last.alias("s"))
-    status = F.when(F.col("s.status") == "running", "processing").otherwise(F.col("s.status"))
-    return g.select("batch_id", "image_key", F.col("s.attempt").alias("attempt"), status.alias("status"), F.col("s.message").alias("last_error"))
+class _NewestRow(StatefulProcessor):
+    """The newest state of an image of a batch; forgotten once it has not changed for its time to live."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "us long, event_id long, status string, attempt int, message string")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = tuple(self.held.get()) if self.held.exists() else None
+        best = old
+        for part in rows:
+            for r in zip(*[part[c].tolist() for c in ("us", "event_id", "status", "attempt", "message")]):
+                if best is None or r[:2] > best[:2]:
+                    best = tuple(None if v is None or v != v else v for v in r)
+        if best == old:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old[0] // 1000 + self.ttl_ms)
+        self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
+        best = (int(best[0]), int(best[1]), best[2], None if best[3] is None else int(best[3]), best[4])
+        self.held.update(best)
+        yield pd.DataFrame([(*key, best[3], best[2], best[4])], columns=["batch_id", "image_key", "attempt", "status", "message"])
 
-# ---------------------------------------------------------------- sessions
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        return iter(())
 
+    def close(self) -> None:
+        pass
 
-class _LastSession(StatefulProcessor):
-    """Last session of a tab; results are compared with it as they arrive."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+def batch_items_stream(stream: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
+    """Newest state of every image of every batch, as updates. An image that does not change for ``ttl_ms`` leaves the state."""
+    s = _timed(stream).withColumn("at", F.timestamp_micros("us")).withWatermark("at", WATERMARK).select("batch_id", "image_key", "at", "us", "event_id", "status", F.col("attempt").cast("int").alias("attempt"), "message")
+    g = s.groupBy("batch_id", "image_key").transformWithStateInPandas(
+        _NewestRow(ttl_ms), outputStructType="batch_id string, image_key string, attempt int, status string, message string", outputMode="Update", timeMode="EventTime",
+    )
+    status = F.when(F.col("status") == "running", "processing").otherwise(F.col("status"))
+    return g.select("batch_id", "image_key", "attempt", status.alias("status"), F.col("message").alias("last_error"))
+
+
+# ---------------------------------------------------------------- sessions and tabs
+
+
+class _LastSession(_InOrder):
+    """Last session of a tab; results are compared with it in the order of time."""
+
+    row = "us long, side int, result_id long, session_id string"
+    out = "tab_id long, result_id long, us long, session_now string, moved boolean"
+
+    def __init__(self, ttl_us: int) -> None:
+        self.ttl = ttl_us
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.session = handle.getValueState("session", "id string, us long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "side", "result_id"])
+    def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
         now, since = self.session.get() if self.session.exists() else (None, None)
         out = []
-        for us, side, result_id, session in zip(batch["us"].tolist(), batch["side"].tolist(), batch["result_id"].tolist(), batch["session_id"].tolist()):
+        for us, side, result_id, session in rows:
             if side == 0:
-                now, since = (session, us) if since is None or us >= since else (now, since)
-            else:
-                moved = bool(session and now and session != now)
-                out.append((*key, int(result_id), us, now, moved))
-        if now is not None:
+                now, since = session, us
+                continue
+            known = now if since is not None and us - since <= self.ttl else None
+            out.append((*key, result_id, us, known, bool(session and known and session != known)))
+        if since is not None and until_us - since > self.ttl:
+            since = None
+        if since is None:
+            self.session.clear()
+        else:
             self.session.update((now, int(since)))
-        yield pd.DataFrame(out, columns=["tab_id", "result_id", "us", "session_now", "moved"])
+        return out
 
-    def close(self) -> None:
-        pass
+    def forget_at(self) -> int | None:
+        return self.session.get()[1] + self.ttl + 1 if self.session.exists() else None
 
 
-def stale_results_stream(results: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Results whose tab moved to another session since they were asked for.
+def stale_results_stream(results: DataFrame, sessions: DataFrame, ttl_us: int = 30 * jobs.DAY_MICROS, wait: str = WATERMARK) -> DataFrame:
+    """Results whose tab moved to another session since they were asked for; a session counts for ``ttl_us`` and is then forgotten.
 
     ``results``: tab_id, result_id, us, session_id; ``sessions``: tab_id, us, session_id.
     """
     r = results.select("tab_id", "us", F.lit(1).alias("side"), "result_id", "session_id")
     s = sessions.select("tab_id", "us", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("result_id"), "session_id")
-    return r.unionByName(s).groupBy("tab_id").transformWithStateInPandas(
-        _LastSession(), outputStructType="tab_id long, result_id long, us long, session_now string, moved boolean", outputMode="Append", timeMode="None",
-    )
-
-
-def cancelled_jobs_stream(opened: DataFrame, navigations: DataFrame, horizon: str = "30 days") -> DataFrame:
-    """Jobs joined with every navigation of their tab while they were open, however long (stream-stream join).
-
-    Jobs stay in the state; navigations leave it with the watermark. ``horizon``: how late a job's row may come.
-    ``opened``: job_id, tab_id, opened_at, closed_at; ``navigations``: tab_id, nav_at.
+    return _in_order(r.unionByName(s), ["tab_id"], _LastSession(ttl_us), wait)
+
+
+class _OpenJobs(_InOrder):
+    """The open jobs of a tab. A job leaves when it is closed, when its tab moves on or when its batch is cancelled."""
+
+    row = "us long, side int, job_id long, batch_id string, closed_us long"
+    out = "job_id long, tab_id long, aborted_us long, reason string"
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.jobs = handle.getMapState("jobs", "job_id long", "batch_id string, closed_us long")
+
+    def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
+        held = {k[0]: tuple(v) for k, v in self.jobs.iterator()} if self.jobs.exists() else {}
+        before, out = dict(held), []
+        for us, side, job, batch, closed in rows:
+            if side == 1:
+                held[job] = (batch, closed)
+                continue
+            for j, (b, z) in list(held.items()):
+                if z is not None and z <= us:
+                    del held[j]
+                elif side == 3 or b == batch:
+                    del held[j]
+                    out.append((j, *key, us, "navigation" if side == 3 else "cancel"))
+        held = {j: v for j, v in held.items() if v[1] is None or v[1] > until_us}
+        for j in before.keys() - held.keys():
+            self.jobs.removeKey((j,))
+        for j, v in held.items():
+            if before.get(j) != v:
+                self.jobs.updateValue((j,), v)
+        self.ends = min((v[1] for v in held.values() if v[1] is not None), default=None)
+        return out
+
+    def forget_at(self) -> int | None:
+        return self.ends
+
+
+def cancelled_jobs_stream(opened: DataFrame, navigations: DataFrame, cancels: DataFrame | None = None, wait: str = WATERMARK) -> DataFrame:
+    """Jobs aborted while they were open, each once: its tab moved on (``navigation``) or its batch was cancelled (``cancel``), whichever came first.
+
+    Only open jobs are in the state, however long they stay open. At one time jobs open first, then batches are cancelled, then tabs move on.
+    ``opened``: job_id, tab_id, us, closed_us, batch_id; ``navigations``: tab_id, us; ``cancels``: tab_id, batch_id, us.
     """
-    o = opened.withWatermark("opened_at", horizon).alias("o")
-    n = navigations.withWatermark("nav_at", WATERMARK).alias("n")
-    inside = F.col("n.nav_at") >= F.col("o.opened_at")
-    open_still = F.col("o.closed_at").isNull() | (F.col("n.nav_at") < F.col("o.closed_at"))
-    j = o.join(n, (F.col("o.tab_id") == F.col("n.tab_id")) & inside & open_still)
-    return j.select("o.job_id", "o.tab_id", "nav_at")
+    none = F.lit(None)
+    rows = opened.select("tab_id", "us", F.lit(1).alias("side"), F.col("job_id").cast("long").alias("job_id"), F.col("batch_id").cast("string").alias("batch_id"), F.col("closed_us").cast("long").alias("closed_us"))
+    rows = rows.unionByName(navigations.select("tab_id", "us", F.lit(3).alias("side"), F.lit(-1).cast("long").alias("job_id"), none.cast("string").alias("batch_id"), none.cast("long").alias("closed_us")))
+    if cancels is not None:
+        rows = rows.unionByName(cancels.select("tab_id", "us", F.lit(2).alias("side"), F.lit(-1).cast("long").alias("job_id"), F.col("batch_id").cast("string").alias("batch_id"), none.cast("long").alias("closed_us")))
+    return _in_order(rows, ["tab_id"], _OpenJobs(), wait)
 
 
 def event_windows_stream(stream: DataFrame, length: str, slide: str | None = None, late: str = WATERMARK) -> DataFrame:

@@ -323,19 +323,75 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == alike
 
 
-def test_cancelled_jobs_stay_open_over_a_month(spark, tmp_path):
-    def files(name, batches, columns, schema):
-        for i, rows in enumerate(batches):
-            spark.createDataFrame(rows, schema).selectExpr(*columns).coalesce(1).write.parquet(f"{tmp_path}/{name}/no={i}")
-            for f in (tmp_path / name / f"no={i}").glob("part-*"):
-                os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
-        plain = spark.createDataFrame(batches[0], schema).selectExpr(*columns)
-        return feeds.read_feed(spark, f"{tmp_path}/{name}/*/", plain.schema, files_per_batch=1)
-
-    day = "timestamp_seconds(({0} + 19000) * 86400) AS {0}"
-    jobs_, moves = [[(1, 7, 0, None), (2, 7, 0, 20)], [(3, 7, 80, None)], [(4, 8, 120, 125)]], [[(7, 1), (8, 1)], [(7, 45)], [(7, 100), (8, 124)]]
-    opened = files("opened", jobs_, ["job_id", "tab_id", day.format("opened_at"), day.format("closed_at")], "job_id long, tab_id long, opened_at long, closed_at long")
-    navs = files("navs", moves, ["tab_id", day.format("nav_at")], "tab_id long, nav_at long")
-    got = feeds.replay(feeds.cancelled_jobs_stream(opened, navs)).selectExpr("job_id", "unix_seconds(nav_at) div 86400 - 19000 AS d").collect()
-    flat_jobs, flat_moves = sum(jobs_, []), sum(moves, [])
-    assert sorted(map(tuple, got)) == sorted((j, d) for j, tab, a, z in flat_jobs for t, d in flat_moves if t == tab and d >= a and (z is None or d < z))
+def cut_feed(spark, folder, batches, schema, columns):
+    """A feed of one file per micro-batch."""
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).selectExpr(*columns).coalesce(1).write.parquet(f"{folder}/no={i}")
+        for f in folder.glob(f"no={i}/part-*"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    plain = spark.createDataFrame(batches[0], schema).selectExpr(*columns)
+    return feeds.read_feed(spark, f"{folder}/*/", plain.schema, files_per_batch=1)
+
+
+def jumbled(rng, rows, late):
+    """Rows (time in minutes first) in batches; some come up to ``late`` minutes after newer ones. At the end time moves far on, so that nothing waits."""
+    arrival = sorted(rows, key=lambda r: r[0] + rng.uniform(0, late))
+    size = len(rows) // 4 + 1
+    return [arrival[i : i + size] for i in range(0, len(arrival), size)]
+
+
+MINUTE = 60_000_000
+
+
+def test_submissions_live_as_long_as_their_jobs_are_updated(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(m, i, f"k{rng.randrange(3)}", rng.random() < 0.5) for i, m in enumerate(sorted(rng.sample(range(3000), 160)))]
+    last = [(9000, 900, "end", False), (99000, 901, "end", False)]
+    feed = cut_feed(spark, tmp_path, [*jumbled(rng, rows, 50), last[:1], last[1:]], "m long, event_id long, k string, renews boolean", ["event_id", "k", "renews", f"m * {MINUTE} AS us"])
+    sent = feed.filter("NOT renews").selectExpr("event_id", "k AS idempotency_key", "cast(timestamp_micros(us) AS timestamp_ntz) AS ts")
+    got = feeds.replay(feeds.idempotent_submissions(sent, 60 * MINUTE, updates=feed.filter("renews").selectExpr("k AS key", "us"))).collect()
+    want, held = {}, {}
+    for m, i, k, renews in rows:
+        owner, touched = held.get(k, (None, -999))
+        living = m - touched <= 60
+        if renews:
+            held[k] = (owner, m) if living else (owner, touched)
+        else:
+            held[k] = (owner, touched) if living else (i, m)
+            want[i] = (held[k][0], living)
+    assert {r.event_id: (r.job_event, r.idempotent) for r in got} == want | {900: (900, False)}
+
+
+def test_tab_work_is_cancelled_once(spark, tmp_path):
+    rng = random.Random(9)
+    rows = []
+    for i, m in enumerate(sorted(rng.sample(range(100_000), 200))):
+        kind = rng.choice([1, 1, 1, 2, 3])
+        rows.append((m, kind, i, rng.randrange(4), rng.randrange(3), m + rng.randrange(4000) if rng.random() < 0.5 else None))
+    batches = [*jumbled(rng, rows, 50), [(200_000, 3, 900, 99, 0, None)], [(900_000, 3, 901, 99, 0, None)]]
+    columns = ["kind", "job_id", "tab_id", "cast(b AS string) AS batch_id", f"m * {MINUTE} AS us", f"z * {MINUTE} AS closed_us"]
+    feed = cut_feed(spark, tmp_path, batches, "m long, kind int, job_id long, tab_id long, b long, z long", columns)
+    out = feeds.cancelled_jobs_stream(feed.filter("kind = 1"), feed.filter("kind = 3"), feed.filter("kind = 2"))
+    got = sorted((r.job_id, r.tab_id, r.aborted_us // MINUTE, r.reason) for r in feeds.replay(out).collect())
+    want = []
+    for m, kind, job, tab, batch, z in rows:
+        ends = sorted((n, k) for n, k, _, t, b, _ in rows if kind == 1 and k in (2, 3) and t == tab and n >= m and (k == 3 or b == batch) and (z is None or n < z))
+        want += [(job, tab, ends[0][0], "navigation" if ends[0][1] == 3 else "cancel")] if ends else []
+    assert got == sorted(want) and {w[3] for w in want} == {"navigation", "cancel"}
+    flat = spark.createDataFrame(rows, "m long, kind int, job_id long, tab_id long, b long, z long").selectExpr(*columns)
+    batch = jobs.cancel_tab_work(flat.filter("kind = 1").withColumnRenamed("us", "opened_us"), flat.filter("kind = 3"), flat.filter("kind = 2"))
+    assert sorted((r.job_id, r.tab_id, r.aborted_us // MINUTE) for r in batch.collect()) == [w[:3] for w in sorted(want)]
+
+
+def test_bounded_cache_in_the_order_of_time(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(m, i, f"c{i % 2}", f"k{int(rng.random() ** 2 * 12)}") for i, m in enumerate(sorted(rng.sample(range(4000), 300)))]
+    feed = cut_feed(spark, tmp_path, [*jumbled(rng, rows, 50), [(9000, 900, "end", "x")], [(99000, 901, "end", "x")]], "m long, request_id long, cache string, cache_key string", ["request_id", "cache", "cache_key", f"cast(timestamp_micros(m * {MINUTE}) AS timestamp_ntz) AS ts"])
+    got = {r.request_id: r.hit for r in feeds.replay(feeds.bounded_cache_stream(feed, 4, 90 * MINUTE)).collect()}
+    want, held = {}, {}
+    for m, i, c, k in rows:
+        own = held.setdefault(c, [])
+        old = next((e for e in own if e[0] == k), None)
+        want[i] = old is not None and m - old[1] <= 90
+        held[c] = [*[e for e in own if e[0] != k], (k, old[1] if want[i] else m)][-4:]
+    assert got == want | {900: False} and 20 < sum(want.values()) < 280
