@@ -100,6 +100,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
         yield pd.DataFrame({"n": [n]})
 
     rows.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    spark = pages.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)  # without pages no task has made it
     return folder
 
 
