@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -295,6 +296,31 @@ def test_html_text_outside_an_article_is_judged_too():
     assert html.main_text(f"<div>Short note</div><main><p>a</main><div>{links}</div>") == "a"
 
 
+def test_html_of_broken_pages_takes_one_pass():
+    start = time.perf_counter()
+    assert html.main_text('<div class="ad">x' * 4000) != ""
+    for page in ("<a <a " * 200_000, '<p "' * 200_000, "<div><span>" * 100_000, "<!-- " * 100_000, "</div>" * 100_000):
+        html.main_text(page)
+    assert time.perf_counter() - start < 20
+    assert html.main_text('<article><p>' + "Real text. " * 20 + '<div class="ad">one<div>two</div>three</div><p>' + "More text. " * 20) == ("Real text. " * 20).strip() + "\n" + ("More text. " * 20).strip()
+
+
+def test_html_names_are_taken_whole():
+    body = "<p>" + "Words of the article itself, in a row. " * 5 + "</p>"
+    for name in ("social-history", "share-prices", "menu-planning", "banner-of-hope", "promontory", "headermost"):
+        assert "The social history of bread" in html.main_text(f'<article>{body}<div class="{name}"><p>The social history of bread</p></div></article>')
+    for name in ("ad", "x cookie-banner y", "share_buttons", "comment-list", "related-posts", "recent-posts", "site-nav", "footer", "ad-2"):
+        assert "Something" not in html.main_text(f'<article>{body}<div class="{name}"><p>Something else here</p></div></article>')
+
+
+def test_html_notices_behind_an_article_go():
+    body = "<p>" + "Words of the article itself, in a row. " * 9 + "</p>"
+    notice, longer = "<div>" + "We use crumbs " * 6 + "</div>", "<p>" + "We use crumbs " * 8 + "</p>"
+    for page in (f"<article>{body}{body}</article>{notice}{longer}", f"{longer}<main>{body}</main>{notice}"):
+        text = html.main_text(page)
+        assert "crumbs" not in text and text.count("Words of the article") in (9, 18)
+
+
 def test_warc_round_trip_over_small_ranges(spark):
     rng = random.Random(3)
     rows = [(i, f"http://x/{i}?q=a b%20", words(rng, rng.choice([1, 50, 3000]))) for i in range(30)]
