@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 U64 = np.uint64
@@ -78,3 +80,41 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     if 0 < len(words) < size:
         size = len(words)
     return mix64(rolling(words, size)) if len(words) else words
+
+
+PIECE = 1 << 20  # bytes of text whose words are hashed at a time
+
+
+def long_text_words(text: bytes) -> np.ndarray:
+    """Hashes of a text's words; a long text is cut at white space, so that only its hashes are held whole."""
+    parts, a = [], 0
+    while a < len(text):
+        z = min(len(text), a + PIECE)
+        while z < len(text) and text[z] not in b" \t\n\v\f\r":
+            z += 1
+        parts.append(word_hashes(text[a:z]))
+        a = z
+    return np.concatenate(parts) if parts else np.zeros(0, U64)
+
+
+def pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, word hashes, ends) of texts in a row, about ``PIECE`` bytes at a time."""
+    a, size, held = 0, 0, []
+    for i, t in enumerate(texts):
+        held.append(t.encode("utf-8"))
+        size += len(held[-1])
+        if size >= PIECE or i == len(texts) - 1:
+            words = [long_text_words(h) for h in held] if len(held) == 1 else _together(held)
+            yield a, np.concatenate(words), np.cumsum([len(w) for w in words])
+            a, size, held = i + 1, 0, []
+
+
+def _together(texts: list[bytes]) -> list[np.ndarray]:
+    """Word hashes per text, from one pass over all of them."""
+    if any(len(t) > PIECE for t in texts):
+        return [long_text_words(t) for t in texts]
+    joined = b"\n".join(texts)
+    words = word_hashes(joined)
+    _, start, _ = word_spans(joined)
+    borders = np.cumsum([len(t) + 1 for t in texts])[:-1]
+    return np.split(words, np.searchsorted(start, borders))

@@ -8,27 +8,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelayout.llm.common import column, partitions, wrap
-from pagelayout.llm.hashing import U64, mix64, word_hashes
+from pagelayout.llm.hashing import U64, mix64, pieces
 
 ORDER, FACTOR = 3, 0.4
-GROUP_BYTES = 16 << 20  # text of a group of documents
+GROUP_BYTES = 6 << 20  # text of a group of documents
+BUCKET_BYTES = 8 << 20  # text whose n-grams a partition of the count table takes, about
 HASH_BITS = 56  # sorted hashes are sent as gaps, so a shorter hash is a smaller shuffle; a trillion n-grams collide once in 70,000
 
 
-def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of the n-grams that end at each word, per n (0 where the document is too short before it), document and place of each word."""
-    words = [word_hashes(t.encode("utf-8")) for t in texts]
-    sizes = np.array([len(w) for w in words], dtype=np.int64)
-    flat = np.concatenate(words) if words else np.zeros(0, U64)
-    doc = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def word_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, and document and place of each."""
+    words = []
+    for a, part, ends in pieces(texts):
+        words.append((part, a, ends))
+    flat = np.concatenate([w for w, _, _ in words]) if words else np.zeros(0, U64)
+    sizes = np.concatenate([np.diff(ends, prepend=0) for _, _, ends in words]) if words else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    return flat, doc, place
+
+
+def longer_grams(shorter: np.ndarray | None, flat: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams that end at each word, from those one word shorter; 0 where the document is too short before it."""
     short = U64(64 - HASH_BITS)
-    found = [(mix64(flat + U64(1)) >> short) | U64(1)]
-    for n in range(2, order + 1):
-        longer = np.zeros(len(flat), U64)
-        longer[1:] = (mix64(found[-1][:-1] * U64(0x9E3779B97F4A7C15) + flat[1:] + U64(n)) >> short) | U64(1)
-        longer[place < n - 1] = 0
-        found.append(longer)
+    if n == 1:
+        return (mix64(flat + U64(1)) >> short) | U64(1)
+    longer = np.zeros(len(flat), U64)
+    longer[1:] = (mix64(shorter[:-1] * U64(0x9E3779B97F4A7C15) + flat[1:] + U64(n)) >> short) | U64(1)
+    longer[place < n - 1] = 0
+    return longer
+
+
+def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that end at each word, per n, and document and place of each word."""
+    flat, doc, place = word_table(texts)
+    found: list[np.ndarray] = []
+    for n in range(1, order + 1):
+        found.append(longer_grams(found[-1] if found else None, flat, place, n))
     return found, doc, place
 
 
@@ -68,19 +84,23 @@ def _others(grams: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarra
     return out
 
 
-def _scores(found: list[np.ndarray], doc: np.ndarray, place: np.ndarray, n_docs: int, totals: list[np.ndarray], tokens: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words and summed log10 scores per document, with the counts of the other documents."""
-    sizes = np.bincount(doc, minlength=n_docs)
-    others = _others(found[0], doc, totals[0])
+def _scores(texts: list[str], order: int, totals: list[np.ndarray], tokens: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Words and summed log10 scores per document, with the counts of the other documents; one order at a time is held."""
+    flat, doc, place = word_table(texts)
+    sizes = np.bincount(doc, minlength=len(texts))
+    grams = longer_grams(None, flat, place, 1)
+    others = _others(grams, doc, totals[0])
     rest = (tokens - sizes)[doc]
-    steps = np.minimum(place, len(found) - 1)  # words of context that there are
+    steps = np.minimum(place, order - 1)  # words of context that there are
     log = np.where(others > 0, np.log10(np.maximum(others, 1) / np.maximum(rest, 1)), np.log10(factor / (rest + 1.0))) + steps * np.log10(factor)
-    for n in range(2, len(found) + 1):
+    del rest
+    for n in range(2, order + 1):
+        grams = longer_grams(grams, flat, place, n)
         context = np.concatenate([[0], others[:-1]]) if len(others) else others
-        others = _others(found[n - 1], doc, totals[n - 1])
+        others = _others(grams, doc, totals[n - 1])
         own = np.log10(np.maximum(others, 1) / np.maximum(context, 1)) + (steps - (n - 1)) * np.log10(factor)
         log = np.where(others > 0, own, log)
-    return sizes, np.bincount(doc, weights=log, minlength=n_docs)
+    return sizes, np.bincount(doc, weights=log, minlength=len(texts))
 
 
 def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, factor: float = FACTOR, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -99,13 +119,17 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
     """
     rows = wrap(docs).select(column(doc_id).alias("id"), F.coalesce(column(text), F.lit("")).alias("text"))
     whole = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()
-    groups, tokens, buckets = int(whole[0]) // group_bytes + 1, int(whole[1]), partitions(docs.sparkSession)
+    # tasks hold a group or a bucket, so both follow the text, not the cluster
+    groups, tokens = int(whole[0]) // group_bytes + 1, int(whole[1])
+    buckets = max(partitions(docs.sparkSession), int(whole[0]) // BUCKET_BYTES + 1)
     group = F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int")
-    rows = rows.withColumn("group", group).repartition(min(groups, buckets), "group")
+    rows = rows.withColumn("group", group).repartition(min(groups, partitions(docs.sparkSession)), "group")
 
     def ask(part: pd.DataFrame) -> pd.DataFrame:
-        asked = []
-        for n, grams in enumerate(ngrams(list(part["text"]), order)[0]):
+        asked, grams = [], None
+        flat, _, place = word_table(list(part["text"]))
+        for n in range(order):
+            grams = longer_grams(grams, flat, place, n + 1)
             held = np.sort(grams[grams != 0])
             first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
             keys, counts = held[first], np.diff(np.append(first, len(held)))
@@ -129,10 +153,9 @@ def lm_scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order
         return pd.DataFrame(answered, columns=["group", "bucket", "n", "totals"])
 
     def score(part: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        found, doc, place = ngrams(list(part["text"]), order)
         answers = answers.sort_values("bucket")
         totals = [np.concatenate([np.zeros(0, np.int64), *map(_unpack, answers["totals"][answers["n"] == n])]) for n in range(order)]
-        sizes, scores = _scores(found, doc, place, len(part), totals, tokens, factor)
+        sizes, scores = _scores(list(part["text"]), order, totals, tokens, factor)
         return pd.DataFrame({"id": part["id"], "words": sizes, "score": scores})
 
     asked = rows.groupBy("group").applyInPandas(ask, "bucket int, group int, n int, keys binary, counts binary")

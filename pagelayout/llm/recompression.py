@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from pagelayout.llm import hashing
 from pagelayout.llm.common import column, cut, drop_table, table, wrap
-from pagelayout.llm.hashing import U64, mix64, rolling
+from pagelayout.llm.hashing import U64, mix64, pieces, rolling
 
 WINDOW = 35
 SALTS = 8
-PIECE = 1 << 20  # bytes of text that are taken at a time
 STRETCH = 1 << 18  # windows that are searched at a time
 _PLACE = U64((1 << 24) - 1)
 _SEED = 0x9E3779B97F4A7C15
@@ -113,41 +112,6 @@ def anchors(words: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarra
     return sure, context, doc, at - begins[doc], first - begins[doc], last - begins[doc]
 
 
-def _words(text: bytes) -> np.ndarray:
-    """Hashes of a text's words; a long text is cut at white space, so that only its hashes are held whole."""
-    parts, a = [], 0
-    while a < len(text):
-        z = min(len(text), a + PIECE)
-        while z < len(text) and text[z] not in b" \t\n\v\f\r":
-            z += 1
-        parts.append(hashing.word_hashes(text[a:z]))
-        a = z
-    return np.concatenate(parts) if parts else np.zeros(0, U64)
-
-
-def _pieces(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, word hashes, ends) of texts in a row, about ``PIECE`` bytes at a time."""
-    a, size, held = 0, 0, []
-    for i, t in enumerate(texts):
-        held.append(t.encode("utf-8"))
-        size += len(held[-1])
-        if size >= PIECE or i == len(texts) - 1:
-            words = [_words(h) for h in held] if len(held) == 1 else _together(held)
-            yield a, np.concatenate(words), np.cumsum([len(w) for w in words])
-            a, size, held = i + 1, 0, []
-
-
-def _together(texts: list[bytes]) -> list[np.ndarray]:
-    """Word hashes per text, from one pass over all of them."""
-    if any(len(t) > PIECE for t in texts):
-        return [_words(t) for t in texts]
-    joined = b"\n".join(texts)
-    words = hashing.word_hashes(joined)
-    _, start, _ = hashing.word_spans(joined)
-    borders = np.cumsum([len(t) + 1 for t in texts])[:-1]
-    return np.split(words, np.searchsorted(start, borders))
-
-
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(id, node, text) rows to (node, start, end): word ranges of the text with digest ``node`` that repeated windows cover; they may overlap.
 
@@ -159,7 +123,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, words, ends in _pieces(list(batch["text"])):
+            for a, words, ends in pieces(list(batch["text"])):
                 anchor, context, doc, at, first, last = anchors(words, ends, window)
                 if len(at):
                     yield pd.DataFrame({"anchor": anchor.view(np.int64), "context": context.view(np.int64), "node": batch["node"].to_numpy()[a + doc], "at": at, "first": first, "last": last})
@@ -182,7 +146,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def show(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, words, ends in _pieces(list(batch["text"])):
+            for a, words, ends in pieces(list(batch["text"])):
                 digest = mix64(rolling(mix64(words ^ U64(_SEED)), window))
                 some = batch.iloc[a : a + len(ends)]
                 base = np.repeat(np.concatenate([[0], ends[:-1]]), some["anchor"].str.len())

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from pagelayout.llm import queries, recompression
+from pagelayout.llm import hashing, queries, recompression
 
 SCHEMA = "doc_id long, text string, row string, node string, kept string, id int, salt int"
 
@@ -58,7 +58,7 @@ def found(df):
 @pytest.mark.parametrize("window, stretch, piece", [(35, 1 << 18, 1 << 20), (35, 64, 300), (6, 50, 1000), (12, 1 << 18, 1), (70, 97, 1 << 20)])
 def test_against_brute_force(spark, monkeypatch, window, stretch, piece):
     monkeypatch.setattr(recompression, "STRETCH", stretch)
-    monkeypatch.setattr(recompression, "PIECE", piece)
+    monkeypatch.setattr(hashing, "PIECE", piece)
     rows = [(i * 2, t) for i, t in enumerate(texts(window, window))]
     rows += [(None, rows[3][1]), rows[6], rows[6]]
     assert found(recompression.without_repeated_words(frame(spark, rows), window=window)) == plain(rows, window)
