@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from pagelayout.llm.common import column, partitions, wrap
 from pagelayout.llm.hashing import U64, mix64, pieces
 
 ORDER, FACTOR = 3, 0.4
-GROUP_BYTES = 6 << 20  # text of a group of documents
+GROUP_BYTES = 10 << 20  # text of a group of documents
 BUCKET_BYTES = 8 << 20  # text whose n-grams a partition of the count table takes, about
 HASH_BITS = 56  # sorted hashes are sent as gaps, so a shorter hash is a smaller shuffle; a trillion n-grams collide once in 70,000
 
@@ -48,13 +49,19 @@ def ngrams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray,
     return found, doc, place
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def _pack(values: np.ndarray) -> bytes:
-    """Longs by byte plane: planes of small numbers are all zero, and the shuffle's codec takes them down to nothing."""
-    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Longs by byte plane, entropy-coded: planes of small numbers shrink to nothing, and of gaps only the even bits stay."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + _ZSTD.compress(planes.tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    n = int.from_bytes(data[:8], "little")
+    raw = _ZSTD.decompress(data[8:], decompressed_size=8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
