@@ -197,6 +197,22 @@ def q_decode_data_uris(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_ingest_ocr_boxes(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes written out as recogniser JSON, half the pages in each of the two shapes, and read back."""
+    return im.ingest_ocr_boxes(recogniser_json(spark, sf)).select("image_id", "box_id", "text", "confidence", "l", "t", "r", "b", fixed("angle_deg").alias("angle_deg"))
+
+
+@query(
+    "S3_ocr_rejects",
+    with_views("boxes", "SELECT image_id, CASE WHEN image_id % 7 = 0 THEN 'no JSON' ELSE 'nested too deep' END AS reason FROM (SELECT DISTINCT image_id FROM boxes) WHERE image_id % 7 = 0 OR image_id % 11 = 0"),
+)
+def q_ocr_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Recogniser results of which some are cut off and some are wrapped too often."""
+    k, whole = F.col("image_id"), F.col("raw")
+    deep = F.concat(F.repeat(F.lit("["), F.lit(im.NESTING)), whole, F.repeat(F.lit("]"), F.lit(im.NESTING)))
+    broken = recogniser_json(spark, sf).select("image_id", F.when(k % 7 == 0, F.expr("left(raw, length(raw) - 1)")).when(k % 11 == 0, deep).otherwise(whole).alias("raw"))
+    return im.ocr_rejects(broken).select("image_id", "reason")
+
+
+def recogniser_json(spark: SparkSession, sf: str) -> DataFrame:
     b = views.boxes(spark, sf)
     rows = F.array_sort(F.collect_list(F.struct("box_id", "text", "confidence", "l", "t", "r", "b")))
     g = b.groupBy("image_id").agg(rows.alias("v"))
@@ -204,8 +220,7 @@ def q_ingest_ocr_boxes(spark: SparkSession, sf: str) -> DataFrame:
     flat = F.to_json(F.struct(F.struct(F.transform("v", lambda x: x["text"]).alias("rec_texts"), F.transform("v", lambda x: x["confidence"]).alias("rec_scores"), F.transform("v", lambda x: F.array(x["l"], x["t"], x["r"], x["b"])).alias("rec_boxes")).alias("res")))
     one = lambda x: F.concat(F.lit("["), F.to_json(pts(x)), F.lit(",["), ky.json_string(x["text"]), F.lit(","), x["confidence"].cast("string"), F.lit("]]"))
     nested = F.concat(F.lit("[["), F.array_join(F.transform("v", one), ","), F.lit("]]"))
-    raw = g.select("image_id", F.when(F.col("image_id") % 2 == 0, flat).otherwise(nested).alias("raw"))
-    return im.ingest_ocr_boxes(raw).select("image_id", "box_id", "text", "confidence", "l", "t", "r", "b", fixed("angle_deg").alias("angle_deg"))
+    return g.select("image_id", F.when(F.col("image_id") % 2 == 0, flat).otherwise(nested).alias("raw"))
 
 
 # ---------------------------------------------------------------- dimensions
@@ -250,8 +265,12 @@ def q_lookup_prompt(spark: SparkSession, sf: str) -> DataFrame:
     return dims.lookup_prompt(r, prompts(spark, sf)).select("doc_id", F.md5("prompt").alias("digest"))
 
 
-_Q = "'" + "\n".join(dims.CONTRACT).replace("'", "''") + "'"
-_R = "'" + dims.RETRY + "'"
+CONTRACT = ["Answer with the translation alone.", "Keep every marker such as <<TP_P0>> as it is and where it is.", "Put the text of each paragraph behind its marker."]
+RETRY = "Again, with all markers from the first to the last."
+TEMPLATE, SCHEMA = "Translate this:\n{input_json}\nAnswer as {output_schema}", '{"aiTextFull": "..."}'
+STYLES = [("en", "Style en"), ("fr", "Style fr"), ("default", "Default style")]
+_Q = "'" + "\n".join(CONTRACT).replace("'", "''") + "'"
+_R = "'" + RETRY + "'"
 
 
 @query(
@@ -263,8 +282,19 @@ _R = "'" + dims.RETRY + "'"
 def q_build_prompts(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("doc_id")
     r = views.table(spark, sf, "documents").select("doc_id", "lang", F.when(k % 4 == 0, "Keep markers").when(k % 4 == 1, F.col("source")).otherwise("").alias("prompt"), (k % 3 == 0).alias("is_retry"), F.col("text").alias("marked_text"))
-    styles = spark.createDataFrame([("en", "Style en"), ("fr", "Style fr"), ("default", "Default style")], "lang string, style string")
-    return dims.build_prompts(r, styles, "Base.").select("doc_id", F.md5("system_text").alias("system_digest"), F.md5("user_text").alias("user_digest"))
+    styles = spark.createDataFrame(STYLES, "lang string, style string")
+    return dims.build_prompts(r, styles, "Base.", CONTRACT, RETRY).select("doc_id", F.md5("system_text").alias("system_digest"), F.md5("user_text").alias("user_digest"))
+
+
+@query(
+    "J11_json_prompts",
+    f"""SELECT doc_id, md5('Base.' || chr(10) || chr(10) || CASE WHEN lang IN ('en','fr') THEN 'Style ' || lang ELSE 'Default style' END || chr(10) || chr(10) || {_Q}) AS system_digest,
+  md5('Translate this:' || chr(10) || '{{"target_lang": ' || CAST(to_json(coalesce(lang, '')) AS VARCHAR) || ', "originalTextFull": ' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}}' || chr(10) || 'Answer as {SCHEMA}') AS user_digest FROM documents""",
+)
+def q_json_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    r = views.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    d = dims.build_json_prompts(r, spark.createDataFrame(STYLES, "lang string, style string"), "Base.", CONTRACT, TEMPLATE, SCHEMA)
+    return d.select("doc_id", F.md5("system_text").alias("system_digest"), F.md5("user_text").alias("user_digest"))
 
 
 _NAMES = ["Gemma-3-27b-it", "llama-3-8b", "qwen2-instruct", " mistral:7b", "gpt-x", "", "GLM-4", "gemma-2-9b-it", "alpha", "Beta"]

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -65,77 +64,125 @@ def unwrap_data_uris(c: Column | str) -> Column:
 
 # ---------------------------------------------------------------- recogniser output
 
-_RAW_BOX = T.ArrayType(T.StructType([
-    T.StructField("text", T.StringType()), T.StructField("confidence", T.DoubleType()),
-    T.StructField("poly", T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))),
-]))
 # Field names of the two result shapes, best first, and the names results are wrapped in.
 TEXTS, SCORES, POLYS, BOXES, WRAPPERS = ("rec_texts", "texts"), ("rec_scores", "scores"), ("rec_polys", "dt_polys", "polys"), ("rec_boxes", "boxes"), ("res", "result", "ocr_res", "data")
+NESTING = 32  # levels of lists and wrappers that are opened; deeper results are rejected as a whole
 
 
-def _polygon(value) -> list | None:
-    try:
-        pts = [{"x": float(p[0]), "y": float(p[1])} for p in value or []]
-    except (TypeError, ValueError, IndexError, KeyError):
-        return None
-    return pts if len(pts) >= 4 else None
+def _list(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
-def _rectangle(value) -> list | None:
-    try:
-        l, t, r, b = (float(v) for v in value[:4])
-    except (TypeError, ValueError):
-        return None
-    return [{"x": x, "y": y} for x, y in ((l, t), (r, t), (r, b), (l, b))]
-
-
-def _record(poly, text, score, box=None) -> list[dict]:
-    text = str(text or "").strip()
-    shape = _polygon(poly) or (_rectangle(box) if box is not None else None)
-    if not text or shape is None:
-        return []
-    try:
-        confidence = float(score)
-    except (TypeError, ValueError):
-        confidence = 1.0
-    return [{"text": text, "confidence": confidence, "poly": shape}]
-
-
-def boxes_of(value) -> list[dict]:
-    """Text boxes of one recogniser result, whatever it is wrapped in."""
-    if isinstance(value, dict):
-        pick = lambda names: next((value[n] for n in names if value.get(n)), [])
-        texts, scores, polys, boxes = pick(TEXTS), pick(SCORES), pick(POLYS), pick(BOXES)
-        if texts and (polys or boxes):
-            at = lambda a, i, d=None: a[i] if i < len(a) else d
-            return [b for i, t in enumerate(texts) for b in _record(at(polys, i), t, at(scores, i, 1.0), at(boxes, i))]
-        return [b for n in WRAPPERS if value.get(n) is not None for b in boxes_of(value[n])]
-    if isinstance(value, list):
-        if len(value) >= 2 and _polygon(value[0]) and isinstance(value[1], list) and len(value[1]) >= 2:
-            return _record(value[0], value[1][0], value[1][1])
-        return [b for item in value for b in boxes_of(item)]
-    return []
-
-
-@F.pandas_udf(_RAW_BOX)
-def _parse_boxes(raw: pd.Series) -> pd.Series:
-    def one(s):
-        try:
-            return boxes_of(json.loads(s)) if s else []
-        except ValueError:
-            return []
-
-    return raw.map(one)
+def _at(v: Column, i: int, kind: str = "variant") -> Column:
+    """Element ``i`` of a list, without the rest of it."""
+    return F.try_variant_get(v, f"$[{i}]", kind)
+
+
+def _number(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "double")
+
+
+def _said(v: Column) -> Column:
+    return trim_ws(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+
+
+def _corner(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _outline(v: Column) -> Column:
+    """Points of a polygon, those that are none left out; null with fewer than four."""
+    plain = F.try_variant_get(v, "$", "array<array<double>>")  # as polygons usually are, in one step
+    whole = F.when((F.size(plain) >= 4) & F.forall(plain, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull()), plain)
+    points = F.transform(_list(v), lambda p: _corner(_at(p, 0, "double"), _at(p, 1, "double")))
+    good = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return F.coalesce(F.transform(whole, lambda p: _corner(F.get(p, F.lit(0)), F.get(p, F.lit(1)))), F.when(F.size(good) >= 4, good))
+
+
+def _upright(v: Column) -> Column:
+    """Corners of a box left, top, right, bottom; null if one is missing."""
+    l, t, r, b = (_at(v, i, "double") for i in range(4))
+    whole = l.isNotNull() & t.isNotNull() & r.isNotNull() & b.isNotNull()
+    return F.when(whole, F.array(_corner(l, t), _corner(r, t), _corner(r, b), _corner(l, b)))
+
+
+def _field(v: Column, names: Sequence[str]) -> Column:
+    """The first of the named lists that is there and not empty; else an empty one."""
+    found = [F.try_variant_get(v, f"$.{n}", "array<variant>") for n in names]
+    return F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], F.array().cast("array<variant>"))
+
+
+def _is_page(v: Column) -> Column:
+    return (F.size(_field(v, TEXTS)) > 0) & ((F.size(_field(v, POLYS)) > 0) | (F.size(_field(v, BOXES)) > 0))
+
+
+def _is_line(v: Column) -> Column:
+    return F.coalesce(_at(_at(v, 1), 1).isNotNull() & _outline(_at(v, 0)).isNotNull(), F.lit(False))
+
+
+def _parts(v: Column) -> Column:
+    """Per box of a result that needs no more unwrapping: its text, score, polygon and rectangle, as they come."""
+    names = ("t", "s", "p", "b")
+    page = F.arrays_zip(*[_field(v, n).alias(x) for x, n in zip(names, (TEXTS, SCORES, POLYS, BOXES))])
+    page = F.slice(page, F.lit(1), F.size(_field(v, TEXTS)))
+    pair = _at(v, 1)
+    none = F.lit(None).cast("variant")
+    line = F.array(F.struct(_at(pair, 0).alias("t"), _at(pair, 1).alias("s"), _at(v, 0).alias("p"), none.alias("b")))
+    return F.when(_is_page(v), page).otherwise(line)
+
+
+def _box(x: Column) -> Column:
+    shape = F.coalesce(_outline(x["p"]), _upright(x["b"]))
+    return F.struct(_said(x["t"]).alias("text"), F.coalesce(_number(x["s"]), F.lit(1.0)).alias("confidence"), shape.alias("poly"))
+
+
+def _unwrapped(root: Column) -> Column:
+    """struct<open, done>: results with their path in the JSON, and what is still wrapped after ``NESTING`` levels."""
+    node = "array<struct<path:array<int>,v:variant>>"
+
+    def inside(n: Column) -> Column:
+        held = F.transform(_list(n["v"]), lambda x, i: F.struct(F.concat(n["path"], F.array(i)).alias("path"), x.alias("v")))
+        named = F.array(*[F.struct(F.concat(n["path"], F.array(F.lit(i))).alias("path"), F.try_variant_get(n["v"], f"$.{w}", "variant").alias("v")) for i, w in enumerate(WRAPPERS)])
+        return F.coalesce(held, named)
+
+    def step(s: Column, _: Column) -> Column:
+        ends = lambda n: _is_page(n["v"]) | _is_line(n["v"])
+        further = F.flatten(F.transform(F.filter(s["open"], lambda n: ~ends(n)), inside))
+        further = F.filter(further, lambda n: n["v"].isNotNull() & ~F.is_variant_null(n["v"]))
+        return F.struct(further.alias("open"), F.concat(s["done"], F.filter(s["open"], ends)).alias("done"))
+
+    first = F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("v"))).cast(node)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.struct(first.alias("open"), F.array().cast(node).alias("done")), step)
+
+
+def _parsed(df: DataFrame, raw: str) -> DataFrame:
+    """(image_id, raw, __v, __u): each result parsed and unwrapped once; exploding keeps filters from repeating the work."""
+    d = df.select("image_id", F.col(raw).alias("raw")).filter(trim_ws(F.coalesce("raw", F.lit(""))) != "")
+    d = d.select("image_id", "raw", F.explode(F.array(F.try_parse_json("raw"))).alias("__v"))
+    return d.select("*", F.explode(F.array(F.when(F.col("__v").isNotNull(), _unwrapped(F.col("__v"))))).alias("__u"))
 
 
 def ingest_ocr_boxes(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Recogniser results (image_id, JSON text) to box rows."""
-    d = df.select("image_id", F.posexplode_outer(_parse_boxes(raw)).alias("box_id", "x")).filter(F.col("box_id").isNotNull())
+    """Recogniser results (image_id, JSON text) to box rows, numbered in the order of the JSON; ``ocr_rejects`` has what cannot be read.
+
+    A box needs a text and a polygon of four points, or else a rectangle; points that are none are passed over; scores that are none count as 1.
+    """
+    d = _parsed(df, raw).filter("__u IS NOT NULL AND size(__u.open) = 0")
+    in_order = F.array_sort("__u.done", lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+    parts = F.flatten(F.transform(in_order, lambda n: _parts(n["v"])))
+    boxes = F.filter(F.transform(parts, _box), lambda x: (x["text"] != "") & x["poly"].isNotNull())
+    d = d.select("image_id", F.posexplode(boxes).alias("box_id", "x"))  # made once per result, by the explode
     d = d.select("image_id", F.col("box_id").cast("long").alias("box_id"), "x.text", "x.confidence", "x.poly")
     xs, ys = F.transform("poly", lambda p: p["x"]), F.transform("poly", lambda p: p["y"])
     return d.withColumns({"l": F.array_min(xs), "t": F.array_min(ys), "r": F.array_max(xs), "b": F.array_max(ys), "angle_deg": poly_angle(F.col("poly"))})
 
 
+def ocr_rejects(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """Results that ``ingest_ocr_boxes`` cannot read: image_id, raw, reason. Null and blank results are no results."""
+    d = _parsed(df, raw).filter("__u IS NULL OR size(__u.open) > 0")
+    return d.select("image_id", "raw", F.when(F.col("__v").isNull(), "no JSON").otherwise("nested too deep").alias("reason"))
+
+
 # ---------------------------------------------------------------- row statistics
 
 PROFILE_WIDTH = 640

@@ -1,5 +1,6 @@
 """Small inputs with known answers."""
 
+import json
 import struct
 import zlib
 
@@ -50,6 +51,21 @@ def test_both_recogniser_shapes(spark):
     ]
 
 
+def test_recogniser_results_with_faults(spark):
+    square = [[0, 0], [10, 0], [10, 5], [0, 5]]
+    raws = [
+        [[[square, ["hi", 0.9]], [square, ["  ", 0.9]], [[[0, 0], ["x"], [10, 0], [10, 5], [0, "5.5"]], ["one bad point", None]], [square[:3], ["three points", 1]]]],
+        {"res": {"rec_texts": ["a", "b", None, "d"], "rec_scores": [0.5, "x"], "rec_polys": [square], "rec_boxes": [[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4], ["q", 1, 2, 3]]}},
+        [{"data": [[square, ["n", 1]]]}, {"texts": [], "rec_texts": ["z"], "boxes": [[0, 0, 1, 1]]}, {"other": 1}, 5, None],
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(raws)] + [(3, "no json"), (4, None), (5, " "), (6, "[" * 70 + "]" * 70), (7, "[]"), (8, "5")]
+    d = spark.createDataFrame(rows, "image_id long, raw string")
+    got = [(r.image_id, r.box_id, r.text, r.confidence, r.l, r.t, r.r, r.b) for r in im.ingest_ocr_boxes(d).orderBy("image_id", "box_id").collect()]
+    assert got == [(0, 0, "hi", 0.9, 0, 0, 10, 5), (0, 1, "one bad point", 1.0, 0, 0, 10, 5.5), (1, 0, "a", 0.5, 0, 0, 10, 5), (1, 1, "b", 1.0, 1, 2, 3, 4), (2, 0, "n", 1.0, 0, 0, 10, 5), (2, 1, "z", 1.0, 0, 0, 1, 1)]
+    assert {(r.image_id, r.reason) for r in im.ocr_rejects(d).collect()} == {(3, "no JSON"), (6, "nested too deep")}
+    assert im.ingest_ocr_boxes(d.limit(0)).count() == 0
+
+
 PARA = "image_id long, side string, rid long, text string, l double, t double, r double, b double"
 TILE = "image_id long, tile_no int, y int, h int, page_h int"
 
