@@ -49,6 +49,11 @@ def numbered(spark: SparkSession, sf: str) -> DataFrame:
     return layout.group_lines(filtered(spark, sf))
 
 
+def placed_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Line numbers from the geometry alone: Arrow stages pass all columns on, so text that nobody asks for is left out before them."""
+    return layout.group_lines(filtered(spark, sf).select("image_id", "box_id", "l", "t", "b"))
+
+
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
     return layout.layout_from_boxes(filtered(spark, sf))
 
@@ -60,12 +65,12 @@ def q_filter_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W1_group_lines", sql_upto("numbered", "SELECT image_id, box_id, line_no FROM numbered"))
 def q_group_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return numbered(spark, sf).select("image_id", "box_id", "line_no")
+    return placed_boxes(spark, sf).select("image_id", "box_id", "line_no")
 
 
 @query("O1_reading_order", sql_upto("numbered", "SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY line_no, l, box_id) - 1 AS position FROM numbered"))
 def q_reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.reading_order(numbered(spark, sf)).select("image_id", "box_id", "position")
+    return layout.reading_order(placed_boxes(spark, sf)).select("image_id", "box_id", "position")
 
 
 @query("A4_line_angle", sql_upto("lines", "SELECT image_id, line_no, floor(angle_deg*10000+0.5)/10000 AS angle_deg FROM lines"))
