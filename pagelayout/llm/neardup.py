@@ -21,7 +21,7 @@ AGREE = 32  # of 64 coordinates; a pair at 0.8 agrees on fewer with a probabilit
 SALTS = 8
 LEAST_YIELD = 0.25  # links per comparison below which such turns end
 BITS = 2048  # of the map of a text's units, from which pairs are ruled out
-WORK = 20  # open pairs per bucket entry up to which pairs across components are compared outright
+WORK = 100  # open pairs per bucket entry up to which pairs across components are compared outright
 _GOLD = U64(0x9E3779B97F4A7C15)
 
 
@@ -174,18 +174,51 @@ def _first_band() -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose weighted shingle sets are similar enough, from a table of texts (node, text)."""
+    """The rows of pairs (a, b, ...) whose weighted shingle sets are similar enough, from a table of texts (node, text)."""
+    columns = pairs.columns
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
     left = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").withColumnRenamed("text", "text_a")
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    joined = pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    joined = pairs.join(right, "b").join(left, ["a", "salt"]).select(*columns, "text_a", "text_b")
 
     @F.pandas_udf("boolean")
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        at, units = None, None  # pairs come by a, whose units serve all its partners
         for xs, ys in batches:
-            yield pd.Series([similarity(weighted_units(x), weighted_units(y)) >= THRESHOLD for x, y in zip(xs, ys, strict=True)], dtype=bool)
+            near = []
+            for x, y in zip(xs, ys, strict=True):
+                if x != at:
+                    at, units = x, weighted_units(x)
+                near.append(similarity(units, weighted_units(y)) >= THRESHOLD)
+            yield pd.Series(near, dtype=bool)
 
-    return joined.where(similar("text_a", "text_b")).select("a", "b")
+    return joined.where(similar("text_a", "text_b")).select(*columns)
+
+
+def _sides(profile: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table of nodes as the a and as the b of pairs."""
+    return tuple(profile.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in profile.columns]) for side in "ab")
+
+
+def _mixed_buckets(rooted: DataFrame) -> DataFrame:
+    """(band, bucket, main, largest, all) of the buckets whose members are in several components; main is the largest one."""
+    per_root = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots"))
+    return mixed.where("roots > 1").select("band", "bucket", "main", "largest", "all")
+
+
+def _merges(found: DataFrame) -> DataFrame:
+    """(old, new) roots after links between components, (a_root, b_root); only roots that are linked."""
+    merged = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    return merged.select(F.col("node").alias("old"), F.col("root").alias("new"))
+
+
+def _merged(rooted: DataFrame, merges: DataFrame) -> DataFrame:
+    """Rows (node, root, ...) with their new roots; salted, as one component may hold most rows."""
+    salted = merges.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    parted = rooted.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    joined = parted.join(salted, (F.col("root") == F.col("old")) & (parted["part"] == salted["part"]), "left")
+    return joined.select(*[F.coalesce("new", "root").alias(c) if c == "root" else parted[c] for c in rooted.columns])
 
 
 def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,75 +230,80 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies that have been changed too much. While many pairs across components are open, each turn holds the members outside a bucket's largest component
     against one that is inside, first the one with the smallest share of such units. Members that are then still in
     different components are held against each other, those outside the largest one against all, so no link between components is
-    missed that the bands have found. Every accepted link is verified on the whole texts.
+    missed that the bands have found. Every accepted link is verified on the whole texts. Links found after the stars join components, not
+    texts, so only roots meet again.
     """
     rows = rows.select("id", "text", F.unhex(F.md5(F.col("text"))).alias("node"))
     signed = table(rows.withColumn("s", signature(F.col("text"))).select("id", "node", "s.*"))
     nodes = table(signed.groupBy("node").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"), F.min("weight").alias("weight"), F.max("bands").alias("bands"), F.max("bytes").alias("bytes")))
 
-    entries = nodes.where("weight > 0").select("node", "weight", "bytes", F.posexplode("bands").alias("band", "bucket"))
+    entries = nodes.where("weight > 0").select("node", "first", F.posexplode("bands").alias("band", "bucket"))
     crowded = entries.groupBy("band", "bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
     salted = crowded.select("band", "bucket", "leader", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     entries = entries.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    entries = table(entries.join(salted, ["band", "bucket", "salt"]).select("band", "bucket", "salt", "node", "leader"))
+    entries = table(entries.join(salted, ["band", "bucket", "salt"]).select("band", "bucket", "salt", "node", "first", "leader"))
 
-    profile = nodes.select("node", "weight", "bytes", "bands")
-    a = profile.select(F.col("node").alias("a"), F.col("weight").alias("a_weight"), F.col("bytes").alias("a_bytes"), F.col("bands").alias("a_bands"))
-    b = profile.select(F.col("node").alias("b"), F.col("weight").alias("b_weight"), F.col("bytes").alias("b_bytes"), F.col("bands").alias("b_bands"))
+    a, b = _sides(nodes.select("node", "weight", "bytes"))
     stars = entries.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = table(stars.join(a, "a").join(b, "b").where(_plausible()).select("a", "b"))
 
     # the texts that a comparison may ask for: one row each, found by its id, so that a frequent text does not meet in one task
-    wanted = entries.select("node").distinct().join(nodes.select("node", "first"), "node").withColumnsRenamed({"node": "n", "first": "i"})
+    wanted = entries.select(F.col("node").alias("n"), F.col("first").alias("i")).distinct()
     texts = rows.join(wanted, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("i")))
     texts = table(texts.select("node", "text").dropDuplicates(["node"]))
 
-    def sides(pairs: DataFrame) -> DataFrame:
-        return pairs.join(a, "a").join(b, "b")
-
-    links = table(_verified(stars, texts))
-    roots, tried, size, last = components(links), stars, entries.count(), False
+    roots = components(table(_verified(stars, texts)))
+    rooted = entries.join(roots, "node", "left").select("band", "bucket", "salt", "node", "leader", F.coalesce("root", "node").alias("root"))
+    rooted = table(rooted)
+    size = rooted.count()
+    mixed_nodes = rooted.join(_mixed_buckets(rooted).select("band", "bucket"), ["band", "bucket"]).select("node").distinct()
+    private = _private_units(texts.join(mixed_nodes, "node")).join(nodes.select("node", "weight", "bytes", "bands"), "node")
+    able = table(private.where((F.col("weight") - F.col("private")) / F.col("weight") >= THRESHOLD))
+    rooted = table(rooted.join(able.select("node", (F.col("private") / F.col("weight")).alias("lonely")), "node"))
+
+    a, b = _sides(able)
+    tried, last = None, False
     for turn in itertools.count():
-        rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = table(rooted.select("band", "bucket", "salt", "node", "root", *(["lonely"] if turn else [])))
-        per_root = rooted.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("largest"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots"))
-        mixed = table(mixed.where("roots > 1").select("band", "bucket", "main", "largest", "all"))
+        mixed = table(_mixed_buckets(rooted))
         inside = rooted.join(mixed.select("band", "bucket", "main"), ["band", "bucket"])
-        if turn == 0:
-            private = _private_units(texts.join(inside.select("node").distinct(), "node")).join(nodes.select("node", "weight", "bytes", "bands"), "node")
-            able = table(private.where((F.col("weight") - F.col("private")) / F.col("weight") >= THRESHOLD))
-            a, b = (able.select(*[F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in able.columns]) for side in "ab")
-            lonely = able.select("node", (F.col("private") / F.col("weight")).alias("lonely"))
-            entries = table(entries.join(lonely, "node"))
-            continue
         open_pairs = mixed.agg(F.sum((F.col("all") - F.col("largest")) * F.col("all"))).first()[0] or 0
         if last or open_pairs <= WORK * size:
             break
         # a member of the largest component, another one each turn, against all that are outside
-        chance = F.pmod(F.xxhash64(F.lit(turn), "node"), F.lit(1000)) / 1000 * (turn - 1)
-        chosen = inside.where("root = main").groupBy("band", "bucket").agg(F.min_by("node", F.struct(F.col("lonely") + chance, "node")).alias("leader"))
-        chosen = table(chosen).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        near = inside.where("root <> main").join(chosen, ["band", "bucket", "salt"]).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-        near = table(sides(near).where(_plausible() & _share_enough()).select("a", "b"))
+        chance = F.pmod(F.xxhash64(F.lit(turn + 1), "node"), F.lit(1000)) / 1000 * turn
+        chosen = inside.where("root = main").groupBy("band", "bucket").agg(F.min_by("node", F.struct(F.col("lonely") + chance, "node")).alias("chosen"))
+        chosen = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = inside.where("root <> main").join(chosen, ["band", "bucket", "salt"])
+        near = near.select(F.col("chosen").alias("a"), F.col("node").alias("b"), F.col("main").alias("a_root"), F.col("root").alias("b_root")).distinct()
+        near = table(near.join(a, "a").join(b, "b").where(_plausible() & _share_enough()).select("a", "b", "a_root", "b_root"))
         found = table(_verified(near, texts))
         last = found.count() < LEAST_YIELD * near.count()
-        tried = tried.union(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        both = near.select("a", "b").union(near.select("b", "a"))
+        tried = both if tried is None else tried.union(both)
         if not found.isEmpty():
-            links = table(links.union(found))
-            roots = components(links)
+            merges = _merges(found)
+            rooted = table(_merged(rooted, merges))
+            roots = _grown(roots, merges)
 
     minor = inside.where("root <> main").join(b.withColumnRenamed("b", "node"), "node").select("band", "bucket", F.col("node").alias("b"), F.col("root").alias("b_root"), "b_weight", "b_bytes", "b_bands", "b_private", "b_map", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "a_bands", "a_private", "a_map", "salt")
-    rest = every.join(minor, ["band", "bucket", "salt"]).where((F.col("a_root") != F.col("b_root")) & _first_band() & _plausible() & _share_enough())
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = table(rest.join(tried, ["a", "b"], "left_anti"))
+    every = inside.join(a.withColumnRenamed("a", "node"), "node").select("band", "bucket", "main", "leader", F.col("node").alias("a"), F.col("root").alias("a_root"), "a_weight", "a_bytes", "a_bands", "a_private", "a_map", "salt")
+    # two minor members meet in both orders, and a bucket's leader has been held against all
+    once = (F.col("a_root") == F.col("main")) | (F.col("a") < F.col("b"))
+    new = (F.col("a_root") != F.col("b_root")) & once & (F.col("a") != F.col("leader")) & (F.col("b") != F.col("leader"))
+    rest = every.join(minor, ["band", "bucket", "salt"]).where(new & _plausible() & _first_band() & _share_enough()).select("a", "b", "a_root", "b_root")
+    rest = table(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
     more = table(_verified(rest, texts))
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = _grown(roots, _merges(more))
     return nodes.select("node", "first", "n"), roots
 
 
+def _grown(roots: DataFrame, merges: DataFrame) -> DataFrame:
+    """(node, root) after merges of roots; an old root that had no row was a text by itself."""
+    known = roots.union(merges.select("old", "old")).distinct()
+    return table(_merged(known, merges))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every document with its class of near duplicates.
 
