@@ -277,7 +277,7 @@ def near_duplicate_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = near.select(F.col("chosen").alias("a"), F.col("node").alias("b"), F.col("main").alias("a_root"), F.col("root").alias("b_root")).distinct()
         near = table(near.join(a, "a").join(b, "b").where(_plausible() & _share_enough()).select("a", "b", "a_root", "b_root"))
         found = table(_verified(near, texts))
-        last = found.count() < LEAST_YIELD * near.count()
+        last = found.count() <= LEAST_YIELD * near.count()  # also if no pair was left to compare
         both = near.select("a", "b").union(near.select("b", "a"))
         tried = both if tried is None else tried.union(both)
         if not found.isEmpty():

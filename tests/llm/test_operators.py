@@ -182,6 +182,22 @@ def test_near_duplicates_match_brute_force(spark, docs, corpus):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("work", [neardup.WORK, 0])
+def test_near_duplicates_find_all_links_between_components(spark, monkeypatch, work):
+    """Copies changed to similarities around the threshold: with turns and without, and turns end when bounds rule out all pairs."""
+    monkeypatch.setattr(neardup, "WORK", work)
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 400, n) for n in (40, 80, 160) for _ in range(4)]
+    rows = []
+    for i in range(240):
+        words = base[rng.integers(len(base))].copy()
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            words[rng.integers(len(words))] = rng.integers(400)
+        rows.append((i, " ".join(f"w{w}" for w in words)))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "class_id").collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == sorted((i, c[1]) for i, c in brute_classes(rows))
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     agree = []
