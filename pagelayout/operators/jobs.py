@@ -230,12 +230,26 @@ def expire_jobs(state: DataFrame, now_us: Column, ttl_us: int = 3_600_000_000) -
     return state.filter(F.col("last_us") >= now_us - ttl_us)
 
 
+def cache_kind(source: Column) -> Column:
+    """Which cache a request uses: ai for the source ``ai`` and command-line models, plain for all others, null included."""
+    src = F.coalesce(source, F.lit(""))
+    return F.when((src == "ai") | src.startswith("cli_"), "ai").otherwise("plain")
+
+
 def cache_lookup(requests: DataFrame, results: DataFrame) -> DataFrame:
-    """Add ``cache``: hit or miss for cacheable requests (text mode with a hash), off for the rest."""
-    r = requests.withColumn("__k", F.when((F.col("mode") == "lens_text") & (F.coalesce("img_hash", F.lit("")) != ""), F.col("cache_key")))
-    known = results.select(F.col("cache_key").alias("__k")).distinct().withColumn("__hit", F.lit(True))
-    j = r.join(known, "__k", "left")
-    return j.withColumn("cache", F.when(F.col("__k").isNull(), "off").when(F.col("__hit"), "hit").otherwise("miss")).drop("__k", "__hit")
+    """Add ``cache``: hit or miss for cacheable requests (text mode with a hash and a key), off for the rest.
+
+    requests: mode, img_hash, cache_kind, cache_key, us; results: cache_kind, cache_key, us (when stored). A hit is a result of the same
+    kind and key that was stored before the request; a key stored in one cache is not known in the other. Results at an unknown time or
+    without a key count for nothing, requests at an unknown time miss.
+    """
+    cacheable = (F.col("mode") == "lens_text") & (F.coalesce("img_hash", F.lit("")) != "") & (F.coalesce("cache_key", F.lit("")) != "")
+    r = requests.withColumn("__k", F.when(cacheable, F.col("cache_key")))
+    known = results.filter(F.col("us").isNotNull() & (F.coalesce("cache_key", F.lit("")) != ""))
+    known = known.groupBy(F.col("cache_kind").alias("__kind"), F.col("cache_key").alias("__known")).agg(F.min("us").alias("__since"))
+    j = r.join(known, (F.col("__k") == F.col("__known")) & (F.col("cache_kind") == F.col("__kind")), "left")
+    cache = F.when(F.col("__k").isNull(), "off").when(F.col("__since") < F.col("us"), "hit").otherwise("miss")
+    return j.withColumn("cache", cache).drop("__k", "__kind", "__known", "__since")
 
 
 # ---------------------------------------------------------------- as-of rules

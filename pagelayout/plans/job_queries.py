@@ -181,27 +181,33 @@ def q_keep_first(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ENGINE_SQL = "CASE WHEN replace(lower(trim(ocr_engine)), '-', '_') IN ('paddle','paddle_ocr','paddleocr') THEN 'paddleocr' ELSE 'google_lens' END"
-_KEYED_SQL = f"""SELECT request_id, ts, mode, img_hash, img_hash || '|' || trim(lang) || '|' || trim(mode) || '|text|' || {_ENGINE_SQL} AS cache_key FROM requests"""
+_KEYED_SQL = f"""SELECT request_id, epoch_us(ts) AS us, mode, kind, img_hash || '|' || trim(lang) || '|' || trim(mode) || '|' || CASE kind WHEN 'ai' THEN trim(source) ELSE 'text' END || '|' || {_ENGINE_SQL}
+|| CASE kind WHEN 'ai' THEN concat('|', trim(provider), '|', trim(model), '|', trim(base_url), '|') ELSE '' END AS cache_key
+FROM (SELECT *, CASE WHEN source = 'ai' OR starts_with(source, 'cli_') THEN 'ai' ELSE 'plain' END AS kind FROM requests)"""
 
 
 def keyed_requests(spark: SparkSession, sf: str) -> DataFrame:
-    r = views.requests(spark, sf)
+    r = views.requests(spark, sf).withColumn("cache_kind", jobs.cache_kind(F.col("source")))
     c = F.col
-    return r.select("request_id", "ts", "mode", "img_hash", ky.cache_key(c("img_hash"), F.trim("lang"), c("mode"), F.lit("text"), c("ocr_engine")).alias("cache_key"))
+    ai = c("cache_kind") == "ai"
+    plain_key = ky.cache_key(c("img_hash"), F.trim("lang"), c("mode"), F.lit("text"), c("ocr_engine"))
+    ai_key = ky.cache_key(c("img_hash"), F.trim("lang"), c("mode"), c("source"), c("ocr_engine"), (c("provider"), c("model"), c("base_url"), F.lit("")))
+    return r.select("request_id", jobs.micros("ts").alias("us"), "mode", "img_hash", "cache_kind", F.when(ai, ai_key).otherwise(plain_key).alias("cache_key"))
 
 
 @query(
     "J7_cache_lookup",
     with_views(
         "requests",
-        """SELECT request_id, CASE WHEN mode <> 'lens_text' THEN 'off' WHEN cache_key IN (SELECT cache_key FROM keyed WHERE ts < TIMESTAMP '2024-01-08') THEN 'hit' ELSE 'miss' END AS cache FROM keyed""",
+        """SELECT request_id, kind AS cache_kind, CASE WHEN mode <> 'lens_text' THEN 'off' WHEN us > min(us) OVER (PARTITION BY kind, cache_key) THEN 'hit' ELSE 'miss' END AS cache FROM keyed""",
         keyed=_KEYED_SQL,
     ),
 )
 def q_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Each request against the results of all earlier ones."""
     r = keyed_requests(spark, sf)
-    done = r.filter(F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")).select("cache_key")
-    return jobs.cache_lookup(r, done).select("request_id", "cache")
+    stored = r.filter("mode = 'lens_text'").select("cache_kind", "cache_key", "us")
+    return jobs.cache_lookup(r, stored).select("request_id", "cache_kind", "cache")
 
 
 # ---------------------------------------------------------------- as-of rules

@@ -186,3 +186,28 @@ def test_picture_rows_and_catalog(spark, tmp_path):
     assert [(r.name, r.relative_path, r.mime) for r in found] == [("a.png", "a.png", "image/png")]
     got = im.row_profile(spark.read.format("image").load(str(tmp_path / "a.png"))).orderBy("y").collect()
     assert [(r.y, r.dy, r.dx, r.dark) for r in got] == [(0, 20.0, 0.0, 1.0), (1, 20.0, 20.0, 1.0), (2, 0.0, 20.0, 1.0), (3, 235.0, 0.0, 0.0), (4, 0.0, 0.0, 0.0)]
+
+
+def test_cache_lookup_keeps_caches_apart(spark):
+    from pagelayout.operators import jobs
+
+    req = "request_id long, mode string, img_hash string, source string, cache_key string, us long"
+    rows = [
+        (1, "lens_text", "h", "translated", "k", 10),  # stored before
+        (2, "lens_text", "h", "ai", "k", 10),  # the same key, but only in the plain cache
+        (3, "lens_text", "h", "cli_codex", "m", 10),  # ai cache
+        (4, "lens_text", "h", "translated", "k", 5),  # stored at the same time
+        (5, "lens_images", "h", "translated", "k", 10),
+        (6, "lens_text", None, "translated", "k", 10),
+        (7, "lens_text", "h", None, "k", 10),
+        (8, "lens_text", "h", "translated", None, 10),
+        (9, "lens_text", "h", "translated", "k", None),
+        (1, "lens_text", "h", "translated", "k", 10),
+    ]
+    requests = spark.createDataFrame(rows, req).withColumn("cache_kind", jobs.cache_kind(F.col("source")))
+    stored = spark.createDataFrame([("plain", "k", 5), ("plain", "k", 9), ("ai", "m", 1), ("ai", None, 1), ("plain", "n", None)], "cache_kind string, cache_key string, us long")
+    got = sorted((r.request_id, r.cache_kind, r.cache) for r in jobs.cache_lookup(requests, stored).collect())
+    kinds = [(1, "plain", "hit"), (1, "plain", "hit"), (2, "ai", "miss"), (3, "ai", "hit"), (4, "plain", "miss"), (5, "plain", "off"), (6, "plain", "off"), (7, "plain", "hit"), (8, "plain", "off"), (9, "plain", "miss")]
+    assert got == kinds
+    assert {r.cache for r in jobs.cache_lookup(requests, stored.limit(0)).collect()} == {"miss", "off"}
+    assert jobs.cache_lookup(requests.limit(0), stored).count() == 0
