@@ -95,8 +95,9 @@ def match_targets(results: DataFrame, images: DataFrame, recent: DataFrame, clic
     """Picture on the page that a result belongs to, by the first rule that finds one.
 
     results: page_id, result_id, key, url, us; images: page_id, img_no, key, original, current, src;
-    recent: page_id, url, img_no; clicks: page_id, img_no, us, urls.  Of the clicks the last one before the result counts,
-    if it is less than eight seconds old.
+    recent: page_id, url, img_no, us (when the picture showed that URL); clicks: page_id, img_no, us, urls.  Of the pictures
+    seen with the result's URL the last one not later than the result counts, however old (of several at once the highest number);
+    of the clicks the last one before the result, if it is less than eight seconds old.  Sightings at an unknown time count for nothing.
     """
     r = results.select("page_id", "result_id", "key", "url", "us")
 
@@ -110,7 +111,9 @@ def match_targets(results: DataFrame, images: DataFrame, recent: DataFrame, clic
 
     by_key = hits(named("key"), F.col("key") == F.col("__v"), 1)
     by_original = hits(named("original"), F.col("url") == F.col("__v"), 2)
-    by_recent = hits(recent.select("page_id", "img_no", F.col("url").alias("__v")), F.col("url") == F.col("__v"), 3)
+    seen = recent.filter((F.coalesce("url", F.lit("")) != "") & F.col("us").isNotNull()).groupBy("page_id", "url", "us").agg(F.max("img_no").alias("img_no"))
+    last_seen = asof(r.filter(F.coalesce("url", F.lit("")) != ""), seen, ["page_id", "url"], "us", F.col("img_no"), "__seen", "result_id").filter("__seen IS NOT NULL")
+    by_recent = last_seen.select("page_id", "result_id", F.lit(3).alias("prio"), F.col("__seen").alias("img_no"))
     clicked = asof(r, clicks, ["page_id"], "us", F.struct("img_no", "urls", F.col("us").alias("at")), "__c", "result_id")
     clicked = clicked.filter((F.col("us") - F.col("__c.at") < CLICK_MICROS) & ((F.col("url") == "") | F.array_contains("__c.urls", F.col("url"))))
     by_click = clicked.select("page_id", "result_id", F.lit(4).alias("prio"), F.col("__c.img_no").alias("img_no"))

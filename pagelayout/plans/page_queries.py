@@ -144,8 +144,12 @@ def q_map_pages(spark: SparkSession, sf: str) -> DataFrame:
     with_views(
         "page_links",
         """SELECT page_id, result_id, min(prio) AS rule, arg_min(img_no, (prio, img_no)) AS img_no FROM (
-  SELECT r.page_id, r.pos AS result_id, CASE WHEN i.pos % 4 = 0 AND i.pos = r.pos THEN 1 WHEN i.pos % 4 = 1 AND i.url = r.url THEN 2 WHEN i.pos % 4 = 2 AND i.url = r.url THEN 3 WHEN i.pos = 3 AND r.pos % 2 = 1 AND i.url = r.url THEN 4 WHEN i.pos % 4 = 3 AND i.url = r.url THEN 5 END AS prio, i.pos AS img_no
-  FROM links r JOIN links i USING (page_id)) WHERE prio IS NOT NULL GROUP BY page_id, result_id""",
+  SELECT r.page_id, r.pos AS result_id, CASE WHEN i.pos % 4 = 0 AND i.pos = r.pos THEN 1 WHEN i.pos % 4 = 1 AND i.url = r.url THEN 2 WHEN i.pos = 3 AND r.pos % 2 = 1 AND i.url = r.url THEN 4 WHEN i.pos % 4 = 3 AND i.url = r.url THEN 5 END AS prio, i.pos AS img_no
+  FROM links r JOIN links i USING (page_id)
+  UNION ALL
+  SELECT r.page_id, r.pos, 3, arg_max(i.pos, (9000000 - i.pos % 3 * 4000000, i.pos)) FROM links r JOIN links i USING (page_id)
+  WHERE i.pos % 4 = 2 AND i.url = r.url AND 9000000 - i.pos % 3 * 4000000 <= CASE WHEN r.pos % 2 = 1 THEN 3000000 ELSE 9000000 END GROUP BY r.page_id, r.pos
+) WHERE prio IS NOT NULL GROUP BY page_id, result_id""",
         links=f"SELECT * FROM ({LINKS}) WHERE url <> ''",
     ),
 )
@@ -156,7 +160,7 @@ def q_match_targets(spark: SparkSession, sf: str) -> DataFrame:
     name = F.concat(F.lit("md:"), k.cast("string"))
     results = d.select("page_id", k.alias("result_id"), F.when(k % 4 == 0, name).alias("key"), "url", (k % 2 * -6_000_000 + 9_000_000).cast("long").alias("us"))
     images = d.select("page_id", k.alias("img_no"), F.when(k % 4 == 0, name).alias("key"), F.when(k % 4 == 1, F.col("url")).alias("original"), F.when(k % 4 == 3, F.col("url")).alias("current"), F.lit(None).cast("string").alias("src"))
-    recent = d.filter(k % 4 == 2).select("page_id", "url", k.alias("img_no"))
+    recent = d.filter(k % 4 == 2).select("page_id", "url", k.alias("img_no"), (9_000_000 - k % 3 * 4_000_000).cast("long").alias("us"))
     clicks = d.filter(k == 3).select("page_id", k.alias("img_no"), F.lit(0).cast("long").alias("us"), F.array("url").alias("urls"))
     # clicks on every picture long after all results; they change nothing
     clicks = clicks.unionByName(d.select("page_id", k.alias("img_no"), (900_000_000 + k).cast("long").alias("us"), F.array("url").alias("urls")))

@@ -108,7 +108,7 @@ def test_long_marker_numbers(spark):
 def test_last_click_before_a_result(spark):
     results = spark.createDataFrame([(1, 10, None, "u", 20_000_000), (1, 11, None, "u", 40_000_000), (1, 12, None, "u", 1_000_000)], "page_id long, result_id long, key string, url string, us long")
     images = spark.createDataFrame([], "page_id long, img_no long, key string, original string, current string, src string")
-    recent = spark.createDataFrame([], "page_id long, url string, img_no long")
+    recent = spark.createDataFrame([], "page_id long, url string, img_no long, us long")
     clicks = spark.createDataFrame([(1, 1, 19_500_000, ["u"]), (1, 2, 25_000_000, ["u"]), (1, 3, 900_000_000, ["u"])], "page_id long, img_no long, us long, urls array<string>")
     assert [(r.result_id, r.rule, r.img_no) for r in pages.match_targets(results, images, recent, clicks).collect()] == [(10, 4, 1)]
 
@@ -188,6 +188,17 @@ def test_picture_rows_and_catalog(spark, tmp_path):
     assert [(r.y, r.dy, r.dx, r.dark) for r in got] == [(0, 20.0, 0.0, 1.0), (1, 20.0, 20.0, 1.0), (2, 0.0, 20.0, 1.0), (3, 235.0, 0.0, 0.0), (4, 0.0, 0.0, 0.0)]
 
 
+def test_last_sighting_before_a_result(spark):
+    """The latest picture with the URL not later than the result; ties, unknown times, empty and null URLs, repeated rows."""
+    results = spark.createDataFrame([(1, n, None, u, us) for n, u, us in [(10, "u", 5), (11, "u", 9), (12, "u", 20), (13, "", 20), (14, None, 20), (15, "v", 20)]], "page_id long, result_id long, key string, url string, us long")
+    images = spark.createDataFrame([], "page_id long, img_no long, key string, original string, current string, src string")
+    clicks = spark.createDataFrame([], "page_id long, img_no long, us long, urls array<string>")
+    rows = [(1, "u", 7, 6), (1, "u", 2, 9), (1, "u", 4, 9), (1, "u", 4, 9), (1, "u", 9, None), (1, "", 9, 1), (1, None, 9, 1), (2, "v", 9, 1)]
+    recent = spark.createDataFrame(rows, "page_id long, url string, img_no long, us long")
+    got = sorted((r.result_id, r.rule, r.img_no) for r in pages.match_targets(results, images, recent, clicks).collect())
+    assert got == [(11, 3, 4), (12, 3, 4)]
+
+
 def test_cache_lookup_keeps_caches_apart(spark):
     from pagelayout.operators import jobs
 
