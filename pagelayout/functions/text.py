@@ -235,7 +235,8 @@ def target_language(s: Column | str) -> Column:
 
 def script_runs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Runs of Thai and other characters; blanks stay with the run they follow, newlines stand alone."""
-    pattern = "\\n|[\\u0E00-\\u0E7F](?:[\\u0E00-\\u0E7F]|(?U:[\\s&&[^\\n]]))*|[^\\u0E00-\\u0E7F\\n]+"
+    # one class, not a choice of two: a repeated choice goes one call deeper per character, until the stack of the executor's thread ends
+    pattern = "\\n|[\\u0E00-\\u0E7F][\\u0E00-\\u0E7F[\\p{IsWhite_Space}&&[^\\n]]]*|[^\\u0E00-\\u0E7F\\n]+"
     d = df.select(*keys, F.posexplode_outer(F.regexp_extract_all(F.col(text), F.lit(pattern), 0)).alias("run_no", "run")).filter(F.col("run").isNotNull())
     is_thai = F.when(F.col("run") != "\n", F.col("run").rlike("^[\\u0E00-\\u0E7F]"))
     return d.withColumn("is_thai", is_thai)
