@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often ``use`` names it: an expression is repeated wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fixed(x: Column | str, digits: int = 4) -> Column:
     """Half-up rounding by plain double arithmetic, so any engine can repeat it bit for bit."""
     scale = float(10**digits)

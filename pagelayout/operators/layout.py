@@ -388,17 +388,33 @@ def explode_layout(trees: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def assemble_layout(paras: DataFrame, items: DataFrame, spans: DataFrame) -> DataFrame:
-    """Inverse of ``explode_layout``: one row per page side, lists ordered by index."""
+    """Inverse of ``explode_layout``: one row per page side, lists ordered by index.
+
+    All rows of a page side end in one row, so the three tables are dealt out once by page side; lists are put together where they are.
+    """
     keys = ["image_id", "side"]
-    sp = spans.groupBy(*keys, "para_index", "item_index").agg(
-        F.array_sort(F.collect_list(F.when(F.col("span_index") >= 0, F.struct("span_index", "text", "t0", "t1", "box")))).alias("spans")
-    )
-    it = items.join(sp, [*keys, "para_index", "item_index"], "left").groupBy(*keys, "para_index").agg(
-        F.array_sort(F.collect_list(F.struct("item_index", "text", "box", "spans"))).alias("items")
-    )
-    return paras.join(it, [*keys, "para_index"], "left").groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("para_index", "text", "items"))).alias("paragraphs")
+    kinds = {c: t for df in (paras, items, spans) for c, t in ((f.name, f.dataType) for f in df.schema)}
+    names = [*keys, "para_index", "item_index", "span_index", "text", "t0", "t1", "box"]
+    rows = None
+    for kind, df in (("p", paras), ("i", items), ("s", spans)):
+        own = {"p": names[:3] + ["text"], "i": names[:4] + ["text", "box"], "s": names}[kind]
+        part = df.select(F.lit(kind).alias("kind"), *[(F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c) for c in names])
+        rows = part if rows is None else rows.unionByName(part)
+    kind = F.col("kind")
+    d = rows.repartition(*keys).groupBy(*keys, "para_index", "item_index").agg(
+        F.collect_list(F.when(kind == "p", F.struct("text"))).alias("paras"),
+        F.collect_list(F.when(kind == "i", F.struct("text", "box"))).alias("items"),
+        F.array_sort(F.collect_list(F.when((kind == "s") & (F.col("span_index") >= 0), F.struct("span_index", "text", "t0", "t1", "box")))).alias("spans"),
+        F.count_if(kind == "s").alias("n_spans"),
     )
+    # rows meet by their keys, and a null key meets none
+    page = F.col("image_id").isNotNull() & F.col("side").isNotNull() & F.col("para_index").isNotNull()
+    spans_of = F.when(page & F.col("item_index").isNotNull() & (F.col("n_spans") > 0), F.col("spans"))
+    listed = F.transform("items", lambda i: F.struct(F.col("item_index"), i["text"].alias("text"), i["box"].alias("box"), spans_of.alias("spans")))
+    d = d.groupBy(*keys, "para_index").agg(F.flatten(F.collect_list("paras")).alias("paras"), F.array_sort(F.flatten(F.collect_list(listed))).alias("items"))
+    items_of = F.when(page & (F.size("items") > 0), F.col("items"))
+    listed = F.transform("paras", lambda p: F.struct(F.col("para_index"), p["text"].alias("text"), items_of.alias("items")))
+    return d.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(listed))).alias("paragraphs")).filter(F.size("paragraphs") > 0)
 
 
 def layout_from_boxes(boxes: DataFrame, more: Sequence[Column] = ()) -> DataFrame:

@@ -19,3 +19,16 @@ def test_long_thai_runs(spark):
     d = spark.createDataFrame([(1, "ab" + run + "\nไ\t\nx")], "doc_id long, text string")
     got = [(r.run, r.is_thai) for r in tx.script_runs(d, ["doc_id"], "text").orderBy("run_no").collect()]
     assert got == [("ab", False), (run, True), ("\n", None), ("ไ\t", True), ("\n", None), ("x", False)]
+
+
+def test_pages_are_put_together_in_one_exchange(spark):
+    page = "image_id long, side string, para_index int"
+    paras = spark.createDataFrame([(1, "o", 1, "q"), (1, "o", 0, "p"), (2, "o", 0, None), (None, "o", 0, "n"), (3, "o", 0, "d"), (3, "o", 0, "d")], f"{page}, text string")
+    items = spark.createDataFrame([(1, "o", 0, 1, "b", 2.0), (1, "o", 0, 0, "a", 1.0), (1, "o", 9, 0, "lost", 1.0), (None, "o", 0, 0, "n", 1.0), (3, "o", 0, 0, "e", 1.0), (3, "o", 0, 0, "e", 1.0)], f"{page}, item_index int, text string, box double")
+    spans = spark.createDataFrame([(1, "o", 0, 1, 1, "y"), (1, "o", 0, 1, 0, "x"), (1, "o", 0, 0, -1, "whole"), (1, "o", 1, 7, 0, "lost"), (3, "o", 0, 0, 0, "f"), (None, "o", 0, 0, 0, "n")], f"{page}, item_index int, span_index int, text string")
+    spans = spans.select("*", F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), F.lit(5.0).alias("box"))
+    d = layout.assemble_layout(paras, items, spans)
+    got = {r.image_id: [(p.para_index, p.text, p["items"] and [(i.item_index, i.text, i.box, i.spans and [(s.span_index, s.text) for s in i.spans]) for i in p["items"]]) for p in r.paragraphs] for r in d.collect()}
+    twice = (0, "d", [(0, "e", 1.0, [(0, "f")])] * 2)
+    assert got == {1: [(0, "p", [(0, "a", 1.0, []), (1, "b", 2.0, [(0, "x"), (1, "y")])]), (1, "q", None)], 2: [(0, None, None)], None: [(0, "n", None)], 3: [twice, twice]}
+    assert layout.assemble_layout(paras, items, spans)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
