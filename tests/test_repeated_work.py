@@ -21,6 +21,15 @@ def test_long_thai_runs(spark):
     assert got == [("ab", False), (run, True), ("\n", None), ("ไ\t", True), ("\n", None), ("x", False)]
 
 
+def test_letters_of_a_text_are_counted_in_one_split(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc xyzไé") for _ in range(rng.randint(1, 60))) for _ in range(20)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tiles._letters("t").alias("n"))
+    for r in d.collect():
+        assert r.n == [sum(ord(c) % 32 == i for c in r.t) for i in range(32)]
+    assert mentions(d, "split(") and not mentions(d, "filter(transform(split(")  # in front of the bins, not in each
+
+
 def test_pages_are_put_together_in_one_exchange(spark):
     page = "image_id long, side string, para_index int"
     paras = spark.createDataFrame([(1, "o", 1, "q"), (1, "o", 0, "p"), (2, "o", 0, None), (None, "o", 0, "n"), (3, "o", 0, "d"), (3, "o", 0, "d")], f"{page}, text string")
