@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelayout.functions.exprs import col, trim_ws
+from pagelayout.functions.exprs import col, once, trim_ws
 from pagelayout.operators.layout import poly_angle
 
 # MIME types by file ending.
@@ -92,11 +92,11 @@ def _corner(x: Column, y: Column) -> Column:
 
 def _outline(v: Column) -> Column:
     """Points of a polygon, those that are none left out; null with fewer than four."""
-    plain = F.try_variant_get(v, "$", "array<array<double>>")  # as polygons usually are, in one step
-    whole = F.when((F.size(plain) >= 4) & F.forall(plain, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull()), plain)
+    full = lambda plain: F.when((F.size(plain) >= 4) & F.forall(plain, lambda p: (F.size(p) >= 2) & F.get(p, F.lit(0)).isNotNull() & F.get(p, F.lit(1)).isNotNull()), plain)
+    whole = once(F.try_variant_get(v, "$", "array<array<double>>"), full)  # as polygons usually are, in one step
     points = F.transform(_list(v), lambda p: _corner(_at(p, 0, "double"), _at(p, 1, "double")))
-    good = F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    return F.coalesce(F.transform(whole, lambda p: _corner(F.get(p, F.lit(0)), F.get(p, F.lit(1)))), F.when(F.size(good) >= 4, good))
+    good = once(F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), lambda some: F.when(F.size(some) >= 4, some))
+    return F.coalesce(F.transform(whole, lambda p: _corner(F.get(p, F.lit(0)), F.get(p, F.lit(1)))), good)
 
 
 def _upright(v: Column) -> Column:
@@ -108,8 +108,8 @@ def _upright(v: Column) -> Column:
 
 def _field(v: Column, names: Sequence[str]) -> Column:
     """The first of the named lists that is there and not empty; else an empty one."""
-    found = [F.try_variant_get(v, f"$.{n}", "array<variant>") for n in names]
-    return F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], F.array().cast("array<variant>"))
+    found = [once(F.try_variant_get(v, f"$.{n}", "array<variant>"), lambda f: F.when(F.size(f) > 0, f)) for n in names]
+    return F.coalesce(*found, F.array().cast("array<variant>"))
 
 
 def _is_page(v: Column) -> Column:
@@ -145,11 +145,15 @@ def _unwrapped(root: Column) -> Column:
         named = F.array(*[F.struct(F.concat(n["path"], F.array(F.lit(i))).alias("path"), F.try_variant_get(n["v"], f"$.{w}", "variant").alias("v")) for i, w in enumerate(WRAPPERS)])
         return F.coalesce(held, named)
 
+    def further(s: Column, tested: Column) -> Column:
+        held = F.flatten(F.transform(F.filter(tested, lambda t: ~t["ends"]), lambda t: inside(t["n"])))
+        held = F.filter(held, lambda n: n["v"].isNotNull() & ~F.is_variant_null(n["v"]))
+        return F.struct(held.alias("open"), F.concat(s["done"], F.transform(F.filter(tested, lambda t: t["ends"]), lambda t: t["n"])).alias("done"))
+
     def step(s: Column, _: Column) -> Column:
-        ends = lambda n: _is_page(n["v"]) | _is_line(n["v"])
-        further = F.flatten(F.transform(F.filter(s["open"], lambda n: ~ends(n)), inside))
-        further = F.filter(further, lambda n: n["v"].isNotNull() & ~F.is_variant_null(n["v"]))
-        return F.struct(further.alias("open"), F.concat(s["done"], F.filter(s["open"], ends)).alias("done"))
+        # a line is a list and a page is none, so the eight names of a page are not looked up in every line
+        tested = F.transform(s["open"], lambda n: F.struct(n.alias("n"), (_is_line(n["v"]) | _is_page(n["v"])).alias("ends")))
+        return F.when(F.size(s["open"]) > 0, once(tested, lambda t: further(s, t))).otherwise(s)
 
     first = F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("v"))).cast(node)
     return F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.struct(first.alias("open"), F.array().cast(node).alias("done")), step)
@@ -157,7 +161,7 @@ def _unwrapped(root: Column) -> Column:
 
 def _parsed(df: DataFrame, raw: str) -> DataFrame:
     """(image_id, raw, __v, __u): each result parsed and unwrapped once; exploding keeps filters from repeating the work."""
-    d = df.select("image_id", F.col(raw).alias("raw")).filter(trim_ws(F.coalesce("raw", F.lit(""))) != "")
+    d = df.select("image_id", F.explode(F.array(F.col(raw))).alias("raw")).filter(F.col("raw").rlike(r"(?U)\S"))
     d = d.select("image_id", "raw", F.explode(F.array(F.try_parse_json("raw"))).alias("__v"))
     return d.select("*", F.explode(F.array(F.when(F.col("__v").isNotNull(), _unwrapped(F.col("__v"))))).alias("__u"))
 

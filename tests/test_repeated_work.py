@@ -30,6 +30,13 @@ def test_letters_of_a_text_are_counted_in_one_split(spark):
     assert mentions(d, "split(") and not mentions(d, "filter(transform(split(")  # in front of the bins, not in each
 
 
+def test_polygons_of_results_are_read_once(spark):
+    d = spark.createDataFrame([(1, "[]"), (2, "  \n"), (3, None), (4, "[")], "image_id long, raw string")
+    boxes = im.ingest_ocr_boxes(d)
+    assert mentions(boxes, "array<array<double>>") <= 4 and boxes.count() == 0
+    assert [(r.image_id, r.reason) for r in im.ocr_rejects(d).collect()] == [(4, "no JSON")]
+
+
 def test_pages_are_put_together_in_one_exchange(spark):
     page = "image_id long, side string, para_index int"
     paras = spark.createDataFrame([(1, "o", 1, "q"), (1, "o", 0, "p"), (2, "o", 0, None), (None, "o", 0, "n"), (3, "o", 0, "d"), (3, "o", 0, "d")], f"{page}, text string")
