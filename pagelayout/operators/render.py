@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelayout.functions.exprs import is_blank
+from pagelayout.functions.exprs import is_blank, once
 from pagelayout.functions.keys import export_name
 from pagelayout.functions.text import html_escape
 from pagelayout.operators.geometry import SMALL_ANGLE, oriented_bounds
@@ -126,13 +126,18 @@ def _halved(lines: Column) -> Column:
         at = F.transform(line, lambda w, i: F.when(w["text"] != ZERO_WIDTH_SPACE, i))
         return F.filter(at, lambda i: i.isNotNull())
 
-    counts = F.transform(lines, lambda x: F.size(places(x)))
-    most = F.array_max(counts)
-    i = F.array_position(counts, most).cast("int")
-    line = F.get(lines, i - 1)
-    cut_at = F.get(places(line), F.floor(most / 2).cast("int"))
-    halves = F.array(F.slice(line, F.lit(1), cut_at), F.slice(line, cut_at + 1, F.size(line) - cut_at))
-    return F.when(most > 1, F.concat(F.slice(lines, F.lit(1), i - 1), halves, F.slice(lines, i + 1, F.size(lines)))).otherwise(lines)
+    def cut(most: Column, i: Column) -> Column:
+        def halves(line: Column) -> Column:
+            at = lambda k: F.array(F.slice(line, F.lit(1), k), F.slice(line, k + 1, F.size(line) - k))
+            return once(F.get(places(line), F.floor(most / 2).cast("int")), at)
+
+        return F.concat(F.slice(lines, F.lit(1), i - 1), once(F.get(lines, i - 1), halves), F.slice(lines, i + 1, F.size(lines)))
+
+    def from_counts(counts: Column) -> Column:
+        most = F.array_max(counts)
+        return once(F.struct(most.alias("most"), F.array_position(counts, most).cast("int").alias("i")), lambda x: F.when(x["most"] > 1, cut(x["most"], x["i"])).otherwise(lines))
+
+    return once(F.transform(lines, lambda x: F.size(places(x))), from_counts)
 
 
 def wrap_words(tokens: Column, caps: Column, min_lines: Column) -> Column:
@@ -142,15 +147,17 @@ def wrap_words(tokens: Column, caps: Column, min_lines: Column) -> Column:
     White space at the ends of a line goes.
     """
 
+    def in_lines(both: Column) -> Column:
+        numbers = F.array_distinct(F.transform(both, lambda b: b["line"]))
+        return F.transform(numbers, lambda k: F.transform(F.filter(both, lambda b: b["line"] == k), lambda b: b["word"]))
+
     def texts(words: Column, caps: Column) -> Column:
         n = F.size(caps)
         wanted = F.greatest(F.lit(1), F.least(min_lines.cast("int"), n))
-        numbers = _filled(words, caps, wanted)
-        both = F.arrays_zip(words.alias("word"), numbers.alias("line"))
-        lines = F.transform(F.array_distinct(numbers), lambda k: F.transform(F.filter(both, lambda b: b["line"] == k), lambda b: b["word"]))
-        spread = F.aggregate(F.sequence(F.lit(1), wanted), lines, lambda x, _: F.when(F.size(x) < wanted, _halved(x)).otherwise(x))
+        listed = once(F.arrays_zip(words.alias("word"), _filled(words, caps, wanted).alias("line")), in_lines)
+        spread = F.aggregate(F.sequence(F.lit(1), wanted), listed, lambda x, _: F.when(F.size(x) < wanted, _halved(x)).otherwise(x))
         joined = F.transform(spread, lambda line: F.array_join(F.transform(line, lambda w, i: F.when(i > 0, F.concat(w["gap"], w["text"])).otherwise(w["text"])), ""))
-        filled = F.concat(joined, F.array_repeat(F.lit(""), F.greatest(n - F.size(joined), F.lit(0))))
+        filled = once(joined, lambda x: F.concat(x, F.array_repeat(F.lit(""), F.greatest(n - F.size(x), F.lit(0)))))
         return F.when(n > 0, filled).otherwise(F.array().cast("array<string>"))
 
     # words and widths are worked out once

@@ -21,6 +21,11 @@ def test_long_thai_runs(spark):
     assert got == [("ab", False), (run, True), ("\n", None), ("ไ\t", True), ("\n", None), ("x", False)]
 
 
+def test_words_of_a_paragraph_are_numbered_once(spark):
+    d = spark.createDataFrame([([("word", "a", 5.0)], [9.0], 1)], "t array<struct<kind:string,text:string,width:double>>, c array<double>, m int")
+    assert mentions(d.select(render.wrap_words(F.col("t"), F.col("c"), F.col("m")).alias("x")), "aggregate(") <= 3
+
+
 def test_letters_of_a_text_are_counted_in_one_split(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abc xyzไé") for _ in range(rng.randint(1, 60))) for _ in range(20)]
