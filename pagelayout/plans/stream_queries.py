@@ -41,10 +41,11 @@ def walk_sql(source: str, key: str, row_id: str, fresh: str, select: str) -> str
 
 @query(
     "R1_idempotent_submissions",
-    walk_sql("SELECT event_id, 'tp:' || user_id || '-' || hour(ts) AS k, epoch_us(ts) AS us FROM events", "k", "event_id", "(s.us - w.anchor > 864000000000)", f"SELECT key AS idempotency_key, rid AS event_id, owner AS job_event, NOT fresh AS idempotent FROM walk WHERE {PASSED}"),
+    walk_sql("SELECT event_id, 'tp:' || user_id || '-' || hour(ts) AS k, epoch_us(ts) AS us FROM events", "k", "event_id", "(s.us - w.anchor > 864000000000)", "SELECT key AS idempotency_key, rid AS event_id, owner AS job_event, NOT fresh AS idempotent FROM walk"),
 )
 def q_idempotent_submissions(spark: SparkSession, sf: str) -> DataFrame:
-    return feeds.replay(feeds.idempotent_submissions(feed(spark, sf), 10 * jobs.DAY_MICROS)).select("idempotency_key", "event_id", "job_event", "idempotent")
+    sent = feed(spark, sf).select("ts", "event_id", "idempotency_key")
+    return feeds.replay_whole(sent, lambda s: feeds.idempotent_submissions(s, 10 * jobs.DAY_MICROS)).select("idempotency_key", "event_id", "job_event", "idempotent")
 
 
 @query(
@@ -89,10 +90,11 @@ def q_batch_progress_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "R6_throttle_stream",
-    walk_sql("SELECT event_id, strftime(ts, '%Y-%m-%d') AS k, epoch_us(ts) AS us FROM events", "k", "event_id", "(s.us - w.anchor >= 600000000)", f"SELECT key AS batch_id, rid AS event_id FROM walk WHERE fresh AND {PASSED}"),
+    walk_sql("SELECT event_id, strftime(ts, '%Y-%m-%d') AS k, epoch_us(ts) AS us FROM events", "k", "event_id", "(s.us - w.anchor >= 600000000)", "SELECT key AS batch_id, rid AS event_id FROM walk WHERE fresh"),
 )
 def q_throttle_stream(spark: SparkSession, sf: str) -> DataFrame:
-    out = feeds.replay(feeds.throttle_stream(feed(spark, sf), F.col("batch_id"), 600_000_000))
+    asked = feed(spark, sf).select("ts", "event_id", "batch_id")
+    out = feeds.replay_whole(asked, lambda s: feeds.throttle_stream(s, F.col("batch_id"), 600_000_000))
     return out.select(F.col("key").alias("batch_id"), "event_id")
 
 

@@ -6,8 +6,9 @@ the shared folder, and survives lost executors.  A micro-batch is put in time or
 
 from __future__ import annotations
 
+import datetime
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,31 @@ def replay(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{base}/rows").select(*schema.names)
 
 
+# A time later than any in a feed, within the range of nanoseconds.
+END = datetime.datetime(2262, 1, 1)
+
+
+def replay_whole(feed: DataFrame, stream_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``replay`` of ``stream_of(feed)`` for a feed that is complete: the rows that still wait for the watermark are given out, too.
+
+    When all files are read, a closing row (all columns null but ``ts``) takes the watermark past the others; it waits itself and never comes out.
+    """
+    spark = feed.sparkSession
+    base = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    end = spark.readStream.schema(feed.schema).parquet(f"{base}/end*.parquet")
+    stream = stream_of(feed.unionByName(end))
+    ts = feed.schema["ts"].dataType
+
+    def run() -> None:
+        stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").format("parquet").option("path", f"{base}/rows").start().awaitTermination()
+
+    run()
+    last = spark.range(1).select(*[F.lit(END).cast(ts).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in feed.schema])
+    last.write.parquet(f"{base}/end.parquet")
+    run()
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
 def newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Last version of every key of an update-mode replay."""
     return first_by(rows, list(keys), ["epoch"], descending=True).drop("epoch")

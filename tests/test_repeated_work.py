@@ -53,3 +53,15 @@ def test_pages_are_put_together_in_one_exchange(spark):
     twice = (0, "d", [(0, "e", 1.0, [(0, "f")])] * 2)
     assert got == {1: [(0, "p", [(0, "a", 1.0, []), (1, "b", 2.0, [(0, "x"), (1, "y")])]), (1, "q", None)], 2: [(0, None, None)], None: [(0, "n", None)], 3: [twice, twice]}
     assert layout.assemble_layout(paras, items, spans)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_the_last_hour_of_a_complete_feed_is_given_out(spark, tmp_path):
+    rows = [(i, f"2026-01-01 {h}:00:00", 7, "view") for i, h in enumerate(("08", "09", "10"))]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string")
+    for zone in ("timestamp", "timestamp_ntz"):
+        sf = str(tmp_path / zone)
+        events.withColumn("ts", F.col("ts").cast(zone)).write.parquet(f"{sf}/events.parquet")
+        sent = catalog.registered()["R1_idempotent_submissions"].run(spark, sf).collect()
+        assert sorted(tuple(r) for r in sent) == [("tp:7-10", 2, 2, False), ("tp:7-8", 0, 0, False), ("tp:7-9", 1, 1, False)]
+        let = catalog.registered()["R6_throttle_stream"].run(spark, sf).collect()
+        assert sorted(tuple(r) for r in let) == [("2026-01-01", 0), ("2026-01-01", 1), ("2026-01-01", 2)]
