@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from pagelayout.functions.exprs import is_blank, steady, trim_ws
+from pagelayout.functions.exprs import is_blank, once, steady, trim_ws
 from pagelayout.operators.folds import ordered_label
 from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
 
@@ -57,8 +57,12 @@ def fold_angle(deg: Column) -> Column:
 
 def poly_angle(poly: Column) -> Column:
     """Direction of the polygon's first edge in degrees; 0 for fewer than two points."""
-    a, b = F.get(poly, 0), F.get(poly, 1)
-    return F.when(F.size(poly) >= 2, fold_angle(F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"])))).otherwise(0.0)
+
+    def angle(p: Column) -> Column:
+        a, b = F.get(p, 0), F.get(p, 1)
+        return F.when(F.size(p) >= 2, once(F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"])), fold_angle)).otherwise(0.0)
+
+    return once(poly, angle)
 
 
 def scale_boxes(boxes: DataFrame, sx: str = "scale_x", sy: str = "scale_y") -> DataFrame:

@@ -26,6 +26,13 @@ def test_words_of_a_paragraph_are_numbered_once(spark):
     assert mentions(d.select(render.wrap_words(F.col("t"), F.col("c"), F.col("m")).alias("x")), "aggregate(") <= 3
 
 
+def test_angles_are_worked_out_once(spark):
+    d = spark.createDataFrame([([(0.0, 0.0), (-1.0, 1.0)],), ([(0.0, 0.0)],), (None,), ([(0.0, 0.0), (None, 1.0)],), ([(0.0, 0.0), (0.0, -2.0)],)], "p array<struct<x:double,y:double>>")
+    angle = d.select(layout.poly_angle(F.col("p")).alias("a"))
+    assert [r.a for r in angle.collect()] == [-45.0, 0.0, 0.0, None, -90.0]
+    assert mentions(angle, "atan2") == 1
+
+
 def test_letters_of_a_text_are_counted_in_one_split(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abc xyzไé") for _ in range(rng.randint(1, 60))) for _ in range(20)]
