@@ -30,22 +30,23 @@ def catalog_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _padded(b64: Column) -> Column:
-    clean = F.regexp_replace(b64, "[^A-Za-z0-9+/]", "")
-    return F.concat(clean, F.repeat(F.lit("="), F.pmod(4 - F.length(clean) % 4, F.lit(4)).cast("int")))
+    filled = lambda clean: F.concat(clean, F.repeat(F.lit("="), F.pmod(4 - F.length(clean) % 4, F.lit(4)).cast("int")))
+    return once(F.regexp_replace(b64, "[^A-Za-z0-9+/]", ""), filled)
 
 
 def decode_data_uris(df: DataFrame, uri: str) -> DataFrame:
     """Add ``mime``, ``bytes``, ``sha256``; anything that is no data URI gives empty values."""
-    s = trim_ws(F.coalesce(uri, F.lit("")))
+    # the text is trimmed once, in front of all that reads it
+    d = df.withColumn("__uri", F.explode(F.array(trim_ws(F.coalesce(uri, F.lit(""))))))
+    s = F.col("__uri")
     head, body = F.regexp_extract(s, "^data:([^,]*)", 1), F.regexp_extract(s, "(?s)^data:[^,]*,(.*)$", 1)
-    named = F.regexp_extract(head, "^([^;]*);", 1)
-    d = df.withColumn("__data", s.startswith("data:"))
-    ok = F.col("__data")
+    mime = once(F.regexp_extract(head, "^([^;]*);", 1), lambda named: F.when(named == "", "application/octet-stream").otherwise(named))
+    ok = s.startswith("data:")
     d = d.withColumn("bytes", F.when(ok, F.unbase64(_padded(body))).otherwise(F.lit(b"")))
     return d.withColumns({
-        "mime": F.when(ok, F.when(named == "", "application/octet-stream").otherwise(named)).otherwise(""),
+        "mime": F.when(ok, mime).otherwise(""),
         "sha256": F.when(F.length("bytes") > 0, F.sha2("bytes", 256)).otherwise(""),
-    }).drop("__data")
+    }).drop("__uri")
 
 
 def encode_data_uris(data: Column | str, mime: Column | str) -> Column:
@@ -57,9 +58,9 @@ def unwrap_data_uris(c: Column | str) -> Column:
     """A data URI of an image, given plainly or wrapped in base64 once more; null otherwise."""
     s = F.coalesce(col(c), F.lit(""))
     inner = F.make_valid_utf8(F.unbase64(_padded(F.translate(s, "-_", "+/"))).cast("string"))
-    found = F.regexp_extract(inner, "(?s)(data:image.*)$", 1)
+    found = once(F.regexp_extract(inner, "(?s)(data:image.*)$", 1), lambda f: F.when(F.contains(f, F.lit("base64,")), trim_ws(f)))
     plain = s.startswith("data:image") & F.contains(s, F.lit("base64,"))
-    return F.when(plain, s).when(F.contains(found, F.lit("base64,")), trim_ws(found))
+    return F.when(plain, s).otherwise(found)
 
 
 # ---------------------------------------------------------------- recogniser output

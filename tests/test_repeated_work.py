@@ -49,6 +49,13 @@ def test_polygons_of_results_are_read_once(spark):
     assert [(r.image_id, r.reason) for r in im.ocr_rejects(d).collect()] == [(4, "no JSON")]
 
 
+def test_uris_are_decoded_once(spark):
+    d = spark.createDataFrame([(" data:image/png;xyz1,aGk\n",), ("data:,aGk=",), ("none",), (None,), ("ZGF0YTppbWFnZS9wbmc7YmFzZTY0LGFHaw",)], "u string")
+    assert mentions(d.select(im.unwrap_data_uris("u").alias("x")), "unbase64") == 1
+    got = [(r.mime, bytes(r.bytes), r.x) for r in im.decode_data_uris(d, "u").select("*", im.unwrap_data_uris("u").alias("x")).collect()]
+    assert got == [("image/png", b"hi", None), ("application/octet-stream", b"hi", None), ("", b"", None), ("", b"", None), ("", b"", "data:image/png;base64,aGk")]
+
+
 def test_pages_are_put_together_in_one_exchange(spark):
     page = "image_id long, side string, para_index int"
     paras = spark.createDataFrame([(1, "o", 1, "q"), (1, "o", 0, "p"), (2, "o", 0, None), (None, "o", 0, "n"), (3, "o", 0, "d"), (3, "o", 0, "d")], f"{page}, text string")
