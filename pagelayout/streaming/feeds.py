@@ -22,6 +22,7 @@ from pagelayout.sources.views import job_events_from
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "1 hour"
+SLOTS = 512  # groups that keys are dealt to where they share their state
 
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int = 64) -> DataFrame:
@@ -91,6 +92,10 @@ def zoneless(us: Column) -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=us.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)"))
 
 
+def _slot(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+
+
 def _timed(stream: DataFrame) -> DataFrame:
     return stream.withColumn("us", jobs.micros("ts"))
 
@@ -124,6 +129,10 @@ class _InOrder(StatefulProcessor):
         """Result rows of ``rows``, all in order; afterwards, forget what no row at ``until_us`` or later can need."""
         raise NotImplementedError
 
+    def order(self, row: tuple) -> tuple:
+        """What rows are put in order by."""
+        return row
+
     def forget_at(self) -> int | None:
         """The time (us) from which the state that is left can be forgotten; None if there is none."""
         raise NotImplementedError
@@ -156,7 +165,7 @@ class _InOrder(StatefulProcessor):
         until = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready = sorted(r for r in rows if r[0] < until)
+        ready = sorted((r for r in rows if r[0] < until), key=self.order)
         later = [r for r in rows if r[0] >= until]
         if ready and later:
             self.waiting.put(later)
@@ -182,41 +191,49 @@ def _in_order(stream: DataFrame, keys: list[str], processor: _InOrder, wait: str
 
 
 class _Anchor(_InOrder):
-    """Per key, the row that last started anew; rows within the span of the anchor belong to it. Renewing rows move a living anchor's time."""
+    """Per key, the row that last started anew; rows within the span of the anchor belong to it. Renewing rows move a living anchor's time.
 
-    row = "us long, id long, force boolean, renews boolean"
+    The keys of a slot are held together: most keys have few rows, and calls of the state cost more than rows.
+    """
+
+    row = "us long, id long, force boolean, renews boolean, key string"
 
     def __init__(self, span_us: int, closed: bool, id_col: str) -> None:
         self.span, self.closed = span_us, closed
         self.out = f"key string, {id_col} long, us long, fresh boolean, owner long"
 
     def open(self, handle: StatefulProcessorHandle) -> None:
-        self.anchor = handle.getValueState("anchor", "us long, owner long")
+        self.anchors = handle.getListState("anchors", "key string, us long, owner long")
+
+    def order(self, row: tuple) -> tuple:
+        return row[:4]
 
     def _over(self, age: int) -> bool:
         return age > self.span or (self.closed and age == self.span)
 
     def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
-        last, owner = self.anchor.get() if self.anchor.exists() else (None, None)
-        out = []
-        for us, row_id, force, renews in rows:
+        held = {name: (us, owner) for name, us, owner in self.anchors.get()} if self.anchors.exists() else {}
+        had, out = bool(held), []
+        for us, row_id, force, renews, name in rows:
+            last, owner = held.get(name, (None, None))
             living = last is not None and not self._over(us - last)
             if renews:
-                last = us if living else last
+                if living:
+                    held[name] = (us, owner)
                 continue
             if force or not living:
-                last, owner = us, row_id
-            out.append((*key, row_id, us, bool(force or not living), owner))
-        if last is not None and self._over(until_us - last):
-            last = None
-        if last is None:
-            self.anchor.clear()
-        else:
-            self.anchor.update((int(last), int(owner)))
+                last, owner = held[name] = us, row_id
+            out.append((name, row_id, us, bool(force or not living), owner))
+        held = {name: a for name, a in held.items() if not self._over(until_us - a[0])}
+        if held:
+            self.anchors.put([(name, int(us), int(owner)) for name, (us, owner) in held.items()])
+        elif had:
+            self.anchors.clear()
+        self.oldest = min((us for us, _ in held.values()), default=None)
         return out
 
     def forget_at(self) -> int | None:
-        return self.anchor.get()[0] + self.span + 1 if self.anchor.exists() else None
+        return None if self.oldest is None else self.oldest + self.span + 1
 
 
 def anchored(stream: DataFrame, key: Column, row_id: str, span_us: int, closed: bool, force: Column | None = None, renewals: DataFrame | None = None, wait: str = WATERMARK) -> DataFrame:
@@ -229,7 +246,7 @@ def anchored(stream: DataFrame, key: Column, row_id: str, span_us: int, closed:
     s = _timed(stream).select(key.cast("string").alias("key"), "us", F.col(row_id).cast("long").alias("id"), forced.alias("force"), F.lit(False).alias("renews"))
     if renewals is not None:
         s = s.unionByName(renewals.select(F.col("key").cast("string").alias("key"), "us", F.lit(-1).cast("long").alias("id"), F.lit(False).alias("force"), F.lit(True).alias("renews")))
-    return _in_order(s, ["key"], _Anchor(span_us, closed, row_id), wait)
+    return _in_order(s.withColumn("slot", _slot("key")), ["slot"], _Anchor(span_us, closed, row_id), wait)
 
 
 def idempotent_submissions(stream: DataFrame, ttl_us: int = 3_600_000_000, updates: DataFrame | None = None, wait: str = WATERMARK) -> DataFrame:
@@ -352,33 +369,55 @@ def job_state_stream(stream: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
 
 
 class _NewestRow(StatefulProcessor):
-    """The newest state of an image of a batch; forgotten once it has not changed for its time to live."""
+    """The newest states of a slot's images of batches; an image is forgotten once it has not changed for its time to live.
+
+    The images of a slot are held together, for most of them have one or two rows.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "us long, event_id long, status string, attempt int, message string")
+        self.held = handle.getListState("held", "batch_id string, image_key string, us long, event_id long, status string, attempt int, message string")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _images(self) -> dict:
+        return {tuple(r)[:2]: tuple(r)[2:] for r in self.held.get()} if self.held.exists() else {}
+
+    def _keep(self, images: dict) -> None:
+        if images:
+            self.held.put([(*k, *v) for k, v in images.items()])
+        else:
+            self.held.clear()
+        now = self.timer.get()[0] if self.timer.exists() else None
+        ms = min((v[0] // 1000 + self.ttl_ms for v in images.values()), default=None)
+        if ms == now:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+            self.timer.clear()
+        if ms is not None:
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = tuple(self.held.get()) if self.held.exists() else None
-        best = old
+        images, changed = self._images(), {}
         for part in rows:
-            for r in zip(*[part[c].tolist() for c in ("us", "event_id", "status", "attempt", "message")]):
-                if best is None or r[:2] > best[:2]:
-                    best = tuple(None if v is None or v != v else v for v in r)
-        if best == old:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old[0] // 1000 + self.ttl_ms)
-        self.handle.registerTimer(best[0] // 1000 + self.ttl_ms)
-        best = (int(best[0]), int(best[1]), best[2], None if best[3] is None else int(best[3]), best[4])
-        self.held.update(best)
-        yield pd.DataFrame([(*key, best[3], best[2], best[4])], columns=["batch_id", "image_key", "attempt", "status", "message"])
+            for *image, us, event_id, status, attempt, message in zip(*[part[c].tolist() for c in ("batch_id", "image_key", "us", "event_id", "status", "attempt", "message")]):
+                image = tuple(image)
+                best = images.get(image)
+                if best is None or (us, event_id) > best[:2]:
+                    status, attempt, message = (None if v is None or v != v else v for v in (status, attempt, message))
+                    images[image] = changed[image] = (int(us), int(event_id), status, None if attempt is None else int(attempt), message)
+        if changed:
+            self._keep(images)
+            yield pd.DataFrame([(*image, v[3], v[2], v[4]) for image, v in changed.items()], columns=["batch_id", "image_key", "attempt", "status", "message"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.held.clear()
+        passed = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        self._keep({k: v for k, v in self._images().items() if v[0] // 1000 + self.ttl_ms > passed})
         return iter(())
 
     def close(self) -> None:
@@ -387,8 +426,8 @@ class _NewestRow(StatefulProcessor):
 
 def batch_items_stream(stream: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
     """Newest state of every image of every batch, as updates. An image that does not change for ``ttl_ms`` leaves the state."""
-    s = _timed(stream).withColumn("at", F.timestamp_micros("us")).withWatermark("at", WATERMARK).select("batch_id", "image_key", "at", "us", "event_id", "status", F.col("attempt").cast("int").alias("attempt"), "message")
-    g = s.groupBy("batch_id", "image_key").transformWithStateInPandas(
+    s = _timed(stream).withColumn("at", F.timestamp_micros("us")).withWatermark("at", WATERMARK).select(_slot("batch_id", "image_key").alias("slot"), "batch_id", "image_key", "at", "us", "event_id", "status", F.col("attempt").cast("int").alias("attempt"), "message")
+    g = s.groupBy("slot").transformWithStateInPandas(
         _NewestRow(ttl_ms), outputStructType="batch_id string, image_key string, attempt int, status string, message string", outputMode="Update", timeMode="EventTime",
     )
     status = F.when(F.col("status") == "running", "processing").otherwise(F.col("status"))

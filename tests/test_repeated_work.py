@@ -8,6 +8,7 @@ from pagelayout.functions import text as tx
 from pagelayout.operators import layout, render, tiles
 from pagelayout.plans import catalog
 from pagelayout.sources import images as im
+from pagelayout.streaming import feeds
 
 
 def mentions(df, what):
@@ -79,3 +80,18 @@ def test_the_last_hour_of_a_complete_feed_is_given_out(spark, tmp_path):
         assert sorted(tuple(r) for r in sent) == [("tp:7-10", 2, 2, False), ("tp:7-8", 0, 0, False), ("tp:7-9", 1, 1, False)]
         let = catalog.registered()["R6_throttle_stream"].run(spark, sf).collect()
         assert sorted(tuple(r) for r in let) == [("2026-01-01", 0), ("2026-01-01", 1), ("2026-01-01", 2)]
+
+
+def test_keys_of_streams_share_the_state_of_a_slot(spark, tmp_path):
+    rows = [(i, f"2026-01-01 0{i % 7}:00:00", f"b{i % 3}", f"i{i % 50}", ("queued", "running", "done")[i % 3], i % 2) for i in range(300)]
+    schema = "event_id long, ts string, batch_id string, image_key string, status string, attempt int"
+    events = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("message", F.lit(None).cast("string"))
+    events.write.parquet(str(tmp_path / "events"))
+    feed = feeds.read_feed(spark, str(tmp_path / "events"), events.schema)
+    items = feeds.batch_items_stream(feed)
+    assert mentions(items, "slot#") and mentions(feeds.throttle_stream(feed, F.col("image_key"), 1), "slot#")
+    newest = {}
+    for i, ts, batch, image, status, attempt in sorted(rows, key=lambda r: (r[1], r[0])):
+        newest[batch, image] = (attempt, "processing" if status == "running" else status)
+    got = feeds.newest(feeds.replay(items, "update"), ["batch_id", "image_key"]).collect()
+    assert {(r.batch_id, r.image_key): (r.attempt, r.status) for r in got} == newest and len(got) == len(newest)
