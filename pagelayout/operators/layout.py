@@ -1,22 +1,27 @@
 """Boxes to lines, lines to paragraphs, paragraphs to page text.
 
-Everything is keyed by ``image_id``.  Ordered steps use scans over ranges, so a page holding a large share of
-all boxes is spread over its height instead of landing in one task.
+Everything is keyed by ``image_id``.  A page is settled in the task that has its boxes; only a page that holds more than
+a task's fair share of all boxes is spread over its height by scans over ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelayout.functions.exprs import is_blank, once, steady, trim_ws
 from pagelayout.operators.folds import ordered_label
-from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
+from pagelayout.operators.scans import SAMPLE, group_stats, large_keys, ordered_scan, ranged, unranged
 
 MIN_CONFIDENCE = 0.35
 LINE_REACH = 0.55
+SLACK = 1e-6
 
 
 # ---------------------------------------------------------------- boxes
@@ -141,7 +146,7 @@ def box_lines(boxes: DataFrame, large: DataFrame | None) -> DataFrame:
     below can reach any line above: those *islands* are found with ordered scans.  An island flatter than the
     reach of its smallest box is one line by itself; only the others are folded in Python.
     """
-    slack = 1e-6
+    slack = SLACK
     cy, h = F.col("__cy"), F.col("__h")
     keys, order = ["image_id"], ["__cy", "l", "box_id"]
     d = ranged(_centred(boxes), keys, order, large)
@@ -164,9 +169,98 @@ def box_lines(boxes: DataFrame, large: DataFrame | None) -> DataFrame:
     return easy.unionByName(hard).drop("__low", "__high", "__least", "__tallest", "__h")
 
 
-def group_lines(boxes: DataFrame) -> DataFrame:
-    """Add ``line_no`` (reading order, 0-based) to filtered boxes."""
-    large = large_pages(boxes)
+def group_lines(boxes: DataFrame, large: DataFrame | str | None = SAMPLE) -> DataFrame:
+    """Add ``line_no`` (reading order, 0-based) to filtered boxes. ``large``: the ``large_pages`` where they are known."""
+    if isinstance(large, str):
+        large = large_pages(boxes)
+    if large is None:
+        return _whole_pages(boxes)
+    huge, rest = split_pages(boxes, large)
+    return _spread_pages(huge, large).unionByName(_whole_pages(rest))
+
+
+def split_pages(boxes: DataFrame, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes of the pages that are cut in ranges, and of all others."""
+    d, keys = boxes.withColumn("__key", F.struct("image_id")), F.broadcast(large.select("__key"))
+    return tuple(d.join(keys, "__key", how).select(*boxes.columns) for how in ("left_semi", "left_anti"))
+
+
+def _numbered(page: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a page's boxes by centre, and the line of each: islands by running bounds, as in ``box_lines``; only tangled ones go box by box."""
+    t, b = (page.column(c).to_numpy().astype("float64") for c in "tb")
+    cy, h = (t + b) / 2.0, np.maximum(1.0, b - t)
+    places = pa.table({"cy": cy, "l": page.column("l"), "box_id": page.column("box_id")})
+    order = pc.sort_indices(places, sort_keys=[(c, "ascending") for c in places.column_names], null_placement="at_start").to_numpy()
+    t, cy, h = t[order], cy[order], h[order]
+    down = np.maximum.accumulate(cy + h * LINE_REACH + SLACK)
+    up = np.minimum.accumulate((cy - h * LINE_REACH - SLACK)[::-1])[::-1]
+    first = np.ones(len(cy), bool)
+    first[1:] = (cy[1:] > down[:-1]) & (up[1:] > cy[:-1])
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(cy))
+    flat = cy[ends - 1] - cy[starts] <= np.minimum.reduceat(h, starts) * LINE_REACH - SLACK
+    sub, lines = np.zeros(len(cy), "int64"), np.ones(len(starts), "int64")
+    for k in np.flatnonzero(~flat):
+        lo, hi = starts[k], ends[k]
+        step, tallest = _line_labels(), float(h[lo:hi].max())
+        sub[lo:hi] = [step((y, tall, tallest)) for y, tall in zip(cy[lo:hi].tolist(), h[lo:hi].tolist())]
+        lines[k] = sub[lo:hi].max() + 1
+    line = np.repeat(np.cumsum(lines) - lines, ends - starts) + sub
+    top = np.full(lines.sum(), np.inf)
+    np.minimum.at(top, line, t)
+    rank = np.empty(len(top), "int64")
+    rank[np.argsort(top, kind="stable")] = np.arange(len(top))
+    return order, rank[line]
+
+
+def _with_lines(page: pa.Table) -> pa.Table:
+    order, line = _numbered(page)
+    number = np.empty(len(order), "int64")
+    number[order] = line
+    return page.append_column("line_no", pa.array(number))
+
+
+def _whole_pages(boxes: DataFrame) -> DataFrame:
+    """``group_lines`` of pages that fit in a task: one grouping of the boxes, which moves nothing if they lie by page already."""
+    schema = T.StructType([*boxes.schema.fields, T.StructField("line_no", T.LongType())])
+    return boxes.groupBy("image_id").applyInArrow(_with_lines, schema)
+
+
+def _whole_page_lines(boxes: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """``line_table`` of pages that fit in a task: a page's boxes become its lines where they lie, so only lines are moved."""
+    own = {f.name: f.dataType for f in boxes.schema.fields}
+
+    def total(values: pa.ChunkedArray, at: np.ndarray) -> pa.Array:
+        some = np.add.reduceat(pc.is_valid(values).to_numpy().astype("int64"), at) > 0
+        return pa.array(np.add.reduceat(values.fill_null(0.0).to_numpy().astype("float64"), at), mask=~some)
+
+    def lines(page: pa.Table) -> pa.Table:
+        order, line = _numbered(page)
+        # lines in the order of the page, boxes of a line from left to right
+        places = pa.table({"line": line, "l": page.column("l").take(order), "at": np.arange(len(order))})
+        by_line = pc.sort_indices(places, sort_keys=[(c, "ascending") for c in places.column_names]).to_numpy()
+        page, line = page.take(order[by_line]), line[by_line]
+        starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
+        sizes = np.diff(np.append(starts, len(line)))
+        value = {c: page.column(c).to_numpy() for c in "ltrb"}
+        out = {"image_id": page.column("image_id").take(starts), "line_no": line[starts]}
+        out |= {c: np.minimum.reduceat(value[c], starts) for c in "lt"} | {c: np.maximum.reduceat(value[c], starts) for c in "rb"}
+        out["angle_deg"] = np.add.reduceat(page.column("angle_deg").fill_null(0.0).to_numpy().astype("float64"), starts) / sizes
+        words = page.column("text").combine_chunks()
+        out["words"] = pa.ListArray.from_arrays(pa.array(np.append(starts, len(line)), pa.int32()), words)
+        out["n_boxes"] = sizes
+        return pa.table(out | {c: total(page.column(c), starts) for c in sums})
+
+    kinds = {"image_id": own["image_id"], "line_no": T.LongType(), **{c: own[c] for c in "ltrb"}, "angle_deg": T.DoubleType()}
+    kinds |= {"words": T.ArrayType(T.StringType()), "n_boxes": T.LongType(), **{c: T.DoubleType() for c in sums}}
+    d = boxes.groupBy("image_id").applyInArrow(lines, T.StructType([T.StructField(c, k) for c, k in kinds.items()]))
+    texts = F.transform("words", lambda w: trim_ws(F.coalesce(w, F.lit(""))))
+    text = F.array_join(F.filter(texts, lambda w: w != ""), " ")
+    return d.select(*[text.alias("text") if c == "words" else c for c in kinds])
+
+
+def _spread_pages(boxes: DataFrame, large: DataFrame) -> DataFrame:
+    """``group_lines`` of pages that are cut in ranges."""
     order = [*LINE, "__cy", "l", "box_id"]
     d = ranged(box_lines(boxes, large), ["image_id"], order, large, at=F.col("__top"))
     d = ordered_scan(d, ["image_id"], order, large=large, lags={"__before": F.struct(*LINE)})
@@ -176,11 +270,11 @@ def group_lines(boxes: DataFrame) -> DataFrame:
     return unranged(d).drop(*LINE, "__cy", "__new")
 
 
-def reading_order(boxes_with_lines: DataFrame) -> DataFrame:
-    """Position of each box on its page: line by line, left to right."""
+def reading_order(boxes_with_lines: DataFrame, large: DataFrame | str | None = SAMPLE) -> DataFrame:
+    """Position of each box on its page: line by line, left to right. ``large``: None where it is known that no page is large."""
     cy = (F.col("t") + F.col("b")) / 2.0
     d = boxes_with_lines.withColumn("__cy", cy)
-    return ordered_scan(d, ["image_id"], ["line_no", "l", "__cy", "box_id"], number="position").drop("__cy")
+    return ordered_scan(d, ["image_id"], ["line_no", "l", "__cy", "box_id"], large=large, number="position").drop("__cy")
 
 
 def line_table(boxes_with_lines: DataFrame, line: Sequence[str] = ("line_no",), more: Sequence[Column] = ()) -> DataFrame:
@@ -421,14 +515,21 @@ def assemble_layout(paras: DataFrame, items: DataFrame, spans: DataFrame) -> Dat
     return d.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(listed))).alias("paragraphs")).filter(F.size("paragraphs") > 0)
 
 
-def layout_from_boxes(boxes: DataFrame, more: Sequence[Column] = ()) -> DataFrame:
+def layout_from_boxes(boxes: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
     """Filtered boxes to lines that carry paragraph, item and text-offset columns.
 
-    Lines are made before they are numbered, so only lines, not boxes, are put in the order of the page; one exchange
-    serves the numbering, the paragraphs and the offsets. ``more``: further aggregates of a line's boxes.
+    Lines are made before they are numbered or moved, so only lines, not boxes, are put in the order of the page.
+    ``sums``: further columns, of which a line gets the sum over its boxes.
     """
     large = large_pages(boxes)
-    lines = line_table(box_lines(boxes, large), LINE, more)
+    huge, rest = (None, boxes) if large is None else split_pages(boxes, large)
+    out = _offsets(_paragraphs(_whole_page_lines(rest, sums), None), None)
+    return out if huge is None else out.unionByName(_spread_layout(huge, large, sums))
+
+
+def _spread_layout(boxes: DataFrame, large: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """``layout_from_boxes`` of pages that are cut in ranges."""
+    lines = line_table(box_lines(boxes, large), LINE, [F.sum(c).cast("double").alias(c) for c in sums])
     lines = ranged(lines, ["image_id"], LINE, large, at=F.col("__top"))
     lines = ordered_scan(lines, ["image_id"], LINE, large=large, number="line_no").drop(*LINE)
     lines = lines.select("image_id", "line_no", *[c for c in lines.columns if c not in ("image_id", "line_no")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import fixed, steady
 from pagelayout.operators import layout
+from pagelayout.operators.scans import SAMPLE
 from pagelayout.plans.registry import query
 from pagelayout.sources import views
 from pagelayout.sources.views import with_views
@@ -37,25 +38,17 @@ def sql_upto(last: str, body: str, views_needed: str = "boxes page_dims", **more
     return with_views(views_needed, body, **steps, **more)
 
 
-def boxes_with_size(spark: SparkSession, sf: str) -> DataFrame:
-    return views.boxes(spark, sf).join(views.pages_of_boxes(spark, sf), "image_id")
+def filtered(spark: SparkSession, sf: str, by_page: bool = False) -> DataFrame:
+    return layout.filter_boxes(views.sized_boxes(spark, sf, by_page))
 
 
-def filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.filter_boxes(boxes_with_size(spark, sf))
-
-
-def numbered(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.group_lines(filtered(spark, sf))
-
-
-def placed_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """Line numbers from the geometry alone: Arrow stages pass all columns on, so text that nobody asks for is left out before them."""
-    return layout.group_lines(filtered(spark, sf).select("image_id", "box_id", "l", "t", "b"))
+def bare_boxes(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Line numbers come from the geometry alone: Arrow stages pass all columns on, so text that nobody asks for is left out before them."""
+    return filtered(spark, sf, by_page=True).select("image_id", "box_id", "l", "t", "b", *more)
 
 
 def page_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.layout_from_boxes(filtered(spark, sf))
+    return layout.layout_from_boxes(filtered(spark, sf, by_page=True).drop("confidence", "w", "h"))
 
 
 @query("F1_filter_boxes", sql_upto("filtered", "SELECT image_id, box_id, l, t, r, b FROM filtered"))
@@ -65,17 +58,19 @@ def q_filter_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W1_group_lines", sql_upto("numbered", "SELECT image_id, box_id, line_no FROM numbered"))
 def q_group_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return placed_boxes(spark, sf).select("image_id", "box_id", "line_no")
+    return layout.group_lines(bare_boxes(spark, sf)).select("image_id", "box_id", "line_no")
 
 
 @query("O1_reading_order", sql_upto("numbered", "SELECT image_id, box_id, row_number() OVER (PARTITION BY image_id ORDER BY line_no, l, box_id) - 1 AS position FROM numbered"))
 def q_reading_order(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.reading_order(placed_boxes(spark, sf)).select("image_id", "box_id", "position")
+    boxes = bare_boxes(spark, sf)
+    large = layout.large_pages(boxes)
+    return layout.reading_order(layout.group_lines(boxes, large), None if large is None else SAMPLE).select("image_id", "box_id", "position")
 
 
 @query("A4_line_angle", sql_upto("lines", "SELECT image_id, line_no, floor(angle_deg*10000+0.5)/10000 AS angle_deg FROM lines"))
 def q_line_angle(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.line_angle(numbered(spark, sf)).withColumn("angle_deg", fixed("angle_deg"))
+    return layout.line_angle(layout.group_lines(bare_boxes(spark, sf, "angle_deg"))).withColumn("angle_deg", fixed("angle_deg"))
 
 
 @query("W2_group_paragraphs", sql_upto("indexed", "SELECT image_id, line_no, para_index, item_index FROM indexed"))
@@ -98,12 +93,12 @@ def q_page_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: one row per page with its lines, paragraphs, characters and average confidence."""
-    lines = layout.layout_from_boxes(filtered(spark, sf), [F.sum("confidence").alias("conf")])
+    lines = layout.layout_from_boxes(filtered(spark, sf, by_page=True).drop("w", "h"), ["confidence"])
     return lines.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         (F.max("para_index") + 1).cast("long").alias("n_paragraphs"),
         F.sum(F.length("text")).alias("n_chars"),
-        steady(F.sum("conf") / F.sum("n_boxes")).alias("avg_confidence"),
+        steady(F.sum("confidence") / F.sum("n_boxes")).alias("avg_confidence"),
         F.sum("n_boxes").alias("n_boxes"),
     )
 

@@ -71,16 +71,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _words(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+def _boxes_of(docs: DataFrame, *more: str) -> DataFrame:
+    """Boxes of the documents' words; the documents' columns ``more`` follow."""
     ws = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
     # The inner form would split every text a second time in the filter it implies.
-    return docs.select(F.col("doc_id").alias("image_id"), F.posexplode_outer(ws).alias("wi", "word")).filter(F.col("word").isNotNull())
-
-
-def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    words = docs.select(F.col("doc_id").alias("image_id"), *more, F.posexplode_outer(ws).alias("wi", "word")).filter(F.col("word").isNotNull())
     wi, vr = F.col("wi"), F.floor(F.col("wi") / WORDS_PER_LINE)
-    w = _words(spark, sf).withColumn("vr", vr.cast("long"))
+    w = words.withColumn("vr", vr.cast("long"))
     vr = F.col("vr")
     l = (20 + 96 * (wi % WORDS_PER_LINE)).cast("double")
     t = (20 + 26 * vr + 60 * F.floor(vr / LINES_PER_PARA) + wi % 3).cast("double")
@@ -94,9 +91,27 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
         (l + 8.0 * F.length("word")).alias("r"),
         (t + F.when(wi % 53 == 7, F.lit(1.0)).otherwise(F.lit(18.0))).alias("b"),
         ((wi % 7 - 3).cast("double") * 0.5).alias("angle_deg"),
+        *more,
     )
 
 
+def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    return _boxes_of(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def sized_boxes(spark: SparkSession, sf: str, by_page: bool = False) -> DataFrame:
+    """Boxes with the size of their page; texts meet the sizes, not their words, which are many times more bytes.
+
+    ``by_page``: texts are dealt out by page, so that steps which need a page's boxes together need not move the boxes.
+    """
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    sizes = pages_of_boxes(spark, sf).withColumnRenamed("image_id", "doc_id")
+    if by_page:
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+        docs = docs.repartition(n, "doc_id")  # a number: partitions joined by the size of their texts would hold too many boxes
+    return _boxes_of(docs.join(sizes, "doc_id"), "w", "h")
+
+
 def pages_of_boxes(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     n = F.size(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""))
