@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelayout.functions.exprs import once
 from pagelayout.operators.layout import fold_angle
 from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
 
@@ -152,21 +153,24 @@ def span_geometry(df: DataFrame) -> DataFrame:
     Reads x1, y1, x2, y2 (fractions), height_norm, t0, t1, w, h.
     """
     w, h = F.col("w"), F.col("h")
-    x1, y1, x2, y2 = F.col("x1") * w, F.col("y1") * h, F.col("x2") * w, F.col("y2") * h
-    flip = (x2 - x1 < 0) | ((F.abs(x2 - x1) < 1e-12) & (y2 - y1 < 0))
-    d = df.filter(F.col("t0").isNotNull() | F.col("t1").isNotNull()).withColumns({
-        "__ax": F.when(flip, x2).otherwise(x1), "__ay": F.when(flip, y2).otherwise(y1),
-        "__dx": F.when(flip, x1 - x2).otherwise(x2 - x1), "__dy": F.when(flip, y1 - y2).otherwise(y2 - y1),
-        "t0": F.coalesce("t0", F.lit(0.0)), "t1": F.coalesce("t1", F.lit(1.0)),
-    })
-    d = d.withColumn("__len", F.hypot("__dx", "__dy")).filter(F.col("__len") > 1e-12)
+
+    def rightwards(p: Column) -> Column:
+        flip = (p["x2"] - p["x1"] < 0) | ((F.abs(p["x2"] - p["x1"]) < 1e-12) & (p["y2"] - p["y1"] < 0))
+        back = F.struct(p["x2"].alias("ax"), p["y2"].alias("ay"), (p["x1"] - p["x2"]).alias("dx"), (p["y1"] - p["y2"]).alias("dy"))
+        return F.when(flip, back).otherwise(F.struct(p["x1"].alias("ax"), p["y1"].alias("ay"), (p["x2"] - p["x1"]).alias("dx"), (p["y2"] - p["y1"]).alias("dy")))
+
+    ends = F.struct((F.col("x1") * w).alias("x1"), (F.col("y1") * h).alias("y1"), (F.col("x2") * w).alias("x2"), (F.col("y2") * h).alias("y2"))
+    base = once(once(ends, rightwards), lambda g: F.struct(g["ax"], g["ay"], g["dx"], g["dy"], F.hypot(g["dx"], g["dy"]).alias("len")))
+    d = df.filter(F.col("t0").isNotNull() | F.col("t1").isNotNull()).withColumns({"t0": F.coalesce("t0", F.lit(0.0)), "t1": F.coalesce("t1", F.lit(1.0))})
+    # Behind an outer explode the condition stays where it is; further down it would spell out the whole baseline again.
+    d = d.withColumn("__g", F.explode_outer(F.filter(F.array(base), lambda g: g["len"] > 1e-12))).filter(F.col("__g").isNotNull())
     mid = (F.col("t0") + F.col("t1")) / 2.0
-    cx, cy = F.col("__ax") + F.col("__dx") * mid, F.col("__ay") + F.col("__dy") * mid
-    width, height = F.abs(F.col("t1") - F.col("t0")) * F.col("__len"), F.col("height_norm") * h
+    cx, cy = F.col("__g.ax") + F.col("__g.dx") * mid, F.col("__g.ay") + F.col("__g.dy") * mid
+    width, height = F.abs(F.col("t1") - F.col("t0")) * F.col("__g.len"), F.col("height_norm") * h
     return d.select(
         *[c for c in df.columns],
         ((cx - width / 2.0) / w).alias("left"), ((cy - height / 2.0) / h).alias("top"), (width / w).alias("width"), (height / h).alias("height"),
-        fold_angle(F.degrees(F.atan2("__dy", "__dx"))).alias("rotation_deg"), (cx / w).alias("cx"), (cy / h).alias("cy"),
+        once(F.degrees(F.atan2("__g.dy", "__g.dx")), fold_angle).alias("rotation_deg"), (cx / w).alias("cx"), (cy / h).alias("cy"),
     )
 
 
@@ -259,13 +263,17 @@ def curve_offsets(items: DataFrame) -> DataFrame:
     vx, vy = bx - ax, by - ay
     chord = F.hypot(vx, vy)
     signed = F.try_divide(vx * (y - ay) - vy * (x - ax), chord)
-    bend = _turn(F.degrees(F.atan2(by - y, bx - x)) - F.degrees(F.atan2(y - ay, x - ax)))
-    side = F.when((signed != 0) & (bend != 0) & (_sign(signed) != _sign(bend)), -signed).otherwise(signed)
-    bonus = F.least(h * 0.32, F.greatest(w, chord * 0.5) * 0.1, F.abs(bend) * 0.18)
-    middle = F.when(chord > 1e-6, side + _sign(bend) * bonus).otherwise(0.0)
+    bend = once(F.degrees(F.atan2(by - y, bx - x)) - F.degrees(F.atan2(y - ay, x - ax)), _turn)
+
+    def bent(m: Column) -> Column:
+        side = F.when((m["signed"] != 0) & (m["bend"] != 0) & (_sign(m["signed"]) != _sign(m["bend"])), -m["signed"]).otherwise(m["signed"])
+        bonus = F.least(h * 0.32, F.greatest(w, m["chord"] * 0.5) * 0.1, F.abs(m["bend"]) * 0.18)
+        return F.when(m["chord"] > 1e-6, side + _sign(m["bend"]) * bonus).otherwise(0.0)
+
+    middle = once(F.struct(signed.alias("signed"), bend.alias("bend"), chord.alias("chord")), bent)
     nx, ny = F.coalesce(ax, bx), F.coalesce(ay, by)
-    lean = _turn(F.col("rotation_deg") - F.degrees(F.atan2(y - ny, x - nx)))
-    end = F.when(F.abs(lean) >= 8.0, _sign(lean) * F.least(h * 0.2, w * 0.06, F.abs(lean) * 0.2)).otherwise(0.0)
+    lean = once(F.col("rotation_deg") - F.degrees(F.atan2(y - ny, x - nx)), _turn)
+    end = once(lean, lambda v: F.when(F.abs(v) >= 8.0, _sign(v) * F.least(h * 0.2, w * 0.06, F.abs(v) * 0.2)).otherwise(0.0))
     both = F.col("__a").isNotNull() & F.col("__z").isNotNull()
     raw = F.when(both, middle).when(F.col("__a").isNotNull() | F.col("__z").isNotNull(), end).otherwise(0.0)
     limit = F.least(h * 0.72, w * 0.18, F.lit(42.0))

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagelayout.functions import text as tx
+from pagelayout.operators import geometry as geo
 from pagelayout.operators import layout, render, tiles
 from pagelayout.plans import catalog
 from pagelayout.sources import images as im
@@ -34,6 +35,22 @@ def test_angles_are_worked_out_once(spark):
     assert mentions(angle, "atan2") == 1
 
 
+def test_baselines_are_worked_out_once(spark):
+    names = "i long, x1 double, y1 double, x2 double, y2 double, height_norm double, t0 double, t1 double, w int, h int"
+    d = spark.createDataFrame([(1, 0.9, 0.5, 0.1, 0.5, 0.1, None, 0.75, 100, 200), (2, 0.5, 0.5, 0.5, 0.5, 0.1, 0.0, 1.0, 100, 200), (3, 0.1, 0.5, 0.9, 0.5, 0.1, None, None, 100, 200), (4, None, 0.5, 0.9, 0.5, 0.1, 0.0, 1.0, 100, 200)], names)
+    g = geo.span_geometry(d)
+    got = [(r.i, r.t0, *(round(r[c], 9) for c in ("left", "top", "width", "height", "rotation_deg", "cx", "cy"))) for r in g.collect()]
+    assert got == [(1, 0.0, 0.1, 0.45, 0.6, 0.1, 0.0, 0.4, 0.5)]
+    assert mentions(g, "atan2(") == 1 and mentions(g, "hypot(") == 1
+
+
+def test_bends_are_worked_out_once(spark):
+    names = "image_id long, para_index int, item_index int, cx double, cy double, width double, height double, rotation_deg double, w int, h int"
+    d = geo.curve_offsets(spark.createDataFrame([(1, 0, i, 0.1 * i, 0.1 * i * i, 0.5, 0.2, 3.0, 100, 200) for i in range(3)], names))
+    assert [r.curve_px == 0.0 for r in d.orderBy("item_index").collect()] == [True, False, True]  # the ends bend by 3 px, under 0.12 of their height
+    assert mentions(d, "atan2(") <= 3
+
+
 def test_letters_of_a_text_are_counted_in_one_split(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abc xyzไé") for _ in range(rng.randint(1, 60))) for _ in range(20)]
