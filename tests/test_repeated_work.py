@@ -113,3 +113,23 @@ def test_keys_of_streams_share_the_state_of_a_slot(spark, tmp_path):
         newest[batch, image] = (attempt, "processing" if status == "running" else status)
     got = feeds.newest(feeds.replay(items, "update"), ["batch_id", "image_key"]).collect()
     assert {(r.batch_id, r.image_key): (r.attempt, r.status) for r in got} == newest and len(got) == len(newest)
+
+
+def test_texts_with_too_little_in_common_are_not_measured(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts += [t[3:] + "x" for t in texts if len(t) > 9]
+    for a in texts:
+        for b in texts:
+            for c, e in ((True, True), (True, False), (False, True), (False, False)):
+                assert tiles.texts_same(a, b, c, e) == ((c and tiles.contained_enough(a, b)) or (e and tiles.alike_enough(a, b)))
+    assert tiles.in_common(tiles.letter_places("abcbdab"), 7, "bdcaba") == 4
+
+    def measured(*_):
+        raise AssertionError("measured")
+
+    monkeypatch.setattr(tiles, "SequenceMatcher", measured)
+    fold = tiles._DedupeFold()
+    for i, text in enumerate(("one thing or another " * 9, "quite wild jumps by lazy dogs " * 6)):
+        assert fold.add((i, 0.0, 100.0 * i, 50.0, 100.0 * i + 90.0, text)) == []
+    assert [r[1] for r in fold.close()] == [0, 1]
