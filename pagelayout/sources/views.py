@@ -193,8 +193,17 @@ def spans(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def pages_of_paras(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that have paragraphs, with their size; words are counted, paragraphs need not be made."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    n = F.size(F.filter(F.split("text", "[ \n]+"), lambda w: w != ""))
+    # An outer explode keeps the condition from counting a second time.
+    rows = docs.select(F.col("doc_id").alias("image_id"), F.explode_outer(F.array(F.floor((n + WORDS_PER_LINE * LINES_PER_PARA - 1) / (WORDS_PER_LINE * LINES_PER_PARA)))).alias("np"))
+    return rows.filter("np > 0").select("image_id", F.lit(PAGE_W).alias("w"), (164 * F.col("np") + 120).cast("int").alias("h"))
+
+
 def tiles(spark: SparkSession, sf: str) -> DataFrame:
-    pages = paras(spark, sf).filter(F.col("para_index") == 0).select("image_id", "h")
+    pages = pages_of_paras(spark, sf).select("image_id", "h")
     n = F.greatest(F.lit(1), F.ceil((F.col("h") - (TILE_H - TILE_STEP)) / F.lit(TILE_STEP))).cast("int")
     ex = pages.select("image_id", F.col("h").alias("page_h"), F.explode(F.sequence(F.lit(0), n - 1)).alias("tile_no"))
     y = (F.col("tile_no") * TILE_STEP).cast("int")

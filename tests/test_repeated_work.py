@@ -9,6 +9,7 @@ from pagelayout.operators import geometry as geo
 from pagelayout.operators import layout, render, tiles
 from pagelayout.plans import catalog
 from pagelayout.sources import images as im
+from pagelayout.sources import views
 from pagelayout.streaming import feeds
 
 
@@ -133,3 +134,29 @@ def test_texts_with_too_little_in_common_are_not_measured(monkeypatch):
     for i, text in enumerate(("one thing or another " * 9, "quite wild jumps by lazy dogs " * 6)):
         assert fold.add((i, 0.0, 100.0 * i, 50.0, 100.0 * i + 90.0, text)) == []
     assert [r[1] for r in fold.close()] == [0, 1]
+
+
+def test_seams_of_texts_are_looked_up(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        want = max(k for k in range(min(len(a), len(b)) + 1) if not k or a[-k:] == b[:k])
+        assert tiles.longest_seam(a, b) == want == tiles.longest_seam(list(a), list(b))
+    many = "a" * 500
+    assert tiles.longest_seam("b" + many, many + "b") == 500 and tiles.longest_seam(many, many[:200] + "b" + many) == 200
+
+    def walked(*_):
+        raise AssertionError("every letter walked")
+
+    monkeypatch.setattr(tiles, "_longest_border", walked)
+    assert tiles.join_texts("the end of one strip", "of one strip and more") == "the end of one strip and more"
+    assert tiles.join_texts("the end of one str", "one strip and more") == "the end of one strip and more"
+
+
+def test_pages_of_paragraphs_are_counted(spark, tmp_path):
+    texts = ["", " \n", None, "w", "w " * 48, "w " * 49, "\n a b"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, "w " * 100), (None, "w")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = views.paras(spark, str(tmp_path)).filter("para_index = 0").select("image_id", "w", "h")
+    counted = views.pages_of_paras(spark, str(tmp_path))
+    assert counted.schema == made.schema
+    assert sorted(map(str, counted.collect())) == sorted(map(str, made.collect())) and counted.count() == 6
