@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,8 @@ from pagelayout.sources.views import job_events_from
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WATERMARK = "1 hour"
 SLOTS = 512  # groups that keys are dealt to where they share their state
+SPAN_US = 3_600_000_000  # time that the waiting rows of a large key are dealt by
+HELD_ROWS = 1 << 17  # rows that are dealt to such spans at once
 
 
 def read_feed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", files_per_batch: int = 64) -> DataFrame:
@@ -276,7 +279,10 @@ def ttl_cache_stream(stream: DataFrame, ttl_us: int) -> DataFrame:
 
 
 class _BoundedCache(_InOrder):
-    """The entries of one cache, at most ``most`` of them, least recently used first."""
+    """The entries of one cache, at most ``most`` of them, least recently used first.
+
+    There are few caches, so one has a large part of the feed: its waiting rows lie in spans of time, of which Python holds one at a time.
+    """
 
     row = "us long, request_id long, cache_key string"
     out = "cache string, request_id long, us long, cache_key string, hit boolean"
@@ -286,9 +292,75 @@ class _BoundedCache(_InOrder):
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.entries = handle.getListState("entries", "cache_key string, stored_us long")
+        # parts of a span; ``first_us`` is a part's smallest time
+        self.spans = handle.getMapState("spans", "span long, part long", "first_us long, rows binary")
+        self.parts = handle.getValueState("parts", "n long")
 
-    def apply(self, key: tuple, rows: list[tuple], until_us: int) -> list[tuple]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, n, first = [], 0, None
+        for part in rows:
+            held.append(part[self.names])
+            n += len(part)
+            if n >= HELD_ROWS:
+                first = self._store(held, first)
+                held, n = [], 0
+        if n:
+            first = self._store(held, first)
+        wake = self.timer.get()[0] * 1000 - 1000 if self.timer.exists() else None
+        self._wake(first if wake is None else min(first, wake) if first is not None else wake)
+        return iter(())
+
+    def _store(self, held: list[pd.DataFrame], first: int | None) -> int:
+        """Deals rows to their spans; the smallest time so far."""
+        rows = pd.concat(held, ignore_index=True)
+        for span, part in rows.groupby(rows["us"] // SPAN_US, dropna=False):
+            self._keep(int(span), part)
+        low = int(rows["us"].min())
+        return low if first is None else min(first, low)
+
+    def _keep(self, span: int, rows: pd.DataFrame) -> None:
+        n = self.parts.get()[0] if self.parts.exists() else 0
+        self.parts.update((n + 1,))
+        batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        self.spans.updateValue((span, n), (int(rows["us"].min()), sink.getvalue().to_pybytes()))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() * 1000
+        self.timer.clear()
         held = dict(tuple(e) for e in self.entries.get()) if self.entries.exists() else {}
+        parts: dict[int, list[int]] = {}
+        for span, part in self.spans.keys():
+            parts.setdefault(span, []).append(part)
+        at = []
+        for span in sorted(parts):
+            if span * SPAN_US >= until:  # nothing further is ready
+                at += [self.spans.getValue((span, n))[0] for n in parts[span]]
+                break
+            stored = [pa.ipc.open_stream(self.spans.getValue((span, n))[1]).read_pandas() for n in parts[span]]
+            for n in parts[span]:
+                self.spans.removeKey((span, n))
+            rows = pd.concat(stored, ignore_index=True)
+            later = rows[rows["us"] >= until]
+            if len(later):
+                self._keep(span, later)
+                at.append(int(later["us"].min()))
+                rows = rows[rows["us"] < until]
+            columns = [[None if v is None or v != v else int(v) if whole else v for v in rows[n].tolist()] for n, whole in zip(self.names, self.whole)]
+            out = self._looked_up(tuple(key), sorted(zip(*columns), key=self.order), held)
+            if out:
+                yield pd.DataFrame(out, columns=[part.split()[0] for part in self.out.split(", ")])
+        held = {k: v for k, v in held.items() if until - v <= self.ttl}
+        if held:
+            self.entries.put(list(held.items()))
+            at.append(max(max(held.values()) + self.ttl + 1, until))
+        else:
+            self.entries.clear()
+        self._wake(min(at) if at else None)
+
+    def _looked_up(self, key: tuple, rows: list[tuple], held: dict[str, int]) -> list[tuple]:
         out = []
         for us, request, name in rows:
             stored = held.pop(name, None)
@@ -297,17 +369,8 @@ class _BoundedCache(_InOrder):
             if len(held) > self.most:
                 del held[next(iter(held))]
             out.append((*key, request, us, name, hit))
-        held = {k: v for k, v in held.items() if until_us - v <= self.ttl}
-        self.newest = max(held.values(), default=None)
-        if held:
-            self.entries.put(list(held.items()))
-        else:
-            self.entries.clear()
         return out
 
-    def forget_at(self) -> int | None:
-        return None if self.newest is None else self.newest + self.ttl + 1
-
 
 def bounded_cache_stream(stream: DataFrame, most: int, ttl_us: int, wait: str = WATERMARK) -> DataFrame:
     """Lookups with ``hit`` in caches of the ``most`` entries used last, none older than ``ttl_us``; a miss stores its key.

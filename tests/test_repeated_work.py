@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pagelayout.functions import text as tx
@@ -160,3 +161,61 @@ def test_pages_of_paragraphs_are_counted(spark, tmp_path):
     counted = views.pages_of_paras(spark, str(tmp_path))
     assert counted.schema == made.schema
     assert sorted(map(str, counted.collect())) == sorted(map(str, made.collect())) and counted.count() == 6
+
+
+class _Held:
+    """State in memory, for one key."""
+
+    def __init__(self):
+        self.value, self.map = None, {}
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    clear = lambda self: setattr(self, "value", None)
+    update = put = lambda self, v: setattr(self, "value", v)
+    keys = lambda self: iter(list(self.map))
+    getValue = lambda self, k: self.map[k]
+    removeKey = lambda self, k: self.map.pop(k)
+
+    def appendList(self, rows):
+        self.value = (self.value or []) + rows
+
+    def updateValue(self, k, v):
+        self.map[k] = v
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    getListState = getValueState = getMapState = lambda self, *_: _Held()
+    registerTimer = lambda self, ms: self.timers.add(ms)
+    deleteTimer = lambda self, ms: self.timers.discard(ms)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_cache_gives_its_rows_out_hour_by_hour(monkeypatch):
+    monkeypatch.setattr(feeds, "HELD_ROWS", 70)
+    hour, rng = 3_600_000_000, random.Random(8)
+    rows = [(rng.randrange(40 * hour), i, f"k{rng.randrange(9)}") for i in range(1000)]
+    cache = feeds._BoundedCache(4, 5 * hour)
+    cache.init(_Handle())
+    for i in range(0, 1000, 50):
+        list(cache.handleInputRows(("c",), iter([pd.DataFrame(rows[k : k + 25], columns=cache.names) for k in (i, i + 25)]), None))
+    parts = []
+    for until in (20 * hour + hour // 2, 100 * hour):
+        parts += list(cache.handleExpiredTimer(("c",), _Now(until // 1000), None))
+    assert max(map(len, parts)) < 60
+    held, want = {}, []
+    for us, request, name in sorted(rows):
+        stored = held.pop(name, None)
+        hit = stored is not None and us - stored <= 5 * hour
+        held[name] = stored if hit else us
+        if len(held) > 4:
+            del held[next(iter(held))]
+        want.append(("c", request, us, name, hit))
+    assert [tuple(r) for p in parts for r in p.itertuples(index=False)] == want
