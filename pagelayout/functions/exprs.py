@@ -38,7 +38,7 @@ def collapse_ws(x: Column | str) -> Column:
 
 
 def is_blank(x: Column | str) -> Column:
-    return F.coalesce(trim_ws(x), F.lit("")) == ""
+    return ~F.coalesce(col(x).rlike(r"(?U)\S"), F.lit(False))
 
 
 def falsy_or(x: Column, default: Column) -> Column:

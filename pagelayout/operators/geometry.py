@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import once
@@ -35,9 +35,11 @@ def resolve_rect(df: DataFrame) -> DataFrame:
     deg = F.coalesce(_finite("rotation_css"), _finite("rotation"), F.lit(0.0))
 
     def rect(l: Column, t: Column, bw: Column, bh: Column) -> Column:
-        ok = l.isNotNull() & t.isNotNull() & (bw > 0) & (bh > 0)
-        body = F.struct((l * w).alias("l"), (t * h).alias("t"), ((l + bw) * w).alias("r"), ((t + bh) * h).alias("b"), deg.alias("deg"))
-        return F.when(ok, body)
+        def body(v: Column) -> Column:
+            ok = v["l"].isNotNull() & v["t"].isNotNull() & (v["w"] > 0) & (v["h"] > 0)
+            return F.when(ok, F.struct((v["l"] * w).alias("l"), (v["t"] * h).alias("t"), ((v["l"] + v["w"]) * w).alias("r"), ((v["t"] + v["h"]) * h).alias("b"), deg.alias("deg")))
+
+        return once(F.struct(l.alias("l"), t.alias("t"), bw.alias("w"), bh.alias("h")), body)
 
     frac = rect(*[_finite(c) for c in ("left", "top", "width", "height")])
     pct = rect(*[_finite(c) / 100.0 for c in ("left_pct", "top_pct", "width_pct", "height_pct")])
@@ -213,18 +215,20 @@ def oriented_bounds(paras: DataFrame, items: DataFrame, eps: float = 0.0) -> Dat
     rad = F.radians("ideg")
     g = it.groupBy(*keys).agg(
         *[F.min("i" + c).alias("u" + c) for c in "lt"], *[F.max("i" + c).alias("u" + c) for c in "rb"],
-        F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))).alias("mean"),
+        F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))).alias("mean"), F.collect_list(F.struct(*["i" + c for c in ("l", "t", "r", "b", "deg")])).alias("lines"),
     )
     p = paras.join(g, keys, "left")
     own = F.coalesce(F.col("rect.deg"), F.lit(0.0))
     derive = (F.abs(own) <= SMALL_ANGLE) & (F.abs(F.coalesce("mean", F.lit(0.0))) > SMALL_ANGLE)
     base = F.struct(*[F.coalesce(F.col("rect")[c], F.col("u" + c)).alias(c) for c in "ltrb"])
     p = p.filter(F.col("rect").isNotNull() | F.col("ul").isNotNull())
-    p = p.select(*keys, F.when(derive, F.col("mean")).otherwise(own).alias("deg"), F.when(~derive, base).alias("own"))
-    j = it.join(p.select(*keys, "deg"), keys)
-    e = _extent(*[F.col("i" + c) for c in ("l", "t", "r", "b", "deg")], F.col("deg"))
-    ext = j.groupBy(*keys).agg(F.min(e["x0"]).alias("x0"), F.min(e["y0"]).alias("y0"), F.max(e["x1"]).alias("x1"), F.max(e["y1"]).alias("y1"))
-    d = p.join(ext, keys, "left")
+    p = p.select(*keys, F.when(derive, F.col("mean")).otherwise(own).alias("deg"), F.when(~derive, base).alias("own"), "lines")
+    # bounds of the lines in the angle of each row of their paragraph; a paragraph may have several
+    extents = F.transform("lines", lambda i: F.struct(*[c.alias(n) for n, c in _extent(*[i["i" + c] for c in ("l", "t", "r", "b", "deg")], F.col("deg")).items()]))
+    d = p.withColumn("lines", extents)
+    rows = W.partitionBy(*keys)
+    ext = [F.min(F.array_min(F.col("lines")[c])).over(rows).alias(c) for c in ("x0", "y0")] + [F.max(F.array_max(F.col("lines")[c])).over(rows).alias(c) for c in ("x1", "y1")]
+    d = d.select(*keys, "deg", "own", *ext)
     o = _extent(*[F.col("own")[c] for c in "ltrb"], F.col("deg"), F.col("deg"))
     x0, y0 = F.least("x0", o["x0"]), F.least("y0", o["y0"])
     x1, y1 = F.greatest("x1", o["x1"]), F.greatest("y1", o["y1"])

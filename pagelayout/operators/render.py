@@ -183,18 +183,23 @@ def _px(c: Column) -> Column:
 
 def mapped_texts(para_text: Column, raw: Column) -> Column:
     """Line texts of a paragraph: where its own text has newlines and the lines do not carry it, it is cut over them."""
-    full = F.size(F.filter(raw, lambda t: ~is_blank(t)))
-    nl = F.exists(raw, lambda t: F.contains(t, F.lit("\n")))
-    first = F.coalesce(F.get(raw, F.lit(0)), F.lit(""))
-    rest_blank = F.forall(F.slice(raw, 2, F.greatest(F.lit(1), F.size(raw))), is_blank)
-
     def lines(t: Column) -> Column:
         return F.transform(F.filter(F.split(t, r"\r?\n+"), lambda s: ~is_blank(s)), lambda s: F.regexp_replace(s, r"(?U)\s+$", ""))
 
-    p = F.coalesce(para_text, F.lit(""))
-    chosen = F.when(F.contains(p, F.lit("\n")) & ((full <= 1) | nl), lines(p)).when(F.contains(first, F.lit("\n")) & ((full <= 1) | rest_blank), lines(first))
-    picked = F.slice(F.zip_with(raw, chosen, lambda t, c: F.coalesce(c, t)), F.lit(1), F.size(raw))
-    return F.when(F.size(chosen) > 0, picked).otherwise(raw)
+    def chosen(v: Column) -> Column:
+        raw, p = v["raw"], v["p"]
+        full = F.size(F.filter(raw, lambda t: ~is_blank(t)))
+        nl = F.exists(raw, lambda t: F.contains(t, F.lit("\n")))
+        first = F.coalesce(F.get(raw, F.lit(0)), F.lit(""))
+        rest_blank = F.forall(F.slice(raw, 2, F.greatest(F.lit(1), F.size(raw))), is_blank)
+        return F.when(F.contains(p, F.lit("\n")) & ((full <= 1) | nl), lines(p)).when(F.contains(first, F.lit("\n")) & ((full <= 1) | rest_blank), lines(first))
+
+    def mapped(v: Column) -> Column:
+        picked = F.slice(F.zip_with(v["raw"], v["chosen"], lambda t, c: F.coalesce(c, t)), F.lit(1), F.size(v["raw"]))
+        return F.when(F.size(v["chosen"]) > 0, picked).otherwise(v["raw"])
+
+    held = F.struct(raw.alias("raw"), F.coalesce(para_text, F.lit("")).alias("p"))
+    return once(held, lambda v: once(F.struct(v["raw"].alias("raw"), chosen(v).alias("chosen")), mapped))
 
 
 def render_overlay_html(paras: DataFrame, items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -205,12 +210,21 @@ def render_overlay_html(paras: DataFrame, items: DataFrame, pages: DataFrame) ->
     """
     keys = ["image_id", "para_index"]
     rects = oriented_bounds(paras.select(*keys, "rect"), items)
-    listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("item_index", F.coalesce("text", F.lit("")).alias("text")))).alias("v"))
+    own = F.struct("item_index", F.coalesce("text", F.lit("")).alias("text"), "rect", "font_px", "wrap")
+    listed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(own)).alias("v"))
     texts = paras.select(*keys, F.col("text").alias("ptext")).join(listed, keys)
-    texts = texts.select(*keys, F.transform("v", lambda x: x["item_index"]).alias("ix"), mapped_texts(F.col("ptext"), F.transform("v", lambda x: x["text"])).alias("tx"))
-    texts = texts.select(*keys, F.explode_outer(F.arrays_zip("ix", "tx")).alias("z")).select(*keys, F.col("z.ix").alias("item_index"), F.col("z.tx").alias("shown"))
+    texts = texts.select(*keys, "v", mapped_texts(F.col("ptext"), F.transform("v", lambda x: x["text"])).alias("tx"))
+
+    def with_text(x: Column, t: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("item_index", "rect", "font_px", "wrap")], t.alias("shown"))
+
+    # Lines meet the texts at their place; where several share a number, each has all their texts.
+    numbers, by_number = F.transform("v", lambda x: x["item_index"]), F.arrays_zip(F.transform("v", lambda x: x["item_index"]).alias("ix"), F.col("tx").alias("tx"))
+    shared = F.flatten(F.transform("v", lambda x: F.transform(F.filter(by_number, lambda z: z["ix"] == x["item_index"]), lambda z: with_text(x, z["tx"]))))
+    placed = F.when(F.size(F.array_distinct(numbers)) == F.size(numbers), F.zip_with("v", "tx", with_text)).otherwise(shared)
+    lines = texts.select(*keys, F.explode_outer(placed).alias("z")).select(*keys, "z.*").filter(F.col("item_index").isNotNull() & F.col("rect").isNotNull())
     r = rects.select(*keys, *[F.col(c).alias("p" + c) for c in "ltrb"], F.col("deg").alias("pdeg"))
-    d = items.filter(F.col("rect").isNotNull()).join(texts, [*keys, "item_index"]).join(r, keys)
+    d = lines.join(r, keys)
     l, t, rr, b = (F.col("rect")[c] for c in "ltrb")
     w, h = rr - l, b - t
     d = d.filter(~is_blank("shown") & (w > 0) & (h > 0))
@@ -226,7 +240,7 @@ def render_overlay_html(paras: DataFrame, items: DataFrame, pages: DataFrame) ->
     deg = F.col("rect.deg") - F.when(turned, F.col("pdeg")).otherwise(0.0)
 
     def spin(x: Column) -> Column:
-        return F.when(F.abs(x) > SMALL_ANGLE, F.concat(F.lit(" transform: rotate("), short_number(x), F.lit("deg); transform-origin: center center;"))).otherwise("")
+        return once(x, lambda v: F.when(F.abs(v) > SMALL_ANGLE, F.concat(F.lit(" transform: rotate("), short_number(v), F.lit("deg); transform-origin: center center;"))).otherwise(""))
 
     pi, ii = F.col("para_index").cast("string"), F.col("item_index").cast("string")
     item = F.concat(

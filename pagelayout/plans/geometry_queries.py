@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from pagelayout.functions.exprs import fixed
@@ -166,8 +166,12 @@ def q_mean_angle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_rects(spark: SparkSession, sf: str) -> DataFrame:
-    i = views.items(spark, sf).withColumns({c: F.lit(None).cast("double") for c in ("left_pct", "top_pct", "width_pct", "height_pct", "rotation_css", "l", "t", "r", "b")})
-    return geo.resolve_rect(i.withColumn("rotation", F.col("rotation_deg"))).select("image_id", "para_index", "item_index", "text", "w", "h", "rotation_deg", "rect")
+    return _rects(views.items(spark, sf)).select("image_id", "para_index", "item_index", "text", "w", "h", "rotation_deg", "rect")
+
+
+def _rects(items: DataFrame) -> DataFrame:
+    i = items.withColumns({c: F.lit(None).cast("double") for c in ("left_pct", "top_pct", "width_pct", "height_pct", "rotation_css", "l", "t", "r", "b")})
+    return geo.resolve_rect(i.withColumn("rotation", F.col("rotation_deg")))
 
 
 def para_rects(spark: SparkSession, sf: str) -> DataFrame:
@@ -368,10 +372,12 @@ def q_render_overlay_html(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def overlay_html(spark: SparkSession, sf: str) -> DataFrame:
-    rects = item_rects(spark, sf)
-    fit = fitted(spark, sf).select("image_id", "para_index", "item_index", "font_px", "wrap")
-    items = rects.join(fit, ["image_id", "para_index", "item_index"])
-    pages = views.paras(spark, sf).filter("para_index = 0").select("image_id", "w", "h")
+    """Rectangles and font sizes come from the lines in one pass; lines of the same number share their sizes, as in a join by number."""
+    i = _rects(fitted(spark, sf)).filter("image_id IS NOT NULL")
+    fits = F.collect_list(F.struct("font_px", "wrap")).over(W.partitionBy("image_id", "para_index", "item_index"))
+    items = i.select("image_id", "para_index", "item_index", "text", "rect", fits.alias("fits"))
+    items = items.select("image_id", "para_index", "item_index", "text", "rect", F.explode_outer("fits").alias("fit")).select("image_id", "para_index", "item_index", "text", "rect", "fit.*")
+    pages = views.pages_of_paras(spark, sf)
     return render.render_overlay_html(para_rects(spark, sf), items, pages)
 
 
@@ -381,7 +387,7 @@ def overlay_html(spark: SparkSession, sf: str) -> DataFrame:
 )
 def q_export_overlays(spark: SparkSession, sf: str) -> DataFrame:
     h = overlay_html(spark, sf).withColumnRenamed("html", "overlay_html")
-    pages = h.join(views.paras(spark, sf).filter("para_index = 0").select("image_id", "w", "h"), "image_id")
+    pages = h.join(views.pages_of_paras(spark, sf), "image_id")
     k = F.col("image_id").cast("string")
     pages = pages.select("image_id", F.concat(F.lit("page "), k, F.lit(".png")).alias("name"), "w", "h", F.lit("data:image/png;base64,AAAA").alias("background"), "overlay_html", F.lit("lens_text").alias("mode"), F.lit("fr").alias("lang"))
     d = render.standalone_pages(pages)

@@ -1,6 +1,7 @@
 """Work that is done once, not once per mention; answers stay the same."""
 
 import random
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -163,6 +164,30 @@ def test_pages_of_paragraphs_are_counted(spark, tmp_path):
     assert sorted(map(str, counted.collect())) == sorted(map(str, made.collect())) and counted.count() == 6
 
 
+def test_overlays_are_made_in_methods_that_the_machine_compiles(spark, tmp_path):
+    spark.createDataFrame([(1, "w " * 99), (1, "v <b> " * 30), (2, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.registered()["S8_export_overlays"].run(spark, str(tmp_path))._jdf.queryExecution()
+        codegen = plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", codegen)]
+    assert sizes and max(sizes) < 8000  # larger ones are run byte code by byte code
+
+
+def test_lines_of_one_number_share_their_texts(spark):
+    box = "struct<l:double,t:double,r:double,b:double,deg:double>"
+    rect = (0.0, 0.0, 50.0, 20.0, 0.0)
+    items = spark.createDataFrame([(1, 0, 0, "a", rect, 12, False), (1, 0, 0, "b", rect, 12, False), (1, 0, 1, "c", rect, 12, False), (1, 0, None, "n", rect, 12, False)], f"image_id long, para_index int, item_index int, text string, rect {box}, font_px int, wrap boolean")
+    paras = spark.createDataFrame([(1, 0, "p", rect), (1, 0, "q", (0.0, 0.0, 80.0, 20.0, 5.0))], f"image_id long, para_index int, text string, rect {box}")
+    html = render.render_overlay_html(paras, items, spark.createDataFrame([(1, 100, 50)], "image_id long, w int, h int")).collect()[0].html
+    assert [html.count(f"<span>{t}</span>") for t in "abcn"] == [16, 16, 8, 0]
+    got = {(r.deg, round(r.r - r.l, 6)) for r in geo.oriented_bounds(paras, items).collect()}
+    assert len(got) == 2 and (0.0, 80.0) not in got
+
+
 class _Held:
     """State in memory, for one key."""
 
