@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from pagelayout.functions.exprs import once
+from pagelayout.functions.exprs import fixed, once
 from pagelayout.operators.layout import fold_angle
 from pagelayout.operators.scans import group_stats, large_keys, ordered_scan, ranged, unranged
 
@@ -51,21 +51,24 @@ def resolve_rect(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- quads
 
 
+_CORNERS = tuple((f"__x{k}", f"__y{k}") for k in range(4))
+
+
 def _box_corners(d: DataFrame, pad: float) -> DataFrame:
-    """Adds ``__box``: corners of the box turned about its centre; shared terms are columns of their own."""
+    """Adds the corners of the box turned about its centre; shared terms are columns of their own."""
     w, h = F.col("width") * F.col("w"), F.col("height") * F.col("h")
     rad = F.radians(F.coalesce("rotation_deg", F.lit(0.0)))
     d = d.withColumns({
         "__cx": F.col("left") * F.col("w") + w / 2.0, "__cy": F.col("top") * F.col("h") + h / 2.0,
-        "__hw": w / 2.0 + pad, "__hh": h / 2.0 + pad, "__cos": F.cos(rad), "__sin": F.sin(rad), "__has": (w > 0) & (h > 0),
+        "__hw": w / 2.0 + pad, "__hh": h / 2.0 + pad, "__cos": F.cos(rad), "__sin": F.sin(rad),
     })
     cx, cy, hw, hh, c, s = (F.col(n) for n in ("__cx", "__cy", "__hw", "__hh", "__cos", "__sin"))
-
-    def corner(x: Column, y: Column) -> Column:
-        return point(cx + (x * c - y * s), cy + (x * s + y * c))
-
-    quad = F.array(corner(-hw, -hh), corner(hw, -hh), corner(hw, hh), corner(-hw, hh))
-    return d.withColumn("__box", F.when(F.col("__has"), quad)).drop("__cx", "__cy", "__hw", "__hh", "__cos", "__sin", "__has")
+    # Opposite corners lie equally far from the centre.
+    d = d.withColumns({"__xs": hw * c + hh * s, "__xd": hw * c - hh * s, "__ys": hw * s + hh * c, "__yd": hw * s - hh * c})
+    xs, xd, ys, yd = (F.col(n) for n in ("__xs", "__xd", "__ys", "__yd"))
+    ends = ((cx - xd, cy - ys), (cx + xs, cy + yd), (cx + xd, cy + ys), (cx - xs, cy - yd))
+    d = d.withColumns({n: c for names, end in zip(_CORNERS, ends) for n, c in zip(names, end)})
+    return d.drop("__cx", "__cy", "__hw", "__hh", "__cos", "__sin", "__xs", "__xd", "__ys", "__yd")
 
 
 def _line_corners(d: DataFrame, pad: float) -> DataFrame:
@@ -112,38 +115,61 @@ def _plain_corners(d: DataFrame, pad: float) -> DataFrame:
     return d.withColumn("__plain", F.when((r > l) & (b > t), F.array(point(l, t), point(r, t), point(r, b), point(l, b)))).drop("__pl", "__pt", "__pr", "__pb")
 
 
-def token_quads(spans: DataFrame, pad: float = 0.0, drop_empty: bool = False) -> DataFrame:
-    """Add ``quad``: the turned box, else the piece of baseline, else the plain box.
+def _corners(spans: DataFrame, pad: float, drop_empty: bool) -> DataFrame:
+    """Adds the corners as columns of their own and ``__has``: false where there is no area.
 
     Nearly all spans have a box; the others take their own, longer way.
     """
     boxed = F.coalesce((F.col("width") * F.col("w") > 0) & (F.col("height") * F.col("h") > 0), F.lit(False))
-    turned = _box_corners(spans.filter(boxed), pad).withColumnRenamed("__box", "quad")
+    turned = _box_corners(spans.filter(boxed), pad).withColumn("__has", F.lit(True))
     rest = _plain_corners(_line_corners(spans.filter(~boxed), max(0.0, pad)), pad)
+    # Made once a span and apart from what reads it: in one piece the generated method would be too large to be compiled.
+    found = F.filter(F.array(F.coalesce("__line", "__plain")), lambda q: q.isNotNull())
+    rest = rest.withColumn("__q", F.explode_outer(found)).drop("__line", "__plain")
     if drop_empty:
-        rest = rest.filter(F.col("__line").isNotNull() | F.col("__plain").isNotNull())
-    rest = rest.withColumn("quad", F.coalesce("__line", "__plain")).drop("__line", "__plain")
-    return turned.unionByName(rest)
+        rest = rest.filter(F.col("__q").isNotNull())
+    ends = {n: F.get("__q", F.lit(k))[c] for k, names in enumerate(_CORNERS) for n, c in zip(names, "xy")}
+    return turned.unionByName(rest.withColumns({**ends, "__has": F.col("__q").isNotNull()}).drop("__q"))
 
 
-def clip_quads(df: DataFrame, quad: str = "quad") -> DataFrame:
-    """Add ``clip`` (l, t, r, b): whole-pixel bounds of the quad inside the page; null if empty."""
+def _quad() -> Column:
+    return F.array(*[point(F.col(x), F.col(y)) for x, y in _CORNERS])
+
+
+def token_quads(spans: DataFrame, pad: float = 0.0, drop_empty: bool = False) -> DataFrame:
+    """Add ``quad``: the turned box, else the piece of baseline, else the plain box."""
+    d = _corners(spans, pad, drop_empty).withColumn("quad", F.when(F.col("__has"), _quad()))
+    return d.drop("__has", *[n for names in _CORNERS for n in names])
+
+
+def _clip(d: DataFrame, left: Column, top: Column, right: Column, bottom: Column) -> DataFrame:
+    """Adds ``clip``: whole-pixel bounds inside the page; null if empty."""
     w, h = F.col("w").cast("double"), F.col("h").cast("double")
 
     def inside(v: Column, hi: Column) -> Column:
         return F.greatest(F.lit(0.0), F.least(hi, v.cast("double")))
 
-    xs, ys = F.transform(quad, lambda p: p["x"]), F.transform(quad, lambda p: p["y"])
-    l, t = inside(F.floor(F.array_min(xs)), w), inside(F.floor(F.array_min(ys)), h)
-    r, b = inside(F.ceil(F.array_max(xs)), w), inside(F.ceil(F.array_max(ys)), h)
+    d = d.withColumns({"__cl": inside(F.floor(left), w), "__ct": inside(F.floor(top), h), "__cr": inside(F.ceil(right), w), "__cb": inside(F.ceil(bottom), h)})
+    l, t, r, b = (F.col(n) for n in ("__cl", "__ct", "__cr", "__cb"))
     body = F.struct(*[c.cast("int").alias(n) for n, c in (("l", l), ("t", t), ("r", r), ("b", b))])
-    return df.withColumn("clip", F.when((r > l) & (b > t), body))
+    return d.withColumn("clip", F.when((r > l) & (b > t), body)).drop("__cl", "__ct", "__cr", "__cb")
+
+
+def clip_quads(df: DataFrame, quad: str = "quad") -> DataFrame:
+    """Add ``clip`` (l, t, r, b): whole-pixel bounds of the quad inside the page; null if empty."""
+    xs, ys = F.col(quad)["x"], F.col(quad)["y"]  # of all points, without a walk through the list
+    return _clip(df, F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
-def erase_regions(original: DataFrame, translated: DataFrame, pad: float = ERASE_PAD) -> DataFrame:
-    """Areas to paint over: padded quad and clipped rectangle of every span of both sides."""
+def erase_regions(original: DataFrame, translated: DataFrame, pad: float = ERASE_PAD, digits: int | None = None) -> DataFrame:
+    """Areas to paint over: padded quad and clipped rectangle of every span of both sides; ``digits`` rounds the corners."""
     both = original.withColumn("source_order", F.lit(0)).unionByName(translated.withColumn("source_order", F.lit(1)))
-    return clip_quads(token_quads(both, pad, drop_empty=True))
+    d = _corners(both, pad, drop_empty=True).drop("__has")
+    names = [n for corner in _CORNERS for n in corner]
+    if digits is not None:
+        d = d.withColumns({n: fixed(n, digits) for n in names})
+    xs, ys = ([F.col(c[i]) for c in _CORNERS] for i in (0, 1))
+    return _clip(d, F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)).withColumn("quad", _quad()).drop(*names)
 
 
 # ---------------------------------------------------------------- spans on baselines

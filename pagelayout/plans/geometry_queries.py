@@ -85,7 +85,8 @@ _CLIP = """SELECT image_id, para_index, item_index, span_index, CAST(greatest(0,
 
 # Whole-pixel bounds are compared from coordinates rounded to 1/1000 px, so both engines floor the same number.
 def _snap(df: DataFrame) -> DataFrame:
-    return df.withColumn("quad", F.transform("quad", lambda p: F.struct(fixed(p["x"], 3).alias("x"), fixed(p["y"], 3).alias("y"))))
+    corners = [F.get("quad", F.lit(k)) for k in range(4)]
+    return df.withColumn("quad", F.when(F.col("quad").isNotNull(), F.array(*[geo.point(fixed(p["x"], 3), fixed(p["y"], 3)) for p in corners])))
 
 
 _SNAPPED = {**QUADS, "quads": f"SELECT image_id, para_index, item_index, span_index, w, h, {sql_fixed('x', 3)} AS x, {sql_fixed('y', 3)} AS y FROM (SELECT * FROM boxq UNION ALL SELECT * FROM lineq UNION ALL SELECT * FROM rectq)"}
@@ -112,7 +113,7 @@ _CORNERS_SQL = f"""SELECT image_id, para_index, item_index, span_index, {", ".jo
 )
 def q_erase_regions(spark: SparkSession, sf: str) -> DataFrame:
     s = geom_spans(spark, sf)
-    r = geo.clip_quads(_snap(geo.erase_regions(s, s).drop("clip")))
+    r = geo.erase_regions(s, s, digits=3)
     corners = [F.get("quad", F.lit(k))[c].alias(f"{c}{k}") for k in range(4) for c in "xy"]
     return r.select("image_id", "para_index", "item_index", "span_index", "source_order", *corners, *[F.col("clip")[c].alias(c) for c in "ltrb"])
 

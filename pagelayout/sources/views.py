@@ -172,24 +172,32 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of the lines as spans."""
-    it = items(spark, sf)
-    words = F.split("text", " ")
-    s = it.select("image_id", "para_index", "item_index", "w", "h", "top", "height", "rotation_deg", F.posexplode_outer(words).alias("span_index", "text"))
-    j = F.col("span_index")
+    """Words of the lines as spans; a word's number gives its paragraph, line and place, so lines need not be put together and cut again."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), "").alias("ws"))
+    per = WORDS_PER_LINE * LINES_PER_PARA
+    docs = docs.withColumn("h", (164 * F.floor((F.size("ws") + per - 1) / per).cast("int") + 120).cast("int"))
+    # The inner form would split every text a second time in the filter it implies.
+    words = docs.select("image_id", "h", F.posexplode_outer("ws").alias("wi", "text")).filter(F.col("text").isNotNull())
+    wi = F.col("wi")
+    s = words.select(
+        "image_id", "h", "text", F.floor(wi / per).cast("int").alias("para_index"),
+        F.floor(wi % per / WORDS_PER_LINE).cast("int").alias("item_index"), (wi % WORDS_PER_LINE).alias("span_index"),
+    )
+    k, i, j = (F.col(c) for c in ("para_index", "item_index", "span_index"))
+    w = F.lit(PAGE_W)
     return s.select(
         "image_id",
         "para_index",
         "item_index",
         "span_index",
         "text",
-        "w",
+        w.alias("w"),
         "h",
-        ((20.0 + 96.0 * j) / F.col("w")).alias("left"),
-        "top",
-        (8.0 * F.length("text") / F.col("w")).alias("width"),
-        "height",
-        "rotation_deg",
+        ((20.0 + 96.0 * j) / w).alias("left"),
+        (((20 + 164 * k).cast("double") + 26.0 * i) / F.col("h")).alias("top"),
+        (8.0 * F.length("text") / w).alias("width"),
+        (F.lit(18.0) / F.col("h")).alias("height"),
+        (((k * 7 + i * 3) % 41 - 20).cast("double") * 0.75).alias("rotation_deg"),
     )
 
 

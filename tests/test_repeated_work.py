@@ -188,6 +188,57 @@ def test_lines_of_one_number_share_their_texts(spark):
     assert len(got) == 2 and (0.0, 80.0) not in got
 
 
+def test_areas_to_erase_are_made_from_words_and_plain_columns(spark, tmp_path):
+    texts = ["", " \n", None, "w", "w " * 48, "ab \n\n c " * 30, "\n a  b\nไท"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, "w " * 100), (None, "w")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    names = ["image_id", "para_index", "item_index", "span_index", "text", "w", "h", "left", "top", "width", "height", "rotation_deg"]
+    spans = views.spans(spark, str(tmp_path))
+    cut = views.items(spark, str(tmp_path)).select(*[n for n in names if n not in ("span_index", "text", "left", "width")], F.posexplode(F.split("text", " ")).alias("span_index", "text"))
+    cut = cut.withColumns({"left": (20.0 + 96.0 * F.col("span_index")) / F.col("w"), "width": 8.0 * F.length("text") / F.col("w")})
+    assert spans.dtypes == cut.select(*names).dtypes
+    assert sorted(map(str, spans.collect())) == sorted(map(str, cut.select(*names).collect())) and spans.count() == 1 + 48 + 60 + 3 + 100 + 1
+
+    areas = catalog.registered()["F17_erase_regions"].run(spark, str(tmp_path))
+    assert mentions(areas, "split(") <= 4 and mentions(areas, "lambdafunction(") <= 2  # once a side and kind of span; none for spans with a box
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("F9_token_quads", "F10_clip_quads", "F17_erase_regions"):
+            plan = catalog.registered()[name].run(spark, str(tmp_path))._jdf.queryExecution()
+            sizes = re.findall(r"maxMethodCodeSize:(\d+)", plan.explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")))
+            assert sizes and max(map(int, sizes)) < 8000, name
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert areas.count() == 2 * spans.count()
+
+
+def test_corners_are_rounded_before_they_are_clipped(spark):
+    names = "i int, left double, top double, width double, height double, rotation_deg double, w int, h int, p1 struct<x:double,y:double>, p2 struct<x:double,y:double>, t0 double, t1 double, height_raw double, valid_text boolean"
+    rows = [
+        (0, 0.1, 0.2, 0.30004, 0.1, None, 100, 200, None, None, None, None, None, None),
+        (1, 0.5, 0.5, 0.2, 0.1, 90.0, 100, 200, None, None, None, None, None, None),
+        (2, 0.1, 0.2, 0.0, 0.1, 0.0, 100, 200, (0.5, 0.5), (0.1, 0.5), 0.0, 1.0, 0.1, True),
+        (3, 0.1, 0.2, 0.0, 0.1, 0.0, 100, 200, None, None, None, None, None, None),
+        (4, None, None, None, 0.1, 0.0, 100, 200, None, None, None, None, None, None),
+        (5, 2.0, 0.2, 0.1, 0.1, 0.0, 100, 200, None, None, None, None, None, None),
+        (6, None, 0.2, 0.1, 0.1, 0.0, 100, 200, None, None, None, None, None, None),
+    ]
+    one, two = spark.createDataFrame(rows, names), spark.createDataFrame(rows[:1], names)
+    got = {(r.source_order, r.i): ([tuple(p) for p in r.quad], r.clip and tuple(r.clip)) for r in geo.erase_regions(one, two, 2.0, digits=1).collect()}
+    assert got == {
+        (0, 0): ([(8.0, 38.0), (42.0, 38.0), (42.0, 62.0), (8.0, 62.0)], (8, 38, 42, 62)),
+        (1, 0): ([(8.0, 38.0), (42.0, 38.0), (42.0, 62.0), (8.0, 62.0)], (8, 38, 42, 62)),
+        (0, 1): ([(72.0, 98.0), (72.0, 122.0), (48.0, 122.0), (48.0, 98.0)], (48, 98, 72, 122)),
+        (0, 2): ([(8.0, 96.0), (52.0, 96.0), (52.0, 120.0), (8.0, 120.0)], (8, 96, 52, 120)),
+        (0, 3): ([(8.0, 38.0), (12.0, 38.0), (12.0, 62.0), (8.0, 62.0)], (8, 38, 12, 62)),
+        (0, 5): ([(198.0, 38.0), (212.0, 38.0), (212.0, 62.0), (198.0, 62.0)], None),
+        (0, 6): ([(None, 38.0), (None, 38.0), (None, 62.0), (None, 62.0)], None),
+    }
+    plain = {r.i: (r.quad, r.clip) for r in geo.clip_quads(geo.token_quads(one, 2.0)).collect()}
+    assert len(plain) == 7 and plain[4] == (None, None) and plain[0][1].r == 43  # 42.004 px, not rounded
+    assert {r.i: (r.quad, r.clip) for r in geo.erase_regions(one, one.limit(0), 2.0).collect()} == {i: v for i, v in plain.items() if i != 4}
+
+
 class _Held:
     """State in memory, for one key."""
 
