@@ -217,14 +217,7 @@ def q_ocr_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recogniser_json(spark: SparkSession, sf: str) -> DataFrame:
-    b = views.boxes(spark, sf)
-    rows = F.array_sort(F.collect_list(F.struct("box_id", "text", "confidence", "l", "t", "r", "b")))
-    g = b.groupBy("image_id").agg(rows.alias("v"))
-    pts = lambda x: F.array(F.array(x["l"], x["t"]), F.array(x["r"], x["t"]), F.array(x["r"], x["b"]), F.array(x["l"], x["b"]))
-    flat = F.to_json(F.struct(F.struct(F.transform("v", lambda x: x["text"]).alias("rec_texts"), F.transform("v", lambda x: x["confidence"]).alias("rec_scores"), F.transform("v", lambda x: F.array(x["l"], x["t"], x["r"], x["b"])).alias("rec_boxes")).alias("res")))
-    one = lambda x: F.concat(F.lit("["), F.to_json(pts(x)), F.lit(",["), ky.json_string(x["text"]), F.lit(","), x["confidence"].cast("string"), F.lit("]]"))
-    nested = F.concat(F.lit("[["), F.array_join(F.transform("v", one), ","), F.lit("]]"))
-    return g.select("image_id", F.when(F.col("image_id") % 2 == 0, flat).otherwise(nested).alias("raw"))
+    return views.recogniser_json(spark, sf)
 
 
 # ---------------------------------------------------------------- dimensions

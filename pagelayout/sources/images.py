@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelayout.functions.exprs import col, once, trim_ws
-from pagelayout.operators.layout import poly_angle
+from pagelayout.functions.exprs import col, is_blank, once, trim_ws
+from pagelayout.operators.layout import fold_angle
 
 # MIME types by file ending.
 MIME_BY_ENDING = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "webp": "image/webp", "gif": "image/gif", "bmp": "image/bmp", "avif": "image/avif", "svg": "image/svg+xml"}
@@ -113,12 +114,18 @@ def _field(v: Column, names: Sequence[str]) -> Column:
     return F.coalesce(*found, F.array().cast("array<variant>"))
 
 
+def _has(v: Column, names: Sequence[str]) -> Column:
+    """Is one of the named lists there and not empty? Looked up by its first entry, without the list."""
+    first = [F.try_variant_get(v, f"$.{n}[0]", "variant").isNotNull() for n in names]
+    return reduce(lambda a, b: a | b, first)
+
+
 def _is_page(v: Column) -> Column:
-    return (F.size(_field(v, TEXTS)) > 0) & ((F.size(_field(v, POLYS)) > 0) | (F.size(_field(v, BOXES)) > 0))
+    return _has(v, TEXTS) & (_has(v, POLYS) | _has(v, BOXES))
 
 
 def _is_line(v: Column) -> Column:
-    return F.coalesce(_at(_at(v, 1), 1).isNotNull() & _outline(_at(v, 0)).isNotNull(), F.lit(False))
+    return F.coalesce(F.try_variant_get(v, "$[1][1]", "variant").isNotNull() & _outline(_at(v, 0)).isNotNull(), F.lit(False))
 
 
 def _parts(v: Column) -> Column:
@@ -134,7 +141,8 @@ def _parts(v: Column) -> Column:
 
 def _box(x: Column) -> Column:
     shape = F.coalesce(_outline(x["p"]), _upright(x["b"]))
-    return F.struct(_said(x["t"]).alias("text"), F.coalesce(_number(x["s"]), F.lit(1.0)).alias("confidence"), shape.alias("poly"))
+    corners = F.flatten(F.transform(shape, lambda p: F.array(p["x"], p["y"])))
+    return F.struct(_said(x["t"]).alias("text"), F.coalesce(_number(x["s"]), F.lit(1.0)).alias("confidence"), corners.alias("corners"))
 
 
 def _unwrapped(root: Column) -> Column:
@@ -160,11 +168,70 @@ def _unwrapped(root: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.struct(first.alias("open"), F.array().cast(node).alias("done")), step)
 
 
-def _parsed(df: DataFrame, raw: str) -> DataFrame:
-    """(image_id, raw, __v, __u): each result parsed and unwrapped once; exploding keeps filters from repeating the work."""
-    d = df.select("image_id", F.explode(F.array(F.col(raw))).alias("raw")).filter(F.col("raw").rlike(r"(?U)\S"))
-    d = d.select("image_id", "raw", F.explode(F.array(F.try_parse_json("raw"))).alias("__v"))
-    return d.select("*", F.explode(F.array(F.when(F.col("__v").isNotNull(), _unwrapped(F.col("__v"))))).alias("__u"))
+# Plain results, as recognisers usually write them, are read by type in one pass; every other one goes through the variant. Both give the same boxes.
+_NUMBER = r"(-?(?:0|[1-9]\d*+)(?:\.\d++)?(?:[eE][+-]?\d++)?)"
+_POINT = rf"\[{_NUMBER}, ?{_NUMBER}\]"
+# A text with something in it: what stands first, behind white space, is neither its end nor an escape that may be white space.
+_PLAIN = r'[^"\\\x00-\x1f]*+'
+_TEXT = rf'("(?=(?U:\s)*+(?!\\[nrtfu])(?U:[^\s"])){_PLAIN}(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{{4}}){_PLAIN}){{0,99}}+")'
+_PLAIN_LINE = rf"\[\[{_POINT}, ?{_POINT}, ?{_POINT}, ?{_POINT}\], ?\[{_TEXT}, ?{_NUMBER}\]\]"
+_BOX = "struct<text:string,confidence:double,corners:array<double>>"
+
+
+def _steady_signs(raw: Column) -> Column:
+    """No number may be a negative zero, whose sign a variant loses."""
+    return ~(F.contains(raw, F.lit("-0")) & raw.rlike(r"-0[.0]*[^.0-9]"))
+
+
+def _lines_only(raw: Column) -> Column:
+    """Is this a list that holds one list of plain lines, and so valid JSON?"""
+    return F.regexp_replace(raw, _PLAIN_LINE, "0").rlike(r"^\[\[(?:0(?:, ?0)*+)?\]\]\z")
+
+
+def _plain_lines(raw: Column) -> Column:
+    """Boxes of valid JSON that is lists of plain lines; null for all else."""
+    typed = F.regexp_replace(raw, _PLAIN_LINE, '{"text":$9,"confidence":$10,"corners":[$1,$2,$3,$4,$5,$6,$7,$8]}')
+    read = F.from_json(F.concat(F.lit('{"v":'), typed, F.lit("}")), f"struct<v:array<array<{_BOX}>>,_corrupt_record:string>")
+    own = F.contains(raw, F.lit("{")) & raw.rlike(r"[\[,]\s*+\{")  # an object among the lines is no line
+    return F.when(~own, once(read, lambda r: F.when(r["_corrupt_record"].isNull(), F.array_compact(F.flatten(r["v"])))))
+
+
+def _plain_page(v: Column, raw: Column) -> Column:
+    """Boxes of valid JSON that is one page of texts, bare or in one wrapper, each text with a whole box and none blank; null for all else."""
+    lists = ",".join([f"{n}:array<double>" for n in SCORES] + [f"{n}:array<array<array<double>>>" for n in POLYS] + [f"{n}:array<array<double>>" for n in BOXES])
+    read = F.from_json(raw, f"struct<{lists},{','.join(f'{w}:struct<{lists}>' for w in WRAPPERS)},_corrupt_record:string>")
+    first = lambda held: F.coalesce(*[F.when(F.size(x) > 0, x) for x in held])
+
+    def texts(at: str) -> Column:
+        # as the variant gives them: a number is a text too
+        return first([F.try_variant_get(v, f"$.{at}{n}", "array<string>") for n in TEXTS])
+
+    def boxes(p: Column) -> Column:
+        shown = lambda t: t.isNotNull() & (((t >= "!") & (t < "\x7f")) | ~is_blank(t))
+        whole = F.forall(p["t"], shown) & F.forall(p["b"], lambda b: F.coalesce((F.size(b) == 4) & (F.size(F.array_compact(b)) == 4), F.lit(False)))
+        n = F.size(p["t"])
+        zipped = F.arrays_zip(p["t"].alias("text"), F.slice(F.coalesce(p["s"], F.array().cast("array<double>")), F.lit(1), n).alias("confidence"), F.slice(p["b"], F.lit(1), n).alias("corners"))
+        return F.when((n <= F.size(p["b"])) & whole, zipped)
+
+    def page(r: Column) -> Column:
+        none = first([r[n] for n in POLYS]).isNull()
+        return F.when(none, F.struct(first([r[n] for n in SCORES]).alias("s"), first([r[n] for n in BOXES]).alias("b")))
+
+    def chosen(r: Column) -> Column:
+        bare = reduce(lambda a, b: a & b, [r[w].isNull() for w in WRAPPERS])
+        alone = [reduce(lambda a, b: a & b, [r[o].isNull() for o in WRAPPERS if o != w], r[w].isNotNull()) for w in WRAPPERS]
+        named = lambda at, p: once(p, lambda x: F.struct(texts(at).alias("t"), x["s"].alias("s"), x["b"].alias("b")))
+        found = F.when(bare, named("", page(r)))
+        for w, only in zip(WRAPPERS, alone):
+            found = found.when(only & ~_is_page(v), named(f"{w}.", page(r[w])))
+        return once(F.when(r["_corrupt_record"].isNull(), found), boxes)
+
+    return F.when(F.substring(F.ltrim(raw), 1, 1) == "{", once(read, chosen))
+
+
+def _results(df: DataFrame, raw: str) -> DataFrame:
+    """(image_id, raw) of results that are not blank; exploding keeps filters from making a result again."""
+    return df.select("image_id", F.explode(F.array(F.col(raw))).alias("raw")).filter(F.col("raw").rlike(r"(?U)\S"))
 
 
 def ingest_ocr_boxes(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -172,20 +239,42 @@ def ingest_ocr_boxes(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     A box needs a text and a polygon of four points, or else a rectangle; points that are none are passed over; scores that are none count as 1.
     """
-    d = _parsed(df, raw).filter("__u IS NOT NULL AND size(__u.open) = 0")
-    in_order = F.array_sort("__u.done", lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
-    parts = F.flatten(F.transform(in_order, lambda n: _parts(n["v"])))
-    boxes = F.filter(F.transform(parts, _box), lambda x: (x["text"] != "") & x["poly"].isNotNull())
-    d = d.select("image_id", F.posexplode(boxes).alias("box_id", "x"))  # made once per result, by the explode
-    d = d.select("image_id", F.col("box_id").cast("long").alias("box_id"), "x.text", "x.confidence", "x.poly")
-    xs, ys = F.transform("poly", lambda p: p["x"]), F.transform("poly", lambda p: p["y"])
-    return d.withColumns({"l": F.array_min(xs), "t": F.array_min(ys), "r": F.array_max(xs), "b": F.array_max(ys), "angle_deg": poly_angle(F.col("poly"))})
+    v, text = F.col("__v"), F.col("raw")
+    d = _results(df, raw).select("image_id", "raw", F.explode(F.array(F.try_parse_json("raw"))).alias("__v")).filter(v.isNotNull())
+    kind = f"array<{_BOX}>"
+    plain = F.when(_steady_signs(text), F.coalesce(_plain_lines(text).cast(kind), _plain_page(v, text).cast(kind)))
+
+    def in_order(u: Column) -> Column:
+        nodes = F.array_sort(u["done"], lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0))
+        made = F.transform(F.flatten(F.transform(nodes, lambda n: _parts(n["v"]))), _box)
+        return F.when(F.size(u["open"]) == 0, F.filter(made, lambda x: (x["text"] != "") & x["corners"].isNotNull()).cast(kind))
+
+    d = d.select("image_id", F.posexplode(F.coalesce(plain, once(_unwrapped(v), in_order))).alias("box_id", "x"))  # made once per result, by the explode
+    d = d.select("image_id", F.col("box_id").cast("long").alias("box_id"), F.col("x.text").alias("__said"), F.coalesce("x.confidence", F.lit(1.0)).alias("confidence"), F.col("x.corners").alias("__held"))
+    # mostly there is nothing to be trimmed: both ends are visible ASCII characters
+    ends = [F.substring("__said", 1, 1), F.substring("__said", -1, 1)]
+    d = d.withColumn("text", F.when(reduce(lambda a, b: a & b, [(e >= "!") & (e < "\x7f") for e in ends]), F.col("__said")).otherwise(trim_ws("__said")))
+    # a rectangle goes around from its left upper corner, as a polygon does
+    l, t, r, b = (F.get("__held", F.lit(i)) for i in range(4))
+    d = d.withColumn("__at", F.when(F.size("__held") == 4, F.array(l, t, r, t, r, b, l, b)).otherwise(F.col("__held")))
+    at = [F.get("__at", F.lit(i)) for i in range(8)]
+    four = F.size("__at") == 8
+    points = F.transform(F.sequence(F.lit(0), F.size("__at") - 2, F.lit(2)), lambda i: _corner(F.get("__at", i), F.get("__at", i + 1)))
+    d = d.withColumn("poly", F.when(four, F.array(*[_corner(at[i], at[i + 1]) for i in range(0, 8, 2)])).otherwise(points))
+    for name, most, end, i in (("l", F.least, F.array_min, 0), ("t", F.least, F.array_min, 1), ("r", F.greatest, F.array_max, 0), ("b", F.greatest, F.array_max, 1)):
+        d = d.withColumn(name, F.when(four, most(*at[i::2])).otherwise(end(f"poly.{'xy'[i]}")))
+    d = d.withColumn("__deg", F.degrees(F.atan2(at[3] - at[1], at[2] - at[0]))).withColumn("angle_deg", fold_angle(F.col("__deg")))
+    return d.select("image_id", "box_id", "text", "confidence", "poly", "l", "t", "r", "b", "angle_deg")
 
 
 def ocr_rejects(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Results that ``ingest_ocr_boxes`` cannot read: image_id, raw, reason. Null and blank results are no results."""
-    d = _parsed(df, raw).filter("__u IS NULL OR size(__u.open) > 0")
-    return d.select("image_id", "raw", F.when(F.col("__v").isNull(), "no JSON").otherwise("nested too deep").alias("reason"))
+    text = F.col("raw")
+    # what is no plain list of lines is parsed, and opened level by level
+    opened = once(F.try_parse_json(text), lambda v: F.when(v.isNull(), F.lit(-1)).otherwise(F.size(_unwrapped(v)["open"])))
+    left = F.when(_lines_only(text), F.lit(0)).otherwise(opened)
+    d = _results(df, raw).select("image_id", "raw", F.explode(F.array(left)).alias("__left")).filter("__left <> 0")
+    return d.select("image_id", "raw", F.when(F.col("__left") < 0, "no JSON").otherwise("nested too deep").alias("reason"))
 
 
 # ---------------------------------------------------------------- row statistics

@@ -8,8 +8,12 @@ paragraph, so pages are as tall as their text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from json.encoder import encode_basestring
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +103,69 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     return _boxes_of(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+RAW_BYTES = 4 << 20  # JSON that is handed over at once
+
+
+@lru_cache(1 << 14)
+def _place(i: int) -> tuple[int, int, str, str, str]:
+    """Where a page's word number ``i`` stands: left, bottom, and what its JSON has before, between and behind its right edge."""
+    vr = i // WORDS_PER_LINE
+    l, t = 20 + 96 * (i % WORDS_PER_LINE), 20 + 26 * vr + 60 * (vr // LINES_PER_PARA) + i % 3
+    b = t + (1 if i % 53 == 7 else 18)
+    return l, b, f"{l}.0,{t}.0", f".0,{t}.0],[", f".0,{b}.0],[{l}.0,{b}.0]],["
+
+
+@lru_cache(1 << 8)
+def _confidence(hundredths: int) -> str:
+    return str(0.3 + hundredths / 100.0)
+
+
+def _page_json(image_id: int | None, words: list[tuple[int, str]]) -> str:
+    """The boxes of a page's words (number and text, in order) as recogniser JSON: even pages as named lists, odd ones as nested lines."""
+    if image_id is None:  # a null confidence leaves no line
+        return "[[]]"
+    scores = []
+    for i, _ in words:
+        k = 31 * image_id + 7 * (i // WORDS_PER_LINE) + 3 * i
+        scores.append(_confidence(k % 70 if k >= 0 else -(-k % 70)))
+    lines = []
+    if image_id % 2:
+        for (i, w), score in zip(words, scores):
+            l, _, corner, top, low = _place(i)
+            r = l + 8 * len(w)
+            lines.append(f"[[[{corner}],[{r}{top}{r}{low}{encode_basestring(w)},{score}]]")
+        return f"[[{','.join(lines)}]]"
+    for i, w in words:
+        l, b, corner, _, _ = _place(i)
+        lines.append(f"[{corner},{l + 8 * len(w)}.0,{b}.0]")
+    texts = ",".join([encode_basestring(w) for _, w in words])
+    return f'{{"res":{{"rec_texts":[{texts}],"rec_scores":[{",".join(scores)}],"rec_boxes":[{",".join(lines)}]}}}}'
+
+
+def recogniser_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes of a page written out as recogniser JSON (image_id, raw); texts that share a page meet as texts, before they are boxes."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("image_id"), "text")
+    held = docs.groupBy("image_id").agg(F.collect_list("text").alias("texts"))
+    gap = re.compile("[ \n]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, raws, size = [], [], 0
+            for image_id, texts in zip(batch.column("image_id").to_pylist(), batch.column("texts")):
+                words = [(i, w) for t in texts.as_py() for i, w in enumerate(filter(None, gap.split(t)))]
+                if not words:
+                    continue
+                ids.append(image_id)
+                raws.append(_page_json(image_id, sorted(words) if len(texts) > 1 else words))
+                size += len(raws[-1])
+                if size > RAW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("image_id").type), pa.array(raws, pa.string())], names=["image_id", "raw"])
+                    ids, raws, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("image_id").type), pa.array(raws, pa.string())], names=["image_id", "raw"])
+
+    return held.mapInArrow(run, f"image_id {docs.schema['image_id'].dataType.simpleString()}, raw string")
+
+
 def sized_boxes(spark: SparkSession, sf: str, by_page: bool = False) -> DataFrame:
     """Boxes with the size of their page; texts meet the sizes, not their words, which are many times more bytes.
 
