@@ -69,6 +69,7 @@ def unwrap_data_uris(c: Column | str) -> Column:
 # Field names of the two result shapes, best first, and the names results are wrapped in.
 TEXTS, SCORES, POLYS, BOXES, WRAPPERS = ("rec_texts", "texts"), ("rec_scores", "scores"), ("rec_polys", "dt_polys", "polys"), ("rec_boxes", "boxes"), ("res", "result", "ocr_res", "data")
 NESTING = 32  # levels of lists and wrappers that are opened; deeper results are rejected as a whole
+STRIDE = 8  # levels that are opened at once where each holds one list and nothing else: opening a level copies what is in it
 
 
 def _list(v: Column) -> Column:
@@ -157,15 +158,27 @@ def _unwrapped(root: Column) -> Column:
     def further(s: Column, tested: Column) -> Column:
         held = F.flatten(F.transform(F.filter(tested, lambda t: ~t["ends"]), lambda t: inside(t["n"])))
         held = F.filter(held, lambda n: n["v"].isNotNull() & ~F.is_variant_null(n["v"]))
-        return F.struct(held.alias("open"), F.concat(s["done"], F.transform(F.filter(tested, lambda t: t["ends"]), lambda t: t["n"])).alias("done"))
+        return F.struct(held.alias("open"), F.concat(s["done"], F.transform(F.filter(tested, lambda t: t["ends"]), lambda t: t["n"])).alias("done"), (s["left"] - 1).alias("left"))
 
     def step(s: Column, _: Column) -> Column:
         # a line is a list and a page is none, so the eight names of a page are not looked up in every line
         tested = F.transform(s["open"], lambda n: F.struct(n.alias("n"), (_is_line(n["v"]) | _is_page(n["v"])).alias("ends")))
-        return F.when(F.size(s["open"]) > 0, once(tested, lambda t: further(s, t))).otherwise(s)
+        by_one = once(tested, lambda t: further(s, t))
+        only = F.get(s["open"], F.lit(0))
+
+        def deeper(v: Column) -> Column:
+            there = F.struct(F.concat(only["path"], F.array_repeat(F.lit(0), STRIDE)).alias("path"), v.alias("v"))
+            moved = F.struct(F.array(there).alias("open"), s["done"].alias("done"), (s["left"] - STRIDE).alias("left"))
+            return F.when(v.isNotNull() & ~F.is_variant_null(v), moved).otherwise(by_one)
+
+        # a list of one element is neither a line nor a page
+        alone = reduce(lambda a, b: a & b, [F.try_variant_get(only["v"], "$" + "[0]" * i + "[1]", "variant").isNull() for i in range(STRIDE)])
+        nested = (F.size(s["open"]) == 1) & (s["left"] >= STRIDE) & alone
+        at_once = once(F.try_variant_get(only["v"], "$" + "[0]" * STRIDE, "variant"), deeper)
+        return F.when((F.size(s["open"]) > 0) & (s["left"] > 0), F.when(nested, at_once).otherwise(by_one)).otherwise(s)
 
     first = F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("v"))).cast(node)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.struct(first.alias("open"), F.array().cast(node).alias("done")), step)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NESTING)), F.struct(first.alias("open"), F.array().cast(node).alias("done"), F.lit(NESTING).alias("left")), step)
 
 
 # Plain results, as recognisers usually write them, are read by type in one pass; every other one goes through the variant. Both give the same boxes.
@@ -183,6 +196,9 @@ def _steady_signs(raw: Column) -> Column:
     return ~(F.contains(raw, F.lit("-0")) & raw.rlike(r"-0[.0]*[^.0-9]"))
 
 
+PLAIN_LENGTH = 1 << 22  # a variant of longer JSON may be larger than variants can be
+
+
 def _lines_only(raw: Column) -> Column:
     """Is this a list that holds one list of plain lines, and so valid JSON?"""
     return F.regexp_replace(raw, _PLAIN_LINE, "0").rlike(r"^\[\[(?:0(?:, ?0)*+)?\]\]\z")
@@ -272,7 +288,7 @@ def ocr_rejects(df: DataFrame, raw: str = "raw") -> DataFrame:
     text = F.col("raw")
     # what is no plain list of lines is parsed, and opened level by level
     opened = once(F.try_parse_json(text), lambda v: F.when(v.isNull(), F.lit(-1)).otherwise(F.size(_unwrapped(v)["open"])))
-    left = F.when(_lines_only(text), F.lit(0)).otherwise(opened)
+    left = F.when((F.octet_length(text) < PLAIN_LENGTH) & _lines_only(text), F.lit(0)).otherwise(opened)
     d = _results(df, raw).select("image_id", "raw", F.explode(F.array(left)).alias("__left")).filter("__left <> 0")
     return d.select("image_id", "raw", F.when(F.col("__left") < 0, "no JSON").otherwise("nested too deep").alias("reason"))
 

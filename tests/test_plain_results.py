@@ -41,12 +41,19 @@ def test_plain_results_give_the_boxes_of_the_general_way(spark, monkeypatch):
     said = lambda df: sorted(repr(tuple(r)) for r in df.collect())
     quick = im.ingest_ocr_boxes(d)
     assert "from_json(" in quick._jdf.queryExecution().optimizedPlan().toString()
+    deep = [("[" * n + x + "]" * m, n) for x in (LINES[0], LINES[1], "5", "[1,2]", '{"res":' + LINES[0] + "}", f"[{LINES[1]}]," + "[" * 20 + LINES[1] + "]" * 20) for n in (1, 6, 7, 8, 9, 15, 16, 17, 23, 24, 25, 28, 29, 30, 31, 32, 33, 40) for m in (n, n - 1)]
+    opened = spark.createDataFrame(deep, "raw string, n int").select("n", F.explode(F.array(F.try_parse_json("raw"))).alias("v")).select("n", im._unwrapped(F.col("v")).alias("u")).repartition(4)
+    paths = lambda: opened.selectExpr("n", "size(u.open) AS o", "to_json(u.done.path) AS p", "to_json(transform(u.done, x -> to_json(x.v))) AS v").collect()
+    at_once = sorted(map(repr, paths()))
     got, left = said(quick), said(im.ocr_rejects(d))
     v, text = F.try_parse_json("raw"), F.col("raw")
     plain = d.select(F.count(F.when(v.isNotNull(), im._plain_lines(text))), F.count(F.when(v.isNotNull(), im._plain_page(v, text)))).head()
     assert min(plain) > 20
     monkeypatch.setattr(im, "_steady_signs", lambda raw: F.lit(False))
     monkeypatch.setattr(im, "_lines_only", lambda raw: F.lit(False))
+    monkeypatch.setattr(im, "STRIDE", 100)
+    opened = opened.sparkSession.createDataFrame(deep, "raw string, n int").select("n", F.explode(F.array(F.try_parse_json("raw"))).alias("v")).select("n", im._unwrapped(F.col("v")).alias("u"))
+    assert at_once == sorted(map(repr, paths()))
     assert set(got) ^ set(said(im.ingest_ocr_boxes(d))) == set() and left == said(im.ocr_rejects(d))
 
 
