@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelayout.functions.exprs import is_blank, once
 from pagelayout.functions.keys import export_name
@@ -83,61 +87,139 @@ def word_boxes(words: DataFrame) -> DataFrame:
 
 SOFT_FILL = 0.90  # share of a line that is filled while text is to be spread over several
 ZERO_WIDTH_SPACE = "\u200b"  # a break opportunity: no word when words are counted
-WORD = "struct<text:string,width:double,gap:string,gap_width:double>"
 
 
-def _words(tokens: Column) -> Column:
-    """Words with the white space in front of each, from tokens (kind, text, width)."""
-    start = F.struct(F.lit("").alias("gap"), F.lit(0.0).alias("gap_width"), F.array().cast(f"array<{WORD}>").alias("words"))
+def _gaps(kinds: list, texts: list) -> list[str | None]:
+    """What each word of a paragraph adds behind another one: the white space in front and its text. Null white space takes the word with it."""
+    gap, pieces = "", []
+    for kind, text in zip(kinds, texts):
+        if kind == "space":
+            gap = None if gap is None or text is None else gap + text
+        elif text:
+            if kind is not None:
+                pieces.append(None if gap is None else gap + text)
+            gap = ""
+    return pieces
 
-    def step(s: Column, t: Column) -> Column:
-        space, some = t["kind"] == "space", t["text"] != ""
-        word = F.struct(t["text"].alias("text"), t["width"].alias("width"), s["gap"].alias("gap"), s["gap_width"].alias("gap_width"))
-        return F.struct(
-            F.when(space, F.concat(s["gap"], t["text"])).when(some, "").otherwise(s["gap"]).alias("gap"),
-            F.when(space, s["gap_width"] + t["width"]).when(some, 0.0).otherwise(s["gap_width"]).alias("gap_width"),
-            F.when(~space & some, F.concat(s["words"], F.array(word))).otherwise(s["words"]).alias("words"),
-        )
 
-    return F.aggregate(tokens, start, step, lambda s: s["words"])
+def _filled(widths: np.ndarray, gaps: np.ndarray, first: np.ndarray, count: np.ndarray, caps: np.ndarray, at: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Line number of every word: a word that does not fit opens the next line, while there is one.
 
-
-def _filled(words: Column, caps: Column, wanted: Column) -> Column:
-    """Line number of every word: a word that does not fit opens the next line, while there is one."""
-    last = F.size(caps) - 1
-    start = F.struct(F.lit(0).alias("line"), F.lit(0.0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, w: Column) -> Column:
-        cap = F.get(caps, s["line"])
-        limit = F.when((wanted > 1) & (s["line"] < wanted), F.least(cap, cap * SOFT_FILL)).otherwise(cap)
-        begun = F.size(s["out"]) > 0
-        longer = s["used"] + w["width"] + F.when(begun, w["gap_width"]).otherwise(0.0)
-        opens = begun & (s["line"] < last) & (limit > 0) & (longer > limit)
-        line = F.when(opens, s["line"] + 1).otherwise(s["line"])
-        return F.struct(line.alias("line"), F.when(opens, w["width"]).otherwise(longer).alias("used"), F.concat(s["out"], F.array(line)).alias("out"))
-
-    return F.aggregate(words, start, step, lambda s: s["out"])
-
-
-def _halved(lines: Column) -> Column:
-    """The first of the lines with most words, cut before its middle word; lines of one word stay."""
-
-    def places(line: Column) -> Column:
-        at = F.transform(line, lambda w, i: F.when(w["text"] != ZERO_WIDTH_SPACE, i))
-        return F.filter(at, lambda i: i.isNotNull())
-
-    def cut(most: Column, i: Column) -> Column:
-        def halves(line: Column) -> Column:
-            at = lambda k: F.array(F.slice(line, F.lit(1), k), F.slice(line, k + 1, F.size(line) - k))
-            return once(F.get(places(line), F.floor(most / 2).cast("int")), at)
-
-        return F.concat(F.slice(lines, F.lit(1), i - 1), once(F.get(lines, i - 1), halves), F.slice(lines, i + 1, F.size(lines)))
-
-    def from_counts(counts: Column) -> Column:
-        most = F.array_max(counts)
-        return once(F.struct(most.alias("most"), F.array_position(counts, most).cast("int").alias("i")), lambda x: F.when(x["most"] > 1, cut(x["most"], x["i"])).otherwise(lines))
-
-    return once(F.transform(lines, lambda x: F.size(places(x))), from_counts)
+    The words of a paragraph stand from ``first`` on, its caps from ``at`` on. All paragraphs take a step together, the first words, then the second ones.
+    Masked widths, gaps and caps are null: nothing is known to be too long then.
+    """
+    order = np.argsort(-count, kind="stable")
+    first, count, at, last, wanted = first[order], count[order], at[order], n[order] - 1, wanted[order]
+    line, used, lost = np.zeros(len(order), np.int64), np.zeros(len(order)), np.zeros(len(order), bool)
+    out = np.zeros(len(widths), np.int64)
+    w, w_null, g, g_null, c, c_null = (x for held in (widths, gaps, caps) for x in (held.data, np.ma.getmaskarray(held)))
+    many = np.searchsorted(-count, -np.arange(count[0] if len(count) else 0), "left")  # paragraphs that have the step's word
+    for k, m in enumerate(many):
+        i, now = first[:m] + k, line[:m]
+        cap = c[at[:m] + now]
+        soft = (wanted[:m] > 1) & (now < wanted[:m])
+        limit = np.where(soft & (cap * SOFT_FILL < cap), cap * SOFT_FILL, cap)
+        longer, unknown = used[:m] + w[i], lost[:m] | w_null[i]
+        if k:
+            longer, unknown = longer + g[i], unknown | g_null[i]
+            over = (longer > limit) | (np.isnan(longer) & ~np.isnan(limit))
+            opens = (now < last[:m]) & ~(limit <= 0) & over & ~unknown & ~c_null[at[:m] + now]
+            line[:m] += opens
+            longer, unknown = np.where(opens, w[i], longer), np.where(opens, w_null[i], unknown)
+        used[:m], lost[:m], out[i] = longer, unknown, line[:m]
+    return out
+
+
+def _spread(starts: list[int], seen: np.ndarray, wanted: int) -> list[int]:
+    """Starts of lines, the end behind them, until there are ``wanted`` lines: the first of those with most words is cut before its middle word.
+
+    ``seen``: how many words that count come before each word, and all at the end; lines of one word stay.
+    """
+    while len(starts) - 1 < wanted:
+        counts = np.diff(seen[starts])
+        if not len(counts) or counts.max() <= 1:
+            break
+        i = int(counts.argmax())
+        middle = int(np.searchsorted(seen, seen[starts[i]] + counts[i] // 2 + 1)) - 1
+        starts = [*starts[: i + 1], middle, *starts[i + 1 :]]
+    return starts
+
+
+def _masked(a: pa.Array) -> np.ma.MaskedArray:
+    return np.ma.MaskedArray(pc.fill_null(a, 0.0).to_numpy(zero_copy_only=False), mask=a.is_null().to_numpy(zero_copy_only=False))
+
+
+def _bounds(lists: pa.ListArray) -> np.ndarray:
+    """Where each list begins in ``flatten()``, and the end."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _wrapped(tokens: pa.Array, caps: pa.Array, min_lines: pa.Array) -> pa.Array:
+    """Lines of a batch of paragraphs, all of them together: a step of numpy for each place in a paragraph, none for each paragraph."""
+    flat, cap_at, bounds = tokens.flatten(), _bounds(caps), _bounds(tokens)
+    # a null token has neither kind nor text
+    kind, text, width = (pc.if_else(flat.is_valid(), flat.field(i), None) if flat.null_count else flat.field(i) for i in range(3))
+    size = np.diff(cap_at)
+    wanted = np.maximum(1, np.minimum(pc.fill_null(min_lines, np.iinfo(np.int32).max).to_numpy(zero_copy_only=False), size))
+    true = lambda a: pc.fill_null(a, False).to_numpy(zero_copy_only=False)
+    space, some = true(pc.equal(kind, "space")), true(pc.not_equal(text, ""))
+    is_word = some & ~space & true(kind.is_valid())
+    word = np.flatnonzero(is_word)
+    first = np.searchsorted(word, bounds)
+    count = np.where(size > 0, np.diff(first), 0)
+
+    widths = _masked(width.cast(pa.float64()))
+    # the white space behind the last token that is none, added up in its order
+    gaps = np.ma.MaskedArray(np.zeros(len(word)), mask=np.zeros(len(word), bool))
+    held = np.flatnonzero(space)
+    held = held[: np.searchsorted(held, word[-1])] if len(word) else held[:0]
+    place = np.searchsorted(word, held)  # the word that follows
+    ends = np.flatnonzero(some & ~space)  # words, and texts of no kind, which end white space too
+    follows = (word[place] < bounds[np.searchsorted(bounds, held, "right")]) & (np.searchsorted(ends, held) == np.searchsorted(ends, word[place]))
+    held, place = held[follows], place[follows]
+    np.add.at(gaps.data, place, widths.data[held])
+    np.logical_or.at(gaps.mask, place, widths.mask[held])
+    line = _filled(np.ma.MaskedArray(widths.data[word], mask=widths.mask[word]), gaps, first[:-1], count, _masked(caps.flatten().cast(pa.float64())), cap_at[:-1], size, wanted)
+
+    opens = np.ones(len(word) + 1, bool)
+    opens[1:-1] = line[1:] != line[:-1]
+    opens[first] = True
+    starts = np.flatnonzero(opens)
+    from_line, lines = np.searchsorted(starts, first), []
+    counts = np.concatenate([[0], np.cumsum(true(pc.not_equal(text, ZERO_WIDTH_SPACE))[word])])
+    text = text.cast(pa.large_string())
+    letters, at = text.buffers()[2], np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8) if len(text) else np.zeros(1, np.int64)
+    letters = memoryview(letters) if letters else b""
+    plain = ~(true(kind.is_null()) | true(text.is_null()))
+    odd = np.concatenate([[0], np.cumsum(~plain)])
+    odd = odd[bounds[1:]] != odd[bounds[:-1]]
+    sizes, nulls = size.tolist(), tokens.is_null().to_pylist()
+    short = (np.diff(from_line) < wanted) & (count > 0)
+    word_list, first_list, from_list, short_list, odd_list = word.tolist(), first.tolist(), from_line.tolist(), short.tolist(), odd.tolist()
+    begin, end = at[word].tolist(), at[word + 1].tolist()
+    starts_list = starts.tolist()
+    for p, n in enumerate(sizes):
+        if not n or nulls[p]:
+            lines.append([] if not n else None)
+            continue
+        if first_list[p] == first_list[p + 1]:
+            lines.append([b""] * n)
+            continue
+        cuts = starts_list[from_list[p] : from_list[p + 1]] + [first_list[p + 1]]
+        if short_list[p]:
+            cuts = [first_list[p] + x for x in _spread([x - first_list[p] for x in cuts], counts[first_list[p] : first_list[p + 1] + 1], int(wanted[p]))]
+        if odd_list[p]:
+            lo, hi = int(bounds[p]), int(bounds[p + 1])
+            behind, own = _gaps(kind[lo:hi].to_pylist(), text[lo:hi].to_pylist()), first_list[p]
+            made = ["".join([text[word_list[a]].as_py(), *[x for x in behind[a + 1 - own : b - own] if x is not None]]).encode() for a, b in zip(cuts, cuts[1:])]
+        else:
+            # a line is what lies between the ends of its first and last word, white space and all
+            made = [bytes(letters[begin[a] : end[b - 1]]) for a, b in zip(cuts, cuts[1:])]
+        lines.append(made + [b""] * (n - len(made)))
+    return pa.array(lines, pa.list_(pa.string()))
+
+
+_wrap_batches = F.arrow_udf(_wrapped, T.ArrayType(T.StringType()))
 
 
 def wrap_words(tokens: Column, caps: Column, min_lines: Column) -> Column:
@@ -146,23 +228,7 @@ def wrap_words(tokens: Column, caps: Column, min_lines: Column) -> Column:
     ``tokens``: array of (kind, text, width), kind ``word`` or ``space``. Text fills at least ``min_lines`` lines if it has the words.
     White space at the ends of a line goes.
     """
-
-    def in_lines(both: Column) -> Column:
-        numbers = F.array_distinct(F.transform(both, lambda b: b["line"]))
-        return F.transform(numbers, lambda k: F.transform(F.filter(both, lambda b: b["line"] == k), lambda b: b["word"]))
-
-    def texts(words: Column, caps: Column) -> Column:
-        n = F.size(caps)
-        wanted = F.greatest(F.lit(1), F.least(min_lines.cast("int"), n))
-        listed = once(F.arrays_zip(words.alias("word"), _filled(words, caps, wanted).alias("line")), in_lines)
-        spread = F.aggregate(F.sequence(F.lit(1), wanted), listed, lambda x, _: F.when(F.size(x) < wanted, _halved(x)).otherwise(x))
-        joined = F.transform(spread, lambda line: F.array_join(F.transform(line, lambda w, i: F.when(i > 0, F.concat(w["gap"], w["text"])).otherwise(w["text"])), ""))
-        filled = once(joined, lambda x: F.concat(x, F.array_repeat(F.lit(""), F.greatest(n - F.size(x), F.lit(0)))))
-        return F.when(n > 0, filled).otherwise(F.array().cast("array<string>"))
-
-    # words and widths are worked out once
-    held = F.array(F.struct(_words(tokens).alias("words"), caps.alias("caps")))
-    return F.get(F.transform(held, lambda h: texts(h["words"], h["caps"])), F.lit(0))
+    return _wrap_batches(tokens, caps, min_lines.cast("int"))
 
 
 # ---------------------------------------------------------------- HTML
