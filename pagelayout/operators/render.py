@@ -226,7 +226,7 @@ def wrap_words(tokens: Column, caps: Column, min_lines: Column) -> Column:
     """Texts of the lines of a paragraph, as many as there are ``caps`` (widths); no caps, no lines.
 
     ``tokens``: array of (kind, text, width), kind ``word`` or ``space``. Text fills at least ``min_lines`` lines if it has the words.
-    White space at the ends of a line goes.
+    White space at the ends of a line goes. Spark 4.1 does not find the call again if a lambda inside a lambda makes its arguments: explode such ones first.
     """
     return _wrap_batches(tokens, caps, min_lines.cast("int"))
 

@@ -308,13 +308,16 @@ def q_word_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("W15_wrap_words")
 def q_wrap_words(spark: SparkSession, sf: str) -> DataFrame:
-    p = views.paras(spark, sf)
+    # exploding keeps the width of a paragraph from being worked out for every line
+    p = views.paras(spark, sf).select("*", F.explode(F.array(F.col("r") - F.col("l"))).alias("wide"))
     toks = F.regexp_extract_all("text", F.lit(r"\s+|\S+"), 0)
     blank = lambda t: (t < "!") & (F.trim(F.replace(t, F.lit("\n"), F.lit(" "))) == "")  # a glance at the first letter tells most words
     tokens = F.transform(toks, lambda t: F.struct(F.when(blank(t), "space").otherwise("word").alias("kind"), t.alias("text"), (8.0 * F.length(t)).alias("width")))
-    caps = F.transform(F.sequence(F.lit(0), F.col("para_index") % 6), lambda i: (F.col("r") - F.col("l")) * (1.0 - i * 0.1))
+    caps = F.transform(F.sequence(F.lit(0), F.col("para_index") % 6), lambda i: F.col("wide") * (1.0 - i * 0.1))
     lines = render.wrap_words(tokens, caps, (F.col("para_index") % 4).cast("int"))
-    return p.select("image_id", "para_index", lines.alias("lines")).select("image_id", "para_index", F.posexplode("lines").alias("line", "text"))
+    # The inner form would wrap every paragraph a second time in the filter it implies.
+    wrapped = p.select("image_id", "para_index", lines.alias("lines")).select("image_id", "para_index", F.posexplode_outer("lines").alias("line", "text"))
+    return wrapped.filter(F.col("line").isNotNull())
 
 
 # ---------------------------------------------------------------- nesting and HTML

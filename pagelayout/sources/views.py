@@ -193,7 +193,7 @@ def pages_of_boxes(spark: SparkSession, sf: str) -> DataFrame:
 def paras(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs with their page size; all array work stays inside the document's row."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    docs = docs.select(F.col("doc_id").alias("image_id"), F.filter(F.split("text", "[ \n]+"), lambda w: w != "").alias("ws"))
+    docs = docs.select(F.col("doc_id").alias("image_id"), F.array_remove(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), "").alias("ws"))
     per = WORDS_PER_LINE * LINES_PER_PARA
     docs = docs.filter(F.size("ws") > 0).withColumn("np", F.floor((F.size("ws") + per - 1) / per).cast("int"))
     ex = docs.select("image_id", "np", F.explode_outer(F.transform(F.sequence(F.lit(0), F.col("np") - 1), lambda k: F.struct(k.alias("k"), F.slice("ws", k * per + 1, F.lit(per)).alias("ws")))).alias("p"))

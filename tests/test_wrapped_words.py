@@ -2,10 +2,13 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from pagelayout.operators import render
+from pagelayout.plans import catalog
+from pagelayout.sources import views
 
 TOKENS = "array<struct<kind:string,text:string,width:double>>"
 
@@ -70,3 +73,16 @@ def test_lines_of_many_paragraphs_are_those_of_each_alone(spark):
     wrong = [(r, got[r[0]], alone(*r[1:])) for r in rows if got[r[0]] != alone(*r[1:])]
     assert not wrong, wrong[0]
     assert spark.createDataFrame([(0, None, None, None)], d.schema).select(render.wrap_words(F.col("t"), F.col("c"), F.col("m")).alias("x")).head().x == []
+
+
+def test_paragraphs_of_the_query_are_wrapped_once(spark, tmp_path):
+    texts = [(1, " ".join(f"w{i}" * (i % 4 + 1) for i in range(150))), (2, "a\tb \x0b c\nd" + " ẞé" * 60), (3, None), (4, " \n "), (5, "one"), (None, "x y"), (5, "two words")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = catalog.registered()["W15_wrap_words"].run(spark, str(tmp_path))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("_wrapped(") == 1
+    want = []
+    for p in views.paras(spark, str(tmp_path)).collect():
+        tokens = [("word" if t.replace("\n", " ").strip(" ") else "space", t, 8.0 * len(t)) for t in re.findall(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+", p.text)]
+        caps = [(p.r - p.l) * (1.0 - i * 0.1) for i in range(p.para_index % 6 + 1)]
+        want += [(p.image_id, p.para_index, i, x) for i, x in enumerate(alone(tokens, caps, p.para_index % 4))]
+    assert sorted(map(repr, map(tuple, d.collect()))) == sorted(map(repr, want))
