@@ -4,6 +4,7 @@ import random
 
 from pagelayout.operators import tiles
 from pagelayout.operators.scans import large_keys
+from pagelayout.plans import catalog
 
 PARA = "image_id long, side string, rid long, text string, l double, t double, r double, b double"
 
@@ -61,3 +62,11 @@ def test_texts_are_moved_once_to_their_side(spark):
 def test_long_texts_are_bounded_by_their_letters():
     a, b = "ab" * 9000, "cd" * 9000
     assert not tiles.texts_same(a, b, True, True) and tiles.texts_same(a, a, True, True)
+
+
+def test_texts_of_the_query_stay_where_their_numbers_were_made(spark, tmp_path):
+    spark.createDataFrame([(i, " ".join(f"w{j % (i + 2)}" for j in range(900))) for i in range(40)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    d = catalog.registered()["J2_similar_pairs"].run(spark, str(tmp_path))
+    assert d.count() == d.distinct().count() > 0
+    d.collect()
+    assert "REPARTITION_BY_COL" not in d._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
